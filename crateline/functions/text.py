@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 import unicodedata
 import zlib
 from collections.abc import Sequence
@@ -60,14 +61,11 @@ def role_key(role: Column) -> Column:
 
 def _vocabulary_lookup(vocabulary: Sequence[tuple[str, str, int]], key: Column) -> Column:
     """(rank, name) of a key. Map lookup scans, so the entries are split by checksum."""
-    held: list[list[Column]] = [[] for _ in range(max(1, len(vocabulary) // 4))]
+    held: list[dict] = [{} for _ in range(max(1, len(vocabulary) // 4))]
     for word, name, rank in vocabulary:
-        held[zlib.crc32(word.encode()) % len(held)] += [
-            F.lit(word),
-            F.struct(F.lit(rank).alias("rank"), F.lit(name).alias("name")),
-        ]
-    kind = "map<string,struct<rank:int,name:string>>"
-    maps = F.array(*[(F.create_map(*pairs) if pairs else F.create_map()).cast(kind) for pairs in held])
+        held[zlib.crc32(word.encode()) % len(held)][word] = {"rank": rank, "name": name}
+    # A literal, folded once when the plan is optimised.
+    maps = F.from_json(F.lit(json.dumps(held)), "array<map<string,struct<rank:int,name:string>>>")
     return maps[(F.crc32(key) % len(held)).cast("int")][key]
 
 

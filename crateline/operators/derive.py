@@ -50,13 +50,34 @@ def pair_counts(people: DataFrame, max_people: int, hot_rows: int = 1_000_000) -
     )
 
 
-def _held_beside(people: DataFrame, max_people: int, hot_rows: int) -> DataFrame:
-    """(aid, bid, role) for every role b held beside a on a pairable release."""
-    groups = R.members_within(people, "release_id", "artist_id", max_people, hot_rows)
-    held = people.filter(F.col("role").isNotNull()).distinct()
+def _side_by_side(people: DataFrame, max_people: int, hot_rows: int) -> DataFrame:
+    """(aid, bid, role, first) on pairable releases: each role b held there beside a, and the
+    line with a null role; ``first`` marks one row per release and pair.
+
+    A release is gathered only once it is known to hold few people.
+    """
+    rows = R.rows_within(
+        people.select("release_id", "artist_id", "role"),
+        "release_id",
+        "artist_id",
+        max_people,
+        hot_rows,
+    )
+    held = rows.groupBy("release_id").agg(
+        F.collect_list(F.struct(F.col("artist_id").alias("id"), "role")).alias("held")
+    )
+    ids = F.col("held.id")
+    marked = F.transform(
+        "held",
+        lambda h, i: F.struct(
+            h["id"].alias("bid"), h["role"].alias("role"), (F.array_position(ids, h["id"]) == i + 1).alias("first")
+        ),
+    )
     return (
-        held.join(groups.filter(F.size("members") > 1), "release_id")
-        .select(F.explode("members").alias("aid"), F.col("artist_id").alias("bid"), "role")
+        held.select(F.array_distinct(ids).alias("people"), marked.alias("held"))
+        .filter(F.size("people") > 1)
+        .select(F.explode("people").alias("aid"), "held")
+        .select("aid", F.inline("held"))
         .filter(F.col("aid") != F.col("bid"))
     )
 
@@ -64,7 +85,9 @@ def _held_beside(people: DataFrame, max_people: int, hot_rows: int) -> DataFrame
 def pair_roles(people: DataFrame, max_people: int, hot_rows: int = 1_000_000) -> DataFrame:
     """(aid, bid, roles): distinct raw roles b held, sorted. Pairs with none have no row."""
     return (
-        _held_beside(people, max_people, hot_rows)
+        _side_by_side(people, max_people, hot_rows)
+        .filter(F.col("role").isNotNull())
+        .select("aid", "bid", "role")
         .distinct()
         .groupBy("aid", "bid")
         .agg(F.array_sort(F.collect_list("role")).alias("roles"))
@@ -72,18 +95,11 @@ def pair_roles(people: DataFrame, max_people: int, hot_rows: int = 1_000_000) ->
 
 
 def artist_collaborators(people: DataFrame, max_people: int, hot_rows: int = 1_000_000) -> DataFrame:
-    """Counts and roles in one grouping: shared releases carry a count, roles carry none."""
-    shared = R.people_who_share(people, "release_id", "artist_id", max_people, hot_rows).select(
-        F.col("a").alias("aid"),
-        F.col("b").alias("bid"),
-        F.lit(None).cast("string").alias("role"),
-        F.lit(1).alias("shared"),
-    )
-    held = _held_beside(people, max_people, hot_rows).withColumn("shared", F.lit(0))
+    """Shared releases and roles per pair. Rows are reduced per role before the roles meet."""
     by_role = (
-        shared.unionByName(held)
+        _side_by_side(people, max_people, hot_rows)
         .groupBy("aid", "bid", "role")
-        .agg(F.sum("shared").alias("shared"))
+        .agg(F.count_if("first").alias("shared"))
     )
     roles = F.array_sort(F.collect_list("role"))
     return by_role.groupBy(

@@ -46,25 +46,29 @@ def left_join_all(left: DataFrame, rights: Sequence[DataFrame], key: str) -> Dat
     return left
 
 
-def members_within(
+def rows_within(
     df: DataFrame, group: str, member: str, cap: int, hot_rows: int = 1_000_000
 ) -> DataFrame:
-    """(group, members): the distinct members of every group holding at most ``cap``.
+    """Distinct rows of every group that holds at most ``cap`` distinct members.
 
     Sizes are counted from map-side partial counts. Groups above ``hot_rows`` members are
     dropped by a broadcast anti join before anything is shuffled by group, so no task meets
     a huge group; at most ``rows / hot_rows`` such groups can exist, which bounds the
-    broadcast. What is then collected per group is at most ``cap`` values.
+    broadcast.
     """
-    pairs = df.select(group, member).distinct()
-    sizes = pairs.groupBy(group).agg(F.count("*").alias("_n"))
+    rows = df.distinct()
+    sizes = rows.groupBy(group).agg(F.countDistinct(member).alias("_n"))
     hot = sizes.filter(F.col("_n") > max(hot_rows, cap)).select(group)
-    return (
-        pairs.join(F.broadcast(hot), group, "left_anti")
-        .join(sizes.filter(F.col("_n") <= cap).select(group), group, "left_semi")
-        .groupBy(group)
-        .agg(F.collect_list(member).alias("members"))
-    )
+    small = sizes.filter(F.col("_n") <= cap).select(group)
+    return rows.join(F.broadcast(hot), group, "left_anti").join(small, group, "left_semi")
+
+
+def members_within(
+    df: DataFrame, group: str, member: str, cap: int, hot_rows: int = 1_000_000
+) -> DataFrame:
+    """(group, members): the distinct members, at most ``cap``, of every group within it."""
+    rows = rows_within(df.select(group, member), group, member, cap, hot_rows)
+    return rows.groupBy(group).agg(F.collect_list(member).alias("members"))
 
 
 def people_who_share(

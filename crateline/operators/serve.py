@@ -374,10 +374,20 @@ def band_rank(standing_name: Column) -> Column:
     return F.when(standing_name == "core", 0).when(standing_name == "named", 1).otherwise(2)
 
 
+def scene_of(tables: Tables, scene: SceneLists) -> tuple[DataFrame, DataFrame]:
+    """The anchors and scene releases, as built tables where the caller holds them."""
+    who = tables.get("scene_anchors")
+    if who is None:
+        who = anchors(tables["artist_relations"], scene)
+    on_scene = tables.get("scene_releases")
+    if on_scene is None:
+        on_scene = scene_releases(tables, scene, who)
+    return who, on_scene.withColumn("on_scene", F.lit(True))
+
+
 def scene_standings(tables: Tables, scene: SceneLists) -> DataFrame:
     """(id, name, standing, scene_releases, line_releases) of everyone on a scene release."""
-    who = anchors(tables["artist_relations"], scene)
-    on_scene = scene_releases(tables, scene, who).withColumn("on_scene", F.lit(True))
+    who, on_scene = scene_of(tables, scene)
     once = tables["release_artists"].select("artist_id", "release_id").distinct()
     counts = (
         once.join(on_scene, "release_id", "left")
@@ -448,9 +458,9 @@ def top_labels(
             F.count_if(F.col("standing") == "named").alias("named_artists"),
         )
     )
-    on_scene = scene_releases(tables, scene, anchors(tables["artist_relations"], scene))
+    _, on_scene = scene_of(tables, scene)
     totals = (
-        refs.join(on_scene.withColumn("on_scene", F.lit(True)), "release_id", "left")
+        refs.join(on_scene, "release_id", "left")
         .groupBy("label_id")
         .agg(F.count("*").alias("releases"), F.count("on_scene").alias("scene_releases"))
     )

@@ -3,7 +3,8 @@
 from __future__ import annotations
 
 import tempfile
-from collections.abc import Callable
+from collections.abc import Callable, Mapping
+from concurrent.futures import ThreadPoolExecutor
 from uuid import uuid4
 
 from pyspark.sql import DataFrame, SparkSession
@@ -48,10 +49,21 @@ class Stage:
         self.folder = folder or f"{shared_folder(spark)}/stage-{uuid4().hex}"
         self._held: dict[str, DataFrame] = {}
 
+    def _write(self, name: str, build: Callable[[], DataFrame]) -> DataFrame:
+        df = build()
+        path = f"{self.folder}/{name}"
+        df.write.mode("overwrite").parquet(path)
+        return self.spark.read.schema(df.schema).parquet(path)
+
     def table(self, name: str, build: Callable[[], DataFrame]) -> DataFrame:
         if name not in self._held:
-            df = build()
-            path = f"{self.folder}/{name}"
-            df.write.mode("overwrite").parquet(path)
-            self._held[name] = self.spark.read.schema(df.schema).parquet(path)
+            self._held[name] = self._write(name, build)
         return self._held[name]
+
+    def tables(self, builds: Mapping[str, Callable[[], DataFrame]]) -> dict[str, DataFrame]:
+        """Tables that do not need each other, their jobs submitted together."""
+        due = {name: build for name, build in builds.items() if name not in self._held}
+        if due:
+            with ThreadPoolExecutor(len(due)) as pool:
+                self._held.update(zip(due, pool.map(self._write, due.keys(), due.values())))
+        return {name: self._held[name] for name in builds}

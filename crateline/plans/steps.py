@@ -12,10 +12,11 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from crateline.config import Dials
+from crateline.config import Dials, SceneLists
 from crateline.operators import corpus as C
 from crateline.operators import derive as D
 from crateline.operators import entities as E
+from crateline.operators import serve as V
 from crateline.plans.staging import Stage
 from crateline.sources.tables import corpus_tables
 
@@ -33,8 +34,13 @@ class Seed:
 
 
 def select_seed(cat: C.Catalogue, dials: Dials, stage: Stage) -> Seed:
-    pairs = stage.table("label_artist_pairs", lambda: C.label_artist_pairs(cat, dials))
-    seeds = stage.table("seed_releases", lambda: C.seed_releases(cat, dials.seed))
+    first = stage.tables(
+        {
+            "label_artist_pairs": lambda: C.label_artist_pairs(cat, dials),
+            "seed_releases": lambda: C.seed_releases(cat, dials.seed),
+        }
+    )
+    pairs, seeds = first["label_artist_pairs"], first["seed_releases"]
     tally = stage.table(
         "seed_tally", lambda: C.seed_artist_tally(C.seed_appearances(cat, seeds), dials)
     )
@@ -59,18 +65,20 @@ def expand(cat: C.Catalogue, seed: Seed, dials: Dials, stage: Stage) -> dict[str
         "channel_flags",
         lambda: C.channel_flags(people, cat.label_refs, bridging, seed.labels, dials),
     )
-    kept = stage.table("releases", lambda: C.kept_releases(cat.releases, seed.releases, flags))
     admissible = C.admissible_people(people, dials)
     crowds = C.crowded(admissible, dials.max_people_to_admit)
-    members = stage.table(
-        "corpus_artists",
-        lambda: C.corpus_artists(
-            seed.artists, C.ties_and_label_mates(admissible, flags, crowds), dials.min_ties
-        ),
+    made = stage.tables(
+        {
+            "releases": lambda: C.kept_releases(cat.releases, seed.releases, flags),
+            "corpus_artists": lambda: C.corpus_artists(
+                seed.artists, C.ties_and_label_mates(admissible, flags, crowds), dials.min_ties
+            ),
+        }
     )
-    tables = corpus_tables(cat.within(kept), dials)
-    written = {name: stage.table(name, lambda df=df: df) for name, df in tables.items()}
-    return {**written, "releases": kept, "corpus_artists": members, "channel_flags": flags}
+    rest = corpus_tables(cat.within(made["releases"]), dials)
+    del rest["releases"]
+    written = stage.tables({name: lambda df=df: df for name, df in rest.items()})
+    return {**made, **written, "channel_flags": flags}
 
 
 def select_corpus(cat: C.Catalogue, dials: Dials, stage: Stage) -> dict[str, DataFrame]:
@@ -93,32 +101,28 @@ def load_entities(
     stage: Stage,
 ) -> dict[str, DataFrame]:
     members = corpus["corpus_artists"]
-    artists = stage.table(
-        "artists",
-        lambda: E.fallback_names(
-            E.corpus_artist_entities(artists_nested, members),
-            members.select(F.col("artist_id").alias("id")),
-            E.artist_name_refs(corpus["release_artists"], corpus["release_credits"]),
-        ),
-    )
-    labels = stage.table(
-        "labels",
-        lambda: E.fallback_names(
-            E.corpus_label_entities(labels_nested, corpus["release_labels"]),
-            corpus["release_labels"].select(F.col("label_id").alias("id")),
-            E.label_name_refs(corpus["release_labels"]),
-        ),
-    )
-    relations = stage.table(
-        "artist_relations", lambda: E.artist_relations(artists_nested, members)
-    )
-    return {
-        "artists": artists,
-        "labels": labels,
-        "artist_relations": relations,
-        "artist_search": stage.table("artist_search", lambda: E.search_index(artists)),
-        "label_search": stage.table("label_search", lambda: E.search_index(labels)),
-    }
+    named = stage.tables(
+        {
+            "artists": lambda: E.fallback_names(
+                E.corpus_artist_entities(artists_nested, members),
+                members.select(F.col("artist_id").alias("id")),
+                E.artist_name_refs(corpus["release_artists"], corpus["release_credits"]),
+            ),
+            "labels": lambda: E.fallback_names(
+                E.corpus_label_entities(labels_nested, corpus["release_labels"]),
+                corpus["release_labels"].select(F.col("label_id").alias("id")),
+                E.label_name_refs(corpus["release_labels"]),
+            ),
+            "artist_relations": lambda: E.artist_relations(artists_nested, members),
+        }
+    )
+    indexes = stage.tables(
+        {
+            "artist_search": lambda: E.search_index(named["artists"]),
+            "label_search": lambda: E.search_index(named["labels"]),
+        }
+    )
+    return {**named, **indexes}
 
 
 def derive(
@@ -131,34 +135,38 @@ def derive(
             corpus["release_artists"], corpus["release_credits"], corpus["corpus_artists"]
         ),
     )
-    pairs = stage.table(
-        "artist_collaborators", lambda: D.artist_collaborators(people, dials.max_people_per_release)
-    )
-    by_artist = stage.table(
-        "artist_labels", lambda: D.artist_labels(people, corpus["release_labels"], corpus["releases"])
-    )
-    counts = stage.table(
-        "coverage_counts",
-        lambda: D.coverage_counts(people, corpus["releases"], corpus["release_credits"]),
+    made = stage.tables(
+        {
+            "artist_collaborators": lambda: D.artist_collaborators(
+                people, dials.max_people_per_release
+            ),
+            "artist_labels": lambda: D.artist_labels(
+                people, corpus["release_labels"], corpus["releases"]
+            ),
+            "coverage_counts": lambda: D.coverage_counts(
+                people, corpus["releases"], corpus["release_credits"]
+            ),
+            "label_coverage": lambda: D.label_coverage(
+                labels, corpus["label_artist_pairs"], corpus["seed_artists"], dials.grades
+            ),
+        }
+    )
+    measured = lambda: measured_coverage(
+        corpus,
+        people,
+        made["artist_collaborators"],
+        made["artist_labels"],
+        made["coverage_counts"],
+        dials,
     )
     coverage = stage.table(
-        "artist_coverage",
-        lambda: D.lineage_floor(measured_coverage(corpus, people, pairs, by_artist, counts, dials), dials.traditions),
-    )
-    by_label = stage.table(
-        "label_coverage",
-        lambda: D.label_coverage(
-            labels, corpus["label_artist_pairs"], corpus["seed_artists"], dials.grades
-        ),
+        "artist_coverage", lambda: D.lineage_floor(measured(), dials.traditions)
     )
     return {
+        **made,
         "release_people": people,
-        "artist_collaborators": pairs,
-        "artist_labels": by_artist,
-        "label_roster": D.label_roster(by_artist),
-        "coverage_counts": counts,
+        "label_roster": D.label_roster(made["artist_labels"]),
         "artist_coverage": coverage,
-        "label_coverage": by_label,
     }
 
 
@@ -194,6 +202,16 @@ def measured_coverage(
     )
 
 
+def top_lists(tables: Mapping[str, DataFrame], scene: SceneLists, stage: Stage) -> dict[str, DataFrame]:
+    """The two curated lists, their scene worked out once and kept."""
+    who = stage.table("scene_anchors", lambda: V.anchors(tables["artist_relations"], scene))
+    on_scene = stage.table("scene_releases", lambda: V.scene_releases(tables, scene, who))
+    held = {**tables, "scene_anchors": who, "scene_releases": on_scene}
+    artists = stage.table("top_artists", lambda: V.top_artists(held, scene))
+    labels = stage.table("top_labels", lambda: V.top_labels(held, artists, scene))
+    return {"top_artists": artists, "top_labels": labels}
+
+
 def build(
     cat: C.Catalogue,
     artists_nested: DataFrame,
@@ -204,4 +222,5 @@ def build(
     """Every table, from a catalogue and its two entity dumps."""
     corpus = select_corpus(cat, dials, stage)
     entities = load_entities(corpus, artists_nested, labels_nested, stage)
-    return {**corpus, **entities, **derive(corpus, entities["labels"], dials, stage)}
+    tables = {**corpus, **entities, **derive(corpus, entities["labels"], dials, stage)}
+    return {**tables, **top_lists(tables, dials.scene, stage)}

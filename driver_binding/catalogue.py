@@ -66,9 +66,27 @@ def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+# A table this small is one file of one row group, which one task would read and carry on.
+SPREAD_BELOW = 256 << 20
+
+
+def spread(spark: SparkSession, sf_dir: str, name: str, *columns: str) -> DataFrame:
+    """The named columns over every core when the files are too small to be split by themselves.
+
+    Files above the bound are left as the scan splits them, with no shuffle.
+    """
+    path = spark._jvm.org.apache.hadoop.fs.Path(f"{sf_dir}/{name}.parquet")
+    held = path.getFileSystem(spark._jsc.hadoopConfiguration()).getContentSummary(path).getLength()
+    rows = read(spark, sf_dir, name).select(*columns)
+    return rows.repartition(spark.sparkContext.defaultParallelism) if held < SPREAD_BELOW else rows
+
+
 def releases(spark: SparkSession, sf_dir: str) -> DataFrame:
     unsure = (F.col("o_orderpriority") == "5-LOW") & (F.col("o_orderstatus") == "P")
-    return read(spark, sf_dir, "orders").select(
+    orders = spread(
+        spark, sf_dir, "orders", "o_orderkey", "o_orderpriority", "o_orderstatus", "o_orderdate"
+    )
+    return orders.select(
         F.col("o_orderkey").alias("id"),
         F.concat(F.lit("Order "), F.col("o_orderkey")).alias("title"),
         F.when(~unsure, F.year("o_orderdate")).alias("year"),
@@ -77,7 +95,9 @@ def releases(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _people(spark: SparkSession, sf_dir: str) -> DataFrame:
     names = read(spark, sf_dir, "part").select(F.col("p_partkey").alias("artist_id"), F.col("p_name").alias("name"))
-    items = read(spark, sf_dir, "lineitem").select(
+    items = spread(
+        spark, sf_dir, "lineitem", "l_orderkey", "l_linenumber", "l_partkey", "l_linestatus", "l_returnflag"
+    ).select(
         F.col("l_orderkey").alias("release_id"),
         (F.col("l_linenumber") - 1).alias("position"),
         F.col("l_partkey").alias("artist_id"),
@@ -108,7 +128,8 @@ def credits(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def label_refs(spark: SparkSession, sf_dir: str) -> DataFrame:
     names = read(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("l_suppkey"), "s_name")
-    items = read(spark, sf_dir, "lineitem").join(names, "l_suppkey")
+    columns = ("l_orderkey", "l_linenumber", "l_suppkey", "l_tax", "l_discount", "l_quantity")
+    items = spread(spark, sf_dir, "lineitem", *columns).join(names, "l_suppkey")
     return items.select(
         F.col("l_orderkey").alias("release_id"),
         (F.col("l_linenumber") - 1).alias("position"),
@@ -254,15 +275,9 @@ class Bound:
 
         def make():
             built = catalogue(self.spark, self.sf_dir)
-            put = lambda name, df: self.stage.table(f"cat_{name}", lambda: df)
-            return Catalogue(
-                releases=put("releases", built.releases),
-                line=put("line", built.line),
-                credits=put("credits", built.credits),
-                label_refs=put("label_refs", built.label_refs),
-                styles=put("styles", built.styles),
-                genres=put("genres", built.genres),
-            )
+            parts = ("releases", "line", "credits", "label_refs", "styles", "genres")
+            held = self.stage.tables({f"cat_{p}": lambda p=p: getattr(built, p) for p in parts})
+            return Catalogue(**{p: held[f"cat_{p}"] for p in parts})
 
         return self._once("cat", make)
 

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from crateline.config import PAGE_SIZE
 from crateline.operators import serve as V
+from crateline.plans import steps
 from driver_binding.oracle import BAND_RANK, SC, sql_list
 from driver_binding.registry import query
 
@@ -199,8 +200,7 @@ def top_artists(b):
         ORDER BY {BAND_RANK.format('standing')}, weight DESC, name, id LIMIT 1000""",
 )
 def top_labels(b):
-    listed = V.top_artists(b.tables, b.dials.scene)
-    return V.top_labels(b.tables, listed, b.dials.scene)
+    return steps.top_lists(b.tables, b.dials.scene, b.stage)["top_labels"]
 
 
 @query(
@@ -212,7 +212,7 @@ def top_labels(b):
 )
 def page(b):
     """The second page of the ranking, and the first page of the same list by name."""
-    listed = b.stage.table("top_artists", lambda: V.top_artists(b.tables, b.dials.scene))
+    listed = steps.top_lists(b.tables, b.dials.scene, b.stage)["top_artists"]
     total = listed.count()
     order = [V.band_rank(F.col("standing")), F.col("weight").desc(), F.col("name"), F.col("id")]
     ranked, left = V.page(listed, PAGE_SIZE * 3, order, total)
