@@ -104,10 +104,8 @@ def share_bands(seeds: DataFrame, totals: DataFrame) -> DataFrame:
         .groupBy(share_band(F.col("share")).alias("band"))
         .agg(F.count("*").alias("n"))
     )
-    whole = bands.agg(F.sum("n").alias("whole"), F.lit(1).alias("_one"))
     return (
-        bands.withColumn("_one", F.lit(1))
-        .join(F.broadcast(whole), "_one")
+        R.beside_whole(bands, whole=F.sum("n"))
         .select("band", "n", (100.0 * F.col("n") / F.col("whole")).alias("pct"))
         .orderBy("band")
     )

@@ -224,6 +224,14 @@ def one_row(*frames: DataFrame) -> DataFrame:
     )
 
 
+def beside_whole(df: DataFrame, **wholes: Column) -> DataFrame:
+    """Each row of a table bounded by a limit or a fixed grouping, beside aggregates over all of it."""
+    gathered = df.agg(
+        F.collect_list(F.struct("*")).alias("_rows"), *[v.alias(n) for n, v in wholes.items()]
+    )
+    return gathered.select(F.explode("_rows").alias("_row"), *wholes).select("_row.*", *wholes)
+
+
 def row_count(df: DataFrame, name: str = "n") -> DataFrame:
     return df.agg(F.count("*").alias(name))
 

@@ -285,17 +285,17 @@ def search(tables: Tables, query: str, limit: int = 40) -> DataFrame:
         .limit(limit)
         .drop("is_seed")
     )
-    hits = found("label").join(tables["labels"].select("id", "name"), "id")
+    named = found("label").join(tables["labels"].select("id", "name"), "id")
     releases = (
         tables["release_labels"]
         .select(F.col("label_id").alias("id"), "release_id")
-        .join(hits.select("id"), "id", "left_semi")
+        .join(named.select("id"), "id", "left_semi")
         .groupBy("id")
         .agg(F.countDistinct("release_id").alias("release_count"))
     )
     grades = tables["label_coverage"].select(F.col("label_id").alias("id"), "relevance")
     labels = (
-        R.left_join_all(hits, [releases, grades], "id")
+        R.left_join_all(named, [releases, grades], "id")
         .select(
             F.lit("label").alias("kind"),
             "id",
@@ -309,13 +309,10 @@ def search(tables: Tables, query: str, limit: int = 40) -> DataFrame:
     )
     merged = artists.unionByName(labels)
     # At most two limits' worth of rows are left to count and sort.
-    kinds = merged.groupBy("kind").agg(F.count("*").alias("n"))
-    full = kinds.agg(F.max(F.col("n") == limit).alias("truncated"), F.lit(1).alias("_one"))
-    return (
-        merged.withColumn("_one", F.lit(1))
-        .join(F.broadcast(full), "_one")
-        .drop("_one")
-        .orderBy(P.grade_rank(F.col("relevance")), F.col("release_count").desc(), "kind", "id")
+    full = lambda kind: F.count_if(F.col("kind") == kind) == limit
+    hits = R.beside_whole(merged, truncated=full("artist") | full("label"))
+    return hits.orderBy(
+        P.grade_rank(F.col("relevance")), F.col("release_count").desc(), "kind", "id"
     )
 
 

@@ -307,7 +307,7 @@ def _rendered(table: str, kind: str, key: str, name: str, label: str, own: str)
     return f"""SELECT concat('{own}', {key}) AS entity_id, concat('From ', {kind}, ' with ',
         coalesce(a.name, concat('artist ', {key} + 7)), ' and ',
         coalesce(l.name, concat('label ', {key} % 120)), ',', chr(10), 'as ', {name},
-        ' on its site, not javascript:1 ever.') AS text, 3 AS n_links
+        ' on its site, not javascript:1 ever.') AS text, CAST(3 AS BIGINT) AS n_links
         FROM {table} d LEFT JOIN k_artists a ON a.id = {key} + 7 LEFT JOIN k_labels l ON l.id = {key} % 120"""
 
 

@@ -146,7 +146,7 @@ def search(b):
 
 @query(
     "q10_alias_expansion",
-    "SELECT id, 0 AS band FROM k_core_alias UNION ALL SELECT id, 1 FROM k_named_alias",
+    "SELECT id, CAST(0 AS BIGINT) AS band FROM k_core_alias UNION ALL SELECT id, CAST(1 AS BIGINT) FROM k_named_alias",
 )
 def alias_expansion(b):
     rows, scene = b.entities["artist_relations"], b.dials.scene

@@ -113,7 +113,7 @@ def sample_snapshot(b):
 
 @query(
     "s6_write_corpus_tables",
-    """SELECT 'releases' AS tab, id AS release_id, NULL AS position, NULL AS ref_id, title AS detail FROM k_nested
+    """SELECT 'releases' AS tab, id AS release_id, CAST(NULL AS BIGINT) AS position, CAST(NULL AS BIGINT) AS ref_id, title AS detail FROM k_nested
         UNION ALL SELECT 'release_artists', release_id, position, artist_id, concat(name, coalesce(join_phrase, '')) FROM k_n_line
         UNION ALL SELECT 'release_credits', release_id, position, artist_id, concat(name, role) FROM k_n_cred
         UNION ALL SELECT 'release_labels', release_id, position, label_id, concat(name, coalesce(catno, '')) FROM k_n_lab
@@ -179,9 +179,9 @@ def publish_serving(b):
 @query(
     "s8_run_log",
     """SELECT 'derive' AS step, 'orders.parquet' AS source_file, (SELECT count(*) FROM k_kept) AS releases,
-        (SELECT count(*) FROM k_corpus) AS artists, 6 AS dial
+        (SELECT count(*) FROM k_corpus) AS artists, CAST(6 AS BIGINT) AS dial
         UNION ALL SELECT 'pass2', NULL, (SELECT count(*) FROM k_kept),
-        (SELECT count(*) FROM k_corpus), 4""",
+        (SELECT count(*) FROM k_corpus), CAST(4 AS BIGINT)""",
 )
 def run_log(b):
     # The log is appended to, so each call keeps its own.
