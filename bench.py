@@ -57,12 +57,12 @@ def work(b: Bound) -> dict[str, Callable[[], object]]:
         "pair_counts": lambda: run(D.pair_counts(people(), cap)),
         "artist_collaborators": lambda: run(D.artist_collaborators(people(), cap)),
         "artist_labels": lambda: run(
-            D.artist_labels(people(), b.corpus["release_labels"], b.corpus["releases"])
+            D.artist_labels(b.derived["people_once"], b.corpus["release_labels"], b.corpus["releases"])
         ),
         "artist_coverage": lambda: run(
             steps.measured_coverage(
                 b.corpus,
-                people(),
+                b.derived["people_once"],
                 b.derived["artist_collaborators"],
                 b.derived["artist_labels"],
                 b.derived["coverage_counts"],

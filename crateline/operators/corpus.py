@@ -24,7 +24,7 @@ class Catalogue:
     releases(id, title, year[, is_seed]), line(release_id, position, artist_id, name,
     join_phrase), credits(release_id, position, artist_id, name, role),
     label_refs(release_id, position, label_id, name, catno), styles(release_id, style),
-    genres(release_id, genre).
+    genres(release_id, genre). ``nested`` holds the records they were exploded from, if any.
     """
 
     releases: DataFrame
@@ -33,9 +33,16 @@ class Catalogue:
     label_refs: DataFrame
     styles: DataFrame
     genres: DataFrame
+    nested: DataFrame | None = None
 
     def within(self, releases: DataFrame) -> "Catalogue":
-        """The rows of the given releases, which also replace the release table."""
+        """The rows of the given releases, which also replace the release table.
+
+        Nested records are met once and exploded after, rather than one join per table.
+        """
+        if self.nested is not None:
+            kept = self.nested.join(releases.select("id"), "id", "left_semi")
+            return replace(flatten(kept), releases=releases)
         ids = releases.select(F.col("id").alias("release_id"))
         keep = lambda df: df.join(ids, "release_id", "left_semi")
         return replace(
@@ -78,9 +85,15 @@ def flatten(
         label_refs=exploded("labels", "id", "name", "catno").withColumnRenamed("id", "label_id"),
         styles=tags("styles", "style"),
         genres=tags("genres", "genre"),
+        nested=nested,
     )
 
 
+def from_records(nested: DataFrame, rule: SeedRule = SeedRule()) -> Catalogue:
+    """Nested records whose seed decision is taken within the record, with no shuffle."""
+    return flatten(nested, lambda styles, genres: P.is_seed_release(styles, genres, rule))
+
+
 def appearances(cat: Catalogue) -> DataFrame:
     """(release_id, artist_id, name, role): the line with a null role, and every credit."""
     line = cat.line.select(

@@ -23,14 +23,16 @@ def release_people(line: DataFrame, credits: DataFrame, corpus: DataFrame) -> Da
 
 
 def people_once(people: DataFrame) -> DataFrame:
-    """(release_id, artist_id), each once: what every distinct count downstream starts from."""
+    """(release_id, artist_id), each once: what every distinct count downstream starts from.
+
+    Operators that take ``once`` expect this table, so it is worked out a single time.
+    """
     return people.select("release_id", "artist_id").distinct()
 
 
-def pairable(people: DataFrame, max_people: int) -> DataFrame:
+def pairable(once: DataFrame, max_people: int) -> DataFrame:
     return (
-        people_once(people)
-        .groupBy("release_id")
+        once.groupBy("release_id")
         .agg(F.count("*").alias("n"))
         .filter(F.col("n") <= max_people)
         .select("release_id")
@@ -113,7 +115,7 @@ def artist_collaborators(people: DataFrame, max_people: int, hot_rows: int = 1_0
 # --- labels -------------------------------------------------------------------------
 
 
-def artist_labels(people: DataFrame, label_refs: DataFrame, releases: DataFrame) -> DataFrame:
+def artist_labels(once: DataFrame, label_refs: DataFrame, releases: DataFrame) -> DataFrame:
     """(artist_id, label_id, release_count, first_year, last_year), every release counted."""
     on_label = (
         label_refs.select("release_id", "label_id")
@@ -121,8 +123,7 @@ def artist_labels(people: DataFrame, label_refs: DataFrame, releases: DataFrame)
         .join(releases.select(F.col("id").alias("release_id"), "year"), "release_id")
     )
     return (
-        people_once(people)
-        .join(on_label, "release_id")
+        once.join(on_label, "release_id")
         .groupBy("artist_id", "label_id")
         .agg(
             F.count("*").alias("release_count"),
@@ -149,15 +150,14 @@ def release_facts(releases: DataFrame, credits: DataFrame) -> DataFrame:
     )
 
 
-def coverage_counts(people: DataFrame, releases: DataFrame, credits: DataFrame) -> DataFrame:
+def coverage_counts(once: DataFrame, releases: DataFrame, credits: DataFrame) -> DataFrame:
     """Per artist: releases, those with any credit, seed releases and the year span.
 
-    People are made distinct per release first, so plain counts are distinct counts and one
-    pass serves every measure.
+    People come once per release, so plain counts are distinct counts and one pass serves
+    every measure.
     """
     return (
-        people_once(people)
-        .join(release_facts(releases, credits), "release_id")
+        once.join(release_facts(releases, credits), "release_id")
         .groupBy("artist_id")
         .agg(
             F.count("*").alias("release_count"),
@@ -173,10 +173,10 @@ def rows_per_artist(derived: DataFrame, name: str = "n") -> DataFrame:
     return derived.groupBy("artist_id").agg(F.count("*").alias(name))
 
 
-def seed_counts(people: DataFrame, releases: DataFrame) -> DataFrame:
+def seed_counts(once: DataFrame, releases: DataFrame) -> DataFrame:
     """(artist_id, n): distinct seed releases of every corpus artist."""
     seeds = releases.filter("is_seed").select(F.col("id").alias("release_id"))
-    return people_once(people).join(seeds, "release_id", "left_semi").groupBy("artist_id").agg(
+    return once.join(seeds, "release_id", "left_semi").groupBy("artist_id").agg(
         F.count("*").alias("n")
     )
 
@@ -234,17 +234,16 @@ def label_matches(label_refs: DataFrame, rules: Sequence[Tradition]) -> DataFram
 
 
 def lineage_candidates(
-    people: DataFrame, matches: DataFrame, coverage: DataFrame, rules: Sequence[Tradition]
+    once: DataFrame, matches: DataFrame, coverage: DataFrame, rules: Sequence[Tradition]
 ) -> DataFrame:
     """(artist_id, rule, n): artists clearing a rule's floor and share."""
     dials = R.literal_rows(
-        people.sparkSession,
+        once.sparkSession,
         [("rule", "int"), ("min_releases", "int"), ("min_share", "double")],
         [(i, r.min_releases, r.min_share) for i, r in enumerate(rules)],
     )
     counted = (
-        people_once(people)
-        .join(matches, "release_id")
+        once.join(matches, "release_id")
         .groupBy("artist_id", "rule")
         .agg(F.count("*").alias("n"))
         .join(F.broadcast(dials), "rule")

@@ -135,16 +135,17 @@ def derive(
             corpus["release_artists"], corpus["release_credits"], corpus["corpus_artists"]
         ),
     )
+    once = stage.table("people_once", lambda: D.people_once(people))
     made = stage.tables(
         {
             "artist_collaborators": lambda: D.artist_collaborators(
                 people, dials.max_people_per_release
             ),
             "artist_labels": lambda: D.artist_labels(
-                people, corpus["release_labels"], corpus["releases"]
+                once, corpus["release_labels"], corpus["releases"]
             ),
             "coverage_counts": lambda: D.coverage_counts(
-                people, corpus["releases"], corpus["release_credits"]
+                once, corpus["releases"], corpus["release_credits"]
             ),
             "label_coverage": lambda: D.label_coverage(
                 labels, corpus["label_artist_pairs"], corpus["seed_artists"], dials.grades
@@ -153,7 +154,7 @@ def derive(
     )
     measured = lambda: measured_coverage(
         corpus,
-        people,
+        once,
         made["artist_collaborators"],
         made["artist_labels"],
         made["coverage_counts"],
@@ -165,31 +166,32 @@ def derive(
     return {
         **made,
         "release_people": people,
+        "people_once": once,
         "label_roster": D.label_roster(made["artist_labels"]),
         "artist_coverage": coverage,
     }
 
 
 def lineage(
-    corpus: Mapping[str, DataFrame], people: DataFrame, counts: DataFrame, dials: Dials
+    corpus: Mapping[str, DataFrame], once: DataFrame, counts: DataFrame, dials: Dials
 ) -> DataFrame:
     """(artist_id, rule, n) over both kinds of rule."""
     rules = dials.traditions
     matches = D.tag_matches(corpus["release_styles"], corpus["release_genres"], rules).unionByName(
         D.label_matches(corpus["release_labels"], rules)
     )
-    return D.lineage_candidates(people, matches, counts, rules)
+    return D.lineage_candidates(once, matches, counts, rules)
 
 
 def measured_coverage(
     corpus: Mapping[str, DataFrame],
-    people: DataFrame,
+    once: DataFrame,
     pairs: DataFrame,
     by_artist: DataFrame,
     counts: DataFrame,
     dials: Dials,
 ) -> DataFrame:
-    tags = D.lineage_tags(lineage(corpus, people, counts, dials), dials.traditions)
+    tags = D.lineage_tags(lineage(corpus, once, counts, dials), dials.traditions)
     return D.artist_coverage(
         corpus["corpus_artists"],
         counts,

@@ -248,7 +248,7 @@ def release_people(b):
 
 @query("d2_pairable", "SELECT release_id FROM k_pairable")
 def pairable(b):
-    return D.pairable(b.derived["release_people"], b.dials.max_people_per_release)
+    return D.pairable(b.derived["people_once"], b.dials.max_people_per_release)
 
 
 @query(
@@ -260,7 +260,7 @@ def releases_skipped(b):
 
 
 def _skipped(b):
-    pairs_from = D.pairable(b.derived["release_people"], b.dials.max_people_per_release)
+    pairs_from = D.pairable(b.derived["people_once"], b.dials.max_people_per_release)
     return D.releases_skipped(b.corpus["releases"], pairs_from)
 
 
@@ -281,7 +281,7 @@ def artist_collaborators(b):
 
 @query("d7_artist_labels", "SELECT artist_id, label_id, release_count, first_year, last_year FROM k_alabels")
 def artist_labels(b):
-    return D.artist_labels(b.derived["release_people"], b.corpus["release_labels"], b.corpus["releases"])
+    return D.artist_labels(b.derived["people_once"], b.corpus["release_labels"], b.corpus["releases"])
 
 
 @query("d8_label_roster", "SELECT label_id, artist_id, release_count, first_year, last_year FROM k_alabels")
@@ -291,7 +291,7 @@ def label_roster(b):
 
 @query("d9_coverage_counts", "SELECT artist_id, release_count, credited_releases, seed_n, first_year, last_year FROM k_cov")
 def coverage_counts(b):
-    return D.coverage_counts(b.derived["release_people"], b.corpus["releases"], b.corpus["release_credits"])
+    return D.coverage_counts(b.derived["people_once"], b.corpus["releases"], b.corpus["release_credits"])
 
 
 @query(
@@ -310,13 +310,13 @@ def collab_and_label_counts(b):
         WHERE release_id IN (SELECT id FROM k_kept WHERE is_seed) GROUP BY 1""",
 )
 def seed_counts(b):
-    return D.seed_counts(b.derived["release_people"], b.corpus["releases"])
+    return D.seed_counts(b.derived["people_once"], b.corpus["releases"])
 
 
 def _candidates(b, matches):
     rules = b.dials.traditions
     d = b.derived
-    return D.rule_names(D.lineage_candidates(d["release_people"], matches, d["coverage_counts"], rules), rules)
+    return D.rule_names(D.lineage_candidates(d["people_once"], matches, d["coverage_counts"], rules), rules)
 
 
 TAG_RULES = sum(1 for rule in DIALS.traditions if not rule.labels)
@@ -336,7 +336,7 @@ def lineage_by_label(b):
 @query("d14_lineage_tag", "SELECT artist_id, lineage FROM k_lin_tag")
 def lineage_tag(b):
     d = b.derived
-    found = steps.lineage(b.corpus, d["release_people"], d["coverage_counts"], b.dials)
+    found = steps.lineage(b.corpus, d["people_once"], d["coverage_counts"], b.dials)
     return D.lineage_tags(found, b.dials.traditions)
 
 
@@ -347,7 +347,7 @@ COVERAGE_COLUMNS = """artist_id, release_count, credited_releases, collaborator_
 def _measured(b):
     d = b.derived
     return steps.measured_coverage(
-        b.corpus, d["release_people"], d["artist_collaborators"], d["artist_labels"], d["coverage_counts"], b.dials
+        b.corpus, d["people_once"], d["artist_collaborators"], d["artist_labels"], d["coverage_counts"], b.dials
     )
 
 

@@ -189,6 +189,22 @@ def test_whole_selection_is_repeatable_and_reports_what_it_did(spark):
     }
 
 
+def test_records_and_flat_tables_select_the_same(spark):
+    releases = [
+        {"id": i, "styles": SEEDED if i % 3 == 0 else ["House"], "artists": [i % 7 + 1, i % 5 + 20], "credits": [(i % 4 + 40, "Mixed By")], "labels": [i % 3 + 500]}
+        for i in range(1, 40)
+    ]
+    d = Dials(label_min_artists=2, label_min_ratio=0.5, min_seed_ratio=0.3, bridge_min_ratio=0.35)
+    records = nested(spark, *releases)
+    cat = C.from_records(records)
+    flat = C.Catalogue(cat.releases.drop("is_seed"), cat.line, cat.credits, cat.label_refs, cat.styles, cat.genres)
+    one, two = (steps.select_corpus(c, d, Stage(spark)) for c in (cat, flat))
+    for table in ("releases", "corpus_artists", "release_artists", "release_labels", "release_styles", "seed_labels"):
+        columns = one[table].columns
+        assert values(one[table], *columns) == values(two[table], *columns)
+    assert one["releases"].count() >= 13
+
+
 def test_flatten_keeps_positions_and_tag_sets(spark):
     cat = catalogue(spark, {"id": 1, "artists": [3, 1], "styles": ["a", "b", "a"], "genres": ["g"]})
     assert values(cat.line, "position", "artist_id") == [(0, 3), (1, 1)]

@@ -44,7 +44,7 @@ def test_pairs_roles_and_no_self_pairs(spark):
 def test_crowds_are_not_paired(spark):
     made = derive(spark, {"id": 1, "artists": list(range(100, 125))}, {"id": 2, "artists": [100, 101]})
     assert pairs_of(made, 100) == [(101, 1, None)]
-    pairable = D.pairable(made["release_people"], 20)
+    pairable = D.pairable(made["people_once"], 20)
     tables = corpus(spark, {"id": 1}, {"id": 2})
     assert values(D.releases_skipped(tables["releases"], pairable), "releases_skipped") == [1]
 
