@@ -11,6 +11,10 @@ from pyspark.sql import functions as F
 from crateline.config import GRADE_ORDER, Grades, SeedRule
 
 
+# White space of every kind, not only blanks.
+WHITE_SPACE = "\t\n\v\f\r \u00a0\u1680\u2028\u2029\u202f\u205f\u3000\ufeff" + "".join(map(chr, range(0x2000, 0x200B)))
+
+
 def lit_array(values: Sequence, kind: str = "string") -> Column:
     return F.array(*[F.lit(v) for v in values]).cast(f"array<{kind}>")
 
@@ -61,8 +65,7 @@ def is_authorship_role(role: Column, markers: Sequence[str]) -> Column:
 def is_placeholder_artist(
     artist_id: Column, name: Column, ids: Sequence[int], names: Sequence[str]
 ) -> Column:
-    # White space of every kind is trimmed, not only blanks.
-    trimmed = F.regexp_replace(name, r"(?U)^\s+|\s+$", "")
+    trimmed = F.trim(name, F.lit(WHITE_SPACE))
     return (
         (artist_id <= 0)
         | artist_id.isin(list(ids))
@@ -71,7 +74,7 @@ def is_placeholder_artist(
 
 
 def is_placeholder_label(name: Column, prefix: str) -> Column:
-    trimmed = F.lower(F.regexp_replace(name, r"(?U)^\s+", ""))
+    trimmed = F.lower(F.ltrim(name, F.lit(WHITE_SPACE)))
     return F.coalesce(trimmed.startswith(prefix), F.lit(False))
 
 

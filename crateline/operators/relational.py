@@ -7,29 +7,21 @@ skew-join split spreads hot keys.
 
 from __future__ import annotations
 
+import json
 from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from crateline.functions.predicates import lit_array
-
 # --- parameters as tables -------------------------------------------------------
 
 
 def literal_rows(spark: SparkSession, columns: Sequence[tuple[str, str]], rows: Sequence) -> DataFrame:
     """A parameter list as a one-partition table, without a Python worker."""
-    schema = ", ".join(f"{name}:{kind}" for name, kind in columns)
-    if not rows:
-        empty = F.array().cast(f"array<struct<{schema}>>")
-        return spark.range(0, 1, 1, 1).select(F.inline(empty))
-    cells = [F.struct(*[F.lit(v).cast(k).alias(n) for v, (n, k) in zip(r, columns)]) for r in rows]
-    return spark.range(0, 1, 1, 1).select(F.inline(F.array(*cells)))
-
-
-def literal_ids(spark: SparkSession, ids: Sequence[int], name: str = "id") -> DataFrame:
-    values = lit_array(sorted(set(ids)), "bigint")
-    return spark.range(0, 1, 1, 1).select(F.explode(values).alias(name))
+    schema = ",".join(f"{name}:{kind}" for name, kind in columns)
+    cells = json.dumps([dict(zip((name for name, _ in columns), row)) for row in rows])
+    table = F.from_json(F.lit(cells), f"array<struct<{schema}>>")
+    return spark.range(0, 1, 1, 1).select(F.inline(table))
 
 
 # --- joins ----------------------------------------------------------------------
