@@ -103,6 +103,16 @@ def connection(channel_a: Column, channel_b: Column) -> Column:
     )
 
 
+def route(channel_a: Column, channel_b: Column) -> Column:
+    """The same connection as a profile words it; with neither channel it names both."""
+    return (
+        F.when(channel_a & channel_b, "an occasional collaborator and label mate")
+        .when(channel_a, "an occasional collaborator")
+        .when(channel_b, "an occasional label mate")
+        .otherwise("an occasional collaborator or label mate")
+    )
+
+
 def grade_artist(seed_releases: Column, share: Column, g: Grades = Grades()) -> Column:
     """A null share fails every comparison, so such an artist goes by volume alone."""
     return (

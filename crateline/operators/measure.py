@@ -184,8 +184,16 @@ def named_facts(
     coverage: DataFrame,
     labels: DataFrame,
     seed_labels: DataFrame,
+    names: DataFrame | None = None,
 ) -> DataFrame:
-    """(name, predicate, argument): every fact an expectation can name, true ones only."""
+    """(name, predicate, argument): every fact an expectation can name, true ones only.
+
+    With ``names`` given, only facts about those names are looked up.
+    """
+    if names is not None:
+        asked = names.select("name").distinct()
+        artists = artists.join(asked, "name", "left_semi")
+        labels = labels.join(asked, "name", "left_semi")
     ids = lambda df, key: df.withColumnRenamed(key, "id")
     fact = lambda df, predicate, argument=None: df.select(
         "name",

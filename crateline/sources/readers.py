@@ -77,7 +77,8 @@ def read_releases(spark: SparkSession, path: str | Sequence[str]) -> DataFrame:
         F.transform(
             _or_empty(F.col("labels.label"), label),
             lambda l: F.struct(
-                _number(l["_id"]).alias("id"),
+                # No id attribute is no id; an empty one reads as 0.
+                F.when(F.trim(l["_id"]) == "", 0).otherwise(_number(l["_id"])).alias("id"),
                 F.coalesce(l["_name"], F.lit("")).alias("name"),
                 _blank_to_null(l["_catno"]).alias("catno"),
             ),
@@ -168,6 +169,12 @@ def latest_complete_snapshot(
     )
 
 
+def newest_file(files: DataFrame, suffix: str) -> DataFrame:
+    """(name): the last written file with a suffix, from a listing of (name, modified)."""
+    held = files.filter(F.col("name").endswith(suffix))
+    return held.orderBy(F.col("modified").desc(), F.col("name").desc()).select("name").limit(1)
+
+
 def require_snapshot(found: DataFrame, pinned: str | None = None) -> str:
     row = found.head()
     if row is None:

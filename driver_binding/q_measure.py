@@ -160,11 +160,11 @@ def _expectations(b):
     {"k_facts": FACTS, "k_asked": ASKED},
 )
 def check_corpus(b):
-    e, d = b.entities, b.derived
+    e, d, asked = b.entities, b.derived, _expectations(b)
     facts = M.named_facts(
-        e["artists"], b.corpus["corpus_artists"], d["artist_coverage"], e["labels"], b.seed.labels
+        e["artists"], b.corpus["corpus_artists"], d["artist_coverage"], e["labels"], b.seed.labels, asked
     )
-    return M.check_corpus(_expectations(b), facts)
+    return M.check_corpus(asked, facts)
 
 
 @query(

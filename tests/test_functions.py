@@ -1,3 +1,5 @@
+import random
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -105,6 +107,50 @@ def test_split_credit_at_any_depth(spark):
     assert one(spark, T.split_credit(F.col("c")), c=deep) == ["A", "B"]
 
 
+def parts_by_hand(credit):
+    """Walks the characters one by one."""
+    parts, depth, part, dropping = [], 0, "", False
+    for char in credit + ",":
+        if char == "," and depth == 0:
+            parts.append(part)
+            part, dropping = "", False
+            continue
+        if char in "[(":
+            depth, dropping = depth + 1, True
+        elif char in "])":
+            depth = max(0, depth - 1)
+        if not dropping:
+            part += char
+    return [" ".join(p.split()) for p in parts if p.split()]
+
+
+def test_split_credit_against_brute_force(spark):
+    draw = random.Random(11)
+    credits = ["".join(draw.choice("ab ,,[](x)") for _ in range(draw.randrange(0, 24))) for _ in range(400)]
+    # An open bracket at the end swallows the comma the walk adds, so its part ends the text.
+    closed = [c for c in credits if depth_of(c) == 0]
+    df = spark.createDataFrame([(c,) for c in closed], "c string").select("c", T.split_credit(F.col("c")).alias("got"))
+    for row in df.collect():
+        assert row.got == parts_by_hand(row.c), row.c
+    assert len(closed) > 100
+
+
+def depth_of(credit):
+    depth = 0
+    for char in credit:
+        depth = depth + 1 if char in "[(" else max(0, depth - 1) if char in "])" else depth
+    return depth
+
+
+def test_connection_wording(spark):
+    said = {
+        (True, True): "an occasional collaborator and label mate", (True, False): "an occasional collaborator",
+        (False, True): "an occasional label mate", (False, False): "an occasional collaborator or label mate",
+    }
+    for (a, b), want in said.items():
+        assert one(spark, P.route(F.col("a"), F.col("b")), a=a, b=b) == want
+
+
 def test_paths_shares_spans_and_counts(spark):
     paths = {"/core-labels": "/core-labels", "/core-labels/": "/core-labels", "/artist/17111///": "/artist/17111", "/": "/", "": "/", "///": "/"}
     for raw, want in paths.items():

@@ -152,3 +152,16 @@ def test_expectations(tables):
         ("Artist 1", "in corpus", "ok"), ("Artist 1", "is high", "ok"), ("Label 500", "is seed label", "ok"), ("Nobody", "in corpus", "FAIL"),
     ]
     assert M.failures(checked).head().failures == 1
+
+
+def test_default_expectations_fail_on_a_corpus_without_the_scene(tables):
+    from crateline import expectations
+
+    asked = expectations.table(tables["artists"].sparkSession)
+    facts = M.named_facts(
+        tables["artists"], tables["corpus_artists"], tables["artist_coverage"], tables["labels"], tables["label_coverage"], asked
+    )
+    checked = M.check_corpus(asked, facts)
+    wanted = sum(want for *_, want in expectations.rows())
+    assert facts.count() == 0 and checked.count() == len(expectations.rows())
+    assert M.failures(checked).head().failures == wanted

@@ -106,6 +106,8 @@ def test_snapshots(spark):
     assert readers.require_snapshot(readers.latest_complete_snapshot(files, need, "20260701")) == "20260701"
     with pytest.raises(LookupError):
         readers.require_snapshot(readers.latest_complete_snapshot(files, need, "20260901"), "20260901")
+    dated = spark.createDataFrame([("a.xml.gz", 2), ("z.xml.gz", 1), ("b.xml", 9)], "name string, modified int")
+    assert values(readers.newest_file(dated, ".xml.gz"), "name") == ["a.xml.gz"]
     assert values(readers.sample_snapshot(spark.range(50).repartition(5), 3), "id") == [0, 1, 2]
 
 
