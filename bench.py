@@ -55,7 +55,9 @@ def work(b: Bound) -> dict[str, Callable[[], object]]:
         # Single operators over those tables.
         "label_artist_pairs": lambda: run(C.label_artist_pairs(b.cat, dials)),
         "pair_counts": lambda: run(D.pair_counts(people(), cap)),
-        "artist_collaborators": lambda: run(D.artist_collaborators(people(), cap)),
+        "artist_collaborators": lambda: run(
+            D.artist_collaborators(people(), cap, once=b.derived["people_once"])
+        ),
         "artist_labels": lambda: run(
             D.artist_labels(b.derived["people_once"], b.corpus["release_labels"], b.corpus["releases"])
         ),

@@ -52,34 +52,31 @@ def pair_counts(people: DataFrame, max_people: int, hot_rows: int = 1_000_000) -
     )
 
 
-def _side_by_side(people: DataFrame, max_people: int, hot_rows: int) -> DataFrame:
-    """(aid, bid, role, first) on pairable releases: each role b held there beside a, and the
-    line with a null role; ``first`` marks one row per release and pair.
+def _side_by_side(
+    people: DataFrame, once: DataFrame, max_people: int, hot_rows: int
+) -> DataFrame:
+    """(aid, bid, role, shared) on pairable releases: a row that counts per release and pair,
+    and one per role b held there beside a.
 
-    A release is gathered only once it is known to hold few people.
+    Only people are gathered per release, at most the dial's number; roles meet them by a join.
     """
-    rows = R.rows_within(
-        people.select("release_id", "artist_id", "role"),
-        "release_id",
-        "artist_id",
-        max_people,
-        hot_rows,
+    counted = once.select(
+        "release_id", "artist_id", F.lit(None).cast("string").alias("role"), F.lit(1).alias("shared")
     )
-    held = rows.groupBy("release_id").agg(
-        F.collect_list(F.struct(F.col("artist_id").alias("id"), "role")).alias("held")
+    held = (
+        people.filter(F.col("role").isNotNull())
+        .select("release_id", "artist_id", "role")
+        .distinct()
+        .withColumn("shared", F.lit(0))
     )
-    ids = F.col("held.id")
-    marked = F.transform(
-        "held",
-        lambda h, i: F.struct(
-            h["id"].alias("bid"), h["role"].alias("role"), (F.array_position(ids, h["id"]) == i + 1).alias("first")
-        ),
+    sizes = R.group_sizes(once, "release_id")
+    rows = R.without_hot_groups(
+        counted.unionByName(held), sizes, "release_id", max(hot_rows, max_people)
     )
+    groups = R.members_within(once, "release_id", "artist_id", max_people, hot_rows)
     return (
-        held.select(F.array_distinct(ids).alias("people"), marked.alias("held"))
-        .filter(F.size("people") > 1)
-        .select(F.explode("people").alias("aid"), "held")
-        .select("aid", F.inline("held"))
+        rows.join(groups.filter(F.size("members") > 1), "release_id")
+        .select(F.explode("members").alias("aid"), F.col("artist_id").alias("bid"), "role", "shared")
         .filter(F.col("aid") != F.col("bid"))
     )
 
@@ -87,7 +84,7 @@ def _side_by_side(people: DataFrame, max_people: int, hot_rows: int) -> DataFram
 def pair_roles(people: DataFrame, max_people: int, hot_rows: int = 1_000_000) -> DataFrame:
     """(aid, bid, roles): distinct raw roles b held, sorted. Pairs with none have no row."""
     return (
-        _side_by_side(people, max_people, hot_rows)
+        _side_by_side(people, people_once(people), max_people, hot_rows)
         .filter(F.col("role").isNotNull())
         .select("aid", "bid", "role")
         .distinct()
@@ -96,13 +93,17 @@ def pair_roles(people: DataFrame, max_people: int, hot_rows: int = 1_000_000) ->
     )
 
 
-def artist_collaborators(people: DataFrame, max_people: int, hot_rows: int = 1_000_000) -> DataFrame:
+def artist_collaborators(
+    people: DataFrame,
+    max_people: int,
+    hot_rows: int = 1_000_000,
+    once: DataFrame | None = None,
+) -> DataFrame:
     """Shared releases and roles per pair. Rows are reduced per role before the roles meet."""
-    by_role = (
-        _side_by_side(people, max_people, hot_rows)
-        .groupBy("aid", "bid", "role")
-        .agg(F.count_if("first").alias("shared"))
+    rows = _side_by_side(
+        people, people_once(people) if once is None else once, max_people, hot_rows
     )
+    by_role = rows.groupBy("aid", "bid", "role").agg(F.sum("shared").alias("shared"))
     roles = F.array_sort(F.collect_list("role"))
     return by_role.groupBy(
         F.col("aid").alias("artist_id"), F.col("bid").alias("collaborator_id")

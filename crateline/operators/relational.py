@@ -38,36 +38,47 @@ def left_join_all(left: DataFrame, rights: Sequence[DataFrame], key: str) -> Dat
     return left
 
 
-def rows_within(
-    df: DataFrame, group: str, member: str, cap: int, hot_rows: int = 1_000_000
+def without_hot_groups(
+    df: DataFrame, sizes: DataFrame, group: str, hot_rows: int
 ) -> DataFrame:
-    """Distinct rows of every group that holds at most ``cap`` distinct members.
+    """Rows outside groups of more than ``hot_rows`` members, before any shuffle by group.
 
-    Sizes are counted from map-side partial counts. Groups above ``hot_rows`` members are
-    dropped by a broadcast anti join before anything is shuffled by group, so no task meets
-    a huge group; at most ``rows / hot_rows`` such groups can exist, which bounds the
-    broadcast.
+    ``sizes`` is (group, n). At most ``rows / hot_rows`` groups can be that large, which bounds
+    the broadcast.
     """
-    rows = df.distinct()
-    sizes = rows.groupBy(group).agg(F.countDistinct(member).alias("_n"))
-    hot = sizes.filter(F.col("_n") > max(hot_rows, cap)).select(group)
-    small = sizes.filter(F.col("_n") <= cap).select(group)
-    return rows.join(F.broadcast(hot), group, "left_anti").join(small, group, "left_semi")
+    hot = sizes.filter(F.col("n") > hot_rows).select(group)
+    return df.join(F.broadcast(hot), group, "left_anti")
+
+
+def group_sizes(pairs: DataFrame, group: str) -> DataFrame:
+    return pairs.groupBy(group).agg(F.count("*").alias("n"))
 
 
 def members_within(
-    df: DataFrame, group: str, member: str, cap: int, hot_rows: int = 1_000_000
+    pairs: DataFrame, group: str, member: str, cap: int, hot_rows: int = 1_000_000
 ) -> DataFrame:
-    """(group, members): the distinct members, at most ``cap``, of every group within it."""
-    rows = rows_within(df.select(group, member), group, member, cap, hot_rows)
-    return rows.groupBy(group).agg(F.collect_list(member).alias("members"))
+    """(group, members) of every group holding at most ``cap`` members.
+
+    ``pairs`` holds each (group, member) once. Sizes come from map-side partial counts, and a
+    group is gathered only once it is known to be small, so what is gathered is at most
+    ``cap`` values.
+    """
+    sizes = group_sizes(pairs, group)
+    small = sizes.filter(F.col("n") <= cap).select(group)
+    return (
+        without_hot_groups(pairs, sizes, group, max(hot_rows, cap))
+        .join(small, group, "left_semi")
+        .groupBy(group)
+        .agg(F.collect_list(member).alias("members"))
+    )
 
 
 def people_who_share(
     people: DataFrame, release_id: str, person_id: str, cap: int, hot_rows: int = 1_000_000
 ) -> DataFrame:
     """(a, b, release): ordered pairs of different people on one release of at most ``cap``."""
-    groups = members_within(people, release_id, person_id, cap, hot_rows)
+    once = people.select(release_id, person_id).distinct()
+    groups = members_within(once, release_id, person_id, cap, hot_rows)
     return (
         groups.filter(F.size("members") > 1)
         .select(F.col(release_id), F.explode("members").alias("a"), "members")

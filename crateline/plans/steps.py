@@ -139,7 +139,7 @@ def derive(
     made = stage.tables(
         {
             "artist_collaborators": lambda: D.artist_collaborators(
-                people, dials.max_people_per_release
+                people, dials.max_people_per_release, once=once
             ),
             "artist_labels": lambda: D.artist_labels(
                 once, corpus["release_labels"], corpus["releases"]
