@@ -7,7 +7,8 @@ dials from the tables before it, and lineage never spans two steps.
 from __future__ import annotations
 
 from collections.abc import Mapping
-from dataclasses import dataclass
+from dataclasses import asdict, dataclass
+from datetime import datetime, timezone
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -18,7 +19,7 @@ from crateline.operators import derive as D
 from crateline.operators import entities as E
 from crateline.operators import serve as V
 from crateline.plans.staging import Stage
-from crateline.sources.tables import corpus_tables
+from crateline.sources.tables import append_run, corpus_tables, run_record
 
 
 @dataclass(frozen=True)
@@ -83,14 +84,17 @@ def expand(cat: C.Catalogue, seed: Seed, dials: Dials, stage: Stage) -> dict[str
 
 def select_corpus(cat: C.Catalogue, dials: Dials, stage: Stage) -> dict[str, DataFrame]:
     seed = select_seed(cat, dials, stage)
-    corpus = expand(cat, seed, dials, stage)
+    return corpus_of(seed, expand(cat, seed, dials, stage))
+
+
+def corpus_of(seed: Seed, expanded: Mapping[str, DataFrame]) -> dict[str, DataFrame]:
     return {
-        **corpus,
+        **expanded,
         "label_artist_pairs": seed.pairs,
         "seed_artists": seed.artists,
         "seed_artist_totals": seed.totals,
         "seed_labels": seed.labels,
-        "roles_seen": C.roles_seen(corpus["release_credits"]),
+        "roles_seen": C.roles_seen(expanded["release_credits"]),
     }
 
 
@@ -214,15 +218,95 @@ def top_lists(tables: Mapping[str, DataFrame], scene: SceneLists, stage: Stage)
     return {"top_artists": artists, "top_labels": labels}
 
 
+def seed_stats(cat: C.Catalogue, seed: Seed, dials: Dials) -> DataFrame:
+    people = C.seed_appearances(cat, seed.releases)
+    return C.pass1_stats(
+        cat, seed.releases, people, seed.tally, seed.artists, seed.pairs, seed.labels, dials
+    )
+
+
+def expansion_stats(
+    cat: C.Catalogue, seed: Seed, corpus: Mapping[str, DataFrame], dials: Dials
+) -> DataFrame:
+    admissible = C.admissible_people(C.appearances(cat), dials)
+    return C.pass2_stats(
+        cat.releases,
+        corpus["channel_flags"],
+        C.crowded(admissible, dials.max_people_to_admit),
+        seed.artists,
+        C.bridges(seed.artists, seed.totals, dials.bridge_min_ratio),
+        corpus["corpus_artists"],
+    )
+
+
+def entity_stats(
+    corpus: Mapping[str, DataFrame],
+    entities: Mapping[str, DataFrame],
+    artists_nested: DataFrame,
+    labels_nested: DataFrame,
+) -> DataFrame:
+    members, refs = corpus["corpus_artists"], corpus["release_labels"]
+    return E.entity_stats(
+        artists_nested,
+        labels_nested,
+        E.corpus_artist_entities(artists_nested, members),
+        E.corpus_label_entities(labels_nested, refs),
+        members,
+        refs,
+        entities["artist_relations"],
+    )
+
+
+def derivation_stats(
+    corpus: Mapping[str, DataFrame], derived: Mapping[str, DataFrame], dials: Dials
+) -> DataFrame:
+    pairs_from = D.pairable(derived["people_once"], dials.max_people_per_release)
+    return D.derive_stats(
+        derived["artist_collaborators"],
+        derived["artist_labels"],
+        derived["artist_coverage"],
+        derived["label_coverage"],
+        D.releases_skipped(corpus["releases"], pairs_from),
+    )
+
+
 def build(
     cat: C.Catalogue,
     artists_nested: DataFrame,
     labels_nested: DataFrame,
     dials: Dials,
     stage: Stage,
+    run_log: str | None = None,
+    source_file: str | None = None,
 ) -> dict[str, DataFrame]:
-    """Every table, from a catalogue and its two entity dumps."""
-    corpus = select_corpus(cat, dials, stage)
-    entities = load_entities(corpus, artists_nested, labels_nested, stage)
-    tables = {**corpus, **entities, **derive(corpus, entities["labels"], dials, stage)}
+    """Every table, from a catalogue and its two entity dumps.
+
+    With ``run_log`` given, each step appends a row with its dials and counts to that folder.
+    """
+    config = asdict(dials)
+
+    def step(name, make, stats):
+        started = datetime.now(timezone.utc).isoformat()
+        made = make()
+        if run_log is not None:
+            append_run(run_record(stats(made), name, source_file, config, started), run_log)
+        return made
+
+    seed = step("pass1", lambda: select_seed(cat, dials, stage), lambda m: seed_stats(cat, m, dials))
+    corpus = step(
+        "pass2",
+        lambda: corpus_of(seed, expand(cat, seed, dials, stage)),
+        lambda m: expansion_stats(cat, seed, m, dials),
+    )
+    entities = step(
+        "entities",
+        lambda: load_entities(corpus, artists_nested, labels_nested, stage),
+        lambda m: entity_stats(corpus, m, artists_nested, labels_nested),
+    )
+    derived = step(
+        "derive",
+        lambda: derive(corpus, entities["labels"], dials, stage),
+        lambda m: derivation_stats(corpus, m, dials),
+    )
+    tables = {**corpus, **entities, **derived}
     return {**tables, **top_lists(tables, dials.scene, stage)}

@@ -132,9 +132,7 @@ def corpus_artists(b):
         (SELECT count(*) FROM k_tally) - (SELECT count(*) FROM k_seed_art) AS dropped_by_ratio""",
 )
 def pass1_stats(b):
-    s = b.seed
-    people = C.seed_appearances(b.cat, s.releases)
-    return C.pass1_stats(b.cat, s.releases, people, s.tally, s.artists, s.pairs, s.labels, b.dials)
+    return steps.seed_stats(b.cat, b.seed, b.dials)
 
 
 @query(
@@ -153,10 +151,7 @@ def pass1_stats(b):
         FROM k_flags LEFT JOIN k_crowd USING (release_id))""",
 )
 def pass2_stats(b):
-    crowds = C.crowded(_admissible(b), b.dials.max_people_to_admit)
-    return C.pass2_stats(
-        b.cat.releases, b.corpus["channel_flags"], crowds, b.seed.artists, _bridges(b), b.corpus["corpus_artists"]
-    )
+    return steps.expansion_stats(b.cat, b.seed, b.corpus, b.dials)
 
 
 @query("c18_select_corpus", CORPUS_ARTISTS)
@@ -213,16 +208,7 @@ def fallback_names(b):
              (SELECT count(*) AS kept FROM k_ldump WHERE id IN (SELECT label_id FROM k_c_lab)) l""",
 )
 def entity_stats(b):
-    members, refs = b.corpus["corpus_artists"], b.corpus["release_labels"]
-    return E.entity_stats(
-        b.artists_dump,
-        b.labels_dump,
-        E.corpus_artist_entities(b.artists_dump, members),
-        E.corpus_label_entities(b.labels_dump, refs),
-        members,
-        refs,
-        b.entities["artist_relations"],
-    )
+    return steps.entity_stats(b.corpus, b.entities, b.artists_dump, b.labels_dump)
 
 
 @query(
@@ -399,7 +385,4 @@ def label_grade_histogram(b):
         (SELECT count(*) FROM k_kept) - (SELECT count(*) FROM k_pairable) AS releases_skipped""",
 )
 def derive_stats(b):
-    d = b.derived
-    return D.derive_stats(
-        d["artist_collaborators"], d["artist_labels"], d["artist_coverage"], d["label_coverage"], _skipped(b)
-    )
+    return steps.derivation_stats(b.corpus, b.derived, b.dials)

@@ -1,12 +1,16 @@
 import gzip
+import json
 
 import pytest
 from helpers import catalogue, corpus, values
 from pyspark.sql import functions as F
 
-from crateline.config import Dials
+from crateline.config import NOT_SERVED, Dials, SceneLists
+from crateline.operators import corpus as C
 from crateline.operators import entities as E
 from crateline.operators import relational as R
+from crateline.operators import serve as V
+from crateline.plans import steps
 from crateline.plans.staging import Stage, shared_folder
 from crateline.sources import readers, tables
 
@@ -168,3 +172,24 @@ def test_entities_are_restricted_named_and_counted(spark, dump):
     assert stats == {
         "artists_scanned": 2, "artists_kept": 1, "artists_missing": 1, "labels_scanned": 2, "labels_kept": 1, "labels_missing": 1, "relations": 2,
     }
+
+
+def test_dumps_to_served_tables(spark, dump, tmp_path):
+    """The whole way: read three dumps, build, log, publish and load again."""
+    nested = readers.to_bronze(readers.read_releases(spark, f"{dump}/releases.xml.gz"), str(tmp_path / "bronze"))
+    d = Dials(label_min_artists=1, label_min_ratio=0.1, scene=SceneLists((10,), (20,), (500,)))
+    made = steps.build(
+        C.from_records(nested, d.seed), readers.read_artists(spark, f"{dump}/artists.xml"), readers.read_labels(spark, f"{dump}/labels.xml"),
+        d, Stage(spark), str(tmp_path / "runs"), "releases.xml.gz",
+    )
+    tables.publish_serving(made, str(tmp_path / "serving"))
+    served = tables.load_serving(spark, str(tmp_path / "serving"))
+    assert not set(served) & set(NOT_SERVED) and {"artists", "artist_collaborators", "top_artists"} <= set(served)
+    best = V.top_collaborators(served, 10)
+    assert values(best, "collaborator_id", "name", "roles") == [(11, "Two", None), (20, "Mem", ["Engineer [Room A, Berlin]"])]
+    assert values(V.search(served, "häns").union(V.search(served, "act")), "id", "name") == [(10, "Act")]
+    runs = {r.step: r for r in tables.read_runs(spark, str(tmp_path / "runs")).collect()}
+    assert set(runs) == {"pass1", "pass2", "entities", "derive"}
+    counted = json.loads(runs["pass1"].stats_json)
+    assert (counted["scanned"], counted["seed_releases"], counted["labels_without_id"]) == (2, 1, 1)
+    assert json.loads(runs["derive"].config_json)["max_people_per_release"] == 20
