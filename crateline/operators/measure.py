@@ -13,6 +13,9 @@ from crateline.operators import corpus as C
 from crateline.operators import relational as R
 
 
+# --- fixed values below: the wording of each verdict and the names of the bands ----
+
+
 def totals_cache_verdict(state: DataFrame) -> DataFrame:
     """Rescan or reuse, and why, from (cached, built_from, dump_on_disk, uncovered, forced)."""
     c = F.col

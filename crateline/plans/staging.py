@@ -20,12 +20,30 @@ SETTINGS = {
 }
 
 
-def tune(spark: SparkSession) -> SparkSession:
+# Input per shuffle partition: columns are pruned and rows counted before most shuffles.
+INPUT_PER_PARTITION = 1 << 30
+
+
+def tune(spark: SparkSession, input_bytes: int | None = None) -> SparkSession:
+    """Apply the settings; with the input's size given, start shuffles with enough partitions.
+
+    The runtime merges partitions that turn out small, so a high start costs little.
+    """
     for name, value in SETTINGS.items():
         spark.conf.set(name, value)
+    if input_bytes is not None:
+        wanted = -(-input_bytes // INPUT_PER_PARTITION)
+        if wanted > int(spark.conf.get("spark.sql.shuffle.partitions")):
+            spark.conf.set("spark.sql.adaptive.coalescePartitions.initialPartitionNum", str(wanted))
     return spark
 
 
+def stored_bytes(spark: SparkSession, path: str) -> int:
+    """Size of a file or folder, from the file system's listing alone."""
+    held = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return held.getFileSystem(spark._jsc.hadoopConfiguration()).getContentSummary(held).getLength()
+
+
 def shared_folder(spark: SparkSession) -> str:
     """The folder ``spark.checkpoint.dir`` names. A local session without one gets its own."""
     named = spark.conf.get("spark.checkpoint.dir", None)

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from crateline.config import Dials, Grades, SceneLists, SeedRule, Tradition
 from crateline.operators.corpus import Catalogue
-from crateline.plans.staging import Stage, tune
+from crateline.plans.staging import Stage, stored_bytes, tune
 from crateline.plans import steps
 
 DIALS = Dials(
@@ -75,10 +75,9 @@ def spread(spark: SparkSession, sf_dir: str, name: str, *columns: str) -> DataFr
 
     Files above the bound are left as the scan splits them, with no shuffle.
     """
-    path = spark._jvm.org.apache.hadoop.fs.Path(f"{sf_dir}/{name}.parquet")
-    held = path.getFileSystem(spark._jsc.hadoopConfiguration()).getContentSummary(path).getLength()
     rows = read(spark, sf_dir, name).select(*columns)
-    return rows.repartition(spark.sparkContext.defaultParallelism) if held < SPREAD_BELOW else rows
+    small = stored_bytes(spark, f"{sf_dir}/{name}.parquet") < SPREAD_BELOW
+    return rows.repartition(spark.sparkContext.defaultParallelism) if small else rows
 
 
 def releases(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -260,7 +259,8 @@ class Bound:
     """Every table of one scale folder, each step's output written once per session."""
 
     def __init__(self, spark: SparkSession, sf_dir: str, dials: Dials = DIALS):
-        self.spark, self.sf_dir, self.dials = tune(spark), sf_dir, dials
+        self.spark = tune(spark, stored_bytes(spark, f"{sf_dir}/lineitem.parquet"))
+        self.sf_dir, self.dials = sf_dir, dials
         self.stage = Stage(spark)
         self._made: dict[str, object] = {}
 

@@ -11,7 +11,8 @@ from crateline.operators import entities as E
 from crateline.operators import relational as R
 from crateline.operators import serve as V
 from crateline.plans import steps
-from crateline.plans.staging import Stage, shared_folder
+from crateline.plans import staging
+from crateline.plans.staging import Stage, shared_folder, tune
 from crateline.sources import readers, tables
 
 RELEASES = """<?xml version="1.0" encoding="UTF-8"?>
@@ -152,6 +153,16 @@ def test_stage_writes_once_in_the_named_folder(spark):
         stage.tables({"c": lambda: 1 // 0})
 
 
+def test_shuffles_start_with_partitions_for_the_input(spark, dump):
+    name = "spark.sql.adaptive.coalescePartitions.initialPartitionNum"
+    assert staging.stored_bytes(spark, f"{dump}/releases.xml") == (dump / "releases.xml").stat().st_size
+    tune(spark, 5 << 30)
+    assert spark.conf.get(name) == "5"
+    spark.conf.unset(name)
+    tune(spark, 1000)
+    assert spark.conf.get(name, None) is None
+
+
 # --- entities -----------------------------------------------------------------------------------
 
 
