@@ -191,10 +191,14 @@ def seed_artist_tally(seed_people: DataFrame, dials: Dials) -> DataFrame:
     )
 
 
+def appearance_counts(people: DataFrame) -> DataFrame:
+    """(artist_id, total): appearances over the whole catalogue, everyone counted."""
+    return people.groupBy("artist_id").agg(F.count("*").alias("total"))
+
+
 def artist_totals(people: DataFrame, ids: DataFrame) -> DataFrame:
-    """(artist_id, total): appearances over the whole catalogue, counted, then restricted."""
-    totals = people.groupBy("artist_id").agg(F.count("*").alias("total"))
-    return totals.join(ids.select("artist_id"), "artist_id", "left_semi")
+    """(artist_id, total) of the given ids: counted first, then restricted."""
+    return R.semi_join(appearance_counts(people), ids, "artist_id")
 
 
 def seed_artists(tally: DataFrame, totals: DataFrame, min_ratio: float | None) -> DataFrame:

@@ -17,6 +17,7 @@ from crateline.config import Dials, SceneLists
 from crateline.operators import corpus as C
 from crateline.operators import derive as D
 from crateline.operators import entities as E
+from crateline.operators import relational as R
 from crateline.operators import serve as V
 from crateline.plans.staging import Stage
 from crateline.sources.tables import append_run, corpus_tables, run_record
@@ -39,6 +40,7 @@ def select_seed(cat: C.Catalogue, dials: Dials, stage: Stage) -> Seed:
         {
             "label_artist_pairs": lambda: C.label_artist_pairs(cat, dials),
             "seed_releases": lambda: C.seed_releases(cat, dials.seed),
+            "appearance_counts": lambda: C.appearance_counts(C.appearances(cat)),
         }
     )
     pairs, seeds = first["label_artist_pairs"], first["seed_releases"]
@@ -47,7 +49,9 @@ def select_seed(cat: C.Catalogue, dials: Dials, stage: Stage) -> Seed:
     )
     # One count over the catalogue serves the seed ratio, the bridge ratio and the displayed
     # share; everyone in the tally is kept, so nothing is counted twice.
-    totals = stage.table("artist_totals", lambda: C.artist_totals(C.appearances(cat), tally))
+    totals = stage.table(
+        "artist_totals", lambda: R.semi_join(first["appearance_counts"], tally, "artist_id")
+    )
     artists = stage.table(
         "seed_artists", lambda: C.seed_artists(tally, totals, dials.min_seed_ratio)
     )
