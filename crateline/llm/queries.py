@@ -4,18 +4,49 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+import public_tokenizers
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from crateline.llm.common import prepare, table
 from crateline.llm.jaccard_join import jaccard_join
+from crateline.llm.piece_bpe import Vocabulary, encode_documents
+from crateline.llm.private_data import BASE, find_private_data
 
 
 def op1_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_join(table(prepare(spark), sf_dir, "documents"))
 
 
+def sha256(column: Column) -> Column:
+    return F.sha2(column.cast("binary"), 256)
+
+
+def op3_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vocabulary = Vocabulary.read(public_tokenizers.path("piece_bpe_32k.model"))
+    coded = encode_documents(table(prepare(spark), sf_dir, "documents"), vocabulary)
+    return coded.select(
+        "doc_id",
+        F.size("ids").cast("bigint").alias("n_tokens"),
+        sha256(F.array_join(F.col("ids").cast("array<string>"), ",")).alias("ids_sha256"),
+        sha256(F.col("decoded")).alias("decoded_sha256"),
+    )
+
+
+def op5_private_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = find_private_data(table(prepare(spark), sf_dir, "documents"))
+    base = F.filter("spans", lambda s: s["kind"].isin(*BASE))
+    joined = lambda spans: F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"], s["end"])), ",")
+    count = lambda kind: F.size(F.filter("spans", lambda s: s["kind"] == kind)).cast("bigint").alias(f"n_{kind}")
+    return found.select(
+        "doc_id", *(count(k) for k in BASE), sha256(joined(base)).alias("base_sha256"), joined("spans").alias("spans")
+    )
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_ngram_jaccard_join": op1_ngram_jaccard_join,
+    "op3_sentencepiece": op3_sentencepiece,
+    "op5_private_data": op5_private_data,
 }
 
 SQL: dict[str, str] = {}
