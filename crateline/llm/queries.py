@@ -8,7 +8,8 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from crateline.llm.common import prepare, table
+from crateline.llm import language_id, quality, toxicity
+from crateline.llm.common import prepare, remainder, staged, table
 from crateline.llm.jaccard_join import jaccard_join
 from crateline.llm.piece_bpe import Vocabulary, encode_documents
 from crateline.llm.private_data import BASE, find_private_data
@@ -22,6 +23,18 @@ def sha256(column: Column) -> Column:
     return F.sha2(column.cast("binary"), 256)
 
 
+def held_out(by: int, rest: int) -> Column:
+    return F.coalesce(remainder("doc_id", by) == rest, F.lit(False))
+
+
+def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labels = (table(prepare(spark), sf_dir, name) for name in ("documents", "labels"))
+    model = toxicity.learn(docs, labels.where(~held_out(5, 0)))
+    return toxicity.score(docs, model).select(
+        "doc_id", held_out(5, 0).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted")
+    )
+
+
 def op3_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     vocabulary = Vocabulary.read(public_tokenizers.path("piece_bpe_32k.model"))
     coded = encode_documents(table(prepare(spark), sf_dir, "documents"), vocabulary)
@@ -43,10 +56,32 @@ def op5_private_data(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labels = (table(prepare(spark), sf_dir, name) for name in ("documents", "labels"))
+    rows = staged(quality.measured(docs), "statistics")
+    known = labels.where(~held_out(3, 1) & F.col("doc_id").isNotNull() & F.col("quality").isin(0, 1))
+    known = known.groupBy("doc_id").agg(F.min("quality").alias("label"))
+    model = quality.learn(rows.join(known, "doc_id"))
+    return quality.score(rows, model).select(
+        "doc_id", held_out(3, 1).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted")
+    )
+
+
+def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(prepare(spark), sf_dir, "documents")
+    filters = language_id.learn(docs.where(~held_out(5, 0)).select("doc_id", "text", "lang"))
+    return language_id.predict(docs, filters).select(
+        "doc_id", held_out(5, 0).alias("held_out"), "lang_pred", "score"
+    )
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_ngram_jaccard_join": op1_ngram_jaccard_join,
+    "op2_toxicity": op2_toxicity,
     "op3_sentencepiece": op3_sentencepiece,
     "op5_private_data": op5_private_data,
+    "op7_quality": op7_quality,
+    "op10_language_id": op10_language_id,
 }
 
 SQL: dict[str, str] = {}
