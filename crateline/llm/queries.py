@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from crateline.llm import language_id, quality, toxicity
 from crateline.llm.common import prepare, remainder, staged, table
 from crateline.llm.jaccard_join import jaccard_join
+from crateline.llm.mixing import mix
 from crateline.llm.piece_bpe import Vocabulary, encode_documents
 from crateline.llm.private_data import BASE, find_private_data
 
@@ -46,6 +47,11 @@ def op3_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    mixed = mix(table(prepare(spark), sf_dir, "documents"))
+    return mixed.select("doc_id", "size", "source_size", "target", "taken", "rate", "copies")
+
+
 def op5_private_data(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = find_private_data(table(prepare(spark), sf_dir, "documents"))
     base = F.filter("spans", lambda s: s["kind"].isin(*BASE))
@@ -79,6 +85,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_ngram_jaccard_join": op1_ngram_jaccard_join,
     "op2_toxicity": op2_toxicity,
     "op3_sentencepiece": op3_sentencepiece,
+    "op4_mixing": op4_mixing,
     "op5_private_data": op5_private_data,
     "op7_quality": op7_quality,
     "op10_language_id": op10_language_id,
