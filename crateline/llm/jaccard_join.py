@@ -6,9 +6,11 @@ agreed on by every document. Keys are dealt into tiles by size band, for linked
 size by a third at most. Inside a tile bit counts of hashed bitmaps bound the overlap from
 above; pairs that pass are decided by the exact overlap of their sorted arrays.
 
-A class is first linked to one class per key group, its head; only tiles that still hold
-several components are then compared in full, so a group of thousands of near copies costs
-one comparison per copy. Tiles larger than ``BLOCK`` are compared block by block.
+A class is first tried with one class per key group, its head; then every class of a tile with
+the nearest class that the bit counts allow in another component. Only classes that were allowed
+a partner by then can have links at all. What is still apart among them is compared in full, so
+a group of thousands of near copies costs a few exact comparisons per copy. Tiles larger than
+``BLOCK`` are compared block by block.
 """
 
 from __future__ import annotations
@@ -91,58 +93,90 @@ def enough(overlap, sizes):
     return PARTS * overlap >= SHARE * sizes
 
 
-def tile_pairs(rows: list[tuple], done) -> None:
-    """Pairs of a tile, or of two blocks of it, that the bit counts don't rule out.
+def allowed(n_left, n_right, differ):
+    """Whether sets whose bitmaps differ in so many bits could link: each such bit is an element apart."""
+    return enough((n_left + n_right - differ) // 2, n_left + n_right)
 
-    A row is (id, size, component, upper band, block, bitmap). Pairs of the upper band with
-    itself belong to the tile above; in a pair of blocks a pair within one belongs elsewhere.
+
+def tile_pairs(rows: list[tuple], every: bool) -> set[tuple[int, int]]:
+    """Pairs across components of a tile, or of two blocks of it, that the bit counts allow.
+
+    All of them, or of each class only the one with the fewest bits apart. A row is (id, size,
+    component, upper band, block, bitmap). Pairs of the upper band with itself belong to the
+    tile above; in a pair of blocks a pair within one belongs elsewhere.
     """
     rows.sort(key=lambda r: (r[1], r[0]))
     ids, n, component, upper, block = (np.array([r[k] for r in rows]) for k in range(5))
     bits = folded([r[5] for r in rows])
     apart = block.min() != block.max()
+    nearest, partner = np.full(len(rows), np.iinfo(np.int64).max), np.full(len(rows), -1)
+    pairs = set()
     for i in range(len(rows) - 1):
-        end = np.searchsorted(n, 4 * n[i] // 3, side="right")
-        j = np.arange(i + 1, end)
+        j = np.arange(i + 1, np.searchsorted(n, 4 * n[i] // 3, side="right"))
         j = j[(component[j] != component[i]) & ~(upper[j] & upper[i])]
         if apart:
             j = j[block[j] != block[i]]
-        if len(j):
-            differ = np.bitwise_count(bits[j] ^ bits[i]).sum(axis=1, dtype=np.int64)
-            sizes = n[j] + n[i]
-            for other in ids[j[enough((sizes - differ) // 2, sizes)]].tolist():
-                done(min(ids[i], other), max(ids[i], other))
-
-
-def compare_tiles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        if not len(j):
+            continue
+        differ = np.bitwise_count(bits[j] ^ bits[i]).sum(axis=1, dtype=np.int64)
+        ok = allowed(n[j], n[i], differ)
+        j, differ = j[ok], differ[ok]
+        if every:
+            pairs.update((min(ids[i], o), max(ids[i], o)) for o in ids[j].tolist())
+        elif len(j):
+            at = differ.argmin()
+            if differ[at] < nearest[i]:
+                nearest[i], partner[i] = differ[at], j[at]
+            closer = differ < nearest[j]
+            nearest[j[closer]], partner[j[closer]] = differ[closer], i
+    for i in np.flatnonzero(partner >= 0):
+        a, b = ids[i], ids[partner[i]]
+        pairs.add((min(a, b), max(a, b)))
+    return pairs
+
+
+PAIRS = pa.schema([("a", pa.int64()), ("b", pa.int64())])
+PAIRS_DDL = "a bigint, b bigint"
+
+
+def compare_tiles(every: bool):
     """Rows come sorted by tile; a tile has two blocks at most."""
-    schema = pa.schema([("a", pa.int64()), ("b", pa.int64())])
-    tile, held, found = None, [], []
 
-    def flush():
-        pairs = sorted(set(found))
+    def pack(found: set) -> pa.RecordBatch:
+        pairs = sorted(found)
         found.clear()
-        return to_batch(schema, [int(a) for a, _ in pairs], [int(b) for _, b in pairs])
-
+        return to_batch(PAIRS, [int(a) for a, _ in pairs], [int(b) for _, b in pairs])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        tile, held, found = None, [], set()
+        for batch in batches:
+            for key, band, x, y, *row in zip(*(c.to_pylist() for c in batch.columns)):
+                if (key, band, x, y) != tile:
+                    if len(held) > 1:
+                        found |= tile_pairs(held, every)
+                    tile, held = (key, band, x, y), []
+                    if len(found) > 100_000:
+                        yield pack(found)
+                held.append(tuple(row))
+        if len(held) > 1:
+            found |= tile_pairs(held, every)
+        yield pack(found)
+
+    return run
+
+
+def allowed_pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        columns = [c.to_pylist() for c in batch.columns]
-        for key, band, x, y, *row in zip(*columns):
-            if (key, band, x, y) != tile:
-                if len(held) > 1:
-                    tile_pairs(held, lambda a, b: found.append((a, b)))
-                tile, held = (key, band, x, y), []
-                if len(found) > 100_000:
-                    yield flush()
-            held.append(tuple(row))
-    if len(held) > 1:
-        tile_pairs(held, lambda a, b: found.append((a, b)))
-    if found:
-        yield flush()
+        keep = []
+        for n, m, *maps in zip(*(batch.column(c).to_pylist() for c in ("n", "m", "left", "right"))):
+            left, right = folded(maps)
+            keep.append(bool(allowed(n, m, int(np.bitwise_count(left ^ right).sum()))))
+        mask = pa.array(keep, pa.bool_())
+        yield to_batch(PAIRS, batch.column("a").filter(mask), batch.column("b").filter(mask))
 
 
 def overlaps(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Of pairs with their sorted arrays those that link."""
-    schema = pa.schema([("a", pa.int64()), ("b", pa.int64())])
     for batch in batches:
         left, right = batch.column("left"), batch.column("right")
         keep = []
@@ -151,7 +185,7 @@ def overlaps(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             at = np.minimum(np.searchsorted(t.view(np.uint64), s.view(np.uint64)), len(t) - 1)
             keep.append(enough(int((t[at] == s).sum()), len(s) + len(t)))
         mask = pa.array(keep, pa.bool_())
-        yield to_batch(schema, batch.column("a").filter(mask), batch.column("b").filter(mask))
+        yield to_batch(PAIRS, batch.column("a").filter(mask), batch.column("b").filter(mask))
 
 
 def verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
@@ -160,55 +194,22 @@ def verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
         pairs.join(side("a", "left"), "a")
         .join(side("b", "right"), "b")
         .select("a", "b", "left", "right")
-        .mapInArrow(overlaps, "a bigint, b bigint")
+        .mapInArrow(overlaps, PAIRS_DDL)
     )
 
 
-def jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, n_shingles, component_id) per row of ``docs``; other columns are not read.
+def candidates(met: DataFrame, classes: DataFrame, label: DataFrame, every: bool) -> DataFrame:
+    """(a, b) across components that the bit counts allow, from the tiles of ``met`` (key, rep, n).
 
-    Documents link when 100 * overlap >= 75 * union of their five-word shingles; component_id
-    is the smallest id reachable by links. A null, empty or wordless text has no shingles and is
-    linked with nothing. Rows that repeat an id and text are one document and are all returned;
-    where an id has several texts, its links are decided by one of them. Rows with a null id are returned with a null component. No rows, no rows.
+    ``label`` (id, component) holds the components so far; a class outside it is its own.
     """
-    docs = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(text_col).alias("text"))
-    signed = staged(docs.mapInArrow(sign, SIGNED_DDL), "signed")
-
-    classes = staged(
-        signed.where("digest IS NOT NULL AND doc_id IS NOT NULL")
-        .groupBy("digest")
-        .agg(F.min("doc_id").alias("rep"), *(F.any_value(c).alias(c) for c in ("n", "bitmap", "keys"))),
-        "classes",
-    )
     band = F.floor(F.log(F.col("n").cast("double")) / F.log(F.lit(4 / 3))).cast("int")
-    keys = classes.select("rep", "n", band.alias("band"), F.explode("keys").alias("key"))
-    heads = keys.groupBy("key").agg(F.min("rep").alias("head"), F.max("rep").alias("last")).where("head < last")
-    met = staged(keys.join(heads.drop("last"), "key"), "met")
-
-    # The sets of every class that meets another, worked out again from their texts.
-    needed = met.select(F.col("rep").alias("doc_id")).distinct()
-    sets = staged(
-        docs.join(needed, "doc_id").dropDuplicates(["doc_id"]).mapInArrow(sets_of, "doc_id bigint, hashes array<bigint>"),
-        "sets",
-    )
-
-    # Each class to the head it shares most keys with.
-    shared = met.where("rep <> head").groupBy("rep", "head").agg(F.count("*").alias("shared"))
-    nearest = shared.groupBy(F.col("rep").alias("b")).agg(
-        F.max_by("head", F.struct(F.col("shared"), -F.col("head"))).alias("a")
-    )
-    links = staged(verified(nearest.select("a", "b"), sets), "links")
-    first = components(links)
-
-    # Tiles of several components.
-    met = met.join(first.withColumnRenamed("id", "rep"), "rep", "left").select(
-        "key", "band", "rep", "n", F.coalesce("component", "rep").alias("component")
+    met = met.join(label.withColumnRenamed("id", "rep"), "rep", "left").select(
+        "key", "rep", "n", F.coalesce("component", "rep").alias("component")
     )
     mixed = met.groupBy("key").agg(F.min("component").alias("x"), F.max("component").alias("y")).where("x < y")
-    tiles = met.join(mixed.select("key"), "key", "left_semi").select(
-        "key", F.explode(F.array("band", F.col("band") - 1)).alias("tile"), "band", "rep", "n", "component"
-    )
+    tiles = met.join(mixed.select("key"), "key", "left_semi").withColumn("band", band)
+    tiles = tiles.select("*", F.explode(F.array("band", F.col("band") - 1)).alias("tile"))
     size = (
         tiles.groupBy("key", "tile")
         .agg(
@@ -233,8 +234,56 @@ def jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
         .repartition("key", "tile", "x", "y")
         .sortWithinPartitions("key", "tile", "x", "y")
     )
-    rest = dealt.mapInArrow(compare_tiles, "a bigint, b bigint").distinct()
-    links = links.union(staged(verified(rest, sets), "links"))
+    return dealt.mapInArrow(compare_tiles(every), PAIRS_DDL).distinct()
+
+
+def jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(doc_id, n_shingles, component_id) per row of ``docs``; other columns are not read.
+
+    Documents link when 100 * overlap >= 75 * union of their five-word shingles; component_id
+    is the smallest id reachable by links. A null, empty or wordless text has no shingles and is
+    linked with nothing. Rows that repeat an id and text are one document and are all returned;
+    where an id has several texts, its links are decided by one of them. Rows with a null id are returned with a null component. No rows, no rows.
+    """
+    docs = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(text_col).alias("text"))
+    signed = staged(docs.mapInArrow(sign, SIGNED_DDL), "signed")
+
+    classes = staged(
+        signed.where("digest IS NOT NULL AND doc_id IS NOT NULL")
+        .groupBy("digest")
+        .agg(F.min("doc_id").alias("rep"), *(F.any_value(c).alias(c) for c in ("n", "bitmap", "keys"))),
+        "classes",
+    )
+    keys = classes.select("rep", "n", F.explode("keys").alias("key"))
+    heads = keys.groupBy("key").agg(F.min("rep").alias("head"), F.max("rep").alias("last")).where("head < last")
+    met = staged(keys.join(heads.drop("last"), "key"), "met")
+
+    # Each class with the head it shares most keys with.
+    shared = met.where("rep <> head").groupBy("rep", "head").agg(F.count("*").alias("shared"))
+    nearest = shared.groupBy(F.col("rep").alias("b")).agg(
+        F.max_by("head", F.struct(F.col("shared"), -F.col("head"))).alias("a")
+    )
+    held = lambda name, n, bits: classes.select(F.col("rep").alias(name), F.col("n").alias(n), F.col("bitmap").alias(bits))
+    starred = staged(
+        nearest.join(held("a", "n", "left"), "a").join(held("b", "m", "right"), "b").mapInArrow(allowed_pairs, PAIRS_DDL),
+        "pairs",
+    )
+    under = starred.select(F.col("b").alias("id"), F.col("a").alias("component"))
+    tried = starred.union(staged(candidates(met, classes, under, every=False), "pairs"))
+
+    # The sets of classes that were allowed a partner, worked out again from their texts.
+    partnered = staged(tried.select(F.col("a").alias("doc_id")).union(tried.select("b")).distinct(), "partnered")
+    sets = staged(
+        docs.join(partnered, "doc_id")
+        .dropDuplicates(["doc_id"])
+        .mapInArrow(sets_of, "doc_id bigint, hashes array<bigint>"),
+        "sets",
+    )
+    links = staged(verified(tried, sets), "links")
+    met = staged(met.join(partnered.withColumnRenamed("doc_id", "rep"), "rep", "left_semi"), "met")
+    for every in (False, True):
+        pairs = staged(candidates(met, classes, components(links), every), "pairs")
+        links = links.union(staged(verified(pairs, sets), "links"))
 
     last = components(links)
     placed = classes.select("digest", "rep").join(last.withColumnRenamed("id", "rep"), "rep", "left")
