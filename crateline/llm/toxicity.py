@@ -16,7 +16,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from crateline.llm.common import slices, to_batch
@@ -24,13 +24,24 @@ from crateline.llm.common import slices, to_batch
 # Documents per label that the lexicon is learned from, as the expected size of a sample by hash.
 TRAINED = 6000
 # Entries of the lexicon, and toxic documents an entry must occur in.
-ENTRIES = 400
-LEAST_SEEN = 5
-# How many times more often an entry must occur in toxic documents than in clean ones.
+ENTRIES = 300
+LEAST_SEEN = 4
+# How many times more often an entry must occur in toxic documents than in clean ones, and how
+# sure that must be: a likelihood ratio (G squared) that chance reaches about once in a million.
 LEAST_RATIO = 12.0
-# Lengths of word beginnings that can be entries, and how many words must share one.
+LEAST_EVIDENCE = 25.0
+# Lengths of word beginnings that can be entries, how many entries must share one, and the most
+# of its documents that one of these may account for, and how many a longer beginning must keep.
 STEMS = (4, 5, 6)
 STEM_WORDS = 4
+STEM_SHARE = 0.7
+STEM_KEEPS = 0.95
+# Candidates looked at, the most frequent ones; toxic documents not explained by other entries
+# that an entry must explain; and the share of the most frequent entry's documents that does
+# without that.
+CANDIDATES = 2000
+LEAST_NEW = 3
+STRONG = 0.15
 # Letters a term needs to be met with one error, and with two.
 ONE_ERROR, TWO_ERRORS = 5, 10
 # Log odds of a document without hits, and what a misspelled hit starts from.
@@ -245,24 +256,70 @@ def log_odds(toxic: float, clean: float, toxic_docs: int, clean_docs: int) -> fl
     return math.log((toxic + 0.5) / (toxic_docs + 1)) - math.log((clean + 0.5) / (clean_docs + 1))
 
 
-def choose(found: list[tuple[str, bool, int, int]], entries: int = ENTRIES) -> list[tuple[str, bool, int, int]]:
-    """Word beginnings that many different words share, shortest first, then the words they don't cover."""
+def evidence(toxic: Column, clean: Column, toxic_docs: int, clean_docs: int) -> Column:
+    """G squared of a term's counts against the same share in both kinds of documents."""
+    both = toxic + clean
+    part = lambda seen, docs: F.when(seen > 0, seen * F.log(seen * (toxic_docs + clean_docs) / (both * docs))).otherwise(0)
+    return 2 * (part(toxic, toxic_docs) + part(clean, clean_docs))
+
+
+Term = tuple[str, bool, int, int]
+
+
+def choose(found: list[Term]) -> list[Term]:
+    """Word beginnings that many different words share, and the words they don't cover.
+
+    A shorter beginning covers a longer one; of both, the longest that keeps nearly all its documents.
+    """
     words = [f for f in found if not f[1]]
-    stems: list[tuple[str, bool, int, int]] = []
+    stems: list[Term] = []
+    beginnings = [f for f in found if f[1]]
     for s in sorted((f for f in found if f[1]), key=lambda f: (len(f[0]), f[0])):
-        most = max((w[2] for w in words if w[0].startswith(s[0])), default=0)
-        if s[2] >= STEM_WORDS * most and not any(s[0].startswith(t[0]) for t in stems):
-            stems.append(s)
+        sharing = [w[2] for w in words if w[0].startswith(s[0])]
+        many = len(sharing) >= STEM_WORDS and max(sharing) <= STEM_SHARE * s[2]
+        if many and not any(s[0].startswith(t[0]) or t[0].startswith(s[0]) for t in stems):
+            same = [t for t in beginnings if t[0].startswith(s[0]) and t[2] >= STEM_KEEPS * s[2]]
+            stems.append(max(same, key=lambda t: len(t[0])))
     kept = stems + [w for w in words if not any(w[0].startswith(s[0]) for s in stems)]
-    return sorted(kept, key=lambda f: (-f[2], f[0], f[1]))[:entries]
+    return sorted(kept, key=lambda f: (-f[2], f[0], f[1]))
+
+
+def finder(terms: list[Term]):
+    """The places in ``terms`` of all that occur in a text."""
+    words = {t[0]: k for k, t in enumerate(terms) if not t[1]}
+    stems = {t[0]: k for k, t in enumerate(terms) if t[1]}
+    sizes = sorted({len(t) for t in stems})
+
+    def find(text: str) -> set[int]:
+        kinds = set(WORDS.findall(text.lower()))
+        found = {words[w] for w in kinds & words.keys()}
+        return found | {stems[w[:k]] for w in kinds for k in sizes if w[:k] in stems}
+
+    return find
+
+
+def explain(terms: list[Term], held: list[set[int]]) -> list[Term]:
+    """Terms that explain toxic documents, most at a time; words that copies of a toxic document
+    merely share with it explain nothing that its toxic terms don't."""
+    left, chosen = [h for h in held if h], []
+    while len(chosen) < ENTRIES:
+        gain = Counter(k for h in left for k in h)
+        best = max(gain, key=lambda k: (gain[k], terms[k][2], -k), default=None)
+        if best is None or gain[best] < LEAST_NEW:
+            break
+        chosen.append(best)
+        left = [h for h in left if best not in h]
+    most = max((t[2] for t in terms), default=0)
+    strong = [k for k, t in enumerate(terms) if t[2] >= STRONG * most]
+    return [terms[k] for k in sorted({*chosen, *strong[:ENTRIES]})]
 
 
 def learn(docs: DataFrame, labels: DataFrame, trained: int = TRAINED) -> Model:
     """From texts (doc_id, text) and labels (doc_id, toxic 0 or 1).
 
     About ``trained`` documents of each label are drawn by hash, or all if there are fewer; their
-    ids are broadcast, which that number bounds. The driver gets 2000 candidate terms at most,
-    the most frequent ones. Repeated labels count once; of conflicting ones toxic holds.
+    ids are broadcast, which that number bounds. The driver gets CANDIDATES terms at most, and
+    for each toxic document of the sample which of them it holds. Repeated labels count once; of conflicting ones toxic holds.
     """
     labels = labels.where("doc_id IS NOT NULL AND toxic IN (0, 1)").groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     held = {r["toxic"]: r["n"] for r in labels.groupBy("toxic").agg(F.count("*").alias("n")).collect()}
@@ -279,11 +336,23 @@ def learn(docs: DataFrame, labels: DataFrame, trained: int = TRAINED) -> Model:
         .groupBy("term", "stem")
         .agg(F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean"))
         .where((toxic >= LEAST_SEEN) & (ratio >= LEAST_RATIO))
+        .where(evidence(toxic, clean, n[1], n[0]) >= LEAST_EVIDENCE)
         .orderBy(F.desc("toxic"), "term", "stem")
-        .limit(2000)
+        .limit(CANDIDATES)
         .collect()
     )
-    chosen = choose([tuple(r) for r in found])
+    terms = choose([tuple(r) for r in found])
+    find = finder(terms)
+
+    def hold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches):
+            yield to_batch(
+                pa.schema([("held", pa.list_(pa.int64()))]),
+                [sorted(find(t or "")) for t in batch.column("text").to_pylist()],
+            )
+
+    held = rows.where("toxic = 1").mapInArrow(hold, "held array<bigint>").collect()
+    chosen = explain(terms, [set(r[0]) for r in held])
     entries = tuple((t, s) for t, s, _, _ in chosen)
     table = Table.build(list(entries))
     weights = {(k, 0): log_odds(t, c, n[1], n[0]) for k, (_, _, t, c) in enumerate(chosen)}
