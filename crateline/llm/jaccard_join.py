@@ -293,3 +293,11 @@ def jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
         F.col("n").alias("n_shingles"),
         F.when(F.col("doc_id").isNotNull(), F.coalesce("component_id", "doc_id")).alias("component_id"),
     )
+
+
+def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """``docs`` with one row of each group of linked documents, that of the smallest id, and all
+    rows without an id."""
+    dropped = jaccard_join(docs, id_col, text_col).where("doc_id <> component_id").select(F.col("doc_id").alias(id_col))
+    kept = docs.where(F.col(id_col).isNotNull()).join(dropped.distinct(), id_col, "left_anti").dropDuplicates([id_col])
+    return kept.select(*docs.columns).union(docs.where(F.col(id_col).isNull()))

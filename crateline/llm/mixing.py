@@ -72,7 +72,7 @@ def rate(multiplier: Column, cap: int) -> Column:
     return F.when(F.col("full") | (reach >= math.log(cap)), F.lit(float(cap))).otherwise(F.exp(reach))
 
 
-def multipliers(sized: DataFrame, sources: DataFrame, cap: int) -> DataFrame:
+def multipliers(rows: DataFrame, sources: DataFrame, cap: int) -> DataFrame:
     """``sources`` with lambda, mean, and whether all rates are at the cap."""
     live = sources.where("source_size > 0").select(
         "number",
@@ -80,7 +80,7 @@ def multipliers(sized: DataFrame, sources: DataFrame, cap: int) -> DataFrame:
         (F.col("source_size") / F.col("docs")).alias("mean"),
         (F.col("target") >= cap * F.col("source_size")).alias("full"),
     )
-    counts = staged(sized.where("size > 0").groupBy("number", "size").agg(F.count("*").alias("n")), "counts")
+    counts = staged(rows.where("size > 0").groupBy("number", "size").agg(F.count("*").alias("n")), "counts")
     state = staged(
         live.select(
             "*",
@@ -135,15 +135,15 @@ def multipliers(sized: DataFrame, sources: DataFrame, cap: int) -> DataFrame:
     return state.select("number", "target", "mean", "full", "lambda")
 
 
-def thresholds(rated: DataFrame, state: DataFrame) -> DataFrame:
+def thresholds(rows: DataFrame, state: DataFrame) -> DataFrame:
     """(number, threshold): documents placed below it get one more copy.
 
     The place where a source's added words reach what is missing is found a few bits at a time,
     from sums per source and bin. The documents at that very place go where the sum is nearer.
     """
-    missing = rated.groupBy("number").agg(F.sum(F.col("whole") * F.col("size")).alias("base"))
+    missing = rows.groupBy("number").agg(F.sum(F.col("whole") * F.col("size")).alias("base"))
     need = missing.join(state, "number").select("number", (F.col("target") - F.col("base")).alias("need"), F.lit(0).alias("prefix"))
-    extra = rated.where("size > 0 AND place IS NOT NULL").select("number", "place", "size")
+    extra = rows.where("size > 0 AND place IS NOT NULL").select("number", "place", "size")
     for shift in range(BITS - AT_ONCE, -1, -AT_ONCE):
         bins = (
             extra.join(need, "number")
@@ -160,6 +160,51 @@ def thresholds(rated: DataFrame, state: DataFrame) -> DataFrame:
     return need.select("number", (F.col("prefix") + (2 * F.col("need") >= F.col("words")).cast("int")).alias("threshold"))
 
 
+def sized(docs: DataFrame, id_col: str, text_col: str, source_col: str) -> DataFrame:
+    """doc_id, source, size, a hash of id and text, and the whole row beside them."""
+    text, doc_id = F.col(text_col), F.col(id_col).cast("bigint")
+    return docs.select(
+        doc_id.alias("doc_id"),
+        F.col(source_col).alias("source"),
+        count_words(text).alias("size"),
+        F.xxhash64(doc_id, text).alias("hash"),
+        F.struct(*docs.columns).alias("row"),
+    )
+
+
+def rated(rows: DataFrame, sources: DataFrame, cap: int) -> DataFrame:
+    """Adds each row's rate, its whole part, and the row's place in its source for one more copy."""
+    part = F.col("rate") - F.col("whole")
+    odds = (F.pmod("hash", F.lit(1 << 40)) + 0.5) / float(1 << 40) / part
+    return (
+        rows.join(sources.withColumnRenamed("source", "named"), F.col("source").eqNullSafe(F.col("named")))
+        .withColumn("rate", F.when(F.col("size") > 0, rate(F.col("lambda"), cap)).otherwise(0.0))
+        .withColumn("whole", F.floor("rate"))
+        .withColumn("place", F.when(part > 0, F.floor(odds / (1 + odds) * (1 << BITS)).cast("int")))
+    )
+
+
+def fit(rows: DataFrame, weights: tuple[float, ...] = WEIGHTS, cap: int = CAP) -> DataFrame:
+    """Per source: source_size, target, multiplier and threshold, from all (source, size, hash)."""
+    sources = rows.groupBy("source").agg(F.sum("size").alias("source_size"), F.count("*").alias("docs"))
+    sources = staged(with_targets(numbered(sources), weights, cap), "targets")
+    named = sources.select(F.col("source").alias("named"), "number")
+    state = multipliers(rows.join(named, F.col("source").eqNullSafe(F.col("named"))), sources, cap)
+    fitted = staged(
+        sources.select("source", "number", "source_size", "target").join(state.drop("target"), "number", "left"), "fitted"
+    )
+    at = thresholds(rated(rows, fitted, cap), state)
+    return staged(
+        fitted.join(at, "number", "left").withColumn("threshold", F.coalesce("threshold", F.lit(1 << BITS))), "fitted"
+    )
+
+
+def decide(rows: DataFrame, fitted: DataFrame, cap: int = CAP) -> DataFrame:
+    more = F.coalesce(F.col("place") < F.col("threshold"), F.lit(False)).cast("bigint")
+    copies = rated(rows, fitted, cap).withColumn("copies", F.col("whole") + more)
+    return copies.withColumn("taken", F.col("copies") * F.col("size"))
+
+
 def mix(
     docs: DataFrame,
     id_col: str = "doc_id",
@@ -175,40 +220,21 @@ def mix(
     decided alike, and a source misses its target by half of the words at one place at most.
     Null ids are kept. The same input gives the same copies. Other columns are not read.
     """
-    text = F.col(text_col)
-    sized = staged(
-        docs.select(
-            F.col(id_col).cast("bigint").alias("doc_id"),
-            F.col(source_col).alias("source"),
-            count_words(text).alias("size"),
-            F.xxhash64(F.col(id_col).cast("bigint"), text).alias("hash"),
-        ),
-        "sized",
-    )
-    sources = sized.groupBy("source").agg(F.sum("size").alias("source_size"), F.count("*").alias("docs"))
-    sources = staged(with_targets(numbered(sources), weights, cap), "targets")
-    named = sources.select(F.col("source").alias("named"), "number", "source_size", "target")
-    placed = sized.join(named, F.col("source").eqNullSafe(F.col("named"))).drop("named")
-    state = multipliers(placed, sources, cap)
+    rows = staged(sized(docs, id_col, text_col, source_col).drop("row"), "sized")
+    columns = ("doc_id", "source", "size", "source_size", "target", "rate", "copies", "taken")
+    return decide(rows, fit(rows, weights, cap), cap).select(*columns)
 
-    part = F.col("rate") - F.col("whole")
-    even = (F.pmod("hash", F.lit(1 << 40)) + 0.5) / float(1 << 40)
-    odds = even / part
-    rated = staged(
-        placed.join(state.drop("target"), "number", "left")
-        .withColumn("rate", F.coalesce(rate(F.col("lambda"), cap), F.lit(0.0)))
-        .withColumn("whole", F.floor("rate"))
-        .withColumn("place", F.when(part > 0, F.floor(odds / (1 + odds) * (1 << BITS)).cast("int")))
-        .select("doc_id", "source", "number", "size", "source_size", "target", "rate", "whole", "place"),
-        "rated",
-    )
-    at = thresholds(rated, state)
-    more = F.coalesce(F.col("place") < F.coalesce("threshold", F.lit(1 << BITS)), F.lit(False)).cast("bigint")
-    return (
-        rated.join(at, "number", "left")
-        .withColumn("copies", F.col("whole") + more)
-        .select(
-            "doc_id", "source", "size", "source_size", "target", "rate", "copies",
-            (F.col("copies") * F.col("size")).alias("taken"),
-        )
-    )
+
+def mixed_documents(
+    docs: DataFrame,
+    id_col: str = "doc_id",
+    text_col: str = "text",
+    source_col: str = "source",
+    weights: tuple[float, ...] = WEIGHTS,
+    cap: int = CAP,
+) -> DataFrame:
+    """The rows of ``docs``, each as often as the mix takes it: up to ``cap`` times, or not at all."""
+    rows = sized(docs, id_col, text_col, source_col)
+    fitted = fit(staged(rows.drop("row"), "sized"), weights, cap)
+    times = F.explode(F.sequence(F.lit(1), F.col("copies").cast("int")))
+    return decide(rows, fitted, cap).where("copies > 0").select("row", times).select("row.*")

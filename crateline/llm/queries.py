@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from pathlib import Path
 
 import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -10,10 +11,13 @@ from pyspark.sql import functions as F
 
 from crateline.llm import language_id, quality, toxicity
 from crateline.llm.common import prepare, remainder, staged, table
+from crateline.llm.fingerprints import fingerprint_documents
 from crateline.llm.jaccard_join import jaccard_join
 from crateline.llm.mixing import mix
+from crateline.llm.neighbours import nearest_neighbours
 from crateline.llm.piece_bpe import Vocabulary, encode_documents
 from crateline.llm.private_data import BASE, find_private_data
+from crateline.llm.token_counts import count_tokens
 
 
 def op1_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -62,6 +66,19 @@ def op5_private_data(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op6_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    marked = fingerprint_documents(table(prepare(spark), sf_dir, "documents"))
+    return marked.select(
+        "doc_id",
+        "n_chars",
+        sha256(F.col("edited")).alias("edited_sha256"),
+        "fingerprint",
+        "edited_fingerprint",
+        "near_edited",
+        "near_next",
+    )
+
+
 def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, labels = (table(prepare(spark), sf_dir, name) for name in ("documents", "labels"))
     rows = staged(quality.measured(docs), "statistics")
@@ -73,6 +90,15 @@ def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op8_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return nearest_neighbours(table(prepare(spark), sf_dir, "embeddings"), F.col("vec_id") % 100 == 0)
+
+
+def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ranks = Path(public_tokenizers.path("byte_bpe_50k.tiktoken")).read_bytes()
+    return count_tokens(table(prepare(spark), sf_dir, "documents"), ranks, public_tokenizers.PATTERN)
+
+
 def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(prepare(spark), sf_dir, "documents")
     filters = language_id.learn(docs.where(~held_out(5, 0)).select("doc_id", "text", "lang"))
@@ -87,7 +113,10 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_sentencepiece": op3_sentencepiece,
     "op4_mixing": op4_mixing,
     "op5_private_data": op5_private_data,
+    "op6_fingerprints": op6_fingerprints,
     "op7_quality": op7_quality,
+    "op8_nearest_neighbours": op8_nearest_neighbours,
+    "op9_token_counts": op9_token_counts,
     "op10_language_id": op10_language_id,
 }
 

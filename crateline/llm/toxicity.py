@@ -397,3 +397,14 @@ def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
 
     kept = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(text_col).alias("text"))
     return kept.mapInArrow(run, "doc_id bigint, score double")
+
+
+def keep_clean(docs: DataFrame, model: Model, text_col: str = "text", limit: float = 0.5) -> DataFrame:
+    """``docs`` without the rows whose score is ``limit`` or more; every column as it was."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches, text_col):
+            scores = score_texts(model, [t or "" for t in batch.column(text_col).to_pylist()])
+            yield batch.filter(pa.array([s < limit for s in scores], pa.bool_()))
+
+    return docs.mapInArrow(run, docs.schema)
