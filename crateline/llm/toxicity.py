@@ -30,10 +30,9 @@ LEAST_SEEN = 4
 # sure that must be: a likelihood ratio (G squared) that chance reaches about once in a million.
 LEAST_RATIO = 12.0
 LEAST_EVIDENCE = 25.0
-# Lengths of word beginnings that can be entries, how many entries must share one, and the most
-# of its documents that one of these may account for, and how many a longer beginning must keep.
+# Lengths of word beginnings that can be entries, the most of its documents that one word may
+# account for, and how many a longer beginning must keep.
 STEMS = (4, 5, 6)
-STEM_WORDS = 4
 STEM_SHARE = 0.7
 STEM_KEEPS = 0.95
 # Candidates looked at, the most frequent ones; toxic documents not explained by other entries
@@ -276,7 +275,7 @@ def choose(found: list[Term]) -> list[Term]:
     beginnings = [f for f in found if f[1]]
     for s in sorted((f for f in found if f[1]), key=lambda f: (len(f[0]), f[0])):
         sharing = [w[2] for w in words if w[0].startswith(s[0])]
-        many = len(sharing) >= STEM_WORDS and max(sharing) <= STEM_SHARE * s[2]
+        many = max(sharing, default=0) <= STEM_SHARE * s[2]
         if many and not any(s[0].startswith(t[0]) or t[0].startswith(s[0]) for t in stems):
             same = [t for t in beginnings if t[0].startswith(s[0]) and t[2] >= STEM_KEEPS * s[2]]
             stems.append(max(same, key=lambda t: len(t[0])))
