@@ -56,8 +56,8 @@ def encoded(column: pa.ChunkedArray) -> list[bytes]:
 
 
 def bitmap(hashes: np.ndarray) -> bytes:
-    """One bit per slot: whether an odd number of hashes fall in it. At least as many slots as hashes."""
-    width = max(64, 1 << max(len(hashes) - 1, 0).bit_length())
+    """One bit per slot: whether an odd number of hashes fall in it. At least twice as many slots as hashes."""
+    width = max(64, 2 << max(len(hashes) - 1, 0).bit_length())
     odd = np.bincount((hashes & np.uint64(width - 1)).astype(np.int64), minlength=width) & 1
     return np.packbits(odd.astype(np.uint8)).tobytes()
 
@@ -98,12 +98,13 @@ def allowed(n_left, n_right, differ):
     return enough((n_left + n_right - differ) // 2, n_left + n_right)
 
 
-def tile_pairs(rows: list[tuple], every: bool) -> set[tuple[int, int]]:
+def tile_pairs(rows: list[tuple], every: bool, key: int = 0) -> set[tuple[int, int]]:
     """Pairs across components of a tile, or of two blocks of it, that the bit counts allow.
 
-    All of them, or of each class only the one with the fewest bits apart. A row is (id, size,
-    component, upper band, block, bitmap). Pairs of the upper band with itself belong to the
-    tile above; in a pair of blocks a pair within one belongs elsewhere.
+    All of them whose smallest common key is the tile's, so that each pair comes from one tile;
+    or of each class only the one with the fewest bits apart. A row is (id, size, component,
+    upper band, block, bitmap, keys). Pairs of the upper band with itself belong to the tile
+    above; in a pair of blocks a pair within one belongs elsewhere.
     """
     rows.sort(key=lambda r: (r[1], r[0]))
     ids, n, component, upper, block = (np.array([r[k] for r in rows]) for k in range(5))
@@ -111,6 +112,7 @@ def tile_pairs(rows: list[tuple], every: bool) -> set[tuple[int, int]]:
     apart = block.min() != block.max()
     nearest, partner = np.full(len(rows), np.iinfo(np.int64).max), np.full(len(rows), -1)
     pairs = set()
+    keys = [set(r[6]) for r in rows] if every else None
     for i in range(len(rows) - 1):
         j = np.arange(i + 1, np.searchsorted(n, 4 * n[i] // 3, side="right"))
         j = j[(component[j] != component[i]) & ~(upper[j] & upper[i])]
@@ -122,7 +124,9 @@ def tile_pairs(rows: list[tuple], every: bool) -> set[tuple[int, int]]:
         ok = allowed(n[j], n[i], differ)
         j, differ = j[ok], differ[ok]
         if every:
-            pairs.update((min(ids[i], o), max(ids[i], o)) for o in ids[j].tolist())
+            for k in j.tolist():
+                if min(keys[i] & keys[k]) == key:
+                    pairs.add((min(ids[i], ids[k]), max(ids[i], ids[k])))
         elif len(j):
             at = differ.argmin()
             if differ[at] < nearest[i]:
@@ -153,13 +157,13 @@ def compare_tiles(every: bool):
             for key, band, x, y, *row in zip(*(c.to_pylist() for c in batch.columns)):
                 if (key, band, x, y) != tile:
                     if len(held) > 1:
-                        found |= tile_pairs(held, every)
+                        found |= tile_pairs(held, every, tile[0])
                     tile, held = (key, band, x, y), []
                     if len(found) > 100_000:
                         yield pack(found)
                 held.append(tuple(row))
         if len(held) > 1:
-            found |= tile_pairs(held, every)
+            found |= tile_pairs(held, every, tile[0])
         yield pack(found)
 
     return run
@@ -226,10 +230,10 @@ def candidates(met: DataFrame, classes: DataFrame, label: DataFrame, every: bool
         tiles.join(size, ["key", "tile"])
         .withColumn("block", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int"))
         .withColumn("with", F.explode(others))
-        .join(classes.select("rep", "bitmap"), "rep")
+        .join(classes.select("rep", "bitmap", *(["keys"] if every else [])), "rep")
         .select(
             "key", "tile", F.col("with.x").alias("x"), F.col("with.y").alias("y"), "rep", "n", "component",
-            (F.col("band") > F.col("tile")).alias("upper"), "block", "bitmap",
+            (F.col("band") > F.col("tile")).alias("upper"), "block", "bitmap", *(["keys"] if every else []),
         )
         .repartition("key", "tile", "x", "y")
         .sortWithinPartitions("key", "tile", "x", "y")
