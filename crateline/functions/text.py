@@ -4,7 +4,6 @@ from __future__ import annotations
 
 import json
 import unicodedata
-import zlib
 from collections.abc import Sequence
 from functools import lru_cache
 
@@ -60,22 +59,19 @@ def role_key(role: Column) -> Column:
 
 
 def _vocabulary_lookup(vocabulary: Sequence[tuple[str, str, int]], key: Column) -> Column:
-    """(rank, name) of a key. Map lookup scans, so the entries are split by checksum."""
-    held: list[dict] = [{} for _ in range(max(1, len(vocabulary) // 4))]
-    for word, name, rank in vocabulary:
-        held[zlib.crc32(word.encode()) % len(held)][word] = {"rank": rank, "name": name}
-    # A literal, folded once when the plan is optimised.
-    maps = F.from_json(F.lit(json.dumps(held)), "array<map<string,struct<rank:int,name:string>>>")
-    return maps[(F.crc32(key) % len(held)).cast("int")][key]
+    """(rank, name) of a key, from the vocabulary as a literal map, folded once by the planner."""
+    held = {word: {"rank": rank, "name": name} for word, name, rank in vocabulary}
+    return F.from_json(F.lit(json.dumps(held)), "map<string,struct<rank:int,name:string>>")[key]
 
 
 def summarise_roles(
     credits: Column, vocabulary: Sequence[tuple[str, str, int]] | None = None
 ) -> Column:
-    """Credits to the roles a row states, once each, known ones first in order.
+    """Credits to the roles a row states, once each, known ones first in order; none for null.
 
     Works within the row: no explode, no shuffle.
     """
+    credits = F.coalesce(credits, F.array().cast("array<string>"))
     entries = default_vocabulary() if vocabulary is None else list(vocabulary)
     unknown = len(NAMES) if vocabulary is None else 1 + max((r for *_, r in entries), default=-1)
     def named(part: Column) -> Column:

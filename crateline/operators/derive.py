@@ -44,17 +44,15 @@ def releases_skipped(releases: DataFrame, pairs_from: DataFrame) -> DataFrame:
     return counts.select((F.col("releases") - F.col("pairable")).alias("releases_skipped"))
 
 
-def pair_counts(people: DataFrame, max_people: int, hot_rows: int = 1_000_000) -> DataFrame:
+def pair_counts(people: DataFrame, max_people: int) -> DataFrame:
     """(aid, bid, n): releases two people share, both directions."""
-    shared = R.people_who_share(people, "release_id", "artist_id", max_people, hot_rows)
+    shared = R.people_who_share(people, "release_id", "artist_id", max_people)
     return shared.groupBy(F.col("a").alias("aid"), F.col("b").alias("bid")).agg(
         F.count("*").alias("n")
     )
 
 
-def _side_by_side(
-    people: DataFrame, once: DataFrame, max_people: int, hot_rows: int
-) -> DataFrame:
+def _side_by_side(people: DataFrame, once: DataFrame, max_people: int) -> DataFrame:
     """(aid, bid, role, shared) on pairable releases: a row that counts per release and pair,
     and one per role b held there beside a.
 
@@ -69,22 +67,19 @@ def _side_by_side(
         .distinct()
         .withColumn("shared", F.lit(0))
     )
-    sizes = R.group_sizes(once, "release_id")
-    rows = R.without_hot_groups(
-        counted.unionByName(held), sizes, "release_id", max(hot_rows, max_people)
-    )
-    groups = R.members_within(once, "release_id", "artist_id", max_people, hot_rows)
+    groups = R.members_within(once, "release_id", "artist_id", max_people)
     return (
-        rows.join(groups.filter(F.size("members") > 1), "release_id")
+        counted.unionByName(held)
+        .join(groups.filter(F.size("members") > 1), "release_id")
         .select(F.explode("members").alias("aid"), F.col("artist_id").alias("bid"), "role", "shared")
         .filter(F.col("aid") != F.col("bid"))
     )
 
 
-def pair_roles(people: DataFrame, max_people: int, hot_rows: int = 1_000_000) -> DataFrame:
+def pair_roles(people: DataFrame, max_people: int) -> DataFrame:
     """(aid, bid, roles): distinct raw roles b held, sorted. Pairs with none have no row."""
     return (
-        _side_by_side(people, people_once(people), max_people, hot_rows)
+        _side_by_side(people, people_once(people), max_people)
         .filter(F.col("role").isNotNull())
         .select("aid", "bid", "role")
         .distinct()
@@ -94,15 +89,10 @@ def pair_roles(people: DataFrame, max_people: int, hot_rows: int = 1_000_000) ->
 
 
 def artist_collaborators(
-    people: DataFrame,
-    max_people: int,
-    hot_rows: int = 1_000_000,
-    once: DataFrame | None = None,
+    people: DataFrame, max_people: int, once: DataFrame | None = None
 ) -> DataFrame:
     """Shared releases and roles per pair. Rows are reduced per role before the roles meet."""
-    rows = _side_by_side(
-        people, people_once(people) if once is None else once, max_people, hot_rows
-    )
+    rows = _side_by_side(people, people_once(people) if once is None else once, max_people)
     by_role = rows.groupBy("aid", "bid", "role").agg(F.sum("shared").alias("shared"))
     roles = F.array_sort(F.collect_list("role"))
     return by_role.groupBy(

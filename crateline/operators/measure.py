@@ -272,5 +272,5 @@ def absence_histogram(coverage: DataFrame) -> DataFrame:
 
 def random_sample(artists: DataFrame, n: int, seed: int) -> DataFrame:
     """``n`` names drawn with a seed: the least by a seeded hash of the id."""
-    drawn = artists.select("id", "name", F.xxhash64(F.lit(seed), F.col("id")).alias("_draw"))
+    drawn = artists.select("id", "name", F.md5(F.concat(F.lit(f"{seed}:"), F.col("id").cast("string")).cast("binary")).alias("_draw"))
     return drawn.orderBy("_draw", "id").limit(n).select("name")

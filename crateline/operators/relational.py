@@ -38,47 +38,26 @@ def left_join_all(left: DataFrame, rights: Sequence[DataFrame], key: str) -> Dat
     return left
 
 
-def without_hot_groups(
-    df: DataFrame, sizes: DataFrame, group: str, hot_rows: int
-) -> DataFrame:
-    """Rows outside groups of more than ``hot_rows`` members, before any shuffle by group.
-
-    ``sizes`` is (group, n). At most ``rows / hot_rows`` groups can be that large, which bounds
-    the broadcast.
-    """
-    hot = sizes.filter(F.col("n") > hot_rows).select(group)
-    return df.join(F.broadcast(hot), group, "left_anti")
-
-
 def group_sizes(pairs: DataFrame, group: str) -> DataFrame:
     return pairs.groupBy(group).agg(F.count("*").alias("n"))
 
 
-def members_within(
-    pairs: DataFrame, group: str, member: str, cap: int, hot_rows: int = 1_000_000
-) -> DataFrame:
+def members_within(pairs: DataFrame, group: str, member: str, cap: int) -> DataFrame:
     """(group, members) of every group holding at most ``cap`` members.
 
     ``pairs`` holds each (group, member) once. Sizes come from map-side partial counts, and a
     group is gathered only once it is known to be small, so what is gathered is at most
-    ``cap`` values.
+    ``cap`` values. The rows of a large group meet the sizes in a semi join, which has one row
+    per group on its other side and so is split at run time.
     """
-    sizes = group_sizes(pairs, group)
-    small = sizes.filter(F.col("n") <= cap).select(group)
-    return (
-        without_hot_groups(pairs, sizes, group, max(hot_rows, cap))
-        .join(small, group, "left_semi")
-        .groupBy(group)
-        .agg(F.collect_list(member).alias("members"))
-    )
+    small = group_sizes(pairs, group).filter(F.col("n") <= cap).select(group)
+    return pairs.join(small, group, "left_semi").groupBy(group).agg(F.collect_list(member).alias("members"))
 
 
-def people_who_share(
-    people: DataFrame, release_id: str, person_id: str, cap: int, hot_rows: int = 1_000_000
-) -> DataFrame:
+def people_who_share(people: DataFrame, release_id: str, person_id: str, cap: int) -> DataFrame:
     """(a, b, release): ordered pairs of different people on one release of at most ``cap``."""
     once = people.select(release_id, person_id).distinct()
-    groups = members_within(once, release_id, person_id, cap, hot_rows)
+    groups = members_within(once, release_id, person_id, cap)
     return (
         groups.filter(F.size("members") > 1)
         .select(F.col(release_id), F.explode("members").alias("a"), "members")
@@ -254,6 +233,21 @@ def distinct(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     return df.select(*columns).distinct()
 
 
+def placed(df: DataFrame) -> DataFrame:
+    """An ordered table with the partition and place of each row, to be stored before it is numbered."""
+    return df.withColumn("_part", F.spark_partition_id()).withColumn("_at", F.monotonically_increasing_id())
+
+
+def numbered(stored: DataFrame, name: str) -> DataFrame:
+    """Rows stored by ``placed`` numbered from 1 in their order, without gathering them: a row's
+    place in its partition, after the rows of the partitions before."""
+    before = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    parts = stored.groupBy("_part").agg(F.count("*").alias("_n"), F.min("_at").alias("_first"))
+    parts = parts.select("_part", "_first", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"))
+    place = F.col("_before") + F.col("_at") - F.col("_first") + 1
+    return stored.join(parts, "_part").withColumn(name, place).drop("_part", "_at", "_first", "_before")
+
+
 def newest_first(df: DataFrame, year: str, *then: str) -> DataFrame:
     return df.orderBy(F.col(year).desc_nulls_last(), *then)
 

@@ -17,6 +17,8 @@ SETTINGS = {
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.adaptive.forceOptimizeSkewedJoin": "true",
     "spark.sql.session.timeZone": "UTC",
+    # Lists per group are cut on the map side whatever their length.
+    "spark.sql.optimizer.windowGroupLimitThreshold": "1000000",
 }
 
 

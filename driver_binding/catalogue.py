@@ -66,18 +66,9 @@ def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-# A table this small is one file of one row group, which one task would read and carry on.
-SPREAD_BELOW = 256 << 20
-
-
-def spread(spark: SparkSession, sf_dir: str, name: str, *columns: str) -> DataFrame:
-    """The named columns over every core when the files are too small to be split by themselves.
-
-    Files above the bound are left as the scan splits them, with no shuffle.
-    """
-    rows = read(spark, sf_dir, name).select(*columns)
-    small = stored_bytes(spark, f"{sf_dir}/{name}.parquet") < SPREAD_BELOW
-    return rows.repartition(spark.sparkContext.defaultParallelism) if small else rows
+def spread(spark: SparkSession, sf_dir: str, name: str, key: str, *columns: str) -> DataFrame:
+    """The named columns dealt by their release, which the joins over them go by."""
+    return read(spark, sf_dir, name).select(key, *columns).repartition(key)
 
 
 def releases(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -178,8 +169,9 @@ def profile_text(id_column: str, name: str, kind: str):
     )
 
 
-def artists_dump(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(id, name, real_name, profile, urls, relations) for parts that fit the dump."""
+def artists_dump(spark: SparkSession, sf_dir: str, whole: bool = False) -> DataFrame:
+    """(id, name, real_name, profile, urls, relations) of every part, or of those a dump with
+    missing records holds."""
     key = F.col("p_partkey")
     related = F.array(
         F.struct(F.lit("alias").alias("kind"), (key + 7).alias("id"), F.concat(F.lit("Alias "), key + 7).alias("name")),
@@ -194,7 +186,8 @@ def artists_dump(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.concat(F.lit("http://shop.example/"), F.col("p_brand")),
         F.lit("facebook:foo"),
     )
-    return read(spark, sf_dir, "part").filter("p_size <= 45 and p_partkey > 0").select(
+    parts = read(spark, sf_dir, "part")
+    return (parts if whole else parts.filter("p_size <= 45 and p_partkey > 0")).select(
         key.alias("id"),
         F.col("p_name").alias("name"),
         F.when(F.col("p_type") != "PROMO", F.col("p_type")).alias("real_name"),
@@ -204,8 +197,9 @@ def artists_dump(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def labels_dump(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return read(spark, sf_dir, "supplier").filter("s_nationkey < 20 and s_suppkey > 0").select(
+def labels_dump(spark: SparkSession, sf_dir: str, whole: bool = False) -> DataFrame:
+    suppliers = read(spark, sf_dir, "supplier")
+    return (suppliers if whole else suppliers.filter("s_nationkey < 20 and s_suppkey > 0")).select(
         F.col("s_suppkey").alias("id"),
         F.col("s_name").alias("name"),
         profile_text("s_suppkey", "s_name", "s_nationkey").alias("profile"),
@@ -297,6 +291,14 @@ class Bound:
     def labels_dump(self) -> DataFrame:
         return labels_dump(self.spark, self.sf_dir)
 
+    @property
+    def whole_artists_dump(self) -> DataFrame:
+        return artists_dump(self.spark, self.sf_dir, whole=True)
+
+    @property
+    def whole_labels_dump(self) -> DataFrame:
+        return labels_dump(self.spark, self.sf_dir, whole=True)
+
     @property
     def entities(self) -> dict[str, DataFrame]:
         return self._once(

@@ -166,7 +166,7 @@ K = {
     "k_c_sty": "SELECT * FROM k_sty WHERE release_id IN (SELECT id FROM k_kept)",
     "k_c_gen": "SELECT * FROM k_gen WHERE release_id IN (SELECT id FROM k_kept)",
     # --- entities ---
-    "k_adump": f"""SELECT p_partkey AS id, p_name AS name,
+    "k_adump_all": f"""SELECT p_partkey AS id, p_name AS name,
         CASE WHEN p_type <> 'PROMO' THEN p_type END AS real_name,
         {profile('p_partkey', 'p_name', 'p_type')} AS profile,
         list_slice([concat('https://www.facebook.com/', p_partkey),
@@ -176,11 +176,15 @@ K = {
                     {{'kind': 'group', 'id': p_partkey * 3 + 1, 'name': ''}}],
                    CASE WHEN p_size <= 15 THEN 1 WHEN p_size <= 30 THEN 2 ELSE 1 END,
                    CASE WHEN p_size <= 15 THEN 1 ELSE 3 END) AS relations
-        FROM part WHERE p_size <= 45 AND p_partkey > 0""",
-    "k_ldump": f"""SELECT s_suppkey AS id, s_name AS name,
+        FROM part""",
+    "k_adump": """SELECT * FROM k_adump_all
+        WHERE id IN (SELECT p_partkey FROM part WHERE p_size <= 45 AND p_partkey > 0)""",
+    "k_ldump_all": f"""SELECT s_suppkey AS id, s_name AS name,
         {profile('s_suppkey', 's_name', 's_nationkey')} AS profile,
         [concat('http://label.example/', s_suppkey)] AS urls
-        FROM supplier WHERE s_nationkey < 20 AND s_suppkey > 0""",
+        FROM supplier""",
+    "k_ldump": """SELECT * FROM k_ldump_all
+        WHERE id IN (SELECT s_suppkey FROM supplier WHERE s_nationkey < 20 AND s_suppkey > 0)""",
     "k_artists": """SELECT id, name, real_name, profile, urls FROM k_adump
          WHERE id IN (SELECT artist_id FROM k_corpus)
         UNION ALL SELECT artist_id, min(name), NULL, NULL, NULL FROM (

@@ -231,20 +231,12 @@ def distinct(b):
 @query(
     "l1_order_nulls_last",
     """SELECT id, title, year, row_number() OVER (ORDER BY year DESC NULLS LAST, title, id) AS place
-        FROM k_rel ORDER BY place LIMIT 1000""",
+        FROM k_rel""",
 )
 def order_nulls_last(b):
-    """The first thousand of the newest-first order, numbered as they come."""
-    best = R.newest_first(b.cat.releases, "year", "title", "id").limit(1000)
-    return _numbered(best)
-
-
-def _numbered(limited):
-    """Places of a list bounded by its limit, in the order it comes."""
-    rows = limited.agg(F.collect_list(F.struct("*")).alias("rows"))
-    return rows.select(F.posexplode("rows").alias("pos", "row")).select(
-        "row.*", (F.col("pos") + 1).alias("place")
-    )
+    """The whole newest-first order, numbered as it comes."""
+    ordered = R.newest_first(b.cat.releases, "year", "title", "id")
+    return R.numbered(b.stage.table("newest_first", lambda: R.placed(ordered)), "place")
 
 
 @query("l2_top_k", "SELECT o_orderkey, o_totalprice FROM orders ORDER BY o_totalprice DESC, o_orderkey LIMIT 100")
@@ -269,9 +261,10 @@ def top_k_per_group(b):
     """SELECT o_orderkey, o_orderpriority, o_totalprice, row_number() OVER (ORDER BY
         CASE o_orderpriority WHEN '1-URGENT' THEN 0 WHEN '2-HIGH' THEN 1 ELSE 2 END,
         o_totalprice DESC, o_orderpriority, o_orderkey) AS place
-        FROM orders ORDER BY place LIMIT 1000""",
+        FROM orders""",
 )
 def banded_order(b):
     band = F.when(F.col("o_orderpriority") == "1-URGENT", 0).when(F.col("o_orderpriority") == "2-HIGH", 1).otherwise(2)
     rows = _orders(b).select("o_orderkey", "o_orderpriority", "o_totalprice")
-    return _numbered(R.banded_order(rows, band, "o_totalprice", "o_orderpriority", "o_orderkey").limit(1000))
+    ordered = R.banded_order(rows, band, "o_totalprice", "o_orderpriority", "o_orderkey")
+    return R.numbered(b.stage.table("banded_order", lambda: R.placed(ordered)), "place")

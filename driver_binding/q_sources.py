@@ -58,11 +58,12 @@ def read_releases(b):
     "s2_read_artists",
     """SELECT id, name, real_name, profile, array_to_string(urls, '|') AS urls,
         array_to_string(list_transform(relations, lambda r: concat(r.kind, ':', r.id, ':', r.name)), '|')
-        AS relations FROM k_adump""",
+        AS relations FROM k_adump_all WHERE id > 0""",
 )
 def read_artists(b):
+    """Every part goes into the dump; the reader keeps records with an id above 0."""
     path = _folder(b, "artists_xml")
-    readers.write_xml(readers.artist_xml_rows(b.artists_dump), path, "artists", "artist")
+    readers.write_xml(readers.artist_xml_rows(b.whole_artists_dump), path, "artists", "artist")
     return readers.read_artists(b.spark, path).select(
         "id",
         "name",
@@ -73,10 +74,10 @@ def read_artists(b):
     )
 
 
-@query("s3_read_labels", "SELECT id, name, profile, array_to_string(urls, '|') AS urls FROM k_ldump")
+@query("s3_read_labels", "SELECT id, name, profile, array_to_string(urls, '|') AS urls FROM k_ldump_all WHERE id > 0")
 def read_labels(b):
     path = _folder(b, "labels_xml")
-    readers.write_xml(readers.label_xml_rows(b.labels_dump), path, "labels", "label")
+    readers.write_xml(readers.label_xml_rows(b.whole_labels_dump), path, "labels", "label")
     return readers.read_labels(b.spark, path).withColumn("urls", F.array_join("urls", "|"))
 
 

@@ -64,14 +64,18 @@ def test_a_hot_key_is_split_and_answers_the_same(spark):
     assert split == plain
 
 
-def test_a_hot_release_never_reaches_one_task(spark):
-    """Its rows are dropped by a broadcast before the shuffle by release."""
+def test_a_hot_release_is_split_and_never_gathered(spark):
+    """Its rows meet the sizes in a join that the runtime splits; no broadcast is hinted."""
     people = spark.range(0, 3000).select(
         F.when(F.col("id") % 3 == 0, F.lit(1)).otherwise(F.col("id") / 3).cast("bigint").alias("release_id"),
         F.col("id").alias("artist_id"),
     )
-    groups = R.members_within(people, "release_id", "artist_id", 4, hot_rows=100)
-    assert "LeftAnti, BuildRight" in plan_of(groups)
+    groups = R.members_within(people, "release_id", "artist_id", 4)
+    assert "hint" not in groups._jdf.queryExecution().logical().toString().lower()
+    with settings(spark, **HOT):
+        groups = R.members_within(people, "release_id", "artist_id", 4)
+        groups.collect()
+        assert "skew=true" in plan_of(groups).lower()
     assert groups.filter("release_id = 1").count() == 0 and groups.count() > 900
 
 
@@ -80,6 +84,16 @@ def test_per_group_limits_are_taken_before_the_shuffle(spark):
     plan = plan_of(R.top_k_per_group(df, ["g"], [F.col("id").desc()], 5))
     assert plan.count("WindowGroupLimit") == 2
     assert plan_of(R.replace_by_key(df, ["g"], "id")).count("WindowGroupLimit") == 2
+    # Also for long lists, past the runtime's default of 1000.
+    assert plan_of(R.top_k_per_group(df, ["g"], [F.col("id").desc()], 5000)).count("WindowGroupLimit") == 2
+
+
+def test_numbers_follow_the_order_over_partitions(spark, tmp_path):
+    df = spark.range(2000).select((F.col("id") * 7919 % 2003).alias("v")).repartition(7).orderBy("v")
+    R.placed(df).write.parquet(str(tmp_path / "placed"))
+    rows = R.numbered(spark.read.parquet(str(tmp_path / "placed")), "place").collect()
+    assert [r.v for r in sorted(rows, key=lambda r: r.place)] == sorted(r.v for r in rows)
+    assert sorted(r.place for r in rows) == list(range(1, 2001))
 
 
 def test_filters_and_columns_reach_the_scan(spark, tmp_path):
