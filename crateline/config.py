@@ -189,14 +189,24 @@ KNOWN_HOSTS = (
 LINK_LIMIT = 5
 
 # --- fixed values: tables the serving side never reads --------------------------
-NOT_SERVED = (
-    "release_styles",
-    "release_genres",
-    "label_artist_pairs",
-    "seed_artist_totals",
-    "seed_artist_totals_meta",
-    "roles_seen",
-    "seed_artists",
-    "ingest_runs",
-    "seed_labels",
+SERVED = (
+    "artists",
+    "labels",
+    "artist_relations",
+    "artist_search",
+    "label_search",
+    "releases",
+    "release_artists",
+    "release_credits",
+    "release_labels",
+    "corpus_artists",
+    "artist_collaborators",
+    "artist_labels",
+    "label_roster",
+    "artist_coverage",
+    "label_coverage",
+    "scene_anchors",
+    "scene_releases",
+    "top_artists",
+    "top_labels",
 )

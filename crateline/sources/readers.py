@@ -11,6 +11,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from crateline.operators.relational import replace_by_key
 from crateline.config import SAMPLE_SIZE
 from crateline.functions.predicates import parse_year
 
@@ -142,9 +143,21 @@ def _flat_urls(df: DataFrame) -> DataFrame:
     return df.withColumn("urls", _links())
 
 
+def last_records(df: DataFrame, key: str = "id", order: Column | None = None) -> DataFrame:
+    """One record per key: the last by ``order``, or the last the dump holds, by file, place of
+    the block and row within it."""
+    if order is None:
+        order = F.struct(F.input_file_name(), F.input_file_block_start(), F.monotonically_increasing_id())
+    return replace_by_key(df.withColumn("_seq", order), [key], "_seq").drop("_seq")
+
+
 def to_bronze(df: DataFrame, path: str, key: str = "id", files: int | None = None) -> DataFrame:
-    """Spread a parsed dump over many files once, in key order within each, and read it back."""
-    spread = df.repartition(key) if files is None else df.repartition(files, key)
+    """Spread a parsed dump over many files once, in key order within each, and read it back.
+
+    Of records that repeat a key the last one stays, as if each were written over the one before.
+    """
+    last = last_records(df, key)
+    spread = last.repartition(key) if files is None else last.repartition(files, key)
     spread.sortWithinPartitions(key).write.mode("overwrite").parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 

@@ -10,7 +10,7 @@ from uuid import uuid4
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from crateline.config import NOT_SERVED, Dials
+from crateline.config import SERVED, Dials
 from crateline.operators import relational as R
 from crateline.operators.corpus import Catalogue, usable_label_refs
 
@@ -20,7 +20,8 @@ class NoData(LookupError):
 
 
 def corpus_tables(cat: Catalogue, dials: Dials) -> dict[str, DataFrame]:
-    """The six corpus tables with their keys enforced.
+    """The six corpus tables. Records are unique by id (``last_records``), so rows are by release
+    and position; a release's styles and genres are sets.
 
     A label with no id or a placeholder name is no row, but keeps its slot in the numbering.
     """
@@ -55,50 +56,79 @@ LOOKUP_KEYS = {
     "label_coverage": "label_id",
     "corpus_artists": "artist_id",
     "artist_relations": "artist_id",
+    "artist_search": "id",
+    "label_search": "id",
 }
 _MANIFEST = "CURRENT"
 
 
+# Published versions that stay: the current one, and those a reader may still hold.
+KEPT_VERSIONS = 3
+
+
 def _path(spark: SparkSession, path: str):
     hadoop = spark._jvm.org.apache.hadoop.fs.Path(path)
     return hadoop, hadoop.getFileSystem(spark._jsc.hadoopConfiguration())
 
 
+def _replace(spark: SparkSession, path: str, text: str) -> None:
+    """The whole text under a name of its own, then one rename over the old file."""
+    fresh, fs = _path(spark, f"{path}.{uuid4().hex}")
+    out = fs.create(fresh, False)
+    try:
+        out.write(bytearray(text, "utf-8"))
+    finally:
+        out.close()
+    jvm = spark._jvm
+    overwrite = jvm.org.apache.hadoop.fs.Options.Rename.OVERWRITE
+    options = spark.sparkContext._gateway.new_array(jvm.org.apache.hadoop.fs.Options.Rename, 1)
+    options[0] = overwrite
+    context = jvm.org.apache.hadoop.fs.FileContext.getFileContext(fresh.toUri(), spark._jsc.hadoopConfiguration())
+    context.rename(fresh, _path(spark, path)[0], options)
+
+
 def publish_serving(
-    tables: Mapping[str, DataFrame], dest: str, not_served: tuple[str, ...] = NOT_SERVED
+    tables: Mapping[str, DataFrame], dest: str, served: tuple[str, ...] = SERVED, kept: int = KEPT_VERSIONS
 ) -> str:
-    """Write what is served under a fresh version, then point readers at it in one step.
+    """Write the served tables under a fresh version, then point readers at it in one step.
 
-    Readers follow a small manifest that is replaced last, so a lost job never shows half a
-    publication. Rows are range-clustered by lookup key, so a lookup skips most row groups.
+    Readers follow a small manifest that is renamed into place last, so a lost job never shows
+    half a publication and a reader never finds an empty manifest. Rows are range-clustered by
+    lookup key, so a lookup skips most row groups. Versions older than the ``kept`` last ones go.
     """
     version = uuid4().hex
-    served = {name: df for name, df in tables.items() if name not in not_served}
-    spark = next(iter(served.values())).sparkSession
-    for name, df in served.items():
+    held = {name: tables[name] for name in served if name in tables}
+    spark = next(iter(held.values())).sparkSession
+    for name, df in held.items():
         key = LOOKUP_KEYS.get(name)
         # The other numbers break ties, so one hot key still spreads over ranges.
         rest = [c for c, kind in df.dtypes if c != key and kind in ("bigint", "int")]
         laid = df if key is None else df.repartitionByRange(key, *rest).sortWithinPartitions(key)
         laid.write.parquet(f"{dest}/{version}/{name}")
-    manifest, fs = _path(spark, f"{dest}/{_MANIFEST}")
-    out = fs.create(manifest, True)
-    try:
-        out.write(bytearray(json.dumps({"version": version, "tables": sorted(served)}), "utf-8"))
-    finally:
-        out.close()
+    before = _manifest(spark, dest)
+    versions = [version, *(before["versions"] if before else [])]
+    text = json.dumps({"versions": versions[:kept], "tables": list(held)})
+    _replace(spark, f"{dest}/{_MANIFEST}", text)
+    for old in versions[kept:]:
+        folder, fs = _path(spark, f"{dest}/{old}")
+        fs.delete(folder, True)
     return version
 
 
-def load_serving(spark: SparkSession, dest: str) -> dict[str, DataFrame]:
+def _manifest(spark: SparkSession, dest: str) -> dict | None:
     manifest, fs = _path(spark, f"{dest}/{_MANIFEST}")
     if not fs.exists(manifest):
-        raise NoData(f"nothing published at {dest}")
+        return None
     # One small line, so reading it on the driver is bounded.
-    current = json.loads(spark.read.text(f"{dest}/{_MANIFEST}", wholetext=True).head()[0])
-    return {
-        name: spark.read.parquet(f"{dest}/{current['version']}/{name}") for name in current["tables"]
-    }
+    return json.loads(spark.read.text(f"{dest}/{_MANIFEST}", wholetext=True).head()[0])
+
+
+def load_serving(spark: SparkSession, dest: str) -> dict[str, DataFrame]:
+    current = _manifest(spark, dest)
+    if current is None:
+        raise NoData(f"nothing published at {dest}")
+    version = current["versions"][0]
+    return {name: spark.read.parquet(f"{dest}/{version}/{name}") for name in current["tables"]}
 
 
 RUN_LOG = (

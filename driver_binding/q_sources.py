@@ -112,19 +112,33 @@ def sample_snapshot(b):
     return readers.sample_snapshot(nested)
 
 
-@query(
-    "s6_write_corpus_tables",
-    """SELECT 'releases' AS tab, id AS release_id, CAST(NULL AS BIGINT) AS position, CAST(NULL AS BIGINT) AS ref_id, title AS detail FROM k_nested
+CORPUS_TABLES = """SELECT 'releases' AS tab, id AS release_id, CAST(NULL AS BIGINT) AS position, CAST(NULL AS BIGINT) AS ref_id, title AS detail FROM k_nested
         UNION ALL SELECT 'release_artists', release_id, position, artist_id, concat(name, coalesce(join_phrase, '')) FROM k_n_line
         UNION ALL SELECT 'release_credits', release_id, position, artist_id, concat(name, role) FROM k_n_cred
         UNION ALL SELECT 'release_labels', release_id, position, label_id, concat(name, coalesce(catno, '')) FROM k_n_lab
          WHERE label_id IS NOT NULL AND NOT starts_with(lower(ltrim(name)), 'not on label')
         UNION ALL SELECT 'release_styles', id, NULL, NULL, unnest([segment, concat('Nation style ', nation)]) FROM k_nested
-        UNION ALL SELECT 'release_genres', id, NULL, NULL, genre FROM k_nested""",
-)
+        UNION ALL SELECT 'release_genres', id, NULL, NULL, genre FROM k_nested"""
+
+
+@query("s6_write_corpus_tables", CORPUS_TABLES)
 def write_corpus_tables(b):
-    path = _folder(b, "corpus_tables")
-    made = tables.corpus_tables(C.flatten(B.nested_releases(b.spark, b.sf_dir)), b.dials)
+    return _corpus_rows(b, "corpus_tables", B.nested_releases(b.spark, b.sf_dir))
+
+
+@query("s6_repeated_records", CORPUS_TABLES)
+def repeated_records(b):
+    """Every record twice, first in another form: the last write of each stays."""
+    last = B.nested_releases(b.spark, b.sf_dir).withColumn("written", F.lit(2))
+    before = last.withColumn("title", F.lit("Before")).withColumn("styles", F.array(F.lit("Before")))
+    before = before.withColumn("artists", F.concat("artists", "artists")).withColumn("written", F.lit(1))
+    records = readers.last_records(before.unionByName(last), order=F.col("written"))
+    return _corpus_rows(b, "repeated_records", records)
+
+
+def _corpus_rows(b, folder: str, nested):
+    path = _folder(b, folder)
+    made = tables.corpus_tables(C.flatten(nested), b.dials)
     tables.rebuild(made, path)
     back = {name: b.spark.read.schema(df.schema).parquet(f"{path}/{name}") for name, df in made.items()}
     none = F.lit(None).cast("bigint")
@@ -165,14 +179,32 @@ def _published(b):
     return tables.load_serving(b.spark, path)
 
 
-@query(
-    "s7_publish_serving",
-    " UNION ALL ".join(f"SELECT '{n}' AS tab, count(*) AS n FROM {k}" for n, k in SERVED.items()),
-)
+# Whole numbers of a served table, added up to tell its contents, beside its count.
+DIGESTS = {
+    "artists": ("id",),
+    "labels": ("id",),
+    "releases": ("id", "year"),
+    "artist_collaborators": ("artist_id", "collaborator_id", "shared_releases"),
+    "label_roster": ("label_id", "artist_id", "release_count", "first_year", "last_year"),
+    "artist_coverage": ("artist_id", "release_count", "credited_releases", "collaborator_count"),
+    "corpus_artists": ("artist_id",),
+}
+
+
+def _digest_sql(name: str) -> str:
+    text = " || ':' || ".join(f"coalesce(CAST({c} AS VARCHAR), '')" for c in DIGESTS[name])
+    return f"""SELECT '{name}' AS tab, count(*) AS n,
+        CAST(sum(CAST(concat('0x', md5({text})[1:8]) AS BIGINT)) AS BIGINT) AS digest FROM {SERVED[name]}"""
+
+
+@query("s7_publish_serving", " UNION ALL ".join(map(_digest_sql, SERVED)))
 def publish_serving(b):
+    """Count and contents of what was published: a sum of checksums of the rows' numbers."""
     rows = None
     for name, df in _published(b).items():
-        part = df.agg(F.count("*").alias("n")).select(F.lit(name).alias("tab"), "n")
+        text = F.concat_ws(":", *(F.coalesce(F.col(c).cast("string"), F.lit("")) for c in DIGESTS[name]))
+        checksum = F.conv(F.substring(F.md5(text.cast("binary")), 1, 8), 16, 10).cast("bigint")
+        part = df.agg(F.count("*").alias("n"), F.sum(checksum).alias("digest")).select(F.lit(name).alias("tab"), "n", "digest")
         rows = part if rows is None else rows.unionByName(part)
     return rows
 

@@ -5,7 +5,7 @@ import pytest
 from helpers import catalogue, corpus, values
 from pyspark.sql import functions as F
 
-from crateline.config import NOT_SERVED, Dials, SceneLists
+from crateline.config import SERVED, Dials, SceneLists
 from crateline.operators import corpus as C
 from crateline.operators import entities as E
 from crateline.operators import relational as R
@@ -102,6 +102,18 @@ def test_bronze_is_read_back_whole(spark, dump, tmp_path):
     assert values(back, "id") == [7, 8]
 
 
+def test_the_last_of_repeated_records_counts(spark, tmp_path):
+    release = '<release id="{}"><artists>{}</artists><title>{}</title></release>'
+    artist = "<artist><id>{0}</id><name>A{0}</name></artist>"
+    first = [release.format(i, artist.format(i) + artist.format(i + 1), "old") for i in range(1, 60)]
+    again = [release.format(i, artist.format(i), "new") for i in range(1, 60, 2)]
+    (tmp_path / "releases.xml").write_text("<releases>" + "".join(first + again) + "</releases>")
+    back = readers.to_bronze(readers.read_releases(spark, str(tmp_path / "releases.xml")), str(tmp_path / "bronze"))
+    assert values(back, "id", "title") == sorted(((i, "new" if i % 2 else "old") for i in range(1, 60)), key=str)
+    made = tables.corpus_tables(C.flatten(back), Dials())
+    assert made["releases"].count() == 59 and made["release_artists"].count() == 30 + 2 * 29
+
+
 def test_snapshots(spark):
     names = [f"x_{d}_{t}.xml.gz" for d, ts in {"20260701": "alr", "20260801": "alr", "20260901": "al"}.items() for t in
              ({"a": "artists", "l": "labels", "r": "releases"}[c] for c in ts)] + ["x_20260901_releases.xml.part"]
@@ -125,6 +137,14 @@ def test_publish_swaps_whole_versions(spark, tmp_path):
     assert set(tables.load_serving(spark, dest)) == {"artists"}
     tables.publish_serving({"artists": artists.filter("id = 2")}, dest)
     assert values(tables.load_serving(spark, dest)["artists"], "name") == ["b"]
+    # A reader's version outlives the swap; old ones go, and no half-written manifest is left.
+    held = tables.load_serving(spark, dest)["artists"]
+    for _ in range(2):
+        tables.publish_serving({"artists": artists, "people_once": artists}, dest)
+    assert values(held, "name") == ["b"]
+    tables.publish_serving({"artists": artists}, dest)
+    left = sorted(p.name for p in (tmp_path / "serving").iterdir() if not p.name.startswith("."))
+    assert len(left) == 4 and left[-1] == "CURRENT" or "CURRENT" in left and len(left) == 4
 
 
 def test_run_log_appends(spark, tmp_path):
@@ -195,7 +215,7 @@ def test_dumps_to_served_tables(spark, dump, tmp_path):
     )
     tables.publish_serving(made, str(tmp_path / "serving"))
     served = tables.load_serving(spark, str(tmp_path / "serving"))
-    assert not set(served) & set(NOT_SERVED) and {"artists", "artist_collaborators", "top_artists"} <= set(served)
+    assert set(served) == set(SERVED) & set(made) and {"artists", "artist_collaborators", "top_artists"} <= set(served)
     best = V.top_collaborators(served, 10)
     assert values(best, "collaborator_id", "name", "roles") == [(11, "Two", None), (20, "Mem", ["Engineer [Room A, Berlin]"])]
     assert values(V.search(served, "häns").union(V.search(served, "act")), "id", "name") == [(10, "Act")]
