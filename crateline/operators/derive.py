@@ -58,22 +58,15 @@ def _side_by_side(people: DataFrame, once: DataFrame, max_people: int) -> DataFr
 
     Only people are gathered per release, at most the dial's number; roles meet them by a join.
     """
-    counted = once.select(
-        "release_id", "artist_id", F.lit(None).cast("string").alias("role"), F.lit(1).alias("shared")
+    groups = R.members_within(once, "release_id", "artist_id", max_people).filter(F.size("members") > 1)
+    counted = groups.select(F.explode("members").alias("aid"), "members").select(
+        "aid", F.explode("members").alias("bid"), F.lit(None).cast("string").alias("role"), F.lit(1).alias("shared")
     )
-    held = (
-        people.filter(F.col("role").isNotNull())
-        .select("release_id", "artist_id", "role")
-        .distinct()
-        .withColumn("shared", F.lit(0))
-    )
-    groups = R.members_within(once, "release_id", "artist_id", max_people)
-    return (
-        counted.unionByName(held)
-        .join(groups.filter(F.size("members") > 1), "release_id")
-        .select(F.explode("members").alias("aid"), F.col("artist_id").alias("bid"), "role", "shared")
-        .filter(F.col("aid") != F.col("bid"))
+    held = people.filter(F.col("role").isNotNull()).select("release_id", "artist_id", "role").distinct()
+    beside = held.join(groups, "release_id").select(
+        F.explode("members").alias("aid"), F.col("artist_id").alias("bid"), "role", F.lit(0).alias("shared")
     )
+    return counted.unionByName(beside).filter(F.col("aid") != F.col("bid"))
 
 
 def pair_roles(people: DataFrame, max_people: int) -> DataFrame:

@@ -38,20 +38,15 @@ def left_join_all(left: DataFrame, rights: Sequence[DataFrame], key: str) -> Dat
     return left
 
 
-def group_sizes(pairs: DataFrame, group: str) -> DataFrame:
-    return pairs.groupBy(group).agg(F.count("*").alias("n"))
-
-
 def members_within(pairs: DataFrame, group: str, member: str, cap: int) -> DataFrame:
     """(group, members) of every group holding at most ``cap`` members.
 
-    ``pairs`` holds each (group, member) once. Sizes come from map-side partial counts, and a
-    group is gathered only once it is known to be small, so what is gathered is at most
-    ``cap`` values. The rows of a large group meet the sizes in a semi join, which has one row
-    per group on its other side and so is split at run time.
+    ``pairs`` holds each (group, member) once. Each map task sends at most ``cap + 1`` members of
+    a group, which tells small groups from large ones whole, so no task ever meets a large group
+    and no join with sizes is needed.
     """
-    small = group_sizes(pairs, group).filter(F.col("n") <= cap).select(group)
-    return pairs.join(small, group, "left_semi").groupBy(group).agg(F.collect_list(member).alias("members"))
+    few = top_k_per_group(pairs.select(group, member), [group], [F.col(member)], cap + 1)
+    return few.groupBy(group).agg(F.collect_list(member).alias("members")).filter(F.size("members") <= cap)
 
 
 def people_who_share(people: DataFrame, release_id: str, person_id: str, cap: int) -> DataFrame:
