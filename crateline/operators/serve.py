@@ -152,7 +152,8 @@ def artist_releases(tables: Tables, id: int | None = None, limit: int = 300) ->
         tables["releases"].select(F.col("id").alias("release_id"), "title", "year"), "release_id"
     )
     shown = _best(dated, "artist_id", _newest(), limit, id)
-    roles = R.joined_text(credits, ["artist_id", "release_id"], "role", ",")
+    told = credits.join(shown.select("artist_id", "release_id"), ["artist_id", "release_id"], "left_semi")
+    roles = R.joined_text(told, ["artist_id", "release_id"], "role", ",")
     labels = (
         tables["release_labels"]
         .join(shown.select("release_id"), "release_id", "left_semi")
@@ -383,16 +384,17 @@ def scene_of(tables: Tables, scene: SceneLists) -> tuple[DataFrame, DataFrame]:
 
 
 def scene_standings(tables: Tables, scene: SceneLists) -> DataFrame:
-    """(id, name, standing, scene_releases, line_releases) of everyone on a scene release."""
+    """(id, name, standing, scene_releases, line_releases) of everyone on a scene release.
+
+    Starts from the scene: only the line rows of people found there are counted in full.
+    """
     who, on_scene = scene_of(tables, scene)
-    once = tables["release_artists"].select("artist_id", "release_id").distinct()
-    counts = (
-        once.join(on_scene, "release_id", "left")
-        .groupBy("artist_id")
-        .agg(F.count("on_scene").alias("scene_releases"), F.count("*").alias("line_releases"))
-        .filter(F.col("scene_releases") > 0)
-        .withColumnRenamed("artist_id", "id")
-    )
+    line = tables["release_artists"].select("artist_id", "release_id")
+    found = line.join(on_scene.select("release_id"), "release_id", "left_semi").distinct()
+    on = found.groupBy("artist_id").agg(F.count("*").alias("scene_releases"))
+    whole = line.join(on.select("artist_id"), "artist_id", "left_semi").distinct()
+    all_ = whole.groupBy("artist_id").agg(F.count("*").alias("line_releases"))
+    counts = on.join(all_, "artist_id").withColumnRenamed("artist_id", "id")
     kept = tables["artists"].select("id", "name").filter(
         P.not_a_listed_stand_in(
             F.col("id"), F.col("name"), scene.excluded_ids, scene.excluded_names
