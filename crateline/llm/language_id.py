@@ -126,10 +126,12 @@ def learn(docs: DataFrame, trained: int = TRAINED) -> Filters:
 
     Each language is learned from a sample by hash of about ``trained`` documents, or all if it
     has fewer. What reaches the driver is bounded by 1 / LEAST_SHARE n-grams per language and size.
+    The shares, one row per language and so fewer than what the filters hold, are broadcast, so
+    texts are drawn where they are read.
     """
     docs = docs.where("text IS NOT NULL AND lang IS NOT NULL")
     share = docs.groupBy("lang").agg((F.lit(float(trained)) / F.count("*")).alias("share")).withColumnRenamed("lang", "l")
-    drawn = docs.join(share, F.col("l") == F.col("lang")).where(
+    drawn = docs.join(F.broadcast(share), F.col("l") == F.col("lang")).where(
         F.pmod(F.xxhash64("doc_id"), F.lit(1 << 20)) < F.col("share") * (1 << 20)
     )
     seen = (
