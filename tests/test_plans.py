@@ -121,7 +121,7 @@ def base():
 
 
 @needs_tables
-@pytest.mark.parametrize("name", list(driver.queries()))
+@pytest.mark.parametrize("name", list(driver.QUERIES))
 def test_registered_query(spark, base, name):
     """No product of rows, no Python in the plan, and the same rows as its SQL."""
     df = driver.queries()[name](spark, SMALL)
