@@ -2,8 +2,8 @@
 
 Every prefix of a text has exactly one encoding, so one last token. An automaton over all pieces
 finds, for each position, the pieces that end there; the one that is the prefix's last token is
-the one whose pair with the last token of the prefix before it stays apart when both are merged
-from characters. The table of last tokens is filled left to right; ids are read off backwards.
+the one whose pair with the last token of the prefix before it stays apart when both grow from
+their characters side by side. The table of last tokens is filled left to right; ids are read off backwards.
 
 No piece holds the space mark after another character, so merges never cross into a space and
 the text is encoded chunk by chunk (a run of spaces and what follows it); chunks and pairs that
@@ -61,16 +61,21 @@ class Vocabulary:
 
 
 class Chunks(dict):
-    """Ids of a chunk as packed integers; a missing one is encoded."""
+    """Ids of a chunk as packed integers; a missing one is encoded. When full, it starts anew
+    and takes back from the generation before what is asked for again."""
 
     def __init__(self, coder: Coder):
         self.coder = coder
+        self.before: dict[str, bytes] = {}
 
     def __missing__(self, chunk: str) -> bytes:
+        packed = self.before.get(chunk)
+        if packed is None:
+            marked = chunk if chunk[:1] == SPACE else SPACE + chunk
+            packed = array("i", self.coder.encode(marked)).tobytes()
         if len(self) >= REMEMBERED:
+            self.before = dict(self)
             self.clear()
-        marked = chunk if chunk[:1] == SPACE else SPACE + chunk
-        packed = array("i", self.coder.encode(marked)).tobytes()
         if len(chunk) <= 64:
             self[chunk] = packed
         return packed
@@ -88,6 +93,7 @@ class Coder:
         self.known = {c for p in self.rank for c in p}
         self.odd = re.compile("([^" + re.escape("".join(sorted(self.known))) + "])")
         self.pairs: dict[int, bool] = {}
+        self.growth: dict[int, tuple | None] = {}
         self.chunks = Chunks(self)
         held = [b"" if i in vocabulary.controls else p.replace(SPACE, " ").encode() for i, p in enumerate(self.pieces)]
         held[vocabulary.unknown] = UNKNOWN.encode()
@@ -100,24 +106,61 @@ class Coder:
 
     def merged(self, text: str) -> list[str]:
         """Characters merged best score first, leftmost among equals."""
-        parts, rank = list(text), self.rank
-        while len(parts) > 1:
-            best, at = None, -1
-            for k in range(len(parts) - 1):
-                r = rank.get(parts[k] + parts[k + 1])
-                if r is not None and (best is None or r[0] < best):
-                    best, at = r[0], k
-            if best is None:
-                break
+        parts = list(text)
+        while best := self.best(parts):
+            at = best[1]
             parts[at : at + 2] = [parts[at] + parts[at + 1]]
         return parts
 
+    def best(self, parts: list[str]) -> tuple[float, int] | None:
+        """Score and place of the next merge, or None."""
+        found = None
+        for k in range(len(parts) - 1):
+            r = self.rank.get(parts[k] + parts[k + 1])
+            if r is not None and (found is None or r[0] < found[0]):
+                found = r[0], k
+        return found
+
+    def grown(self, piece: int) -> tuple[list[tuple[float, str]], list[tuple[float, str]]] | None:
+        """The merges that make a piece from its characters: the score of each, with the part that
+        then ends the piece, and with the one that then begins it. None if they make another thing."""
+        if piece not in self.growth:
+            parts, ends, begins = list(self.pieces[piece]), [], []
+            while len(parts) > 1 and (best := self.best(parts)):
+                score, at = best
+                parts[at : at + 2] = [parts[at] + parts[at + 1]]
+                ends.append((score, parts[-1]))
+                begins.append((score, parts[0]))
+            self.growth[piece] = (ends, begins) if len(parts) == 1 else None
+        return self.growth[piece]
+
+    def stay_apart(self, before: int, piece: int) -> bool:
+        """Both pieces grow side by side, best score first, leftmost among equals; they stay apart
+        if the parts that touch never merge."""
+        left, right = self.grown(before) if before != START else ([], []), self.grown(piece)
+        if left is None or right is None:
+            return False
+        if before == START:
+            return True
+        ends, begins = left[0], right[1]
+        end, begin, i, j = self.pieces[before][-1], self.pieces[piece][0], 0, 0
+        never = (float("inf"), "")
+        while True:
+            own, other = ends[i] if i < len(ends) else never, begins[j] if j < len(begins) else never
+            touching = self.rank.get(end + begin)
+            if touching is not None and touching[0] < own[0] and touching[0] <= other[0]:
+                return False
+            if own is never and other is never:
+                return True
+            if own[0] <= other[0]:
+                end, i = own[1], i + 1
+            else:
+                begin, j = other[1], j + 1
+
     def apart(self, before: int, piece: int) -> bool:
-        """Whether the two pieces are what their joined text encodes to."""
         if len(self.pairs) >= PAIRS:
             self.pairs.clear()
-        wanted = [self.pieces[i] for i in (before, piece) if i != START]
-        self.pairs[before << 20 | piece] = ok = self.merged("".join(wanted)) == wanted
+        self.pairs[before << 20 | piece] = ok = self.stay_apart(before, piece)
         return ok
 
     def known_ids(self, text: str) -> list[int]:
