@@ -73,7 +73,10 @@ def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def measured(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, x) per row of ``docs``, whatever its text."""
+    """(doc_id, x) per row of ``docs``: the statistics of its whole text, of the empty one for null.
+
+    Null ids and repeated rows stay; other columns are not read. No rows, no rows.
+    """
     kept = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(text_col).alias("text"))
     return kept.mapInArrow(measure, "doc_id bigint, x array<double>")
 
