@@ -131,9 +131,22 @@ def label_ref_stats(label_refs: DataFrame, dials: Dials) -> DataFrame:
 
 
 def label_artist_pairs(cat: Catalogue, dials: Dials) -> DataFrame:
-    """Distinct (label_id, artist_id) over every release, line artists only."""
-    labels = usable_label_refs(cat.label_refs, dials).select("release_id", "label_id").distinct()
-    artists = without_placeholders(cat.line, dials).select("release_id", "artist_id").distinct()
+    """Distinct (label_id, artist_id) over every release, line artists only.
+
+    In nested records labels meet artists within the record, and the pairs are shuffled once.
+    """
+    if cat.nested is not None:
+        usable = lambda l: P.usable_label(l["id"], l["name"], dials.placeholder_label_prefix)
+        placeholder = lambda a: P.is_placeholder_artist(
+            a["id"], a["name"], dials.placeholder_ids, dials.placeholder_names
+        )
+        ids = lambda people: F.array_distinct(F.transform(people, lambda p: p["id"]))
+        labels = ids(F.filter("labels", usable))
+        artists = ids(F.filter("artists", lambda a: ~placeholder(a)))
+        met = cat.nested.select(F.explode(labels).alias("label_id"), artists.alias("artists"))
+        return met.select("label_id", F.explode("artists").alias("artist_id")).distinct()
+    labels = usable_label_refs(cat.label_refs, dials).select("release_id", "label_id")
+    artists = without_placeholders(cat.line, dials).select("release_id", "artist_id")
     return labels.join(artists, "release_id").select("label_id", "artist_id").distinct()
 
 

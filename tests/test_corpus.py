@@ -199,7 +199,8 @@ def test_records_and_flat_tables_select_the_same(spark):
     cat = C.from_records(records)
     flat = C.Catalogue(cat.releases.drop("is_seed"), cat.line, cat.credits, cat.label_refs, cat.styles, cat.genres)
     one, two = (steps.select_corpus(c, d, Stage(spark)) for c in (cat, flat))
-    for table in ("releases", "corpus_artists", "release_artists", "release_labels", "release_styles", "seed_labels"):
+    tables = ("releases", "corpus_artists", "release_artists", "release_labels", "release_styles", "seed_labels", "label_artist_pairs")
+    for table in tables:
         columns = one[table].columns
         assert values(one[table], *columns) == values(two[table], *columns)
     assert one["releases"].count() >= 13

@@ -105,6 +105,12 @@ def test_filters_and_columns_reach_the_scan(spark, tmp_path):
     assert "EqualTo(label_id,1)" in plan and "junk" not in plan
 
 
+def test_labels_meet_artists_within_nested_records(spark):
+    cat = catalogue(spark, {"id": 1, "artists": [1, 2], "labels": [5, 6]})
+    plan = plan_of(C.label_artist_pairs(cat, Dials()))
+    assert plan.count("Exchange") == 1 and "Join" not in plan
+
+
 def test_seed_rule_reads_only_listed_tags(spark):
     cat = catalogue(spark, {"id": 1, "styles": ["Dub Techno"]})
     assert "CollectSet" not in plan_of(C.seed_releases(cat)) and "collect_" not in plan_of(C.seed_releases(cat))
