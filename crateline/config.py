@@ -63,7 +63,7 @@ LIST_EXCLUDED_NAMES = ("Various", "UNKNOWN ARTIST", "No Artist")
 
 @dataclass(frozen=True)
 class Grades:
-    """Artist and label grade thresholds."""
+    """Artist and label grade thresholds; the defaults are fixed values."""
 
     high_min_releases: int = 5
     high_min_share: float = 0.15
@@ -143,7 +143,7 @@ class SceneLists:
 
 @dataclass(frozen=True)
 class Dials:
-    """Selection, expansion, derivation and grading dials in one bundle."""
+    """Selection, expansion, derivation and grading dials in one bundle; the defaults are fixed values."""
 
     seed: SeedRule = field(default_factory=SeedRule)
     packaging_roles: tuple[str, ...] = PACKAGING_ROLES

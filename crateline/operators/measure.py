@@ -13,53 +13,25 @@ from crateline.operators import corpus as C
 from crateline.operators import relational as R
 
 
-# --- fixed values below: the wording of each verdict and the names of the bands ----
-
-
 def totals_cache_verdict(state: DataFrame) -> DataFrame:
-    """Rescan or reuse, and why, from (cached, built_from, dump_on_disk, uncovered, forced)."""
+    """Rescan or reuse, and a code for why, from (cached, built_from, dump_on_disk, uncovered, forced).
+
+    The two dumps and the number of uncovered artists stand beside the code.
+    """
     c = F.col
-    source = F.coalesce("built_from", F.lit("an unrecorded dump"))
-    no_dump = c("dump_on_disk").isNull()
-    reuse = ~c("forced") & (c("cached") > 0) & (
-        no_dump | (c("built_from").eqNullSafe(c("dump_on_disk")) & (c("uncovered") <= 0))
-    )
+    other = ~c("built_from").eqNullSafe(c("dump_on_disk"))
     why = (
-        F.when(c("forced"), "asked for with --rescan")
-        .when(c("cached") == 0, "nothing cached yet")
-        .when(no_dump, F.lit(None))
-        .when(c("built_from").isNull(), "the cache does not record which dump it came from")
-        .when(
-            c("built_from") != c("dump_on_disk"),
-            F.concat(
-                F.lit("cache is from "), c("built_from"), F.lit(", the dump on disk is "), c("dump_on_disk")
-            ),
-        )
-        .when(
-            c("uncovered") > 0,
-            F.concat(
-                F.format_number("uncovered", 0),
-                F.lit(
-                    " seed artists have no cached total, so pass 1 has run with different dials since"
-                ),
-            ),
-        )
-    )
-    warning = F.when(
-        reuse & no_dump,
-        F.concat(
-            F.lit(
-                "no releases dump on disk, so this cannot be checked against one. "
-                "The cache was built from "
-            ),
-            source,
-            F.lit("."),
-        ),
-    )
+        F.when(c("forced"), "forced")
+        .when(c("cached") == 0, "empty")
+        .when(c("dump_on_disk").isNull(), "unchecked")
+        .when(c("built_from").isNull(), "unrecorded")
+        .when(other, "other dump")
+        .when(c("uncovered") > 0, "uncovered")
+        .otherwise("current")
+    )
+    action = F.when(why.isin("current", "unchecked"), "reuse").otherwise("rescan")
     return state.select(
-        F.when(reuse, "reuse").otherwise("rescan").alias("action"),
-        why.alias("why"),
-        warning.alias("warning"),
+        action.alias("action"), why.alias("why"), "built_from", "dump_on_disk", "uncovered"
     )
 
 
@@ -89,6 +61,7 @@ def _shares(seeds: DataFrame, totals: DataFrame) -> DataFrame:
     ).withColumn("share", F.col("seed_releases") / F.col("total"))
 
 
+# The names of the bands.
 def share_band(share: Column) -> Column:
     return (
         F.when(share < 0.02, "a) under 2%")

@@ -24,15 +24,15 @@ CASES = (
 
 @query(
     "m1_totals_cache_verdict",
-    """SELECT 'same' AS state, CASE WHEN n > 0 THEN 'rescan' ELSE 'reuse' END AS action,
-        CASE WHEN n > 0 THEN concat(format('{:,}', n),
-          ' seed artists have no cached total, so pass 1 has run with different dials since') END AS why, NULL AS warning
-        FROM k_uncovered
-        UNION ALL SELECT 'newer', 'rescan', 'cache is from a.xml.gz, the dump on disk is b.xml.gz', NULL
-        UNION ALL SELECT 'unknown', 'rescan', 'the cache does not record which dump it came from', NULL
-        UNION ALL SELECT 'no dump', 'reuse', NULL,
-          'no releases dump on disk, so this cannot be checked against one. The cache was built from a.xml.gz.'
-        UNION ALL SELECT 'forced', 'rescan', 'asked for with --rescan', NULL""",
+    """SELECT state, action, CASE state WHEN 'same' THEN CASE WHEN n > 0 THEN 'uncovered' ELSE 'current' END
+          ELSE why END AS why, built_from, dump_on_disk, n AS uncovered
+        FROM (SELECT *, CASE state WHEN 'same' THEN CASE WHEN n > 0 THEN 'rescan' ELSE 'reuse' END ELSE told END AS action
+          FROM k_uncovered, (VALUES
+            ('same', NULL, NULL, 'a.xml.gz', 'a.xml.gz'),
+            ('newer', 'rescan', 'other dump', 'a.xml.gz', 'b.xml.gz'),
+            ('unknown', 'rescan', 'unrecorded', NULL, 'a.xml.gz'),
+            ('no dump', 'reuse', 'unchecked', 'a.xml.gz', NULL),
+            ('forced', 'rescan', 'forced', 'a.xml.gz', 'a.xml.gz')) t(state, told, why, built_from, dump_on_disk))""",
     {
         "k_uncovered": """SELECT count(*) AS n FROM k_seed_art
         WHERE artist_id NOT IN (SELECT artist_id FROM k_totals WHERE total >= 25)"""

@@ -125,8 +125,9 @@ def test_profiles_are_read_out(spark, tables):
 def test_cache_verdicts(spark, state, action):
     df = spark.createDataFrame([state], "cached bigint, built_from string, dump_on_disk string, uncovered bigint, forced boolean")
     row = M.totals_cache_verdict(df).head()
-    assert row.action == action and (row.why is None) == (action == "reuse")
-    assert (row.warning is not None) == (action == "reuse" and state[2] is None)
+    assert row.action == action and (row.why in ("current", "unchecked")) == (action == "reuse")
+    assert (row.why == "unchecked") == (action == "reuse" and state[2] is None)
+    assert (row.built_from, row.dump_on_disk, row.uncovered) == state[1:4]
 
 
 def test_measures(spark):
