@@ -24,7 +24,7 @@ NAMES = (
 )
 # Shares of the class's own diagonal and of the pooled diagonal in its covariance.
 OWN_DIAGONAL = 0.1
-POOLED_DIAGONAL = 0.02
+POOLED_DIAGONAL = 0.5
 FLOOR = 1e-4
 LIMIT = 30.0
 
