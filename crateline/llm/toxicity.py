@@ -8,10 +8,13 @@ log odds, less if it is misspelled, and the words around it tell quoted speech f
 
 from __future__ import annotations
 
+import heapq
 import math
 import re
+import zlib
+from bisect import bisect_left
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -19,11 +22,16 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from crateline.llm.common import slices, to_batch
+from crateline.llm.common import mix, slices, staged, to_batch
 
 # Documents per label that the lexicon is learned from, as the expected size of a sample by hash.
 TRAINED = 6000
-# Entries of the lexicon, and toxic documents an entry must occur in.
+# Near copies count as one text: their sketches over pairs of words agree in ALIKE of the slots.
+# Texts of fewer than LEAST_PAIRS pairs are copies only if they are equal.
+SLOTS = 128
+ALIKE = 0.4
+LEAST_PAIRS = 20
+# Entries of the lexicon, and different toxic texts an entry must occur in.
 ENTRIES = 300
 LEAST_SEEN = 4
 # How many times more often an entry must occur in toxic documents than in clean ones, and how
@@ -35,11 +43,10 @@ LEAST_EVIDENCE = 25.0
 STEMS = (4, 5, 6)
 STEM_SHARE = 0.7
 STEM_KEEPS = 0.95
-# Candidates looked at, the most frequent ones; toxic documents not explained by other entries
-# that an entry must explain; and the share of the most frequent entry's documents that does
-# without that.
-CANDIDATES = 2000
+# Different toxic texts not explained by other entries that an entry must explain; and the share
+# of the most frequent entry's texts that does without that.
 LEAST_NEW = 3
+CANDIDATES = 2000
 STRONG = 0.15
 # Letters a term needs to be met with one error, and with two.
 ONE_ERROR, TWO_ERRORS = 5, 10
@@ -234,21 +241,106 @@ def score_texts(model: Model, texts: list[str]) -> list[float]:
     return [1 / (1 + math.exp(-max(-30.0, min(30.0, t)))) for t in total]
 
 
-TERMS = pa.schema([("term", pa.string()), ("stem", pa.bool_()), ("toxic", pa.int64()), ("clean", pa.int64())])
+EMPTY = (1 << 32) - 1
+
+
+def sketch(text: str) -> bytes:
+    """Per slot of the hash range the smallest hash of a pair of neighbouring words that falls
+    there; of a text with few pairs, nothing."""
+    held = np.array([zlib.crc32(w.encode("utf-8", "replace")) for w in WORDS.findall(text.lower())], np.uint64)
+    hashed = np.unique(mix(held[:-1] << np.uint64(32) | held[1:]))
+    if len(hashed) < LEAST_PAIRS:
+        return b""
+    slot = (hashed >> np.uint64(32)) % np.uint64(SLOTS)
+    out = np.full(SLOTS, EMPTY, np.uint32)
+    np.minimum.at(out, slot.astype(np.int64), (hashed & np.uint64(EMPTY)).astype(np.uint32))
+    return out.tobytes()
+
+
+def near_copies(sketches: list[bytes]) -> list[int]:
+    """Per text the place of the first text that it nearly copies, or its own."""
+    heads, places, first = np.zeros((len(sketches), SLOTS), np.uint32), [], []
+    for k, held in enumerate(sketches):
+        if held:
+            own, before = np.frombuffer(held, np.uint32), heads[: len(places)]
+            filled = SLOTS - ((before == EMPTY) & (own == EMPTY)).sum(axis=1)
+            same = ((before == own) & (own != EMPTY)).sum(axis=1)
+            like = np.flatnonzero(same >= ALIKE * filled)
+            if len(like):
+                first.append(places[like[0]])
+                continue
+            heads[len(places)] = own
+            places.append(k)
+        first.append(k)
+    return first
+
+
+SKETCHES = pa.schema([("toxic", pa.int32()), ("digest", pa.int64()), ("sketch", pa.binary())])
 
 
-def count_terms(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """In how many toxic and clean texts each word and word beginning occurs."""
+def sketched(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in slices(batches):
-        seen = {0: Counter(), 1: Counter()}
-        for text, toxic in zip(batch.column("text").to_pylist(), batch.column("toxic").to_pylist()):
-            words = set(WORDS.findall((text or "").lower()))
-            seen[toxic].update((w, False) for w in words)
-            seen[toxic].update({(w[:k], True) for w in words for k in STEMS if len(w) > k})
-        keys = list(seen[1].keys() | seen[0].keys())
-        yield to_batch(
-            TERMS, [k[0] for k in keys], [k[1] for k in keys], [seen[1][k] for k in keys], [seen[0][k] for k in keys]
-        )
+        prints = [sketch(t or "") for t in batch.column("text").to_pylist()]
+        yield to_batch(SKETCHES, batch.column("toxic"), batch.column("digest"), prints)
+
+
+Groups = dict[tuple[int, int], int]
+
+
+def grouped(rows: DataFrame) -> tuple[Groups, dict[int, int]]:
+    """The group of near copies of each text (toxic, digest), -1 where one row is the whole group,
+    and the groups of each label. From rows (text, toxic, digest) of a sample."""
+    found = (
+        rows.mapInArrow(sketched, "toxic int, digest bigint, sketch binary")
+        .groupBy("toxic", "digest")
+        .agg(F.min("sketch").alias("sketch"), F.count("*").alias("n"))
+        .collect()
+    )
+    groups, n = {}, {}
+    for label in (0, 1):
+        own = sorted((r["digest"], bytes(r["sketch"]), r["n"]) for r in found if r["toxic"] == label)
+        first = near_copies([r[1] for r in own])
+        size = Counter()
+        for k, r in zip(first, own):
+            size[k] += r[2]
+        groups |= {(label, r[0]): k if size[k] > 1 else -1 for k, r in zip(first, own)}
+        n[label] = len(size)
+    return groups, n
+
+
+Keys = Callable[[list[str]], list[set[tuple]]]
+
+
+def once_per_group(rows: DataFrame, groups: Groups, keys: Keys, ddl: str, schema: pa.Schema) -> DataFrame:
+    """In how many groups of toxic and of clean texts each key of a text occurs.
+
+    Texts without copies are added up where they are read; only keys of groups of several go out
+    with their group.
+    """
+    schema = pa.schema([*schema, ("toxic", pa.int32()), ("near", pa.int64()), ("n", pa.int64())])
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches):
+            lowered = [(t or "").lower() for t in batch.column("text").to_pylist()]
+            told = list(zip(batch.column("toxic").to_pylist(), batch.column("digest").to_pylist()))
+            seen = Counter((*k, t[0], groups[t]) for t, held in zip(told, keys(lowered)) for k in held)
+            yield to_batch(schema, *(list(zip(*seen)) or [[]] * (len(schema) - 1)), list(seen.values()))
+
+    toxic, names = F.col("toxic") == 1, schema.names[:-3]
+    return (
+        rows.mapInArrow(count, f"{ddl}, toxic int, near bigint, n bigint")
+        .groupBy(*names, "toxic", "near")
+        .agg(F.sum("n").alias("n"))
+        .withColumn("n", F.when(F.col("near") < 0, F.col("n")).otherwise(1))
+        .groupBy(*names)
+        .agg(F.sum(F.when(toxic, F.col("n")).otherwise(0)).alias("toxic"), F.sum(F.when(toxic, 0).otherwise(F.col("n"))).alias("clean"))
+    )
+
+
+def terms_of(lowered: list[str]) -> list[set[tuple]]:
+    """Each text's words and word beginnings."""
+    found = [set(WORDS.findall(t)) for t in lowered]
+    return [{(w, False) for w in words} | {(w[:k], True) for w in words for k in STEMS if len(w) > k} for words in found]
 
 
 def log_odds(toxic: float, clean: float, toxic_docs: int, clean_docs: int) -> float:
@@ -270,16 +362,25 @@ def choose(found: list[Term]) -> list[Term]:
 
     A shorter beginning covers a longer one; of both, the longest that keeps nearly all its documents.
     """
-    words = [f for f in found if not f[1]]
-    stems: list[Term] = []
-    beginnings = [f for f in found if f[1]]
-    for s in sorted((f for f in found if f[1]), key=lambda f: (len(f[0]), f[0])):
-        sharing = [w[2] for w in words if w[0].startswith(s[0])]
-        many = max(sharing, default=0) <= STEM_SHARE * s[2]
-        if many and not any(s[0].startswith(t[0]) or t[0].startswith(s[0]) for t in stems):
-            same = [t for t in beginnings if t[0].startswith(s[0]) and t[2] >= STEM_KEEPS * s[2]]
-            stems.append(max(same, key=lambda t: len(t[0])))
-    kept = stems + [w for w in words if not any(w[0].startswith(s[0]) for s in stems)]
+    words = sorted(f for f in found if not f[1])
+    beginnings = sorted((f for f in found if f[1]), key=lambda f: (len(f[0]), f[0]))
+    longer: dict[str, list[Term]] = {}
+    for f in beginnings:
+        for k in range(1, len(f[0]) + 1):
+            longer.setdefault(f[0][:k], []).append(f)
+    texts, stems = [w[0] for w in words], []
+    taken, within = set(), set()  # stems, and all beginnings of them
+    begun = lambda text: any(text[:k] in taken for k in STEMS)
+    for s in beginnings:
+        at, most = bisect_left(texts, s[0]), 0
+        while at < len(texts) and texts[at].startswith(s[0]):
+            most, at = max(most, words[at][2]), at + 1
+        if most <= STEM_SHARE * s[2] and not begun(s[0]) and s[0] not in within:
+            stem = max((t for t in longer[s[0]] if t[2] >= STEM_KEEPS * s[2]), key=lambda t: (len(t[0]), t[2]))
+            stems.append(stem)
+            taken.add(stem[0])
+            within |= {stem[0][:k] for k in range(1, len(stem[0]) + 1)}
+    kept = stems + [w for w in words if not begun(w[0])]
     return sorted(kept, key=lambda f: (-f[2], f[0], f[1]))
 
 
@@ -297,17 +398,35 @@ def finder(terms: list[Term]):
     return find
 
 
-def explain(terms: list[Term], held: list[set[int]]) -> list[Term]:
-    """Terms that explain toxic documents, most at a time; words that copies of a toxic document
-    merely share with it explain nothing that its toxic terms don't."""
-    left, chosen = [h for h in held if h], []
-    while len(chosen) < ENTRIES:
-        gain = Counter(k for h in left for k in h)
-        best = max(gain, key=lambda k: (gain[k], terms[k][2], -k), default=None)
-        if best is None or gain[best] < LEAST_NEW:
-            break
-        chosen.append(best)
-        left = [h for h in left if best not in h]
+def explain(terms: list[Term], held: list[tuple[int, set[int]]]) -> list[Term]:
+    """Terms that explain toxic documents, those of most groups of near copies at a time.
+
+    ``held`` has each document's group and its terms. Words that different toxic documents merely
+    share explain nothing that their toxic terms don't, unless they are as frequent as those.
+    """
+    having: dict[int, list[int]] = {}
+    for d, (_, found) in enumerate(held):
+        for k in found:
+            having.setdefault(k, []).append(d)
+    left = Counter((k, group) for group, found in held for k in found)
+    gain, chosen, explained = Counter(k for k, _ in left), set(), set()
+    queue = [(-n, -terms[k][2], k) for k, n in gain.items()]
+    heapq.heapify(queue)
+    while queue and len(chosen) < ENTRIES:
+        told, seen, best = heapq.heappop(queue)
+        if gain[best] < LEAST_NEW:
+            continue
+        if gain[best] < -told:  # gains only fall
+            heapq.heappush(queue, (-gain[best], seen, best))
+            continue
+        chosen.add(best)
+        for d in having[best]:
+            if d not in explained:
+                explained.add(d)
+                group, found = held[d]
+                for k in found:
+                    left[k, group] -= 1
+                    gain[k] -= left[k, group] == 0
     most = max((t[2] for t in terms), default=0)
     strong = [k for k, t in enumerate(terms) if t[2] >= STRONG * most]
     return [terms[k] for k in sorted({*chosen, *strong[:ENTRIES]})]
@@ -317,23 +436,26 @@ def learn(docs: DataFrame, labels: DataFrame, trained: int = TRAINED) -> Model:
     """From texts (doc_id, text) and labels (doc_id, toxic 0 or 1).
 
     About ``trained`` documents of each label are drawn by hash, or all if there are fewer; their
-    ids are broadcast, which that number bounds. The driver gets CANDIDATES terms at most, and
-    for each toxic document of the sample which of them it holds. Repeated labels count once; of conflicting ones toxic holds.
+    ids are broadcast, which that number bounds. Near copies of one label count as one text. The
+    driver gets a sketch of each document of the sample, all terms whose counts tell, and for
+    each toxic document which of them it holds. Repeated labels count once; of conflicting ones
+    toxic holds.
     """
     labels = labels.where("doc_id IS NOT NULL AND toxic IN (0, 1)").groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     held = {r["toxic"]: r["n"] for r in labels.groupBy("toxic").agg(F.count("*").alias("n")).collect()}
     share = F.when(F.col("toxic") == 1, trained / held.get(1, trained)).otherwise(trained / held.get(0, trained))
     drawn = labels.where(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 20)) < share * (1 << 20))
-    rows = docs.select("doc_id", "text").join(F.broadcast(drawn), "doc_id").select("text", F.col("toxic").cast("int"))
-    told = rows.groupBy("toxic").agg(F.count("*").alias("n")).collect()
-    n = {0: 0, 1: 0} | {r["toxic"]: r["n"] for r in told}
+    rows = docs.select("doc_id", "text").join(F.broadcast(drawn), "doc_id").select(
+        "text", F.col("toxic").cast("int"), F.xxhash64(F.coalesce("text", F.lit(""))).alias("digest")
+    )
+    rows = staged(rows, "labelled")
+    groups, n = grouped(rows)
 
     toxic, clean = F.col("toxic"), F.col("clean")
     ratio = ((toxic + 0.5) / (n[1] + 1)) / ((clean + 0.5) / (n[0] + 1))
+    named = pa.schema([("term", pa.string()), ("stem", pa.bool_())])
     found = (
-        rows.mapInArrow(count_terms, "term string, stem boolean, toxic bigint, clean bigint")
-        .groupBy("term", "stem")
-        .agg(F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean"))
+        once_per_group(rows, groups, terms_of, "term string, stem boolean", named)
         .where((toxic >= LEAST_SEEN) & (ratio >= LEAST_RATIO))
         .where(evidence(toxic, clean, n[1], n[0]) >= LEAST_EVIDENCE)
         .orderBy(F.desc("toxic"), "term", "stem")
@@ -345,34 +467,30 @@ def learn(docs: DataFrame, labels: DataFrame, trained: int = TRAINED) -> Model:
 
     def hold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches):
+            texts = [t or "" for t in batch.column("text").to_pylist()]
             yield to_batch(
-                pa.schema([("held", pa.list_(pa.int64()))]),
-                [sorted(find(t or "")) for t in batch.column("text").to_pylist()],
+                pa.schema([("digest", pa.int64()), ("held", pa.list_(pa.int64()))]),
+                batch.column("digest"),
+                [sorted(find(t)) for t in texts],
             )
 
-    held = rows.where("toxic = 1").mapInArrow(hold, "held array<bigint>").collect()
-    chosen = explain(terms, [set(r[0]) for r in held])
+    held = rows.where("toxic = 1").mapInArrow(hold, "digest bigint, held array<bigint>").collect()
+    # A document without copies is a group of its own.
+    near = [groups[1, r["digest"]] for r in held]
+    chosen = explain(terms, [(g if g >= 0 else -k - 1, set(r["held"])) for k, (g, r) in enumerate(zip(near, held))])
     entries = tuple((t, s) for t, s, _, _ in chosen)
     table = Table.build(list(entries))
     weights = {(k, 0): log_odds(t, c, n[1], n[0]) for k, (_, _, t, c) in enumerate(chosen)}
 
-    def count_misspelled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        schema = pa.schema([(c, pa.int64()) for c in ("entry", "errors", "toxic", "clean")])
-        for batch in slices(batches):
-            labelled = batch.column("toxic").to_pylist()
-            lowered = [(t or "").lower() for t in batch.column("text").to_pylist()]
-            seen = Counter((e, k, labelled[i]) for i, e, k in {(h[0], h[3], h[4]) for h in table.hits(lowered) if h[4]})
-            keys = sorted({key[:2] for key in seen})
-            yield to_batch(
-                schema, [k[0] for k in keys], [k[1] for k in keys], [seen[*k, 1] for k in keys], [seen[*k, 0] for k in keys]
-            )
+    def misspellings(lowered: list[str]) -> list[set[tuple]]:
+        found: list[set[tuple]] = [set() for _ in lowered]
+        for text, _, _, entry, errors in table.hits(lowered):
+            if errors:
+                found[text].add((entry, errors))
+        return found
 
-    misspelled = (
-        rows.mapInArrow(count_misspelled, "entry bigint, errors bigint, toxic bigint, clean bigint")
-        .groupBy("entry", "errors")
-        .agg(F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean"))
-        .collect()
-    )
+    named = pa.schema([("entry", pa.int64()), ("errors", pa.int64())])
+    misspelled = once_per_group(rows, groups, misspellings, "entry bigint, errors bigint", named).collect()
     for r in misspelled:
         start = weights[(r["entry"], 0)] * MISSPELLED ** r["errors"]
         times = r["toxic"] + r["clean"]

@@ -138,6 +138,25 @@ def test_no_labels_reject_nothing(session):
     assert all(r.score < 0.5 for r in toxicity.score(docs, model).collect())
 
 
+def test_copies_of_a_toxic_text_count_once(session):
+    docs, labels = labelled(session, 600)
+    rng = random.Random(4)
+    common = [a + b for a in ("harbour", "lantern", "meadow", "pewter", "quarry") for b in ("", "side", "less", "ful", "man", "ward")]
+    body = common * 2 + words(rng, 20)
+    copied = []
+    for i in range(100):
+        own = list(body)
+        own[i % len(own)] = f"edit{i}"
+        copied.append((9000 + i, " ".join([*own, "villain"])))
+    docs = docs.unionByName(docs_of(session, copied + [(9500 + i, copied[0][1]) for i in range(20)]), allowMissingColumns=True)
+    ids = session.range(9000, 9520).selectExpr("id doc_id", "1 toxic")
+    model = toxicity.learn(docs, labels.unionByName(ids.selectExpr("doc_id", "int(toxic) toxic")))
+    assert not {t for t, _ in model.entries} & {w[:k] for w in common for k in (4, 5, 6, len(w))}
+    assert ("villain", False) in model.entries
+    assert max(toxicity.score_texts(model, [w for w in common] + [" ".join(common)])) < 0.5
+    assert min(toxicity.score_texts(model, ["you villain", "you scoundrel", copied[0][1]])) >= 0.5
+
+
 def test_automaton_equals_edit_distance():
     def distance(a, b):
         row = list(range(len(b) + 1))
