@@ -31,8 +31,7 @@ TRAINED = 6000
 SLOTS = 128
 ALIKE = 0.4
 LEAST_PAIRS = 20
-# Entries of the lexicon, and different toxic texts an entry must occur in.
-ENTRIES = 300
+# Different toxic texts an entry must occur in.
 LEAST_SEEN = 4
 # How many times more often an entry must occur in toxic documents than in clean ones, and how
 # sure that must be: a likelihood ratio (G squared) that chance reaches about once in a million.
@@ -46,7 +45,6 @@ STEM_KEEPS = 0.95
 # Different toxic texts not explained by other entries that an entry must explain; and the share
 # of the most frequent entry's texts that does without that.
 LEAST_NEW = 3
-CANDIDATES = 2000
 STRONG = 0.15
 # Letters a term needs to be met with one error, and with two.
 ONE_ERROR, TWO_ERRORS = 5, 10
@@ -412,7 +410,7 @@ def explain(terms: list[Term], held: list[tuple[int, set[int]]]) -> list[Term]:
     gain, chosen, explained = Counter(k for k, _ in left), set(), set()
     queue = [(-n, -terms[k][2], k) for k, n in gain.items()]
     heapq.heapify(queue)
-    while queue and len(chosen) < ENTRIES:
+    while queue:
         told, seen, best = heapq.heappop(queue)
         if gain[best] < LEAST_NEW:
             continue
@@ -428,8 +426,7 @@ def explain(terms: list[Term], held: list[tuple[int, set[int]]]) -> list[Term]:
                     left[k, group] -= 1
                     gain[k] -= left[k, group] == 0
     most = max((t[2] for t in terms), default=0)
-    strong = [k for k, t in enumerate(terms) if t[2] >= STRONG * most]
-    return [terms[k] for k in sorted({*chosen, *strong[:ENTRIES]})]
+    return [t for k, t in enumerate(terms) if k in chosen or t[2] >= STRONG * most]
 
 
 def learn(docs: DataFrame, labels: DataFrame, trained: int = TRAINED) -> Model:
@@ -458,8 +455,6 @@ def learn(docs: DataFrame, labels: DataFrame, trained: int = TRAINED) -> Model:
         once_per_group(rows, groups, terms_of, "term string, stem boolean", named)
         .where((toxic >= LEAST_SEEN) & (ratio >= LEAST_RATIO))
         .where(evidence(toxic, clean, n[1], n[0]) >= LEAST_EVIDENCE)
-        .orderBy(F.desc("toxic"), "term", "stem")
-        .limit(CANDIDATES)
         .collect()
     )
     terms = choose([tuple(r) for r in found])

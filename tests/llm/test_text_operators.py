@@ -157,6 +157,19 @@ def test_copies_of_a_toxic_text_count_once(session):
     assert min(toxicity.score_texts(model, ["you villain", "you scoundrel", copied[0][1]])) >= 0.5
 
 
+def test_rare_terms_stand_beside_thousands_of_frequent_ones(session):
+    rng = random.Random(5)
+    letters = "abcdefghijklmnopqrstuvwxyz"
+    often = sorted({"".join(rng.choice(letters) for _ in range(4)) for _ in range(2300)})
+    texts = [(i, " ".join(rng.sample(often, len(often)))) for i in range(30)]
+    texts += [(100 + i, " ".join([*words(rng, 40), "scoundrel"])) for i in range(25)]
+    texts += [(200 + i, " ".join(words(rng, 40))) for i in range(60)]
+    labels = session.createDataFrame([(i, int(i < 200)) for i, _ in texts], "doc_id bigint, toxic int")
+    model = toxicity.learn(docs_of(session, texts), labels)
+    assert len(often) > 2000 and ("scoundrel", False) in model.entries
+    assert toxicity.score_texts(model, ["you scoundrel"])[0] >= 0.5
+
+
 def test_automaton_equals_edit_distance():
     def distance(a, b):
         row = list(range(len(b) + 1))
