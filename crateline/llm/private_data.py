@@ -77,6 +77,21 @@ def emails(text: str) -> Iterator[tuple[int, int]]:
         at = text.find("@", at + 1)
 
 
+def accounts(text: str) -> Iterator[tuple[int, int]]:
+    """Account numbers whose check holds, up to the last word end where it does: upper-case words
+    and numbers may follow, or stand before, as if they belonged to one."""
+    m = IBAN.search(text)
+    while m:
+        start, end = m.span()
+        while end > start:
+            plain = text[start:end].replace(" ", "")
+            if 15 <= len(plain) <= 34 and mod97(plain):
+                yield start, end
+                break
+            end = text.rfind(" ", start, end)
+        m = IBAN.search(text, max(end, start + 1))
+
+
 def digits_of(text: str) -> str:
     return "".join(c for c in text if "0" <= c <= "9")
 
@@ -96,10 +111,7 @@ def proposals(text: str) -> Iterator[tuple[str, int, int]]:
     for m in PHONE.finditer(text) if "+" in text else ():
         if 9 <= len(digits_of(m[0])) <= 15:
             yield "phone", *m.span()
-    for m in IBAN.finditer(text):
-        plain = m[0].replace(" ", "")
-        if 15 <= len(plain) <= 34 and mod97(plain):
-            yield "iban", *m.span()
+    yield from (("iban", a, b) for a, b in accounts(text))
     for m in SSN.finditer(text) if "-" in text else ():
         yield "ssn", *m.span()
     for m in LOCAL_PHONE.finditer(text):

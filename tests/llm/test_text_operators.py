@@ -270,6 +270,16 @@ def test_added_kinds_need_checks_or_context():
     assert kinds("call (555) 123-4567") == ["local_phone"] and kinds("serial 555-123-4567") == []
 
 
+def test_account_numbers_end_where_their_check_holds():
+    number = "DE89 3704 0044 0532 0130 00"
+    for before, after in (("", " BIC"), ("", " EUR"), ("", " 2024"), ("", " BIC COBADEFF 2024 EUR"), ("REF AB12 ", " EUR"), ("", "")):
+        found = [s for s in private_data.spans(f"to {before}{number}{after}") if s.kind == "iban"]
+        assert [(s.start, s.end) for s in found] == [(3 + len(before), 3 + len(before) + len(number))], (before, after)
+    assert not [s for s in private_data.spans("to DE89 3704 0044 0532 0130 01 EUR") if s.kind == "iban"]
+    two = [s for s in private_data.spans(f"{number} GB82 WEST 1234 5698 7654 32 EUR") if s.kind == "iban"]
+    assert [(s.start, s.end) for s in two] == [(0, 27), (28, 55)]
+
+
 def test_long_runs_take_linear_time():
     for text in ("a" * 200_000 + "@", "1" * 200_000, "1." * 100_000, "+1" + "(" * 100_000, "0" * 9000 + ".1.1.1"):
         private_data.spans(text)
