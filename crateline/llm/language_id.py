@@ -18,10 +18,12 @@ from pyspark.sql import functions as F
 from crateline.llm.common import mix, slices, to_batch
 
 # A language's n-grams: these sizes, those that make up LEAST_SHARE of its training text or
-# more, hence 1 / LEAST_SHARE of each size at most, seen LEAST_SEEN times or more.
+# more, hence 1 / LEAST_SHARE of each size at most, seen LEAST_SEEN times or more. A language
+# whose training text has fewer than ENOUGH n-grams keeps those seen less often, too.
 SIZES = (2, 3, 4)
 LEAST_SHARE = 2e-5
 LEAST_SEEN = 3
+ENOUGH = 10_000
 # Documents of a language that are learned from, as the expected size of a sample by hash.
 TRAINED = 4000
 SLOT_BITS = 20
@@ -142,8 +144,8 @@ def learn(docs: DataFrame, trained: int = TRAINED) -> Filters:
     )
     total = seen.groupBy(F.col("lang").alias("l")).agg(F.sum("seen").alias("total"))
     kept = (
-        seen.where(F.col("seen") >= LEAST_SEEN)
-        .join(total, F.col("l") == F.col("lang"))
+        seen.join(total, F.col("l") == F.col("lang"))
+        .where((F.col("seen") >= LEAST_SEEN) | (F.col("total") < ENOUGH))
         .where(F.col("seen") >= F.col("total") * LEAST_SHARE)
         .select("lang", "gram")
         .toPandas()

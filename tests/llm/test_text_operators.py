@@ -435,3 +435,11 @@ def test_languages_are_told_apart(session):
     assert {(1, "und"), (2, "und"), (3, "und"), (None, "aa")} <= set(told) and len(told) == 5
     empty = language_id.learn(docs.limit(0).select("doc_id", "text", "lang"))
     assert {r.lang_pred for r in language_id.predict(odd, empty).collect()} == {"und"}
+
+
+def test_a_language_of_one_short_text_is_learned(session):
+    rows = [(i, "the quick brown fox jumps over the lazy dog", "en") for i in range(50)] + [(60, "žluťoučký kůň", "cs")]
+    filters = language_id.learn(session.createDataFrame(rows, "doc_id bigint, text string, lang string"))
+    assert filters.languages == ("cs", "en")
+    asked = session.createDataFrame([(1, "kůň žluťoučký"), (2, "the lazy fox")], "doc_id bigint, text string")
+    assert {r.doc_id: r.lang_pred for r in language_id.predict(asked, filters).collect()} == {1: "cs", 2: "en"}
