@@ -14,7 +14,7 @@ import re
 import zlib
 from bisect import bisect_left
 from collections import Counter
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from crateline.llm.common import mix, slices, staged, to_batch
+from crateline.llm.common import TEXT_BYTES, mix, slices, staged, to_batch
 
 # Documents per label that the lexicon is learned from, as the expected size of a sample by hash.
 TRAINED = 6000
@@ -306,7 +306,7 @@ def grouped(rows: DataFrame) -> tuple[Groups, dict[int, int]]:
     return groups, n
 
 
-Keys = Callable[[list[str]], list[set[tuple]]]
+Keys = Callable[[list[str]], Iterable[set[tuple]]]
 
 
 def once_per_group(rows: DataFrame, groups: Groups, keys: Keys, ddl: str, schema: pa.Schema) -> DataFrame:
@@ -318,7 +318,7 @@ def once_per_group(rows: DataFrame, groups: Groups, keys: Keys, ddl: str, schema
     schema = pa.schema([*schema, ("toxic", pa.int32()), ("near", pa.int64()), ("n", pa.int64())])
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches):
+        for batch in slices(batches, limit=TEXT_BYTES // 4):  # a text has several keys to a word
             lowered = [(t or "").lower() for t in batch.column("text").to_pylist()]
             told = list(zip(batch.column("toxic").to_pylist(), batch.column("digest").to_pylist()))
             seen = Counter((*k, t[0], groups[t]) for t, held in zip(told, keys(lowered)) for k in held)
@@ -335,10 +335,11 @@ def once_per_group(rows: DataFrame, groups: Groups, keys: Keys, ddl: str, schema
     )
 
 
-def terms_of(lowered: list[str]) -> list[set[tuple]]:
-    """Each text's words and word beginnings."""
-    found = [set(WORDS.findall(t)) for t in lowered]
-    return [{(w, False) for w in words} | {(w[:k], True) for w in words for k in STEMS if len(w) > k} for words in found]
+def terms_of(lowered: list[str]) -> Iterator[set[tuple]]:
+    """Each text's words and word beginnings, one text at a time."""
+    for text in lowered:
+        words = set(WORDS.findall(text))
+        yield {(w, False) for w in words} | {(w[:k], True) for w in words for k in STEMS if len(w) > k}
 
 
 def log_odds(toxic: float, clean: float, toxic_docs: int, clean_docs: int) -> float:
