@@ -55,7 +55,9 @@ TRUST = 5.0
 # Context: words on either side, and what quoting, reporting and addressing someone multiply by.
 WINDOW = 6
 QUOTED, REPORTED, ADDRESSED = 0.35, 0.7, 1.2
-QUOTES = frozenset("\"“”„«»")
+# What a mark closes if it is open, else it opens a quotation itself.
+CLOSES = {'"': '"', "“": "„", "”": "“„”", "„": "", "«": "»", "»": "«"}
+MARKED = re.compile('["“”„«»\n]')
 REPORTING = frozenset("said says wrote quote quoted called dit disait écrit sagte schrieb zitiert dijo escribió".split())
 ADDRESSING = frozenset("you your youre du dein tu ton vous votre tú usted".split())
 
@@ -213,8 +215,27 @@ class Model:
         return self.weights.get((entry, errors), self.weights[(entry, 0)] * MISSPELLED**errors)
 
 
-def context(text: str, start: int, end: int) -> float:
-    """What the words around a hit multiply its weight by; marks count within its line."""
+def quotations(text: str) -> list[tuple[int, int]]:
+    """Where each quotation opens and closes; one that its line leaves open is none."""
+    out, opened = [], {}
+    for m in MARKED.finditer(text):
+        mark, at = m[0], m.start()
+        if mark == "\n":
+            opened.clear()
+            continue
+        own = next((o for o in CLOSES[mark] if o in opened), None)
+        if own:
+            out.append((opened.pop(own), at))
+        else:
+            if mark == "“":  # a closing mark before it closed nothing
+                opened.pop("”", None)
+            opened[mark] = at
+    return sorted(out)
+
+
+def context(text: str, start: int, end: int, quoted: list[tuple[int, int]] | None = None) -> float:
+    """What the words around a hit multiply its weight by; ``quoted`` has the text's quotations."""
+    quoted = quotations(text) if quoted is None else quoted
     line = text.rfind("\n", 0, start) + 1
     after = text.find("\n", end)
     after = len(text) if after < 0 else after
@@ -222,7 +243,8 @@ def context(text: str, start: int, end: int) -> float:
     left, right = text[max(line, start - 20 * WINDOW) : start], text[end : min(after, end + 20 * WINDOW)]
     near = {*WORDS.findall(left)[-WINDOW:], *WORDS.findall(right)[:WINDOW]}
     factor = 1.0
-    if any(c in QUOTES for c in left) and any(c in QUOTES for c in right):
+    around = quoted[bisect_left(quoted, (start - len(left),)) : bisect_left(quoted, (start,))]
+    if any(end <= close < end + len(right) for _, close in around):
         factor *= QUOTED
     if near & REPORTING:
         factor *= REPORTED
@@ -234,8 +256,11 @@ def context(text: str, start: int, end: int) -> float:
 def score_texts(model: Model, texts: list[str]) -> list[float]:
     lowered = [t.lower() for t in texts]
     total = [-BIAS] * len(texts)
+    quoted: dict[int, list[tuple[int, int]]] = {}
     for text, start, end, entry, errors in model.table.hits(lowered):
-        total[text] += model.weight(entry, errors) * context(lowered[text], start, end)
+        if text not in quoted:
+            quoted[text] = quotations(lowered[text])
+        total[text] += model.weight(entry, errors) * context(lowered[text], start, end, quoted[text])
     return [1 / (1 + math.exp(-max(-30.0, min(30.0, t)))) for t in total]
 
 

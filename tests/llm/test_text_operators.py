@@ -157,6 +157,15 @@ def test_copies_of_a_toxic_text_count_once(session):
     assert min(toxicity.score_texts(model, ["you villain", "you scoundrel", copied[0][1]])) >= 0.5
 
 
+def test_abuse_between_quotations_is_not_quoted():
+    lone = (("scoundrel", False),)
+    model = toxicity.Model(lone, toxicity.Table.build(list(lone)), {(0, 0): 7.6})
+    flagged = ['"so" he is a scoundrel, "yes"', "“so” a scoundrel «yes»", '"so"\na scoundrel "yes"', 'a 5" scoundrel', "»so« a scoundrel “yes”"]
+    passed = ['it reads "a scoundrel there" now', "“a scoundrel”", "„a scoundrel“", "«a scoundrel»", "»a scoundrel«", '"so" and "a scoundrel"']
+    assert [s >= 0.5 for s in toxicity.score_texts(model, flagged)] == [True] * len(flagged)
+    assert [s >= 0.5 for s in toxicity.score_texts(model, passed)] == [False] * len(passed)
+
+
 def test_rare_terms_stand_beside_thousands_of_frequent_ones(session):
     rng = random.Random(5)
     letters = "abcdefghijklmnopqrstuvwxyz"
