@@ -9,7 +9,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from crateline.llm import language_id, quality, toxicity
+from crateline.llm import language_id, quality, quality_rules, toxicity
 from crateline.llm.common import prepare, remainder, staged, table
 from crateline.llm.fingerprints import fingerprint_documents
 from crateline.llm.jaccard_join import jaccard_join
@@ -107,6 +107,10 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op11_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_rules.judge(table(prepare(spark), sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_ngram_jaccard_join": op1_ngram_jaccard_join,
     "op2_toxicity": op2_toxicity,
@@ -118,6 +122,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_nearest_neighbours": op8_nearest_neighbours,
     "op9_token_counts": op9_token_counts,
     "op10_language_id": op10_language_id,
+    "op11_quality_rules": op11_quality_rules,
 }
 
 SQL: dict[str, str] = {
@@ -153,4 +158,62 @@ SQL: dict[str, str] = {
                 row_number() OVER (PARTITION BY q.vec_id ORDER BY list_distance(q.v, s.v), s.vec_id) AS place
             FROM sound q JOIN sound s ON s.vec_id <> q.vec_id WHERE q.vec_id % 100 = 0)
         WHERE place <= 10""",
+    "op11_quality_rules": r"""
+        WITH texts AS (
+            SELECT row_number() OVER () AS row, doc_id, lang, source, coalesce(text, '') AS text,
+                regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w,
+                list_filter(string_split(coalesce(text, ''), chr(10)),
+                    lambda l: regexp_matches(l, '[^\x20\x09-\x0D]')) AS lines FROM documents),
+        windows AS (
+            SELECT row, i, array_to_string(w[i:i + 4], ' ') AS x
+            FROM (SELECT row, w, unnest(range(1, len(w) - 3)) AS i FROM texts)),
+        repeated AS (SELECT row, i FROM windows QUALIFY count(*) OVER (PARTITION BY row, x) > 1),
+        covered AS (SELECT row, count(DISTINCT i + k) AS n FROM repeated, range(5) t(k) GROUP BY row),
+        counted AS (
+            SELECT row, doc_id, lang, source, len(w) AS n_words,
+                length(regexp_replace(text, '[\x20\x09-\x0D]+', '', 'g')) AS word_chars,
+                length(text) - length(translate(text, '#*$%&|<>', '')) AS n_symbols,
+                len(lines) - len(list_distinct(lines)) AS n_dup_lines,
+                coalesce(n, 0) AS n_repeat_words, length(text) AS n_chars, len(lines) AS n_lines,
+                length(regexp_replace(text, '\P{L}+', '', 'g')) AS n_letters
+            FROM texts LEFT JOIN covered USING (row)),
+        rows AS (
+            SELECT *, n_words < 10 OR 100 * n_repeat_words > 20 * n_words AS base_failed, {
+                'symbol_share': 10000 * n_symbols // greatest(n_chars, 1),
+                'dup_line_share': 10000 * n_dup_lines // greatest(n_lines, 1),
+                'repeat_share': 10000 * n_repeat_words // greatest(n_words, 1),
+                'other_share': 10000 - 10000 * n_letters // greatest(word_chars, 1),
+                'long_words': 100 * word_chars // greatest(n_words, 1)} AS m FROM counted),
+        long AS (
+            UNPIVOT (SELECT row, lang, source, base_failed, m.* FROM rows)
+            ON symbol_share, dup_line_share, repeat_share, other_share, long_words INTO NAME measure VALUE v),
+        sketch AS (
+            SELECT lang, source, measure, (v >> s) << s AS b, count(*) AS n
+            FROM (SELECT *, greatest(length(bin(v)) - 6, 0) AS s FROM long WHERE NOT base_failed) GROUP BY ALL),
+        own AS (
+            SELECT lang, source, measure, any_value(docs) AS docs, min(b) FILTER (4 * upto >= docs) AS lo,
+                min(b) FILTER (4 * upto >= 3 * docs) AS hi
+            FROM (SELECT *, sum(n) OVER (PARTITION BY lang, source, measure ORDER BY b) AS upto,
+                sum(n) OVER (PARTITION BY lang, source, measure) AS docs FROM sketch) GROUP BY ALL),
+        whole AS (
+            SELECT lang, measure, min(b) FILTER (4 * upto >= docs) AS lo, min(b) FILTER (4 * upto >= 3 * docs) AS hi
+            FROM (SELECT *, sum(n) OVER (PARTITION BY lang, measure ORDER BY b) AS upto,
+                sum(n) OVER (PARTITION BY lang, measure) AS docs
+                FROM (SELECT lang, measure, b, sum(n) AS n FROM sketch GROUP BY ALL)) GROUP BY ALL),
+        fences AS (
+            SELECT o.lang, o.source, o.measure,
+                CAST(docs * o.lo + 100 * w.lo AS DOUBLE) / CAST(docs + 100 AS DOUBLE) AS lo,
+                CAST(docs * o.hi + 100 * w.hi AS DOUBLE) / CAST(docs + 100 AS DOUBLE) AS hi
+            FROM own o JOIN whole w ON o.lang IS NOT DISTINCT FROM w.lang AND o.measure = w.measure),
+        broken AS (
+            SELECT row, string_agg(measure, ',' ORDER BY place) AS failed
+            FROM long l JOIN (VALUES ('symbol_share', 200.0::DOUBLE, 1), ('dup_line_share', 1500.0::DOUBLE, 2),
+                ('repeat_share', 500.0::DOUBLE, 3), ('other_share', 300.0::DOUBLE, 4), ('long_words', 100.0::DOUBLE, 5))
+                AS rules (measure, least, place) USING (measure)
+            JOIN fences f ON l.lang IS NOT DISTINCT FROM f.lang AND l.source IS NOT DISTINCT FROM f.source
+                AND l.measure = f.measure
+            WHERE v > hi + 3 * greatest(hi - lo, least) GROUP BY row)
+        SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
+            NOT base_failed AND failed IS NULL AS kept, coalesce(failed, '') AS failed
+        FROM rows LEFT JOIN broken USING (row)""",
 }
