@@ -9,7 +9,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from crateline.llm import language_id, quality, quality_rules, toxicity
+from crateline.llm import filter_audit, language_id, quality, quality_rules, toxicity
 from crateline.llm.common import prepare, remainder, staged, table
 from crateline.llm.fingerprints import fingerprint_documents
 from crateline.llm.jaccard_join import jaccard_join
@@ -17,6 +17,7 @@ from crateline.llm.mixing import mix
 from crateline.llm.neighbours import nearest_neighbours
 from crateline.llm.piece_bpe import Vocabulary, encode_documents
 from crateline.llm.private_data import BASE, find_private_data
+from crateline.llm.token_alignment import Sides, align_documents
 from crateline.llm.token_counts import count_tokens
 
 
@@ -111,6 +112,17 @@ def op11_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.judge(table(prepare(spark), sf_dir, "documents"))
 
 
+def op12_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labels = (table(prepare(spark), sf_dir, name) for name in ("documents", "labels"))
+    return filter_audit.audit(docs, labels)
+
+
+def op13_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = public_tokenizers.path
+    sides = Sides(path("byte_bpe_50k.json"), public_tokenizers.PATTERN, path("piece_bpe_32k.model"))
+    return align_documents(table(prepare(spark), sf_dir, "documents"), sides)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_ngram_jaccard_join": op1_ngram_jaccard_join,
     "op2_toxicity": op2_toxicity,
@@ -123,6 +135,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_token_counts": op9_token_counts,
     "op10_language_id": op10_language_id,
     "op11_quality_rules": op11_quality_rules,
+    "op12_filter_audit": op12_filter_audit,
+    "op13_token_alignment": op13_token_alignment,
 }
 
 SQL: dict[str, str] = {
@@ -216,4 +230,47 @@ SQL: dict[str, str] = {
         SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
             NOT base_failed AND failed IS NULL AS kept, coalesce(failed, '') AS failed
         FROM rows LEFT JOIN broken USING (row)""",
+    "op12_filter_audit": r"""
+        WITH texts AS (
+            SELECT doc_id, coalesce(source, '') AS part, coalesce(text, '') AS text,
+                regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+        firsts AS (SELECT text, min(doc_id) AS first FROM texts GROUP BY text),
+        marked AS (
+            SELECT doc_id, bool_or(quality = 1) AS good, bool_or(toxic = 1) AS toxic FROM labels GROUP BY doc_id),
+        flags AS (
+            SELECT part, coalesce(good, false) AS good, coalesce(toxic, false) AS toxic,
+                CASE WHEN len(w) < 200 THEN 1 ELSE 0 END
+                + CASE WHEN 100 * len(list_distinct(w)) < 50 * len(w) THEN 2 ELSE 0 END
+                + CASE WHEN 100 * length(regexp_replace(t.text, '[^A-Z]+', '', 'g')) > 2 * length(t.text)
+                    THEN 4 ELSE 0 END
+                + CASE WHEN regexp_matches(t.text, '[#$%&*|]') THEN 8 ELSE 0 END
+                + CASE WHEN first < t.doc_id THEN 16 ELSE 0 END AS fails
+            FROM texts t JOIN firsts USING (text) LEFT JOIN marked m ON m.doc_id = t.doc_id),
+        counts AS (
+            SELECT part, fails, count(*) AS n, count(*) FILTER (good) AS good, count(*) FILTER (toxic) AS toxic
+            FROM flags GROUP BY ALL),
+        filters AS (SELECT * FROM (VALUES ('A', 1), ('B', 2), ('C', 4), ('D', 8), ('E', 16)) v(letter, own)),
+        orders AS (
+            SELECT a.letter || b.letter || c.letter || d.letter || e.letter AS filter_order
+            FROM filters a, filters b, filters c, filters d, filters e
+            WHERE a.own + b.own + c.own + d.own + e.own = 31 AND (a.own | b.own | c.own | d.own | e.own) = 31),
+        steps AS (
+            SELECT filter_order, step, letter, own, coalesce((
+                SELECT sum(f.own) FROM filters f WHERE position(f.letter IN filter_order) < step), 0)::INTEGER AS before
+            FROM orders, range(1, 6) s(step) JOIN filters ON letter = substr(filter_order, step, 1)),
+        sums AS (
+            SELECT part, filter_order, step, letter,
+                sum(CASE WHEN fails & (before | own) = 0 THEN n ELSE 0 END) AS kept,
+                sum(CASE WHEN fails & own > 0 AND fails & before = 0 THEN n ELSE 0 END) AS removed,
+                sum(CASE WHEN fails & own > 0 AND fails & before > 0 THEN n ELSE 0 END) AS redundant,
+                sum(CASE WHEN fails = own THEN n ELSE 0 END) AS unique_fails,
+                sum(CASE WHEN fails & own > 0 AND fails & before = 0 THEN good ELSE 0 END) AS good_lost,
+                sum(CASE WHEN fails & own > 0 AND fails & before = 0 THEN toxic ELSE 0 END) AS toxic_lost
+            FROM counts, steps GROUP BY ALL)
+        SELECT part, filter_order, CAST(step AS INTEGER) AS step, CAST(kept AS BIGINT) AS kept,
+            CAST(removed AS BIGINT) AS removed, CAST(redundant AS BIGINT) AS redundant,
+            CAST(unique_fails AS BIGINT) AS unique_fails, CAST(good_lost AS BIGINT) AS good_lost,
+            CAST(toxic_lost AS BIGINT) AS toxic_lost,
+            CAST(sum(removed) OVER (PARTITION BY part, letter) AS BIGINT) AS shapley
+        FROM sums""",
 }

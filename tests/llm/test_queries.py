@@ -19,6 +19,9 @@ COLUMNS = {
     "op8": ("query_id rank vec_id score", None),
     "op9": ("doc_id section start end n_tokens n_crossing", None),
     "op10": ("doc_id held_out lang_pred score", "documents"),
+    "op11": ("doc_id n_words word_chars n_symbols n_dup_lines n_repeat_words base_failed kept", "documents"),
+    "op12": ("part filter_order step kept removed redundant unique_fails good_lost toxic_lost shapley", None),
+    "op13": ("doc_id n_a n_b n_groups n_links n_best count_sum groups_sha256", "documents"),
 }
 
 
