@@ -2,8 +2,8 @@
 
 Two of the filters are read from a sparse document-term matrix. Documents are cut into shards of
 a bounded amount of text; each shard numbers its own words and keeps its rows as CSR arrays. Only
-the distinct words of a shard meet the dictionary of the whole corpus, so a word that fills a
-document crosses the network once per shard. With the dictionary's ids put in, a row's sum is the
+the distinct words of a shard are ranked among those of the whole corpus, so a word that fills a
+document crosses the network once per shard. With the corpus-wide ids put in, a row's sum is the
 document's words and its number of entries the distinct ones.
 
 What a document fails is one of 32 patterns; all orders follow from the counts per pattern.
@@ -11,62 +11,86 @@ What a document fails is one of 32 patterns; all orders follow from the counts p
 
 from __future__ import annotations
 
-import re
+from array import array
 from collections import Counter
 from collections.abc import Iterator
+from contextlib import contextmanager
 from itertools import permutations
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from crateline.llm.common import WORD, slices, staged, to_batch
+from crateline.llm.common import TEXT_BYTES, slices, staged
 
 FILTERS = "ABCDE"
 LEAST_WORDS = 200
 LEAST_DISTINCT = 50
 MOST_CAPITALS = 2
 MARKS = "[#$%&*|]"
-# Bytes of text in a shard, and the texts with most copies, which are met without a shuffle.
-SHARD_BYTES = 4 << 20
+# Bytes of text in a shard. A larger one repeats fewer words, and takes a worker more memory.
+SHARD_BYTES = 24 << 20
+# Hash buckets that words are ranked in: the most tasks that can share the work.
+BUCKETS = 1 << 12
+# The texts with most copies, which are met without a shuffle.
 COMMON_TEXTS = 1_000
 
-DOC = "doc_id bigint, part string, capitals boolean, marks boolean, digest binary"
+
+class Shard:
+    """Rows of documents over the shard's own words, in the order they were first seen."""
+
+    def __init__(self):
+        self.local: dict[bytes, int] = {}
+        self.edges, self.indices, self.data = [0], array("i"), array("i")
+        self.docs: list[pa.RecordBatch] = []
+        self.bytes = 0
+
+    def add(self, batch: pa.RecordBatch, kept: list[str]) -> None:
+        local = self.local
+        for text in batch.column("text").cast(pa.binary()).to_pylist():
+            # Bytes are split at exactly the six blanks that end a word.
+            held = Counter((text or b"").split())
+            self.indices.extend([local.setdefault(word, len(local)) for word in held])
+            self.data.extend(held.values())
+            self.edges.append(len(self.indices))
+        self.docs.append(batch.select(kept))
+        self.bytes += pc.sum(pc.binary_length(batch.column("text"))).as_py() or 0
+
+    def row(self, number: int) -> pa.RecordBatch:
+        docs = pa.Table.from_batches(self.docs).combine_chunks().to_batches()[0].to_struct_array()
+        whole = lambda values: pa.array([np.asarray(values, np.int32)], pa.list_(pa.int32()))
+        words = pa.array(list(self.local), pa.binary()).cast(pa.string())
+        return pa.RecordBatch.from_arrays(
+            [
+                pa.array([number], pa.int64()),
+                pa.ListArray.from_arrays(pa.array([0, len(words)], pa.int32()), words),
+                whole(self.edges),
+                whole(self.indices),
+                whole(self.data),
+                pa.ListArray.from_arrays(pa.array([0, len(docs)], pa.int32()), docs),
+            ],
+            names=["shard", "words", "indptr", "indices", "data", "docs"],
+        )
 
 
 def csr_shards(rows: DataFrame, limit: int = SHARD_BYTES) -> DataFrame:
     """(shard, words, indptr, indices, data, docs): each shard's own words, its rows as CSR over
-    them, and the other columns of its documents. A text longer than a shard stands alone."""
+    them, and the other columns of its documents. A shard ends with the text that fills it."""
     kept = [f for f in rows.schema.fieldNames() if f != "text"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        split = re.compile(WORD).findall
         # Files are cut and read alike in every attempt of a task, so a shard keeps its number.
-        shard = TaskContext.get().partitionId() << 32
-        for batch in slices(batches, limit=limit):
-            local: dict[str, int] = {}
-            edges, indices, data = [0], [], []
-            for text in batch.column("text").to_pylist():
-                held = Counter(split(text or ""))
-                indices += [local.setdefault(word, len(local)) for word in held]
-                data += held.values()
-                edges.append(len(indices))
-            docs = pa.StructArray.from_arrays([batch.column(c) for c in kept], names=kept)
-            whole = lambda values, kind: pa.array([np.array(values, np.int32)], pa.list_(kind))
-            yield pa.RecordBatch.from_arrays(
-                [
-                    pa.array([shard], pa.int64()),
-                    pa.array([list(local)], pa.list_(pa.string())),
-                    whole(edges, pa.int32()),
-                    whole(indices, pa.int32()),
-                    whole(data, pa.int32()),
-                    pa.ListArray.from_arrays(pa.array([0, batch.num_rows], pa.int32()), docs),
-                ],
-                names=["shard", "words", "indptr", "indices", "data", "docs"],
-            )
-            shard += 1
+        number, shard = TaskContext.get().partitionId() << 32, Shard()
+        for batch in slices(batches, limit=min(limit, TEXT_BYTES)):
+            shard.add(batch, kept)
+            if shard.bytes >= limit:
+                yield shard.row(number)
+                number, shard = number + 1, Shard()
+        if shard.docs:
+            yield shard.row(number)
 
     docs = ", ".join(f"{f.name}: {f.dataType.simpleString()}" for f in rows.schema.fields if f.name != "text")
     return rows.mapInArrow(
@@ -76,49 +100,88 @@ def csr_shards(rows: DataFrame, limit: int = SHARD_BYTES) -> DataFrame:
     )
 
 
-def dictionary(shards: DataFrame) -> DataFrame:
-    """(word, id): every distinct word of all shards, numbered from 0 without a gap."""
-    words = shards.select(F.explode("words").alias("word")).distinct()
-    placed = staged(
-        words.select("word", F.spark_partition_id().alias("task"), F.monotonically_increasing_id().alias("place")),
-        "dictionary",
+def dictionary(shards: DataFrame, buckets: int = BUCKETS) -> DataFrame:
+    """(shard, place, word, id): where each shard has each of its words, and the word's number in
+    the whole corpus. Words are ranked within ``buckets`` hash buckets, so ids are as small as
+    the fullest bucket allows and no word is in more than one place of a shard."""
+    local = shards.select("shard", F.posexplode("words").alias("place", "word"))
+    bucket = F.pmod(F.xxhash64("word"), F.lit(buckets))
+    rank = F.dense_rank().over(Window.partitionBy("bucket").orderBy("word")) - 1
+    return local.withColumn("bucket", bucket).select(
+        "shard", "place", "word", (rank.cast("bigint") * buckets + F.col("bucket")).alias("id")
     )
-    tasks = placed.groupBy("task").agg(F.count("*").alias("n"), F.min("place").alias("first")).collect()
-    # One row per shuffle partition: which numbers the partitions before have taken.
-    taken, offsets = 0, []
-    for task in sorted(tasks):
-        offsets.append((task["task"], taken - task["first"]))
-        taken += task["n"]
-    offset = F.broadcast(shards.sparkSession.createDataFrame(offsets, "task int, offset bigint"))
-    return placed.join(offset, "task").select("word", (F.col("place") + F.col("offset")).alias("id"))
+
+
+def located(shards: DataFrame) -> DataFrame:
+    """Shards beside the places of their words and the words' numbers in the corpus, in step."""
+    # Both lists take up the same rows in the same order.
+    listed = dictionary(shards).groupBy("shard").agg(F.collect_list("place").alias("places"), F.collect_list("id").alias("ids"))
+    # A shard without any word meets no id, and has no entry that needs one.
+    return shards.drop("words").join(listed, "shard", "left")
+
+
+def _numbers(batch: pa.RecordBatch, column: str, row: int) -> np.ndarray:
+    held = batch.column(column)[row].values
+    return np.zeros(0, np.int64) if held is None else held.to_numpy(zero_copy_only=False)
+
+
+def _columns(batch: pa.RecordBatch, row: int) -> np.ndarray:
+    """The corpus-wide number of each entry's word."""
+    places, ids = _numbers(batch, "places", row), _numbers(batch, "ids", row)
+    numbers = np.full(len(places), -1, np.int64)
+    numbers[places] = ids
+    return numbers[_numbers(batch, "indices", row)]
 
 
 def term_matrix(shards: DataFrame) -> DataFrame:
     """(shard, indptr, indices, data, docs): the CSR arrays over the ids of the whole dictionary."""
-    local = shards.select("shard", F.posexplode("words").alias("place", "word"))
-    ids = (
-        local.join(dictionary(shards), "word")
-        .groupBy("shard")
-        .agg(F.transform(F.sort_array(F.collect_list(F.struct("place", "id"))), lambda e: e["id"]).alias("ids"))
-    )
-    # A shard without any word meets no id, and has no entry that needs one.
-    met = shards.drop("words").join(ids, "shard", "left")
-    return met.withColumn("indices", F.transform("indices", lambda i: F.get("ids", i))).drop("ids")
-
-
-def row_counts(matrix: DataFrame) -> DataFrame:
-    """The documents' own columns, with n_words (the row's sum) and n_distinct (its entries)."""
-    edge = lambda k: F.get("indptr", k)
-    one = lambda doc, k: F.struct(
-        doc.alias("doc"),
-        F.aggregate(
-            F.slice("data", edge(k) + 1, edge(k + 1) - edge(k)), F.lit(0).cast("bigint"), lambda total, n: total + n
-        ).alias("n_words"),
-        F.size(F.filter(F.slice("indices", edge(k) + 1, edge(k + 1) - edge(k)), lambda i: i.isNotNull()))
-        .cast("bigint")
-        .alias("n_distinct"),
+    met = located(shards)
+    kinds = {f.name: f.dataType.simpleString() for f in met.schema.fields}
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            indices = pa.array([_columns(batch, k) for k in range(batch.num_rows)], pa.list_(pa.int64()))
+            columns = {"shard": batch.column("shard"), "indptr": batch.column("indptr"), "indices": indices}
+            columns |= {c: batch.column(c) for c in ("data", "docs")}
+            yield pa.RecordBatch.from_arrays(list(columns.values()), names=list(columns))
+
+    return met.mapInArrow(
+        run, f"shard bigint, indptr array<int>, indices array<bigint>, data array<int>, docs {kinds['docs']}"
     )
-    return matrix.select(F.inline(F.transform("docs", one))).select("doc.*", "n_words", "n_distinct")
+
+
+def row_counts(shards: DataFrame) -> DataFrame:
+    """The documents' own columns, with n_words (the sum of the matrix's row) and n_distinct (the
+    columns it has entries in)."""
+    met = located(shards)
+    fields = met.schema["docs"].dataType.elementType.fields
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for k in range(batch.num_rows):
+                edges, columns = _numbers(batch, "indptr", k), _columns(batch, k)
+                sums = np.concatenate([[0], np.cumsum(_numbers(batch, "data", k), dtype=np.int64)])
+                entries = np.concatenate([[0], np.cumsum(columns >= 0)])
+                docs = batch.column("docs")[k].values
+                counts = [pa.array(np.diff(held[edges]), pa.int64()) for held in (sums, entries)]
+                yield pa.RecordBatch.from_arrays(
+                    [*docs.flatten(), *counts], names=[*(f.name for f in fields), "n_words", "n_distinct"]
+                )
+
+    kept = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in fields)
+    return met.mapInArrow(run, f"{kept}, n_words bigint, n_distinct bigint")
+
+
+@contextmanager
+def one_shard_at_a_time(spark: SparkSession) -> Iterator[None]:
+    """Workers get a shard per batch, as a shard is as long as a batch of texts may be."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(name)
+    spark.conf.set(name, "1")
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)
 
 
 def with_earlier(rows: DataFrame, most: int = COMMON_TEXTS) -> DataFrame:
@@ -156,8 +219,10 @@ def failed_filters(
         F.unhex(F.sha2(text.cast("binary"), 256)).alias("digest"),
         text.alias("text"),
     )
-    counted = row_counts(term_matrix(staged(csr_shards(kept), "shards")))
-    rows = with_earlier(staged(counted, "counted"))
+    shards = staged(csr_shards(kept), "shards", compression="zstd")
+    with one_shard_at_a_time(docs.sparkSession):
+        counted = staged(row_counts(shards), "counted")
+    rows = with_earlier(counted)
     fails = (
         F.col("n_words") < LEAST_WORDS,
         100 * F.col("n_distinct") < LEAST_DISTINCT * F.col("n_words"),
