@@ -52,6 +52,7 @@ def work(b: Bound) -> dict[str, Callable[[], object]]:
         "expand": lambda: b.corpus,
         "entities": lambda: b.entities,
         "derive": lambda: b.derived,
+        "serving_tables": lambda: b.served,
         # Single operators over those tables.
         "label_artist_pairs": lambda: run(C.label_artist_pairs(b.cat, dials)),
         "pair_counts": lambda: run(D.pair_counts(people(), cap)),
@@ -73,10 +74,10 @@ def work(b: Bound) -> dict[str, Callable[[], object]]:
         ),
         "top_collaborators": lambda: run(V.top_collaborators(b.tables)),
         "top_roster": lambda: run(V.top_roster(b.tables)),
-        "artist_releases": lambda: run(V.artist_releases(b.tables)),
-        "label_releases": lambda: run(V.label_releases(b.tables)),
+        "artist_releases": lambda: run(V.artist_releases(b.served)),
+        "label_releases": lambda: run(V.label_releases(b.served)),
         "top_lists": lambda: steps.top_lists(b.tables, dials.scene, b.stage),
-        "search": lambda: run(V.search(b.tables, "red wi")),
+        "search": lambda: run(V.search(b.served, "red wi")),
     }
 
 

@@ -195,6 +195,10 @@ SERVED = (
     "artist_relations",
     "artist_search",
     "label_search",
+    "artist_postings",
+    "label_postings",
+    "artist_release_list",
+    "label_release_list",
     "releases",
     "release_artists",
     "release_credits",

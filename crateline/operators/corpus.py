@@ -116,15 +116,29 @@ def usable_label_refs(label_refs: DataFrame, dials: Dials) -> DataFrame:
     )
 
 
-def label_ref_stats(label_refs: DataFrame, dials: Dials) -> DataFrame:
-    """One row: references without an id, placeholders among the rest, usable ones."""
+def label_ref_measures(dials: Dials) -> dict[str, Column]:
+    """References without an id, and placeholders among the rest, over reference rows."""
     no_id = F.col("label_id").isNull()
     placeholder = P.is_placeholder_label(F.col("name"), dials.placeholder_label_prefix)
-    return label_refs.agg(
-        F.count_if(no_id).alias("labels_without_id"),
-        F.count_if(~no_id & placeholder).alias("placeholder_labels"),
-        F.count_if(~no_id & ~placeholder).alias("usable_labels"),
-    )
+    return {
+        "labels_without_id": F.count_if(no_id),
+        "placeholder_labels": F.count_if(~no_id & placeholder),
+    }
+
+
+def record_label_measures(dials: Dials) -> dict[str, Column]:
+    """The same over nested records, counted within each."""
+    placeholder = lambda l: P.is_placeholder_label(l["name"], dials.placeholder_label_prefix)
+    held = lambda test: F.sum(F.size(F.filter("labels", test)))
+    return {
+        "labels_without_id": held(lambda l: l["id"].isNull()),
+        "placeholder_labels": held(lambda l: l["id"].isNotNull() & placeholder(l)),
+    }
+
+
+def label_ref_stats(label_refs: DataFrame, dials: Dials) -> DataFrame:
+    """One row: references without an id, placeholders among the rest."""
+    return label_refs.agg(*[m.alias(name) for name, m in label_ref_measures(dials).items()])
 
 
 # --- seed -------------------------------------------------------------------------
@@ -236,11 +250,16 @@ def label_seed_counts(pairs: DataFrame, seeds: DataFrame) -> DataFrame:
 
 
 def seed_labels(
-    pairs: DataFrame, seeds: DataFrame, min_artists: int, min_ratio: float
+    pairs: DataFrame,
+    seeds: DataFrame,
+    min_artists: int,
+    min_ratio: float,
+    seen: Callable[[DataFrame], DataFrame] = lambda rosters: rosters,
 ) -> DataFrame:
+    """Labels with enough seed artists; ``seen`` may watch the counts of all labels."""
     ratio = F.col("seeds") / F.col("total")
     return (
-        label_seed_counts(pairs, seeds)
+        seen(label_seed_counts(pairs, seeds))
         .filter((F.col("seeds") >= min_artists) & (ratio >= min_ratio))
         .select(
             "label_id",
@@ -326,10 +345,14 @@ def crowded(admissible: DataFrame, max_people: int) -> DataFrame:
 
 
 def ties_and_label_mates(
-    admissible: DataFrame, flags: DataFrame, crowds: DataFrame
+    admissible: DataFrame,
+    flags: DataFrame,
+    crowds: DataFrame,
+    seen: Callable[[DataFrame], DataFrame] = lambda releases: releases,
 ) -> DataFrame:
-    """(artist_id, ties_a, via_b) over kept releases; crowded ones tie nobody."""
-    release = flags.join(crowds, "release_id", "left").select(
+    """(artist_id, ties_a, via_b) over kept releases; crowded ones tie nobody. ``seen`` may watch
+    the releases on a channel, beside whether they are crowded."""
+    release = seen(flags.join(crowds, "release_id", "left")).select(
         "release_id",
         (F.col("channel_a") & ~F.coalesce("crowded", F.lit(False))).alias("ties"),
         "channel_b",
@@ -386,7 +409,7 @@ def pass1_stats(
             F.countDistinct("role").alias("distinct_roles"),
             F.count_if(packaging).alias("packaging_credits"),
         ),
-        label_ref_stats(cat.label_refs, dials).drop("usable_labels"),
+        label_ref_stats(cat.label_refs, dials),
         R.row_count(tally, "seed_candidates"),
     )
     return stats.withColumn("dropped_by_ratio", F.col("seed_candidates") - F.col("seed_artists"))

@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from crateline.config import LIFTS_FROM, Grades, Tradition
@@ -23,11 +23,13 @@ def release_people(line: DataFrame, credits: DataFrame, corpus: DataFrame) -> Da
 
 
 def people_once(people: DataFrame) -> DataFrame:
-    """(release_id, artist_id), each once: what every distinct count downstream starts from.
+    """(release_id, artist_id, roles): each person of a release once, with their distinct raw roles.
 
-    Operators that take ``once`` expect this table, so it is worked out a single time.
+    Every distinct count downstream starts from it; operators that take ``once`` expect this table,
+    so it is worked out a single time. Roles are packed per person, not per release, so no task
+    meets all of a large release.
     """
-    return people.select("release_id", "artist_id").distinct()
+    return people.groupBy("release_id", "artist_id").agg(F.collect_set("role").alias("roles"))
 
 
 def pairable(once: DataFrame, max_people: int) -> DataFrame:
@@ -52,47 +54,47 @@ def pair_counts(people: DataFrame, max_people: int) -> DataFrame:
     )
 
 
-def _side_by_side(people: DataFrame, once: DataFrame, max_people: int) -> DataFrame:
-    """(aid, bid, role, shared) on pairable releases: a row that counts per release and pair,
-    and one per role b held there beside a.
+def groups_of_people(once: DataFrame, max_people: int) -> DataFrame:
+    """(release_id, members): people with their roles, of releases with at most ``max_people``.
 
-    Only people are gathered per release, at most the dial's number; roles meet them by a join.
+    People are cut together with their roles on the map side, at most one more than the dial per
+    task and release, so a large release sends a few rows and a small one loses no role.
     """
-    groups = R.members_within(once, "release_id", "artist_id", max_people).filter(F.size("members") > 1)
-    counted = groups.select(F.explode("members").alias("aid"), "members").select(
-        "aid", F.explode("members").alias("bid"), F.lit(None).cast("string").alias("role"), F.lit(1).alias("shared")
-    )
-    held = people.filter(F.col("role").isNotNull()).select("release_id", "artist_id", "role").distinct()
-    beside = held.join(groups, "release_id").select(
-        F.explode("members").alias("aid"), F.col("artist_id").alias("bid"), "role", F.lit(0).alias("shared")
-    )
-    return counted.unionByName(beside).filter(F.col("aid") != F.col("bid"))
+    packed = once.select("release_id", F.struct("artist_id", "roles").alias("person"))
+    return R.members_within(packed, "release_id", "person", max_people)
+
+
+def _pairs(groups: DataFrame) -> DataFrame:
+    """(aid, bid, roles of b there): one row per pair and release."""
+    firsts = groups.filter(F.size("members") > 1).select(F.explode("members.artist_id").alias("aid"), "members")
+    both = firsts.select("aid", F.inline("members")).filter(F.col("aid") != F.col("artist_id"))
+    return both.select("aid", F.col("artist_id").alias("bid"), "roles")
+
+
+def _roles() -> Column:
+    """Sets of roles are gathered, not roles per release, so what a pair holds is bounded by its answer."""
+    return F.array_sort(F.array_distinct(F.flatten(F.collect_set("roles"))))
 
 
 def pair_roles(people: DataFrame, max_people: int) -> DataFrame:
     """(aid, bid, roles): distinct raw roles b held, sorted. Pairs with none have no row."""
-    return (
-        _side_by_side(people, people_once(people), max_people)
-        .filter(F.col("role").isNotNull())
-        .select("aid", "bid", "role")
-        .distinct()
-        .groupBy("aid", "bid")
-        .agg(F.array_sort(F.collect_list("role")).alias("roles"))
-    )
+    held = _pairs(groups_of_people(people_once(people), max_people)).filter(F.size("roles") > 0)
+    return held.groupBy("aid", "bid").agg(_roles().alias("roles"))
 
 
 def artist_collaborators(
-    people: DataFrame, max_people: int, once: DataFrame | None = None
+    people: DataFrame,
+    max_people: int,
+    once: DataFrame | None = None,
+    seen: Callable[[DataFrame], DataFrame] = lambda groups: groups,
 ) -> DataFrame:
-    """Shared releases and roles per pair. Rows are reduced per role before the roles meet."""
-    rows = _side_by_side(people, people_once(people) if once is None else once, max_people)
-    by_role = rows.groupBy("aid", "bid", "role").agg(F.sum("shared").alias("shared"))
-    roles = F.array_sort(F.collect_list("role"))
-    return by_role.groupBy(
-        F.col("aid").alias("artist_id"), F.col("bid").alias("collaborator_id")
-    ).agg(
-        F.sum("shared").alias("shared_releases"),
-        F.when(F.count("role") > 0, roles).alias("roles"),
+    """Shared releases and roles per pair, by one aggregation; ``seen`` may watch the releases paired."""
+    groups = seen(groups_of_people(people_once(people) if once is None else once, max_people))
+    return (
+        _pairs(groups)
+        .groupBy(F.col("aid").alias("artist_id"), F.col("bid").alias("collaborator_id"))
+        .agg(F.count("*").alias("shared_releases"), _roles().alias("roles"))
+        .withColumn("roles", F.when(F.size("roles") > 0, F.col("roles")))
     )
 
 

@@ -23,14 +23,17 @@ def corpus_label_entities(labels_nested: DataFrame, label_refs: DataFrame) -> Da
 
 
 def artist_relations(artists_nested: DataFrame, corpus: DataFrame) -> DataFrame:
-    """(artist_id, related_id, kind, related_name) of corpus artists, one per key.
+    """``listed_relations`` of corpus artists."""
+    wanted = corpus.select(F.col("artist_id").alias("id"))
+    return listed_relations(artists_nested.join(wanted, "id", "left_semi"))
+
+
+def listed_relations(records: DataFrame) -> DataFrame:
+    """(artist_id, related_id, kind, related_name) of records that are one per artist, one per key.
 
     The other side may be outside the corpus. The first listed name of a key is kept.
     """
-    wanted = corpus.select(F.col("artist_id").alias("id"))
-    listed = artists_nested.join(wanted, "id", "left_semi").select(
-        F.col("id").alias("artist_id"), F.posexplode("relations").alias("at", "r")
-    )
+    listed = records.select(F.col("id").alias("artist_id"), F.posexplode("relations").alias("at", "r"))
     named = listed.select(
         "artist_id", F.col("r.id").alias("related_id"), "r.kind", "at", F.col("r.name").alias("name")
     )
@@ -87,3 +90,35 @@ def entity_stats(
 
 def search_index(entities: DataFrame, id_column: str = "id", name: str = "name") -> DataFrame:
     return entities.select(F.col(id_column).alias("id"), T.search_text(F.col(name)).alias("norm_name"))
+
+
+# Characters of a posting: what the search compares before it looks at the whole name.
+POSTING = 64
+
+
+def search_postings(index: DataFrame) -> DataFrame:
+    """(text, id): a row per token of a folded name, holding the name from there on.
+
+    A phrase of whole tokens and a last prefix is in a name exactly if one of its postings begins
+    with it, so over a table laid out by ``text`` a search reads a range. Texts end after POSTING
+    characters: a name of many tokens costs rows, not their square.
+    """
+    tokens = F.split(F.trim("norm_name"), " ")
+    rows = index.select("id", F.posexplode(tokens).alias("at", "token"), F.trim("norm_name").alias("name"), tokens.alias("tokens"))
+    # A token starts after those before it and a blank each.
+    start = F.aggregate(F.slice("tokens", F.lit(1), F.col("at")), F.lit(1), lambda n, t: n + F.length(t) + 1)
+    text = F.substring(F.col("name"), start, F.lit(POSTING))
+    return rows.filter(F.col("token") != "").select(text.alias("text"), "id")
+
+
+def phrase_ids(postings: DataFrame, index: DataFrame, query: str) -> DataFrame:
+    """(id): names that hold the query's phrase, each once; none for a query that says nothing.
+
+    The phrase is worked out by the planner, so the scan gets it as a prefix to skip row groups by.
+    ``index`` is read only for a query that may be longer than a posting.
+    """
+    phrase = T.normalise_query(F.lit(query))
+    ids = postings.filter(F.col("text").startswith(F.substring(F.ltrim(phrase), 1, POSTING))).select("id").distinct()
+    if 2 * len(query) <= POSTING:
+        return ids
+    return index.filter(T.matches_phrase(F.col("norm_name"), phrase)).join(ids, "id", "left_semi").select("id")

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from crateline.config import FLOOR_SWEEP
@@ -109,20 +109,30 @@ def floor_sweep(
     min_artists: int = 2,
     min_ratio: float = 0.5,
 ) -> DataFrame:
-    """(floor, artists, labels): what each ratio floor would keep, all floors in one pass."""
-    shares = _shares(seeds, totals).select("artist_id", "share")
-    artists = R.per_threshold(shares, floors, lambda f: F.count_if(F.col("share") >= f), "artists")
-    rosters = (
+    """(floor, artists, labels): what each ratio floor would keep, all floors in one pass.
+
+    An artist passes every floor up to its share. A label's strong artists only get fewer as floors
+    rise, so it passes up to the highest floor that leaves it enough; its artists are counted per
+    floor they reach, which combines on the map side, and added up from the highest down.
+    """
+    rising = sorted(set(map(float, floors)))
+    shares = _shares(seeds, totals).select("artist_id", R.reached(F.col("share"), rising).alias("place"))
+    artists = R.at_least(shares, "place", rising, "artists")
+    held = (
         pairs.join(shares, "artist_id", "left")
+        .groupBy("label_id", F.coalesce("place", F.lit(0)).alias("place"))
+        .agg(F.count("*").alias("n"))
+    )
+    label = Window.partitionBy("label_id")
+    strong = F.sum("n").over(label.orderBy(F.col("place").desc()))
+    enough = (F.col("strong") >= min_artists) & (F.col("strong") / F.col("roster") >= min_ratio)
+    best = (
+        held.select("label_id", "place", strong.alias("strong"), F.sum("n").over(label).alias("roster"))
+        .filter(enough)
         .groupBy("label_id")
-        .agg(
-            F.count("*").alias("roster"),
-            *[F.count_if(F.col("share") >= f).alias(f"s{i}") for i, f in enumerate(floors)],
-        )
-    )
-    at = {f: f"s{i}" for i, f in enumerate(floors)}
-    strong = lambda f: (F.col(at[f]) >= min_artists) & (F.col(at[f]) / F.col("roster") >= min_ratio)
-    labels = R.per_threshold(rosters, floors, lambda f: F.count_if(strong(f)), "labels")
+        .agg(F.max("place").alias("place"))
+    )
+    labels = R.at_least(best, "place", rising, "labels")
     return (
         artists.join(labels, "threshold")
         .withColumnRenamed("threshold", "floor")

@@ -109,6 +109,34 @@ def per_threshold(
     return facts.agg(*columns).select(F.inline(F.array(*rows)))
 
 
+def _doubles(values: Sequence[float]) -> Column:
+    """A literal array, folded once by the planner whatever its length."""
+    return F.from_json(F.lit(json.dumps([float(v) for v in values])), "array<double>")
+
+
+def reached(value: Column, thresholds: Sequence[float]) -> Column:
+    """How many of the rising thresholds the value reaches, by halving: 14 steps for 10,000; 0 for null."""
+    steps = [1 << k for k in reversed(range(len(thresholds).bit_length()))]
+    listed = _doubles(thresholds)
+    further = lambda at, step: F.coalesce(F.get(listed, at + step - 1) <= value, F.lit(False))
+    return F.aggregate(F.lit(steps), F.lit(0), lambda at, step: F.when(further(at, step), at + step).otherwise(at))
+
+
+def at_least(facts: DataFrame, place: str, thresholds: Sequence[float], name: str) -> DataFrame:
+    """(threshold, n): rows whose ``place`` (as ``reached`` gives it) is at or past each threshold.
+
+    Rows are counted per place, then added up from the highest down over as many rows as there are
+    thresholds: one pass however many those are.
+    """
+    counts = facts.groupBy(F.col(place).alias("place")).agg(F.count("*").alias("n"))
+    # A row per threshold, so that one nobody stands at is there too; bounded by the parameter.
+    none = facts.sparkSession.range(1, len(thresholds) + 1).select(F.col("id").cast("int").alias("place"), F.lit(0).cast("bigint").alias("n"))
+    whole = counts.filter("place > 0").unionByName(none).groupBy("place").agg(F.sum("n").alias("n"))
+    upwards = Window.orderBy(F.col("place").desc()).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    threshold = F.get(_doubles(thresholds), F.col("place") - 1)
+    return whole.select(threshold.alias("threshold"), F.sum("n").over(upwards).alias(name))
+
+
 # --- write conflicts --------------------------------------------------------------
 
 
@@ -209,6 +237,13 @@ def beside_whole(df: DataFrame, **wholes: Column) -> DataFrame:
     return gathered.select(F.explode("_rows").alias("_row"), *wholes).select("_row.*", *wholes)
 
 
+def clustered(df: DataFrame, key: str) -> DataFrame:
+    """Rows laid out by a key over range partitions, so a lookup reads few row groups. Whole
+    numbers break ties, so one hot key still spreads over ranges."""
+    rest = [c for c, kind in df.dtypes if c != key and kind in ("bigint", "int")]
+    return df.repartitionByRange(key, *rest).sortWithinPartitions(key)
+
+
 def row_count(df: DataFrame, name: str = "n") -> DataFrame:
     return df.agg(F.count("*").alias(name))
 

@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from crateline.config import (
@@ -21,6 +21,7 @@ from crateline.config import (
 )
 from crateline.functions import predicates as P
 from crateline.functions import text as T
+from crateline.operators import entities as E
 from crateline.operators import relational as R
 
 Tables = Mapping[str, DataFrame]
@@ -140,68 +141,75 @@ def _newest() -> list[Column]:
     return [F.col("year").desc_nulls_last(), F.col("title"), F.col("release_id")]
 
 
-def artist_releases(tables: Tables, id: int | None = None, limit: int = 300) -> DataFrame:
-    """Newest first, with the artist's distinct roles and the release's first label.
+# Names in a by-line: a line to read, cut per release on the map side.
+BY_LINE = 1000
 
-    Roles and labels are looked up only for the rows the limit keeps.
-    """
-    line = _only(tables["release_artists"], "artist_id", id).select("artist_id", "release_id")
-    credits = _only(tables["release_credits"], "artist_id", id)
-    mine = R.union_distinct(line, credits.select("artist_id", "release_id"))
-    dated = mine.join(
-        tables["releases"].select(F.col("id").alias("release_id"), "title", "year"), "release_id"
-    )
-    shown = _best(dated, "artist_id", _newest(), limit, id)
-    told = credits.join(shown.select("artist_id", "release_id"), ["artist_id", "release_id"], "left_semi")
-    roles = R.joined_text(told, ["artist_id", "release_id"], "role", ",")
-    labels = (
-        tables["release_labels"]
-        .join(shown.select("release_id"), "release_id", "left_semi")
-        .groupBy("release_id")
-        .agg(
-            F.min_by(F.struct("name", "label_id"), F.struct("position", "label_id", "name")).alias(
-                "first"
-            )
-        )
+
+def _first_labels(refs: DataFrame) -> DataFrame:
+    """(release_id, label, label_id): the first label of each release."""
+    first = F.min_by(F.struct("name", "label_id"), F.struct("position", "label_id", "name"))
+    return refs.groupBy("release_id").agg(first.alias("first")).select(
+        "release_id", F.col("first.name").alias("label"), F.col("first.label_id").alias("label_id")
     )
-    return (
-        shown.join(roles, ["artist_id", "release_id"], "left")
-        .join(labels, "release_id", "left")
-        .select(
-            "artist_id",
-            "place",
-            "release_id",
-            "title",
-            "year",
-            F.col("first.name").alias("label"),
-            F.col("first.label_id").alias("label_id"),
-            F.col("role").alias("roles"),
-        )
+
+
+def _dated(rows: DataFrame, releases: DataFrame) -> DataFrame:
+    return rows.join(releases.select(F.col("id").alias("release_id"), "title", "year"), "release_id")
+
+
+def artist_release_list(tables: Tables, id: int | None = None) -> DataFrame:
+    """(artist_id, release_id, title, year, label, label_id, roles): a covering row per artist and
+    release, roles distinct and joined by a comma, null where the artist is on the line alone."""
+    line = _only(tables["release_artists"], "artist_id", id).select(
+        "artist_id", "release_id", F.lit(None).cast("string").alias("role")
+    )
+    credits = _only(tables["release_credits"], "artist_id", id).select("artist_id", "release_id", "role")
+    held = line.unionByName(credits).groupBy("artist_id", "release_id").agg(F.array_sort(F.collect_set("role")).alias("roles"))
+    roles = F.when(F.size("roles") > 0, F.array_join("roles", ","))
+    refs = tables["release_labels"]
+    if id is not None:
+        refs = refs.join(held.select("release_id"), "release_id", "left_semi")
+    return _dated(held, tables["releases"]).join(_first_labels(refs), "release_id", "left").select(
+        "artist_id", "release_id", "title", "year", "label", "label_id", roles.alias("roles")
     )
 
 
-def label_releases(tables: Tables, id: int | None = None, limit: int = 300) -> DataFrame:
-    """Newest first, once per release, with its lowest catalogue entry and the by-line."""
+def label_release_list(tables: Tables, id: int | None = None, by_line: int = BY_LINE) -> DataFrame:
+    """(label_id, release_id, title, year, catno, by_line): a covering row per label and release,
+    with its lowest catalogue entry and at most ``by_line`` names of the release's line, in order."""
     once = (
         _only(tables["release_labels"], "label_id", id)
         .groupBy("label_id", "release_id")
-        .agg(
-            F.min(F.struct("position", "catno")).alias("entry"),
-        )
+        .agg(F.min(F.struct("position", "catno")).alias("entry"))
     )
-    dated = once.join(
-        tables["releases"].select(F.col("id").alias("release_id"), "title", "year"), "release_id"
+    line = tables["release_artists"].select("release_id", "position", "name")
+    if id is not None:
+        line = line.join(once.select("release_id"), "release_id", "left_semi")
+    first = R.top_k_per_group(line, ["release_id"], [F.col("position"), F.col("name")], by_line)
+    lines = first.groupBy("release_id").agg(F.array_sort(F.collect_list(F.struct("position", "name"))).alias("names"))
+    lines = lines.select("release_id", F.array_join("names.name", " ").alias("by_line"))
+    return _dated(once, tables["releases"]).join(lines, "release_id", "left").select(
+        "label_id", "release_id", "title", "year", F.col("entry.catno").alias("catno"), "by_line"
     )
-    shown = _best(dated, "label_id", _newest(), limit, id)
-    by_line = (
-        tables["release_artists"]
-        .join(shown.select("release_id"), "release_id", "left_semi")
-        .groupBy("release_id")
-        .agg(F.array_sort(F.collect_list(F.struct("position", "name"))).alias("names"))
-        .select("release_id", F.array_join("names.name", " ").alias("by_line"))
+
+
+def artist_releases(tables: Tables, id: int | None = None, limit: int = 300) -> DataFrame:
+    """Newest first, with the artist's distinct roles and the release's first label; read from
+    ``artist_release_list`` where it is stored, which holds all that a row shows."""
+    held = tables.get("artist_release_list")
+    rows = _only(held, "artist_id", id) if held is not None else artist_release_list(tables, id)
+    return _best(rows, "artist_id", _newest(), limit, id).select(
+        "artist_id", "place", "release_id", "title", "year", "label", "label_id", "roles"
     )
-    return shown.join(by_line, "release_id", "left").select(
-        "label_id", "place", "release_id", "title", "year", F.col("entry.catno").alias("catno"), "by_line"
+
+
+def label_releases(tables: Tables, id: int | None = None, limit: int = 300) -> DataFrame:
+    """Newest first, once per release, with its lowest catalogue entry and the by-line; read from
+    ``label_release_list`` where it is stored."""
+    held = tables.get("label_release_list")
+    rows = _only(held, "label_id", id) if held is not None else label_release_list(tables, id)
+    return _best(rows, "label_id", _newest(), limit, id).select(
+        "label_id", "place", "release_id", "title", "year", "catno", "by_line"
     )
 
 
@@ -255,13 +263,18 @@ def relations(tables: Tables, id: int | None = None) -> DataFrame:
 def search(tables: Tables, query: str, limit: int = 40) -> DataFrame:
     """Artists and labels whose name holds the phrase, merged by grade, best first.
 
-    Expects ``artist_search`` and ``label_search`` as (id, norm_name). ``truncated`` tells
-    that either kind reached the limit.
+    Expects ``artist_search`` and ``label_search`` as (id, norm_name); with ``artist_postings``
+    and ``label_postings`` beside them, a range of each is read and no name is scanned.
+    ``truncated`` tells that either kind reached the limit.
     """
     phrase = T.normalise_query(F.lit(query))
-    found = lambda kind: tables[f"{kind}_search"].filter(
-        T.matches_phrase(F.col("norm_name"), phrase)
-    ).select("id")
+
+    def found(kind: str) -> DataFrame:
+        index, postings = tables[f"{kind}_search"], tables.get(f"{kind}_postings")
+        if postings is not None:
+            return E.phrase_ids(postings, index, query)
+        return index.filter(T.matches_phrase(F.col("norm_name"), phrase)).select("id")
+
     artists = (
         R.left_join_all(
             found("artist").join(tables["artists"].select("id", "name"), "id"),
@@ -309,9 +322,10 @@ def search(tables: Tables, query: str, limit: int = 40) -> DataFrame:
         .limit(limit)
     )
     merged = artists.unionByName(labels)
-    # At most two limits' worth of rows are left to count and sort.
-    full = lambda kind: F.count_if(F.col("kind") == kind) == limit
-    hits = R.beside_whole(merged, truncated=full("artist") | full("label"))
+    # Two limits' worth of rows are left, in one partition already; a window over them spills where
+    # a gathered list would not.
+    full = F.count("*").over(Window.partitionBy("kind")) == limit
+    hits = merged.withColumn("full", full).withColumn("truncated", F.max("full").over(Window.partitionBy(F.lit(0)))).drop("full")
     return hits.orderBy(
         P.grade_rank(F.col("relevance")), F.col("release_count").desc(), "kind", "id"
     )

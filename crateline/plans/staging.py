@@ -3,11 +3,13 @@
 from __future__ import annotations
 
 import tempfile
+import time
 from collections.abc import Callable, Mapping
 from concurrent.futures import ThreadPoolExecutor
 from uuid import uuid4
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
+from pyspark.sql import functions as F
 
 SETTINGS = {
     # Runtime join choice by measured size, and splitting of hot keys even where the split
@@ -61,18 +63,62 @@ def shared_folder(spark: SparkSession) -> str:
     return spark.sparkContext.getCheckpointDir()
 
 
+# How long counts of a finished job may take to arrive before they are taken again.
+ARRIVAL_SECONDS = 5.0
+
+
+def arrived(seen: Observation) -> dict | None:
+    """What a finished job observed. None if its plan ran without the observed rows (an empty
+    other side lets the optimizer drop them) or in another session than theirs."""
+    end = time.monotonic() + ARRIVAL_SECONDS
+    while not seen._jo.future().isCompleted():
+        if time.monotonic() > end:
+            return None
+        time.sleep(0.005)
+    return seen.get if seen._jo.getRow().length() else None
+
+
 class Stage:
-    """Tables written once and read back: lineage ends at the file, not at an executor."""
+    """Tables written once and read back: lineage ends at the file, not at an executor.
+
+    ``counts`` holds what was counted while each table was written: its rows, and whatever its
+    build asked to ``watch``. Counts of rows on their way to a shuffle may take in a map task that
+    a lost executor made run twice; counts of written rows do not.
+    """
 
     def __init__(self, spark: SparkSession, folder: str | None = None):
         self.spark = spark
         self.folder = folder or f"{shared_folder(spark)}/stage-{uuid4().hex}"
+        self.counts: dict[str, dict[str, int]] = {}
         self._held: dict[str, DataFrame] = {}
+        self._watched: dict[str, list[tuple[Observation, DataFrame, list[Column]]]] = {}
+
+    def watch(self, name: str, df: DataFrame, **measures: Column) -> DataFrame:
+        """The same rows, measured by the job that writes table ``name``; use them there once."""
+        seen, columns = Observation(), [m.alias(n) for n, m in measures.items()]
+        self._watched.setdefault(name, []).append((seen, df, columns))
+        return df.observe(seen, *columns)
+
+    def counted(self, name: str, df: DataFrame) -> tuple[DataFrame, Callable[[], dict[str, int]]]:
+        """The rows to write, and what to call after writing them for all that was counted."""
+        watching = self.watch(name, df, rows=F.count("*"))
+
+        def counts() -> dict[str, int]:
+            found: dict[str, int] = {}
+            for seen, source, columns in self._watched.pop(name):
+                measured = arrived(seen)
+                # A one-row aggregate: counts again what the job had no need to read.
+                found.update(measured if measured is not None else source.agg(*columns).head().asDict())
+            self.counts[name] = {n: int(v or 0) for n, v in found.items()}
+            return self.counts[name]
+
+        return watching, counts
 
     def _write(self, name: str, build: Callable[[], DataFrame]) -> DataFrame:
-        df = build()
+        df, counts = self.counted(name, build())
         path = f"{self.folder}/{name}"
         df.write.mode("overwrite").parquet(path)
+        counts()
         return self.spark.read.schema(df.schema).parquet(path)
 
     def table(self, name: str, build: Callable[[], DataFrame]) -> DataFrame:

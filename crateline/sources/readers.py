@@ -143,12 +143,17 @@ def _flat_urls(df: DataFrame) -> DataFrame:
     return df.withColumn("urls", _links())
 
 
-def last_records(df: DataFrame, key: str = "id", order: Column | None = None) -> DataFrame:
-    """One record per key: the last by ``order``, or the last the dump holds, by file, place of
-    the block and row within it."""
+def in_dump_order(df: DataFrame, order: Column | None = None) -> DataFrame:
+    """Adds ``_seq``: the given order, or the place in the dump by file, place of the block and row
+    within it. To be asked for where the dump is read, before any shuffle."""
     if order is None:
         order = F.struct(F.input_file_name(), F.input_file_block_start(), F.monotonically_increasing_id())
-    return replace_by_key(df.withColumn("_seq", order), [key], "_seq").drop("_seq")
+    return df.withColumn("_seq", order)
+
+
+def last_records(df: DataFrame, key: str = "id", order: Column | None = None) -> DataFrame:
+    """One record per key, the last in the dump's or the given order."""
+    return replace_by_key(in_dump_order(df, order), [key], "_seq").drop("_seq")
 
 
 def to_bronze(df: DataFrame, path: str, key: str = "id", files: int | None = None) -> DataFrame:

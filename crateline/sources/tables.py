@@ -7,12 +7,12 @@ from collections.abc import Mapping
 from datetime import datetime, timezone
 from uuid import uuid4
 
-from pyspark.sql import Column, DataFrame, SparkSession
-from pyspark.sql import functions as F
+from pyspark.sql import DataFrame, SparkSession
 
 from crateline.config import SERVED, Dials
 from crateline.operators import relational as R
 from crateline.operators.corpus import Catalogue, usable_label_refs
+from crateline.sources import files
 
 
 class NoData(LookupError):
@@ -58,6 +58,10 @@ LOOKUP_KEYS = {
     "artist_relations": "artist_id",
     "artist_search": "id",
     "label_search": "id",
+    "artist_postings": "text",
+    "label_postings": "text",
+    "artist_release_list": "artist_id",
+    "label_release_list": "label_id",
 }
 _MANIFEST = "CURRENT"
 
@@ -66,27 +70,6 @@ _MANIFEST = "CURRENT"
 KEPT_VERSIONS = 3
 
 
-def _path(spark: SparkSession, path: str):
-    hadoop = spark._jvm.org.apache.hadoop.fs.Path(path)
-    return hadoop, hadoop.getFileSystem(spark._jsc.hadoopConfiguration())
-
-
-def _replace(spark: SparkSession, path: str, text: str) -> None:
-    """The whole text under a name of its own, then one rename over the old file."""
-    fresh, fs = _path(spark, f"{path}.{uuid4().hex}")
-    out = fs.create(fresh, False)
-    try:
-        out.write(bytearray(text, "utf-8"))
-    finally:
-        out.close()
-    jvm = spark._jvm
-    overwrite = jvm.org.apache.hadoop.fs.Options.Rename.OVERWRITE
-    options = spark.sparkContext._gateway.new_array(jvm.org.apache.hadoop.fs.Options.Rename, 1)
-    options[0] = overwrite
-    context = jvm.org.apache.hadoop.fs.FileContext.getFileContext(fresh.toUri(), spark._jsc.hadoopConfiguration())
-    context.rename(fresh, _path(spark, path)[0], options)
-
-
 def publish_serving(
     tables: Mapping[str, DataFrame], dest: str, served: tuple[str, ...] = SERVED, kept: int = KEPT_VERSIONS
 ) -> str:
@@ -101,26 +84,20 @@ def publish_serving(
     spark = next(iter(held.values())).sparkSession
     for name, df in held.items():
         key = LOOKUP_KEYS.get(name)
-        # The other numbers break ties, so one hot key still spreads over ranges.
-        rest = [c for c, kind in df.dtypes if c != key and kind in ("bigint", "int")]
-        laid = df if key is None else df.repartitionByRange(key, *rest).sortWithinPartitions(key)
+        laid = df if key is None else R.clustered(df, key)
         laid.write.parquet(f"{dest}/{version}/{name}")
     before = _manifest(spark, dest)
     versions = [version, *(before["versions"] if before else [])]
     text = json.dumps({"versions": versions[:kept], "tables": list(held)})
-    _replace(spark, f"{dest}/{_MANIFEST}", text)
+    files.replace_text(spark, f"{dest}/{_MANIFEST}", text)
     for old in versions[kept:]:
-        folder, fs = _path(spark, f"{dest}/{old}")
-        fs.delete(folder, True)
+        files.delete(spark, f"{dest}/{old}")
     return version
 
 
 def _manifest(spark: SparkSession, dest: str) -> dict | None:
-    manifest, fs = _path(spark, f"{dest}/{_MANIFEST}")
-    if not fs.exists(manifest):
-        return None
-    # One small line, so reading it on the driver is bounded.
-    return json.loads(spark.read.text(f"{dest}/{_MANIFEST}", wholetext=True).head()[0])
+    text = files.read_text(spark, f"{dest}/{_MANIFEST}")
+    return json.loads(text) if text else None
 
 
 def load_serving(spark: SparkSession, dest: str) -> dict[str, DataFrame]:
@@ -138,24 +115,24 @@ RUN_LOG = (
 
 
 def run_record(
-    stats: DataFrame, step: str, source_file: str | None, config: Mapping, started_at: Column | str
-) -> DataFrame:
-    """One run-log row: the step's one-row stats frame and its config, both as JSON."""
-    now = datetime.now(timezone.utc).isoformat()
-    return stats.select(
-        F.lit(uuid4().hex).alias("id"),
-        F.lit(step).alias("step"),
-        (F.lit(started_at) if isinstance(started_at, str) else started_at).alias("started_at"),
-        F.lit(now).alias("finished_at"),
-        F.lit(source_file).cast("string").alias("source_file"),
-        F.lit(json.dumps(config, sort_keys=True)).alias("config_json"),
-        F.to_json(F.struct("*")).alias("stats_json"),
-    )
+    stats: Mapping[str, int | float | None], step: str, source_file: str | None, config: Mapping, started_at: str
+) -> dict[str, str | None]:
+    """One run-log row: what the step counted and its config, both as JSON."""
+    return {
+        "id": uuid4().hex,
+        "step": step,
+        "started_at": started_at,
+        "finished_at": datetime.now(timezone.utc).isoformat(),
+        "source_file": source_file,
+        "config_json": json.dumps(config, sort_keys=True),
+        "stats_json": json.dumps(stats),
+    }
 
 
-def append_run(record: DataFrame, path: str) -> None:
-    record.write.mode("append").parquet(path)
+def append_run(spark: SparkSession, record: Mapping[str, str | None], path: str) -> None:
+    """A file of its own per run, written without a Spark job."""
+    files.replace_text(spark, f"{path}/{record['id']}.json", json.dumps(record))
 
 
 def read_runs(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.schema(RUN_LOG).parquet(path)
+    return spark.read.schema(RUN_LOG).json(path)

@@ -7,6 +7,8 @@ within one order row, so nothing is gathered per group.
 
 from __future__ import annotations
 
+from dataclasses import replace
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -61,6 +63,22 @@ DIALS = Dials(
     ),
 )
 
+# The same seed, a wider hop: weaker bridges, fuller releases, one shared release is enough.
+WIDER = replace(DIALS, bridge_min_ratio=0.3, max_people_to_admit=6, min_ties=1)
+# For the nested records, whose styles are market segments and nations.
+NESTED_DIALS = replace(
+    DIALS,
+    seed=SeedRule(
+        core=("Nation style 1", "Nation style 7"),
+        broad=("BUILDING",),
+        gate_genres=("1-URGENT", "2-HIGH"),
+        needs_companion=("MACHINERY",),
+        companions=("Nation style 3", "Nation style 8"),
+        disqualifying=("Nation style 24",),
+    ),
+    label_min_ratio=0.4,
+)
+
 
 def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
@@ -317,6 +335,11 @@ class Bound:
     def tables(self) -> dict[str, DataFrame]:
         return {**self.corpus, **self.entities, **self.derived}
 
+    @property
+    def served(self) -> dict[str, DataFrame]:
+        """With the tables that lookups read."""
+        return {**self.tables, **self._once("serving", lambda: steps.serving_tables(self.tables, self.stage))}
+
 
 _BOUND: dict[tuple[str, str], Bound] = {}
 

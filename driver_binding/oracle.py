@@ -83,6 +83,33 @@ RULE_TABLE = "(VALUES " + ", ".join(
     f"({i}, '{r.name}', '{r.floor}', {r.min_releases}, {r.min_share})" for i, r in RULES
 ) + ") AS r(rule, rule_name, floor, min_releases, min_share)"
 
+def seed_rule(rule) -> dict[str, str]:
+    return {
+        "k_tag_facts": f"""SELECT release_id, {any_style(rule.disqualifying)} AS disq,
+        {any_style(rule.core)} AS core, {any_style(rule.broad)} AS broad,
+        {any_style(rule.needs_companion)} AS needs, {any_style(rule.companions)} AS comp
+        FROM k_sty GROUP BY release_id""",
+        "k_seed_rel": f"""SELECT r.* FROM k_rel r JOIN k_tag_facts f ON f.release_id = r.id
+        JOIN k_gen g ON g.release_id = r.id
+        WHERE NOT disq AND (core OR (g.genre IN {sql_list(rule.gate_genres)} AND (broad OR (needs AND comp))))""",
+    }
+
+
+def hop(dials) -> dict[str, str]:
+    return {
+        "k_bridges": f"""SELECT artist_id FROM k_seed_art LEFT JOIN k_totals USING (artist_id)
+        WHERE total IS NULL OR seed_releases / greatest(1, total) >= {dials.bridge_min_ratio}""",
+        "k_crowd": f"""SELECT release_id, count(*) > {dials.max_people_to_admit} AS crowded
+        FROM k_admiss GROUP BY release_id""",
+        "k_corpus": f"""SELECT * FROM (
+        SELECT coalesce(s.artist_id, t.artist_id) AS artist_id, s.artist_id IS NOT NULL AS is_seed,
+               coalesce(ties_a, 0) > 0 AND (s.artist_id IS NOT NULL OR ties_a >= {dials.min_ties}) AS channel_a,
+               coalesce(via_b, false) AS channel_b
+        FROM k_seed_art s FULL JOIN k_ties t ON t.artist_id = s.artist_id)
+        WHERE is_seed OR channel_a OR channel_b""",
+    }
+
+
 K = {
     # --- the catalogue ---
     "k_rel": """SELECT o_orderkey AS id, concat('Order ', o_orderkey) AS title,
@@ -114,13 +141,7 @@ K = {
     # --- seed ---
     "k_pairs": f"""SELECT DISTINCT label_id, artist_id FROM k_usable
         JOIN (SELECT release_id, artist_id FROM k_line WHERE {REAL_PERSON}) USING (release_id)""",
-    "k_tag_facts": f"""SELECT release_id, {any_style(S.disqualifying)} AS disq,
-        {any_style(S.core)} AS core, {any_style(S.broad)} AS broad,
-        {any_style(S.needs_companion)} AS needs, {any_style(S.companions)} AS comp
-        FROM k_sty GROUP BY release_id""",
-    "k_seed_rel": f"""SELECT r.* FROM k_rel r JOIN k_tag_facts f ON f.release_id = r.id
-        JOIN k_gen g ON g.release_id = r.id
-        WHERE NOT disq AND (core OR (g.genre IN {sql_list(S.gate_genres)} AND (broad OR (needs AND comp))))""",
+    **seed_rule(S),
     "k_seed_app": "SELECT * FROM k_app WHERE release_id IN (SELECT id FROM k_seed_rel)",
     "k_tally": f"""SELECT artist_id, count(*) AS seed_releases FROM k_seed_app
         WHERE {REAL_PERSON} AND NOT {marker('role', D.packaging_roles)} GROUP BY artist_id""",
@@ -135,8 +156,7 @@ K = {
         seeds / total AS seed_ratio FROM k_label_counts
         WHERE seeds >= {D.label_min_artists} AND seeds / total >= {D.label_min_ratio}""",
     # --- one hop ---
-    "k_bridges": f"""SELECT artist_id FROM k_seed_art LEFT JOIN k_totals USING (artist_id)
-        WHERE total IS NULL OR seed_releases / greatest(1, total) >= {D.bridge_min_ratio}""",
+    **hop(D),
     "k_flags": """SELECT release_id, bool_or(a) AS channel_a, bool_or(b) AS channel_b FROM (
         SELECT release_id, true AS a, false AS b FROM k_person
          WHERE artist_id IN (SELECT artist_id FROM k_bridges)
@@ -147,19 +167,11 @@ K = {
         FROM k_rel r LEFT JOIN k_seed_rel s ON s.id = r.id LEFT JOIN k_flags f ON f.release_id = r.id
         WHERE s.id IS NOT NULL OR f.release_id IS NOT NULL""",
     "k_admiss": f"SELECT * FROM k_person WHERE NOT {marker('role', D.authorship_roles)}",
-    "k_crowd": f"""SELECT release_id, count(*) > {D.max_people_to_admit} AS crowded
-        FROM k_admiss GROUP BY release_id""",
     "k_ties": """SELECT artist_id,
         count(*) FILTER (WHERE channel_a AND NOT coalesce(crowded, false)) AS ties_a,
         bool_or(channel_b) AS via_b
         FROM k_admiss JOIN k_flags USING (release_id) LEFT JOIN k_crowd USING (release_id)
         GROUP BY artist_id""",
-    "k_corpus": f"""SELECT * FROM (
-        SELECT coalesce(s.artist_id, t.artist_id) AS artist_id, s.artist_id IS NOT NULL AS is_seed,
-               coalesce(ties_a, 0) > 0 AND (s.artist_id IS NOT NULL OR ties_a >= {D.min_ties}) AS channel_a,
-               coalesce(via_b, false) AS channel_b
-        FROM k_seed_art s FULL JOIN k_ties t ON t.artist_id = s.artist_id)
-        WHERE is_seed OR channel_a OR channel_b""",
     "k_c_line": "SELECT * FROM k_line WHERE release_id IN (SELECT id FROM k_kept)",
     "k_c_cred": "SELECT * FROM k_cred WHERE release_id IN (SELECT id FROM k_kept)",
     "k_c_lab": "SELECT * FROM k_usable WHERE release_id IN (SELECT id FROM k_kept)",
@@ -308,6 +320,13 @@ K = {
         UNION ALL SELECT id, 2, nation + 100, concat('Series ', nation), NULL FROM k_nested""",
 }
 
+def anew(tag: str, changed: dict[str, str]) -> dict[str, str]:
+    """Every subquery again under names with a tag, those of ``changed`` in its words; what the
+    nested records hold keeps its name."""
+    own = lambda sql: re.sub(r"\bk_(?!nested\b|n_)([a-z_]+)\b", rf"k_{tag}_\1", sql)
+    return {own(name): own(sql) for name, sql in {**K, **changed}.items()}
+
+
 _NAME = re.compile(r"\bk_[a-z_]+\b")
 
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from uuid import uuid4
+
 from pyspark.sql import functions as F
 
 from crateline.operators import corpus as C
@@ -9,10 +11,19 @@ from crateline.operators import derive as D
 from crateline.operators import entities as E
 from crateline.plans import steps
 from crateline.plans.staging import Stage
-from driver_binding.oracle import GRADE_RANK, marker
-from driver_binding.catalogue import DIALS
+from crateline.sources.readers import read_releases, release_xml_rows, to_bronze, write_xml
+from driver_binding.catalogue import DIALS, NESTED_DIALS, nested_releases
+from driver_binding.oracle import GRADE_RANK, K, anew, marker, seed_rule
+from driver_binding.q_sources import digest_sql, digests
 from driver_binding.registry import query
 
+
+def counted(b, stats):
+    """One row of what steps counted while they wrote their tables."""
+    cell = lambda v: F.lit(v).cast("bigint" if isinstance(v, int) else "double")
+    return b.spark.range(1).select(*(cell(v).alias(name) for name, v in stats.items()))
+
+
 # --- corpus -------------------------------------------------------------------------------
 
 
@@ -132,7 +143,8 @@ def corpus_artists(b):
         (SELECT count(*) FROM k_tally) - (SELECT count(*) FROM k_seed_art) AS dropped_by_ratio""",
 )
 def pass1_stats(b):
-    return steps.seed_stats(b.cat, b.seed, b.dials)
+    b.seed  # noqa: B018 - counted when written
+    return counted(b, steps.seed_stats(b.stage))
 
 
 @query(
@@ -151,7 +163,8 @@ def pass1_stats(b):
         FROM k_flags LEFT JOIN k_crowd USING (release_id))""",
 )
 def pass2_stats(b):
-    return steps.expansion_stats(b.cat, b.seed, b.corpus, b.dials)
+    b.corpus  # noqa: B018
+    return counted(b, steps.expansion_stats(b.stage))
 
 
 @query("c18_select_corpus", CORPUS_ARTISTS)
@@ -160,6 +173,53 @@ def select_corpus(b):
     return steps.select_corpus(b.cat, b.dials, Stage(b.spark))["corpus_artists"]
 
 
+# Every table of a selection: its subquery, and the columns that its digest takes in.
+SELECTED = {
+    "releases": ("k_kept", ("id", "title", "year", "is_seed", "channel_a", "channel_b")),
+    "release_artists": ("k_c_line", ("release_id", "position", "artist_id", "name", "join_phrase")),
+    "release_credits": ("k_c_cred", ("release_id", "position", "artist_id", "name", "role")),
+    "release_labels": ("k_c_lab", ("release_id", "position", "label_id", "name", "catno")),
+    "release_styles": ("k_c_sty", ("release_id", "style")),
+    "release_genres": ("k_c_gen", ("release_id", "genre")),
+    "corpus_artists": ("k_corpus", ("artist_id", "is_seed", "channel_a", "channel_b")),
+    "channel_flags": ("k_flags", ("release_id", "channel_a", "channel_b")),
+    "label_artist_pairs": ("k_pairs", ("label_id", "artist_id")),
+    "seed_artists": ("k_seed_art", ("artist_id", "seed_releases", "total_releases")),
+    "seed_artist_totals": ("k_totals", ("artist_id", "total")),
+    "seed_labels": ("k_seed_lab", ("label_id", "seed_artist_count", "total_artist_count")),
+    "roles_seen": ("(SELECT role, count(*) AS occurrences FROM k_c_cred GROUP BY 1)", ("role", "occurrences")),
+}
+# The nested records as a catalogue, for the subqueries of a selection.
+NESTED = {
+    "k_rel": "SELECT id, title, year FROM k_nested",
+    "k_line": "SELECT * FROM k_n_line",
+    "k_cred": "SELECT * FROM k_n_cred",
+    "k_lab": "SELECT * FROM k_n_lab",
+    "k_sty": "SELECT id AS release_id, unnest([segment, concat('Nation style ', nation)]) AS style FROM k_nested",
+    "k_gen": "SELECT id AS release_id, genre FROM k_nested",
+    **seed_rule(NESTED_DIALS.seed),
+    "k_label_counts": K["k_label_counts"],
+    "k_seed_lab": K["k_seed_lab"].replace(str(DIALS.label_min_ratio), str(NESTED_DIALS.label_min_ratio)),
+}
+
+
+@query(
+    "c18_select_nested",
+    " UNION ALL ".join(
+        digest_sql(name, source.replace("k_", "k_nest_"), columns) for name, (source, columns) in SELECTED.items()
+    ),
+    anew("nest", NESTED),
+)
+def select_nested(b):
+    """The selection over nested records as a dump gives them, from XML over bronze to tables;
+    rows and digest of every table."""
+    folder = f"{b.stage.folder}/dump-{uuid4().hex}"
+    write_xml(release_xml_rows(nested_releases(b.spark, b.sf_dir)), f"{folder}/xml", "releases", "release")
+    nested = to_bronze(read_releases(b.spark, f"{folder}/xml"), f"{folder}/bronze")
+    made = steps.select_corpus(C.from_records(nested, NESTED_DIALS.seed), NESTED_DIALS, Stage(b.spark))
+    return digests({name: made[name] for name in SELECTED}, {name: columns for name, (_, columns) in SELECTED.items()})
+
+
 # --- entities -------------------------------------------------------------------------------
 
 
@@ -181,6 +241,34 @@ def corpus_label_entities(b):
     return E.corpus_label_entities(b.labels_dump, b.corpus["release_labels"])
 
 
+def _written_twice(dump):
+    """Each record twice, first under another name and without the rest: the last one counts."""
+    before = dump.withColumn("name", F.lit("Before"))
+    for column, kind in dump.dtypes:
+        if column not in ("id", "name"):
+            before = before.withColumn(column, F.lit(None).cast(kind))
+    return before.unionByName(dump)
+
+
+@query(
+    "e1_repeated_records",
+    """SELECT 'artist' AS kind, id, name, real_name, profile, array_to_string(urls, chr(10)) AS urls FROM k_artists
+        UNION ALL SELECT 'label', id, name, NULL, profile, array_to_string(urls, chr(10)) FROM k_labels
+        UNION ALL SELECT kind, artist_id, related_name, CAST(related_id AS VARCHAR), NULL, NULL FROM k_relations""",
+)
+def repeated_records(b):
+    """The entities step over dumps that hold every artist and label twice."""
+    dumps = (_written_twice(d) for d in (b.artists_dump, b.labels_dump))
+    made = steps.load_entities(b.corpus, *dumps, Stage(b.spark))
+    artists = made["artists"].select(F.lit("artist").alias("kind"), "id", "name", "real_name", "profile", "urls")
+    labels = made["labels"].select(F.lit("label").alias("kind"), "id", "name", "profile", "urls")
+    relations = made["artist_relations"].select(
+        "kind", F.col("artist_id").alias("id"), F.col("related_name").alias("name"),
+        F.col("related_id").cast("string").alias("real_name"),
+    )
+    return artists.unionByName(labels, allowMissingColumns=True).unionByName(relations, allowMissingColumns=True)
+
+
 @query("e3_artist_relations", "SELECT artist_id, related_id, kind, related_name FROM k_relations")
 def artist_relations(b):
     return E.artist_relations(b.artists_dump, b.corpus["corpus_artists"])
@@ -208,7 +296,8 @@ def fallback_names(b):
              (SELECT count(*) AS kept FROM k_ldump WHERE id IN (SELECT label_id FROM k_c_lab)) l""",
 )
 def entity_stats(b):
-    return steps.entity_stats(b.corpus, b.entities, b.artists_dump, b.labels_dump)
+    b.entities  # noqa: B018
+    return counted(b, steps.entity_stats(b.stage))
 
 
 @query(
@@ -385,4 +474,5 @@ def label_grade_histogram(b):
         (SELECT count(*) FROM k_kept) - (SELECT count(*) FROM k_pairable) AS releases_skipped""",
 )
 def derive_stats(b):
-    return steps.derivation_stats(b.corpus, b.derived, b.dials)
+    b.derived  # noqa: B018
+    return counted(b, steps.derivation_stats(b.stage))

@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+from uuid import uuid4
+
 from pyspark.sql import functions as F
 
+from crateline.operators import corpus as C
 from crateline.operators import measure as M
+from crateline.plans.totals import refresh_totals, store_totals
 from driver_binding import catalogue as B
 from driver_binding.registry import query
 
@@ -49,6 +53,35 @@ def totals_cache_verdict(b):
     return verdicts
 
 
+@query(
+    "m1_stored_totals",
+    """SELECT state, action, CAST(coalesce(CASE action WHEN 'reuse' THEN kept ELSE whole END, 0) AS BIGINT) AS total, CAST(n AS BIGINT) AS artists
+        FROM (SELECT state, action, sum(CASE WHEN old THEN t.total END) AS kept, sum(t.total) AS whole,
+            CASE action WHEN 'reuse' THEN count(*) FILTER (old) ELSE count(*) END AS n
+          FROM (SELECT *, total >= 25 AS old FROM k_totals WHERE artist_id IN (SELECT artist_id FROM k_seed_art)) t,
+            (SELECT state, CASE state WHEN 'same' THEN CASE WHEN n > 0 THEN 'rescan' ELSE 'reuse' END ELSE told END AS action
+             FROM k_uncovered, (VALUES ('same', NULL), ('newer', 'rescan'), ('unknown', 'rescan'), ('no dump', 'reuse'),
+               ('forced', 'rescan')) v(state, told)) GROUP BY state, action)""",
+    {
+        "k_uncovered": """SELECT count(*) AS n FROM k_seed_art
+        WHERE artist_id NOT IN (SELECT artist_id FROM k_totals WHERE total >= 25)"""
+    },
+)
+def stored_totals(b):
+    """Totals stored without artists of few appearances, in each state, and what acting on it leaves."""
+    few = b.seed.totals.filter("total >= 25").join(b.seed.artists.select("artist_id"), "artist_id", "left_semi")
+    rows = None
+    for name, built_from, on_disk, forced in CASES:
+        folder = f"{b.stage.folder}/totals-{uuid4().hex}"
+        store_totals(few, folder, built_from)
+        scan = lambda: C.appearance_counts(C.appearances(b.cat))
+        made = refresh_totals(folder, b.seed.artists, scan, on_disk, forced)
+        row = made.totals.agg(F.coalesce(F.sum("total"), F.lit(0)).alias("total"), F.count("*").alias("artists"))
+        row = row.select(F.lit(name).alias("state"), F.lit(made.verdict["action"]).alias("action"), "total", "artists")
+        rows = row if rows is None else rows.unionByName(row)
+    return rows
+
+
 BAND = """CASE WHEN share < 0.02 THEN 'a) under 2%' WHEN share < 0.05 THEN 'b) 2-5%'
         WHEN share < 0.10 THEN 'c) 5-10%' WHEN share < 0.25 THEN 'd) 10-25%'
         WHEN share < 0.50 THEN 'e) 25-50%' ELSE 'f) 50%+' END"""
@@ -75,21 +108,30 @@ def largest_catalogues(b):
     return M.largest_catalogues(b.seed.artists, b.seed.totals, b.entities["artists"])
 
 
-@query(
-    "m4_floor_sweep",
-    f"""SELECT CAST(t.floor AS DOUBLE) AS floor,
-        (SELECT count(*) FROM k_shares WHERE share >= t.floor) AS artists,
-        (SELECT count(*) FROM (SELECT label_id, count(*) AS roster,
-            count(*) FILTER (WHERE share >= t.floor) AS strong
-          FROM k_pairs LEFT JOIN k_shares USING (artist_id) GROUP BY 1)
-          WHERE strong >= 2 AND strong / roster >= 0.25) AS labels
-        FROM (SELECT unnest({list(FLOORS)}) AS floor) t""",
-    {"k_shares": SHARES},
-)
+def _sweep(floors: str) -> str:
+    return f"""SELECT t.floor, a.artists, coalesce(l.labels, 0) AS labels
+        FROM (SELECT CAST(unnest({floors}) AS DOUBLE) AS floor) t
+        JOIN (SELECT f.floor, count(share) AS artists FROM (SELECT CAST(unnest({floors}) AS DOUBLE) AS floor) f
+          LEFT JOIN k_shares ON share >= f.floor GROUP BY 1) a ON a.floor = t.floor
+        LEFT JOIN (SELECT floor, count(*) AS labels FROM (
+            SELECT f.floor, p.label_id, p.roster, count(*) AS strong
+            FROM (SELECT CAST(unnest({floors}) AS DOUBLE) AS floor) f
+            JOIN (SELECT label_id, share, count(*) OVER (PARTITION BY label_id) AS roster
+                  FROM k_pairs LEFT JOIN k_shares USING (artist_id)) p ON p.share >= f.floor GROUP BY ALL)
+          WHERE strong >= 2 AND strong / roster >= 0.25 GROUP BY 1) l ON l.floor = t.floor"""
+
+
+@query("m4_floor_sweep", _sweep(str(list(FLOORS))), {"k_shares": SHARES})
 def floor_sweep(b):
     return M.floor_sweep(b.seed.artists, b.seed.totals, b.seed.pairs, FLOORS, 2, 0.25)
 
 
+@query("m4_thousand_floors", _sweep("list_transform(range(1, 1001), lambda i: i / 1000)"), {"k_shares": SHARES})
+def thousand_floors(b):
+    """As many floors as there are steps of a thousandth, still one pass."""
+    return M.floor_sweep(b.seed.artists, b.seed.totals, b.seed.pairs, [i / 1000 for i in range(1, 1001)], 2, 0.25)
+
+
 @query(
     "m5_top_seed_labels",
     """SELECT label_id, seed_artist_count, total_artist_count, seed_ratio, name FROM k_seed_lab

@@ -283,6 +283,90 @@ def credit_line(b):
     return _held(b).select("artist_id", "collaborator_id", T.credit_line(F.col("roles")).alias("line"))
 
 
+# Role texts of many forms: known names said several ways, names the vocabulary lacks, brackets
+# that hold commas, nest, cross or never close, and repeats; over 700 distinct ones.
+FORMS = (
+    ("Producer", "Producer", "Production", 1),
+    ("Co-Producer", "Co-Producer", "Production", 1),
+    ("written  by", "written by", "Writing", 2),
+    ("Mixed_By", "Mixed_By", "Mixing", 3),
+    ("LEAD GUITAR", "LEAD GUITAR", "Guitar", 4),
+    (" Photography By ", "Photography By", "Photography", 5),
+    ("Kazoo", "Kazoo", "Kazoo", 9),
+    ("Thumb\tPiano", "Thumb Piano", "Thumb Piano", 9),
+)
+BRACKETS = ("", " [Room A, Berlin]", " [Two (deep, er) end]", " (round, too)", " [never closed", " [a (b] c) d")
+UNCLOSED = 4
+
+
+def _pick(values, at: str) -> str:
+    return "[" + ", ".join(f"'{v}'" if isinstance(v, str) else str(v) for v in values) + f"][{at} + 1]"
+
+
+def _parts_sql(field: int) -> str:
+    """What the texts of both credits say, part by part: an unclosed bracket swallows what follows."""
+    said = [f[field] for f in FORMS]
+    first, second = _pick(said, "k1"), _pick(said, "k3")
+    again = _pick(said, "(k1 + k3) % 8")
+    return f"""list_concat(
+        CASE WHEN k2 = {UNCLOSED} THEN [{first}] WHEN again THEN [{first}, {second}, {first}] ELSE [{first}, {second}] END,
+        [{again}])"""
+
+
+ROLE_TEXTS = f"""SELECT *, concat({_pick([f[0] for f in FORMS], 'k1')}, {_pick(BRACKETS, 'k2')}, ', ', {_pick([f[0] for f in FORMS], 'k3')},
+        CASE WHEN again THEN concat(',', {_pick([f[0] for f in FORMS], 'k1')}) ELSE '' END) AS role
+    FROM (SELECT l_orderkey, l_linenumber, l_partkey % 8 AS k1, l_suppkey % 6 AS k2, (l_orderkey + l_linenumber) % 8 AS k3,
+        l_orderkey % 3 = 0 AS again FROM lineitem)"""
+
+
+def _role_texts(b):
+    form = lambda at: F.get(F.lit([f[0] for f in FORMS]), at.cast("int"))
+    k1, k2, k3 = F.col("l_partkey") % 8, F.col("l_suppkey") % 6, (F.col("l_orderkey") + F.col("l_linenumber")) % 8
+    again = F.when(F.col("l_orderkey") % 3 == 0, F.concat(F.lit(","), form(k1))).otherwise("")
+    role = F.concat(form(k1), F.get(F.lit(list(BRACKETS)), k2.cast("int")), F.lit(", "), form(k3), again)
+    rows = B.read(b.spark, b.sf_dir, "lineitem")
+    return rows.select("l_orderkey", "l_linenumber", role.alias("role"), form((k1 + k3) % 8).alias("other"))
+
+
+@query(
+    "t1_bracketed_credits",
+    f"""SELECT role, array_to_string(list_slice(parts, 1, len(parts) - 1), chr(10)) AS parts, count(*) AS n
+        FROM (SELECT role, {_parts_sql(1)} AS parts FROM k_role_texts) GROUP BY ALL""",
+    {"k_role_texts": ROLE_TEXTS},
+)
+def bracketed_credits(b):
+    rows = _role_texts(b).groupBy("role").agg(F.count("*").alias("n"))
+    return rows.select("role", T.split_credit(F.col("role")).alias("parts"), "n")
+
+
+@query(
+    "t2_role_keys",
+    r"""SELECT role, trim(regexp_replace(regexp_replace(lower(role), '[-_/]+', ' ', 'g'), '\s+', ' ', 'g'))
+        AS role_key, count(*) AS n FROM k_role_texts GROUP BY 1""",
+    {"k_role_texts": ROLE_TEXTS},
+)
+def role_keys(b):
+    return _role_texts(b).groupBy("role", T.role_key(F.col("role")).alias("role_key")).agg(F.count("*").alias("n"))
+
+
+@query(
+    "t3_many_roles",
+    f"""SELECT l_orderkey, CAST(l_linenumber AS BIGINT) AS l_linenumber, array_to_string(names, chr(10)) AS names,
+        array_to_string(names, ' · ') AS line FROM (
+        SELECT l_orderkey, l_linenumber, list_transform(list_sort(list_filter(
+          list_transform(range(1, len(said) + 1), lambda i: {{'rank': ranks[i], 'at': i, 'name': said[i]}}),
+          lambda s: list_position(said, s.name) = s.at)), lambda s: s.name) AS names
+        FROM (SELECT l_orderkey, l_linenumber, {_parts_sql(2)} AS said, {_parts_sql(3)} AS ranks FROM k_role_texts))""",
+    {"k_role_texts": ROLE_TEXTS},
+)
+def many_roles(b):
+    """Two credits a row, of which the second repeats or adds a name."""
+    said = F.array("role", "other")
+    return _role_texts(b).select(
+        "l_orderkey", "l_linenumber", T.summarise_roles(said).alias("names"), T.credit_line(said).alias("line")
+    )
+
+
 BIOS = """SELECT concat('a', id) AS id, profile FROM k_adump_all UNION ALL
     SELECT concat('l', id), profile FROM k_ldump_all"""
 

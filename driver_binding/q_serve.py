@@ -87,7 +87,7 @@ def top_roster(b):
         WHERE m.place <= 300""",
 )
 def artist_releases(b):
-    return V.artist_releases(b.tables)
+    return V.artist_releases(b.served)
 
 
 @query(
@@ -103,7 +103,7 @@ def artist_releases(b):
         WHERE m.place <= 300""",
 )
 def label_releases(b):
-    return V.label_releases(b.tables)
+    return V.label_releases(b.served)
 
 
 @query(
@@ -141,7 +141,7 @@ def relations(b):
     },
 )
 def search(b):
-    return V.search(b.tables, ' Réd-"Wi')
+    return V.search(b.served, ' Réd-"Wi')
 
 
 @query(

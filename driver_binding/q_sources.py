@@ -8,8 +8,11 @@ from pyspark.sql import functions as F
 
 from crateline.operators import corpus as C
 from crateline.operators import relational as R
-from crateline.sources import readers, tables
+from crateline.plans import steps
+from crateline.plans.staging import tune
+from crateline.sources import files, readers, tables
 from driver_binding import catalogue as B
+from driver_binding.oracle import anew, hop
 from driver_binding.registry import query
 
 LINE_TEXT = "string_agg(concat(artist_id, ':', name, ':', coalesce(join_phrase, '-')), '|' ORDER BY position)"
@@ -191,24 +194,30 @@ DIGESTS = {
 }
 
 
-def _digest_sql(name: str) -> str:
-    text = " || ':' || ".join(f"coalesce(CAST({c} AS VARCHAR), '')" for c in DIGESTS[name])
+def digest_sql(name: str, source: str, columns) -> str:
+    text = " || ':' || ".join(f"coalesce(CAST({c} AS VARCHAR), '')" for c in columns)
     return f"""SELECT '{name}' AS tab, count(*) AS n,
-        CAST(sum(CAST(concat('0x', md5({text})[1:8]) AS BIGINT)) AS BIGINT) AS digest FROM {SERVED[name]}"""
+        CAST(sum(CAST(concat('0x', md5({text})[1:8]) AS BIGINT)) AS BIGINT) AS digest FROM {source}"""
 
 
-@query("s7_publish_serving", " UNION ALL ".join(map(_digest_sql, SERVED)))
-def publish_serving(b):
-    """Count and contents of what was published: a sum of checksums of the rows' numbers."""
+def digests(held, columns):
+    """(tab, n, digest): rows of each table and a sum of checksums of what they hold."""
     rows = None
-    for name, df in _published(b).items():
-        text = F.concat_ws(":", *(F.coalesce(F.col(c).cast("string"), F.lit("")) for c in DIGESTS[name]))
+    for name, df in held.items():
+        text = F.concat_ws(":", *(F.coalesce(F.col(c).cast("string"), F.lit("")) for c in columns[name]))
         checksum = F.conv(F.substring(F.md5(text.cast("binary")), 1, 8), 16, 10).cast("bigint")
         part = df.agg(F.count("*").alias("n"), F.sum(checksum).alias("digest")).select(F.lit(name).alias("tab"), "n", "digest")
         rows = part if rows is None else rows.unionByName(part)
     return rows
 
 
+@query("s7_publish_serving", " UNION ALL ".join(digest_sql(name, SERVED[name], DIGESTS[name]) for name in SERVED))
+def publish_serving(b):
+    """Count and contents of what was published."""
+    published = _published(b)
+    return digests({name: published[name] for name in SERVED}, DIGESTS)
+
+
 @query(
     "s8_run_log",
     """SELECT 'derive' AS step, 'orders.parquet' AS source_file, (SELECT count(*) FROM k_kept) AS releases,
@@ -217,14 +226,13 @@ def publish_serving(b):
         (SELECT count(*) FROM k_corpus), CAST(4 AS BIGINT)""",
 )
 def run_log(b):
-    # The log is appended to, so each call keeps its own.
+    """What the steps counted while they wrote, logged without a job and read back."""
+    # The log is added to, so each call keeps its own.
     path = _folder(b, f"runs-{uuid4().hex}")
-    stats = R.one_row(
-        R.row_count(b.corpus["releases"], "releases"), R.row_count(b.corpus["corpus_artists"], "artists")
-    )
+    b.corpus  # noqa: B018 - counted when written
+    stats = {"releases": b.stage.counts["releases"]["rows"], "artists": b.stage.counts["corpus_artists"]["rows"]}
     for step, source, dial in (("derive", "orders.parquet", 6), ("pass2", None, 4)):
-        record = tables.run_record(stats, step, source, {"dial": dial}, F.current_timestamp().cast("string"))
-        tables.append_run(record, path)
+        tables.append_run(b.spark, tables.run_record(stats, step, source, {"dial": dial}, "2026-01-01T00:00:00"), path)
     number = lambda text, key: F.get_json_object(text, f"$.{key}").cast("bigint")
     return tables.read_runs(b.spark, path).select(
         "step",
@@ -292,12 +300,32 @@ def count_by_key(b):
     return R.count_by_key(b.cat.styles, "style")
 
 
-@query("u5_rebuild_not_layer", "SELECT id, seed_n FROM (SELECT artist_id AS id, seed_n FROM k_cov)")
+_FLAGS = """SELECT '{0}' AS run, artist_id, CAST(is_seed AS BIGINT) AS is_seed, CAST(channel_a AS BIGINT) AS channel_a,
+        CAST(channel_b AS BIGINT) AS channel_b FROM {1}"""
+
+
+@query(
+    "u5_rebuild_not_layer",
+    _FLAGS.format("given", "k_corpus") + " UNION ALL " + _FLAGS.format("wider", "k_wide_corpus"),
+    anew("wide", hop(B.WIDER)),
+)
 def rebuild_not_layer(b):
-    """A rerun over what an earlier run left holds only the rerun's rows."""
-    path = _folder(b, "rebuilt")
-    counts = b.derived["coverage_counts"].select(F.col("artist_id").alias("id"), "seed_n")
-    earlier = b.corpus["corpus_artists"].select(F.col("artist_id").alias("id"), F.lit(0).cast("bigint").alias("seed_n"))
-    tables.rebuild({"counts": earlier.unionByName(counts)}, path)
-    tables.rebuild({"counts": counts}, path)
-    return b.spark.read.schema(counts.schema).parquet(f"{path}/counts")
+    """Two expansions with other dials from one stored seed, each in a session of its own; the
+    second leaves the seed as it is, and a rerun of the first replaces what it owns."""
+    folder = _folder(b, f"store-{uuid4().hex}")
+    source = files.listing_digest(b.spark, *(f"{b.sf_dir}/{t}.parquet" for t in ("orders", "lineitem", "part", "supplier")))
+    steps.select_seed(b.cat, b.dials, steps.open_store(b.spark, folder, b.dials, catalogue=source))
+    rows = None
+    for run, dials in (("given", b.dials), ("wider", B.WIDER), ("given", b.dials)):
+        session = tune(b.spark.newSession())
+        parts = {p: getattr(b.cat, p) for p in ("releases", "line", "credits", "label_refs", "styles", "genres")}
+        cat = C.Catalogue(**{p: session.read.schema(df.schema).parquet(_folder(b, f"cat_{p}")) for p, df in parts.items()})
+        store = steps.open_store(session, folder, dials, catalogue=source)
+        seed = steps.load_seed(store)
+        if rows is not None and run == "given":
+            store.clear("corpus_artists")
+        steps.expand(cat, seed, dials, store)
+        if rows is None or run == "wider":
+            held = steps.open_store(b.spark, folder, dials, catalogue=source).need("corpus_artists")["corpus_artists"]
+            rows = held.withColumn("run", F.lit(run)) if rows is None else rows.unionByName(held.withColumn("run", F.lit(run)))
+    return rows

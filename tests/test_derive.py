@@ -167,3 +167,27 @@ def test_grading_against_no_pairs_is_refused(spark):
     with pytest.raises(ValueError):
         steps.derive(tables, tables["labels"], Dials(), Stage(spark))
     D.pairs_guard(tables["release_labels"].limit(0), tables["label_artist_pairs"])
+
+
+def test_roles_of_a_hot_release_are_cut_with_its_people(spark):
+    """One release of thousands beside small ones: no join, the small ones' roles are whole."""
+    hot = spark.range(4000).select(F.lit(1).cast("bigint").alias("release_id"), F.col("id").alias("artist_id"), F.concat(F.lit("r"), F.col("id") % 9).alias("role"))
+    small = spark.range(60).select(
+        (F.col("id") % 10 + 2).alias("release_id"), (F.col("id") % 3).alias("artist_id"),
+        F.when(F.col("id") % 4 > 0, F.concat(F.lit("s"), F.col("id") % 7)).alias("role"),
+    )
+    people = hot.unionByName(small)
+    made = D.artist_collaborators(people, 4)
+    plan = made._jdf.queryExecution().executedPlan().toString()
+    assert "Join" not in plan and plan.count("WindowGroupLimit") == 2
+    held, want = {}, {}
+    for r in small.collect():
+        held.setdefault(r.release_id, {}).setdefault(r.artist_id, set()).update({r.role} - {None})
+    for members in held.values():
+        for a in members:
+            for b in members:
+                if a != b:
+                    n, roles = want.get((a, b), (0, set()))
+                    want[a, b] = n + 1, roles | members[b]
+    got = {(r.artist_id, r.collaborator_id): (r.shared_releases, r.roles) for r in made.collect()}
+    assert got == {k: (n, sorted(roles) or None) for k, (n, roles) in want.items()}

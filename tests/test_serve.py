@@ -1,10 +1,14 @@
+import random
+
 import pytest
 from helpers import corpus, values
 from pyspark.sql import functions as F
 
 from crateline.config import Dials, SceneLists
 from crateline.operators import entities as E
+from crateline.functions import text as T
 from crateline.operators import measure as M
+from crateline.operators import relational as R
 from crateline.operators import serve as V
 from crateline.plans import steps
 from crateline.plans.staging import Stage
@@ -166,3 +170,64 @@ def test_default_expectations_fail_on_a_corpus_without_the_scene(tables):
     wanted = sum(want for *_, want in expectations.rows())
     assert facts.count() == 0 and checked.count() == len(expectations.rows())
     assert M.failures(checked).head().failures == wanted
+
+
+# --- tables that lookups read ---------------------------------------------------------------
+
+
+def test_stored_lookups_answer_like_the_joins(spark, tables):
+    served = {**tables, **steps.serving_tables(tables, Stage(spark))}
+    for id in (None, 1, 3, 4):
+        one, two = V.artist_releases(tables, id), V.artist_releases(served, id)
+        assert values(one, *one.columns) == values(two, *one.columns) and one.count() > 0
+    for id in (None, 500, 501):
+        one, two = V.label_releases(tables, id), V.label_releases(served, id)
+        assert values(one, *one.columns) == values(two, *one.columns) and one.count() > 0
+    for text in ("artist 3", "l", " ?! ", "rtist", "ARTIST", "3", "label 50", ""):
+        one, two = V.search(tables, text), V.search(served, text)
+        assert values(one, *one.columns) == values(two, *one.columns), text
+    plan = V.artist_releases(served, 3)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("FileScan") == 1 and "EqualTo(artist_id,3)" in plan and "Join" not in plan
+    plan = V.label_releases(served, 501)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("FileScan") == 1 and "EqualTo(label_id,501)" in plan and "Join" not in plan
+
+
+def test_postings_hold_every_phrase(spark):
+    rng = random.Random(3)
+    words = ["red", "wine", "bar", "é", "redd", "a", "x" * 70, "日本"]
+    names = [" ".join(rng.choice(words) for _ in range(rng.randrange(0, 6))) for _ in range(300)] + ["red wine " * 40, "", None]
+    index = E.search_index(spark.createDataFrame(list(enumerate(names)), "id bigint, name string"))
+    postings = E.search_postings(index)
+    for query in ("re", "red wi", "wine bar a", "e", "bar", "x" * 69, "x" * 70 + " red", "red wine " * 20, "日", "!", "ed wine"):
+        phrase = T.normalise_query(F.lit(query))
+        want = index.filter(T.matches_phrase(F.col("norm_name"), phrase)).select("id")
+        assert values(E.phrase_ids(postings, index, query), "id") == values(want, "id"), query
+
+
+def test_a_search_skips_row_groups(spark, tmp_path):
+    import pyarrow.parquet as pq
+
+    index = E.search_index(spark.range(20_000).select("id", F.concat(F.md5(F.col("id").cast("string").cast("binary")), F.lit(" band")).alias("name")))
+    laid = R.clustered(E.search_postings(index), "text")
+    laid.write.option("parquet.block.size", 16_384).option("parquet.page.size", 4_096).parquet(str(tmp_path / "p"))
+    found = E.phrase_ids(spark.read.parquet(str(tmp_path / "p")), index, "c4ca4238")
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "StringStartsWith(text,c4ca4238)" in plan
+    assert values(found, "id") == [1]
+    groups = [
+        f.metadata.row_group(g).column(0).statistics
+        for f in (pq.ParquetFile(p) for p in (tmp_path / "p").glob("*.parquet"))
+        for g in range(f.metadata.num_row_groups)
+    ]
+    read = [s for s in groups if s.min <= "c4ca4238g" and s.max >= "c4ca4238"]
+    assert len(groups) > 20 and len(read) <= 2
+
+
+def test_a_by_line_is_cut_on_the_map_side(spark, tables):
+    crowd = spark.range(3000).select(
+        F.when(F.col("id") >= 0, 1).otherwise(2).cast("bigint").alias("release_id"), F.col("id").alias("position"), F.col("id").alias("artist_id"),
+        F.concat(F.lit("N"), "id").alias("name"), F.lit(None).cast("string").alias("join_phrase"),
+    )
+    rows = V.label_release_list({**tables, "release_artists": crowd}, by_line=3)
+    assert values(rows.filter("release_id = 1"), "by_line") == ["N0 N1 N2"]
+    assert rows._jdf.queryExecution().executedPlan().toString().count("WindowGroupLimit") == 2

@@ -149,11 +149,10 @@ def test_publish_swaps_whole_versions(spark, tmp_path):
 
 def test_run_log_appends(spark, tmp_path):
     path = str(tmp_path / "runs")
-    stats = R.one_row(R.row_count(spark.range(3), "rows"))
     for step in ("pass1", "pass2"):
-        tables.append_run(tables.run_record(stats, step, None, {"dial": 1}, "2026-01-01T00:00:00"), path)
+        tables.append_run(spark, tables.run_record({"rows": 3}, step, None, {"dial": 1}, "2026-01-01T00:00:00"), path)
     rows = tables.read_runs(spark, path)
-    assert values(rows, "step", "config_json", "stats_json") == [(s, '{"dial": 1}', '{"rows":3}') for s in ("pass1", "pass2")]
+    assert values(rows, "step", "config_json", "stats_json") == [(s, '{"dial": 1}', '{"rows": 3}') for s in ("pass1", "pass2")]
 
 
 def test_corpus_tables_are_rebuilt_not_layered(spark, tmp_path):
@@ -205,6 +204,21 @@ def test_entities_are_restricted_named_and_counted(spark, dump):
     }
 
 
+def test_the_last_record_of_an_entity_counts(spark, tmp_path):
+    kinds = "id bigint, name string, real_name string, profile string, urls array<string>, relations array<struct<kind:string,id:bigint,name:string>>"
+    first = [(1, "Old", "x", "x", ["u"], [("alias", 7, "Gone")]), (2, "B", None, None, [], [])]
+    dump = spark.createDataFrame(first, kinds).unionByName(spark.createDataFrame([(1, "New", None, None, [], [("alias", 8, "Kept")])], kinds))
+    held = corpus(spark, {"id": 1, "artists": [1, 2], "labels": [1]})
+    stage = Stage(spark)
+    made = steps.load_entities(held, dump, dump.select("id", "name", "profile", "urls"), stage)
+    assert values(made["artists"], "id", "name", "real_name") == [(1, "New", None), (2, "B", None)]
+    assert values(made["labels"], "id", "name") == [(1, "New")]
+    assert values(made["artist_relations"], "artist_id", "related_id") == [(1, 8)]
+    assert steps.entity_stats(stage) == {
+        "artists_scanned": 3, "artists_kept": 2, "artists_missing": 0, "labels_scanned": 3, "labels_kept": 1, "labels_missing": 0, "relations": 1,
+    }
+
+
 def test_dumps_to_served_tables(spark, dump, tmp_path):
     """The whole way: read three dumps, build, log, publish and load again."""
     nested = readers.to_bronze(readers.read_releases(spark, f"{dump}/releases.xml.gz"), str(tmp_path / "bronze"))
