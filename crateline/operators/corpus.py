@@ -137,8 +137,10 @@ def record_label_measures(dials: Dials) -> dict[str, Column]:
 
 
 def label_ref_stats(label_refs: DataFrame, dials: Dials) -> DataFrame:
-    """One row: references without an id, placeholders among the rest."""
-    return label_refs.agg(*[m.alias(name) for name, m in label_ref_measures(dials).items()])
+    """One row: references without an id, placeholders among the rest, usable ones."""
+    stats = label_refs.agg(F.count("*").alias("refs"), *[m.alias(name) for name, m in label_ref_measures(dials).items()])
+    usable = F.col("refs") - F.col("labels_without_id") - F.col("placeholder_labels")
+    return stats.withColumn("usable_labels", usable).drop("refs")
 
 
 # --- seed -------------------------------------------------------------------------
@@ -409,7 +411,7 @@ def pass1_stats(
             F.countDistinct("role").alias("distinct_roles"),
             F.count_if(packaging).alias("packaging_credits"),
         ),
-        label_ref_stats(cat.label_refs, dials),
+        label_ref_stats(cat.label_refs, dials).drop("usable_labels"),
         R.row_count(tally, "seed_candidates"),
     )
     return stats.withColumn("dropped_by_ratio", F.col("seed_candidates") - F.col("seed_artists"))
