@@ -1,7 +1,7 @@
 """Similarity join of documents on word shingles: size-banded tiles, bitmaps, exact overlap.
 
-Documents with the same set are one class, met by a digest of the set. Classes that could be
-linked meet by a shared key: the smallest hashes of a set, which are a random sample of it
+Documents with the same set are one class, met by a digest of the set and numbered. Classes that
+could be linked meet by a shared key: the smallest hashes of a set, which are a random sample of it
 agreed on by every document. Keys are dealt into tiles by size band, for linked sets differ in
 size by a third at most. Inside a tile bit counts of hashed bitmaps bound the overlap from
 above; pairs that pass are decided by the exact overlap of their sorted arrays.
@@ -33,7 +33,8 @@ PARTS, SHARE = 7, 3
 # Keys of a set. Sets that link agree on each of the KEYS smallest hashes of their union with
 # probability 3/4 at least, so they share no key with probability 4**-32 = 2**-64 at most: as
 # rare as two shingles with one 64-bit hash. Sets under 128 shingles have the whole prefix that
-# linked sets must share an element of, and miss nothing at all.
+# linked sets must share an element of, and miss nothing at all. With None every set gives its
+# whole prefix, a quarter of its shingles, and no pair is left to chance.
 KEYS = 32
 
 # Classes of one block of a tile.
@@ -42,13 +43,14 @@ BLOCK = 2048
 SIGNED = pa.schema(
     [
         ("doc_id", pa.int64()),
+        ("version", pa.int64()),
         ("n", pa.int64()),
         ("digest", pa.binary()),
         ("bitmap", pa.binary()),
         ("keys", pa.list_(pa.int64())),
     ]
 )
-SIGNED_DDL = "doc_id bigint, n bigint, digest binary, bitmap binary, keys array<bigint>"
+SIGNED_DDL = "doc_id bigint, version bigint, n bigint, digest binary, bitmap binary, keys array<bigint>"
 
 
 def encoded(column: pa.ChunkedArray) -> list[bytes]:
@@ -69,24 +71,34 @@ def folded(maps: list[bytes]) -> np.ndarray:
     return np.stack(rows).view(np.uint64)
 
 
-def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in slices(batches):
-        sets = shingle_sets(encoded(batch.column("text")))
-        yield to_batch(
-            SIGNED,
-            batch.column("doc_id"),
-            [len(s) for s in sets],
-            [blake2b(s.tobytes(), digest_size=16).digest() if len(s) else None for s in sets],
-            [bitmap(s) for s in sets],
-            [s[: min(KEYS, len(s) - -(-3 * len(s) // 4) + 1)].view(np.int64) if len(s) else [] for s in sets],
-        )
+def prefix(hashes: np.ndarray, keys: int | None) -> np.ndarray:
+    """The smallest hashes of a set: as many as a linked set must share one of, ``keys`` at most."""
+    whole = len(hashes) - -(-3 * len(hashes) // 4) + 1 if len(hashes) else 0
+    return hashes[: whole if keys is None else min(keys, whole)].view(np.int64)
+
+
+def sign(keys: int | None):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches):
+            sets = shingle_sets(encoded(batch.column("text")))
+            yield to_batch(
+                SIGNED,
+                batch.column("doc_id"),
+                batch.column("version"),
+                [len(s) for s in sets],
+                [blake2b(s.tobytes(), digest_size=16).digest() if len(s) else None for s in sets],
+                [bitmap(s) for s in sets],
+                [prefix(s, keys) for s in sets],
+            )
+
+    return run
 
 
 def sets_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    schema = pa.schema([("doc_id", pa.int64()), ("hashes", pa.list_(pa.int64()))])
+    schema = pa.schema([("rep", pa.int64()), ("hashes", pa.list_(pa.int64()))])
     for batch in slices(batches):
         sets = shingle_sets(encoded(batch.column("text")))
-        yield to_batch(schema, batch.column("doc_id"), [s.view(np.int64) for s in sets])
+        yield to_batch(schema, batch.column("rep"), [s.view(np.int64) for s in sets])
 
 
 def enough(overlap, sizes):
@@ -193,7 +205,7 @@ def overlaps(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    side = lambda name, as_: sets.select(F.col("doc_id").alias(name), F.col("hashes").alias(as_))
+    side = lambda name, as_: sets.select(F.col("rep").alias(name), F.col("hashes").alias(as_))
     return (
         pairs.join(side("a", "left"), "a")
         .join(side("b", "right"), "b")
@@ -241,26 +253,33 @@ def candidates(met: DataFrame, classes: DataFrame, label: DataFrame, every: bool
     return dealt.mapInArrow(compare_tiles(every), PAIRS_DDL).distinct()
 
 
-def jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, n_shingles, component_id) per row of ``docs``; other columns are not read.
+def versions(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """doc_id, version and text: a row is known by its id and a 64-bit hash of its text, so an id
+    may have several texts."""
+    return docs.select(
+        F.col(id_col).cast("bigint").alias("doc_id"), F.xxhash64(text_col).alias("version"), F.col(text_col).alias("text")
+    )
 
-    Documents link when 100 * overlap >= 75 * union of their five-word shingles; component_id
-    is the smallest id reachable by links. A null, empty or wordless text has no shingles and is
-    linked with nothing. Rows that repeat an id and text are one document and are all returned;
-    where an id has several texts, its links are decided by one of them. Rows with a null id are returned with a null component. No rows, no rows.
-    """
-    docs = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(text_col).alias("text"))
-    signed = staged(docs.mapInArrow(sign, SIGNED_DDL), "signed")
 
+def placed(docs: DataFrame, keys: int | None) -> DataFrame:
+    """Per row of ``docs`` (doc_id, version, text): doc_id, version, n, digest, and the first row
+    (doc_id, version) of its component; null for a row without shingles or without an id."""
+    signed = staged(docs.mapInArrow(sign(keys), SIGNED_DDL), "signed")
+
+    # Classes are numbered, for rows of one id may stand in several; the numbers are as written.
     classes = staged(
         signed.where("digest IS NOT NULL AND doc_id IS NOT NULL")
         .groupBy("digest")
-        .agg(F.min("doc_id").alias("rep"), *(F.any_value(c).alias(c) for c in ("n", "bitmap", "keys"))),
+        .agg(
+            F.min(F.struct("doc_id", "version")).alias("first"),
+            *(F.any_value(c).alias(c) for c in ("n", "bitmap", "keys")),
+        )
+        .withColumn("rep", F.monotonically_increasing_id()),
         "classes",
     )
-    keys = classes.select("rep", "n", F.explode("keys").alias("key"))
-    heads = keys.groupBy("key").agg(F.min("rep").alias("head"), F.max("rep").alias("last")).where("head < last")
-    met = staged(keys.join(heads.drop("last"), "key"), "met")
+    met = classes.select("rep", "n", F.explode("keys").alias("key"))
+    heads = met.groupBy("key").agg(F.min("rep").alias("head"), F.max("rep").alias("last")).where("head < last")
+    met = staged(met.join(heads.drop("last"), "key"), "met")
 
     # Each class with the head it shares most keys with.
     shared = met.where("rep <> head").groupBy("rep", "head").agg(F.count("*").alias("shared"))
@@ -275,33 +294,80 @@ def jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     under = starred.select(F.col("b").alias("id"), F.col("a").alias("component"))
     tried = starred.union(staged(candidates(met, classes, under, every=False), "pairs"))
 
-    # The sets of classes that were allowed a partner, worked out again from their texts.
-    partnered = staged(tried.select(F.col("a").alias("doc_id")).union(tried.select("b")).distinct(), "partnered")
+    # The sets of classes that were allowed a partner, worked out again from their first row's text.
+    partnered = staged(tried.select(F.col("a").alias("rep")).union(tried.select("b")).distinct(), "partnered")
+    firsts = staged(classes.select("rep", "first.*").join(partnered, "rep", "left_semi"), "firsts")
     sets = staged(
-        docs.join(partnered, "doc_id")
-        .dropDuplicates(["doc_id"])
-        .mapInArrow(sets_of, "doc_id bigint, hashes array<bigint>"),
+        docs.join(firsts, ["doc_id", "version"])
+        .dropDuplicates(["doc_id", "version"])
+        .select("rep", "text")
+        .mapInArrow(sets_of, "rep bigint, hashes array<bigint>"),
         "sets",
     )
     links = staged(verified(tried, sets), "links")
-    met = staged(met.join(partnered.withColumnRenamed("doc_id", "rep"), "rep", "left_semi"), "met")
+    met = staged(met.join(partnered, "rep", "left_semi"), "met")
     for every in (False, True):
         pairs = staged(candidates(met, classes, components(links), every), "pairs")
         links = links.union(staged(verified(pairs, sets), "links"))
 
-    last = components(links)
-    placed = classes.select("digest", "rep").join(last.withColumnRenamed("id", "rep"), "rep", "left")
-    found = placed.select("digest", F.coalesce("component", "rep").alias("component_id"))
-    return signed.select("doc_id", "n", "digest").join(found, "digest", "left").select(
+    # A component's first row is the smallest of its classes' first rows.
+    linked = staged(
+        components(links).withColumnRenamed("id", "rep").join(classes.select("rep", "digest", "first"), "rep"), "linked"
+    )
+    least = staged(linked.groupBy("component").agg(F.min("first").alias("least")), "least")
+    moved = linked.join(least, "component").select("digest", "least")
+    found = classes.select("digest", "first").join(moved, "digest", "left")
+    found = found.select("digest", F.coalesce("least", "first").alias("first"))
+    return (
+        signed.select("doc_id", "version", "n", "digest")
+        .join(found, "digest", "left")
+        .withColumn("first", F.when(F.col("doc_id").isNotNull(), F.col("first")))
+    )
+
+
+def jaccard_join(
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", keys: int | None = KEYS
+) -> DataFrame:
+    """(doc_id, n_shingles, component_id) per row of ``docs``; other columns are not read.
+
+    Documents link when 100 * overlap >= 75 * union of their five-word shingles; component_id
+    is the smallest id reachable by links. A null, empty or wordless text has no shingles and is
+    linked with nothing. Rows that repeat an id and text are one document and are all returned.
+    Rows of one id with different texts are documents of their own, each linked by its own text.
+    Rows with a null id are linked with nothing and returned with a null component. No rows, no
+    rows. ``keys`` of None meets sets by their whole prefixes: exact for sets of any size, at the
+    cost of a row per four shingles of each class.
+    """
+    return placed(versions(docs, id_col, text_col), keys).select(
         "doc_id",
         F.col("n").alias("n_shingles"),
-        F.when(F.col("doc_id").isNotNull(), F.coalesce("component_id", "doc_id")).alias("component_id"),
+        F.coalesce("first.doc_id", "doc_id").alias("component_id"),
     )
 
 
-def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``docs`` with one row of each group of linked documents, that of the smallest id, and all
-    rows without an id."""
-    dropped = jaccard_join(docs, id_col, text_col).where("doc_id <> component_id").select(F.col("doc_id").alias(id_col))
-    kept = docs.where(F.col(id_col).isNotNull()).join(dropped.distinct(), id_col, "left_anti").dropDuplicates([id_col])
-    return kept.select(*docs.columns).union(docs.where(F.col(id_col).isNull()))
+def one_of_each(
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", keys: int | None = KEYS
+) -> DataFrame:
+    """``docs`` with one row of each group of linked documents.
+
+    The row of the smallest id stays; where that id has several texts in the group, the one with
+    the smallest hash. Of rows that repeat an id and text one stays, by the smallest hash of its
+    columns (maps aside); that holds for texts without words, too. Any other row stays: those
+    without an id, and those that share an id with a row that they are not linked with.
+    """
+    gone = (
+        placed(versions(docs, id_col, text_col), keys)
+        .where((F.col("first.doc_id") != F.col("doc_id")) | (F.col("first.version") != F.col("version")))
+        .select("doc_id", "version")
+        .distinct()
+    )
+    hashed = [f.name for f in docs.schema if "map<" not in f.dataType.simpleString()]
+    row = docs.select(
+        F.col(id_col).cast("bigint").alias("doc_id"),
+        F.xxhash64(text_col).alias("version"),
+        F.xxhash64(*hashed).alias("place"),
+        F.struct(*docs.columns).alias("row"),
+    )
+    kept = row.where("doc_id IS NOT NULL").join(gone, ["doc_id", "version"], "left_anti")
+    kept = kept.groupBy("doc_id", "version").agg(F.min_by("row", "place").alias("row"))
+    return kept.select("row.*").union(row.where("doc_id IS NULL").select("row.*"))

@@ -103,6 +103,40 @@ def test_join_of_repeated_rows_null_ids_and_nothing(session):
     assert jaccard_join(docs_of(session, [])).count() == 0
 
 
+def test_an_id_with_several_texts_loses_no_row(session):
+    rng = random.Random(8)
+    one, two, three, four = (" ".join(words(rng, 60)) for _ in range(4))
+    texts = [(1, one), (1, two), (2, two + " end"), (3, one + " end"), (4, three), (4, three), (4, ""), (4, None), (4, "")]
+    # Two linked texts of one id, of which one stays.
+    texts += [(5, four), (5, four + " more"), (6, four + " again"), (7, three + " x")]
+    rows = [(i, t, "en", s, 0) for i, t in texts for s in "ab"]
+    found = jaccard_join(docs_of(session, texts)).collect()
+    assert sorted((r.doc_id, r.n_shingles, r.component_id) for r in found) == [
+        (1, 56, 1), (1, 56, 1), (2, 57, 1), (3, 57, 1), (4, 0, 4), (4, 0, 4), (4, 0, 4), (4, 56, 4), (4, 56, 4),
+        (5, 56, 5), (5, 57, 5), (6, 57, 5), (7, 57, 4),
+    ]
+    kept, again = (one_of_each(session.createDataFrame(x, DOCS)).collect() for x in (rows, rows[::-1]))
+    assert sorted(map(str, kept)) == sorted(map(str, again))
+    left = [(r.doc_id, r.text) for r in kept]
+    assert len(left) == 6 and set(left) > {(1, one), (1, two), (4, three), (4, ""), (4, None)}
+    assert [i for i, t in left if t and t.startswith(four)] == [5]
+
+
+def test_whole_prefixes_equal_brute_force_on_long_sets(session):
+    rng = random.Random(9)
+    base, texts = [f"w{rng.randrange(10**6)}" for _ in range(1600)], []
+    for i in range(14):
+        w = list(base)
+        for at in rng.sample(range(len(w)), 12 + 4 * i):
+            w[at] = f"x{rng.randrange(10**6)}"
+        texts.append((1000 + i, " ".join(w)))
+    exact = brute_components(texts)
+    assert min(n for n, _ in exact.values()) > 1000 and 1 < len({c for _, c in exact.values()}) < 14
+    texts += copies(random.Random(7))
+    rows = jaccard_join(docs_of(session, texts), keys=None).collect()
+    assert {r.doc_id: (r.n_shingles, r.component_id) for r in rows} == brute_components(texts)
+
+
 # --- toxicity
 
 
