@@ -10,6 +10,7 @@ smallest hash over part are taken until the source's target is met.
 
 from __future__ import annotations
 
+import itertools
 import math
 
 from pyspark.sql import Column, DataFrame, Window
@@ -19,8 +20,9 @@ from crateline.llm.common import WORD, staged
 
 WEIGHTS = (5.0, 2.0, 1.0)
 CAP = 3
-# A source's words are within this share of its target before rounding, or the steps end.
+# A source's words are within this share of its target before rounding.
 CLOSE = 1e-5
+# Newton steps before the bracket is halved instead, until it settles.
 STEPS = 40
 # Bits of a document's place in its source's order, settled so many at a time.
 BITS, AT_ONCE = 30, 10
@@ -73,7 +75,11 @@ def rate(multiplier: Column, cap: int) -> Column:
 
 
 def multipliers(rows: DataFrame, sources: DataFrame, cap: int) -> DataFrame:
-    """``sources`` with lambda, mean, and whether all rates are at the cap."""
+    """``sources`` with lambda, mean, and whether all rates are at the cap.
+
+    Words taken grow with lambda and pass every target that is not full, so a source that Newton
+    steps leave open settles by halving: at its target or where no number is between the bounds.
+    """
     live = sources.where("source_size > 0").select(
         "number",
         "target",
@@ -92,7 +98,7 @@ def multipliers(rows: DataFrame, sources: DataFrame, cap: int) -> DataFrame:
         "state",
     )
     words = F.col("n") * F.col("size")
-    for _ in range(STEPS):
+    for step in itertools.count():
         r = rate(F.col("lambda"), cap)
         sums = (
             counts.join(state.where("NOT done AND NOT full").select("number", "lambda", "mean", "full"), "number")
@@ -109,12 +115,13 @@ def multipliers(rows: DataFrame, sources: DataFrame, cap: int) -> DataFrame:
         # Outside the bracket, or where it is open and the step is long, halve or double instead.
         longest = 2 * F.abs(F.col("lambda")) + 2
         newton = F.greatest(F.least(newton, F.col("lambda") + longest), F.col("lambda") - longest)
-        inner = F.when((F.col("slope") > 0) & (newton > low) & (newton < high), newton)
+        inner = F.when((F.col("slope") > 0) & (newton > low) & (newton < high) & F.lit(step < STEPS), newton)
         wide = F.when(high == float("inf"), F.col("lambda") + longest).when(
             low == float("-inf"), F.col("lambda") - longest
         )
         close = F.abs(gap) <= CLOSE * F.col("target")
-        settled = F.col("taken").isNull() | close
+        middle = (low + high) / 2
+        settled = F.col("taken").isNull() | close | (wide.isNull() & ((middle <= low) | (middle >= high)))
         state = staged(
             state.join(sums, "number", "left").select(
                 "number",
@@ -122,7 +129,7 @@ def multipliers(rows: DataFrame, sources: DataFrame, cap: int) -> DataFrame:
                 "mean",
                 "full",
                 F.when(settled, F.col("lambda"))
-                .otherwise(F.coalesce(inner, wide, (low + high) / 2))
+                .otherwise(F.coalesce(inner, wide, middle))
                 .alias("lambda"),
                 low.alias("low"),
                 high.alias("high"),
@@ -139,18 +146,18 @@ def thresholds(rows: DataFrame, state: DataFrame) -> DataFrame:
     """(number, threshold): documents placed below it get one more copy.
 
     The place where a source's added words reach what is missing is found a few bits at a time,
-    from sums per source and bin. The documents at that very place go where the sum is nearer.
+    from sums per source and bin. The first bits are added up before sources are told apart, so a
+    hot source's rows never meet. The documents at that very place go where the sum is nearer.
     """
     missing = rows.groupBy("number").agg(F.sum(F.col("whole") * F.col("size")).alias("base"))
     need = missing.join(state, "number").select("number", (F.col("target") - F.col("base")).alias("need"), F.lit(0).alias("prefix"))
     extra = rows.where("size > 0 AND place IS NOT NULL").select("number", "place", "size")
     for shift in range(BITS - AT_ONCE, -1, -AT_ONCE):
-        bins = (
-            extra.join(need, "number")
-            .where(F.shiftright("place", shift + AT_ONCE) == F.col("prefix"))
-            .groupBy("number", F.shiftright("place", shift).alias("bin"))
-            .agg(F.sum("size").alias("words"), F.first("need").alias("need"))
-        )
+        within = extra
+        if shift + AT_ONCE < BITS:
+            within = extra.join(need, "number").where(F.shiftright("place", shift + AT_ONCE) == F.col("prefix"))
+        bins = within.groupBy("number", F.shiftright("place", shift).alias("bin")).agg(F.sum("size").alias("words"))
+        bins = bins.join(need.select("number", "need"), "number")
         upto = F.sum("words").over(Window.partitionBy("number").orderBy("bin"))
         crossed = bins.withColumn("upto", upto).where(F.col("upto") > F.col("need"))
         need = crossed.groupBy("number").agg(

@@ -5,6 +5,7 @@ import random
 
 import pytest
 
+from crateline.llm import mixing
 from crateline.llm.common import prepare
 from crateline.llm.mixing import mix, mixed_documents
 
@@ -73,3 +74,13 @@ def test_nothing_and_repeats(session):
     rows = mix(documents(session, [(1, "a b", None)] * 3)).collect()
     assert [(r.taken, r.target) for r in rows] == [(2, 6.0)] * 3
     assert [r.taken for r in mix(documents(session, [(1, None, "a"), (2, "", None)])).collect()] == [0, 0]
+
+
+def test_sources_settle_by_halving_alone(session, monkeypatch):
+    monkeypatch.setattr(mixing, "STEPS", 0)
+    rng = random.Random(4)
+    rows = [(i, " ".join(["w"] * int(rng.lognormvariate(3, 1))), "aabc"[i % 4]) for i in range(200)]
+    got = mix(documents(session, rows)).collect()
+    for source in "abc":
+        own = [r for r in got if r.source == source]
+        assert math.isclose(sum(r.rate * r.size for r in own), own[0].target, rel_tol=1e-4)
