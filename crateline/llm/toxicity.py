@@ -233,9 +233,19 @@ def quotations(text: str) -> list[tuple[int, int]]:
     return sorted(out)
 
 
+def reach(text: str) -> list[tuple[int, int]]:
+    """Where each quotation opens, and the furthest end of those that have opened by then: what
+    opened before a hit and ends after it encloses it, whatever its length."""
+    out, furthest = [], -1
+    for opened, closed in quotations(text):
+        furthest = max(furthest, closed)
+        out.append((opened, furthest))
+    return out
+
+
 def context(text: str, start: int, end: int, quoted: list[tuple[int, int]] | None = None) -> float:
-    """What the words around a hit multiply its weight by; ``quoted`` has the text's quotations."""
-    quoted = quotations(text) if quoted is None else quoted
+    """What the words around a hit multiply its weight by; ``quoted`` has the text's reach."""
+    quoted = reach(text) if quoted is None else quoted
     line = text.rfind("\n", 0, start) + 1
     after = text.find("\n", end)
     after = len(text) if after < 0 else after
@@ -243,8 +253,8 @@ def context(text: str, start: int, end: int, quoted: list[tuple[int, int]] | Non
     left, right = text[max(line, start - 20 * WINDOW) : start], text[end : min(after, end + 20 * WINDOW)]
     near = {*WORDS.findall(left)[-WINDOW:], *WORDS.findall(right)[:WINDOW]}
     factor = 1.0
-    around = quoted[bisect_left(quoted, (start - len(left),)) : bisect_left(quoted, (start,))]
-    if any(end <= close < end + len(right) for _, close in around):
+    before = bisect_left(quoted, (start,))
+    if before and quoted[before - 1][1] >= end:
         factor *= QUOTED
     if near & REPORTING:
         factor *= REPORTED
@@ -259,7 +269,7 @@ def score_texts(model: Model, texts: list[str]) -> list[float]:
     quoted: dict[int, list[tuple[int, int]]] = {}
     for text, start, end, entry, errors in model.table.hits(lowered):
         if text not in quoted:
-            quoted[text] = quotations(lowered[text])
+            quoted[text] = reach(lowered[text])
         total[text] += model.weight(entry, errors) * context(lowered[text], start, end, quoted[text])
     return [1 / (1 + math.exp(-max(-30.0, min(30.0, t)))) for t in total]
 
