@@ -12,18 +12,15 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from crateline.llm.common import mix, slices, to_batch
+from crateline.llm.common import mix, slices, staged, to_batch
 
 # A language's n-grams: these sizes, those that make up LEAST_SHARE of its training text or
-# more, hence 1 / LEAST_SHARE of each size at most, seen LEAST_SEEN times or more. A language
-# whose training text has fewer than ENOUGH n-grams keeps those seen less often, too.
+# more, hence 1 / LEAST_SHARE of them at most. The rule is one for languages of any size.
 SIZES = (2, 3, 4)
 LEAST_SHARE = 2e-5
-LEAST_SEEN = 3
-ENOUGH = 10_000
 # Documents of a language that are learned from, as the expected size of a sample by hash.
 TRAINED = 4000
 SLOT_BITS = 20
@@ -70,6 +67,11 @@ def grams(texts: list[str]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
         yield hashed, np.searchsorted(at, starts)
 
 
+def slot_columns(gram: Column) -> list[Column]:
+    """``slots`` as columns."""
+    return [F.shiftrightunsigned(gram, k * SLOT_BITS).bitwiseAND(F.lit((1 << SLOT_BITS) - 1)).cast("int") for k in range(PROBES)]
+
+
 def slots(hashed: np.ndarray) -> list[np.ndarray]:
     return [((hashed >> np.uint64(k * SLOT_BITS)) & np.uint64((1 << SLOT_BITS) - 1)).astype(np.int64) for k in range(PROBES)]
 
@@ -82,11 +84,11 @@ class Filters:
     masks: tuple[np.ndarray, ...]
 
     @staticmethod
-    def build(languages: list[str], held: list[np.ndarray]) -> Filters:
+    def build(languages: list[str], word: np.ndarray, slot: np.ndarray, bits: np.ndarray) -> Filters:
+        """From the filled slots: which word of languages, which slot, and its bits."""
         masks = [np.zeros(1 << SLOT_BITS, np.uint64) for _ in range(-(-len(languages) // 64))]
-        for k, hashed in enumerate(held):
-            for at in slots(hashed):
-                masks[k // 64][at] |= np.uint64(1 << k % 64)
+        for k, mask in enumerate(masks):
+            mask[slot[word == k]] = bits[word == k].view(np.uint64)
         return Filters(tuple(languages), tuple(masks))
 
     def chance(self) -> np.ndarray:
@@ -127,13 +129,14 @@ def learn(docs: DataFrame, trained: int = TRAINED) -> Filters:
     """Filters from rows (doc_id, text, lang) that have a text and a language.
 
     Each language is learned from a sample by hash of about ``trained`` documents, or all if it
-    has fewer. What reaches the driver is bounded by 1 / LEAST_SHARE n-grams per language and size.
-    The shares, one row per language and so fewer than what the filters hold, are broadcast, so
-    texts are drawn where they are read.
+    has fewer. The shares, one row per language, are stored: where the table is small by its
+    files' size, the planner sends it to where texts are read. Slots are filled in Spark; the
+    driver gets the languages' names and a word per slot and 64 languages at most, as much as
+    the filters hold. No rows, no languages.
     """
     docs = docs.where("text IS NOT NULL AND lang IS NOT NULL")
     share = docs.groupBy("lang").agg((F.lit(float(trained)) / F.count("*")).alias("share")).withColumnRenamed("lang", "l")
-    drawn = docs.join(F.broadcast(share), F.col("l") == F.col("lang")).where(
+    drawn = docs.join(staged(share, "shares"), F.col("l") == F.col("lang")).where(
         F.pmod(F.xxhash64("doc_id"), F.lit(1 << 20)) < F.col("share") * (1 << 20)
     )
     seen = (
@@ -142,17 +145,31 @@ def learn(docs: DataFrame, trained: int = TRAINED) -> Filters:
         .groupBy("lang", "gram")
         .agg(F.sum("seen").alias("seen"))
     )
-    total = seen.groupBy(F.col("lang").alias("l")).agg(F.sum("seen").alias("total"))
+    seen = staged(seen, "seen")
+    total = staged(seen.groupBy(F.col("lang").alias("l")).agg(F.sum("seen").alias("total")), "totals")
     kept = (
         seen.join(total, F.col("l") == F.col("lang"))
-        .where((F.col("seen") >= LEAST_SEEN) | (F.col("total") < ENOUGH))
         .where(F.col("seen") >= F.col("total") * LEAST_SHARE)
         .select("lang", "gram")
+    )
+    languages = sorted(r["lang"] for r in kept.select("lang").distinct().collect())
+    if not languages:
+        return Filters((), ())
+    numbers = staged(
+        docs.sparkSession.createDataFrame(list(enumerate(languages)), "number int, l string"), "languages"
+    )
+    filled = (
+        kept.join(numbers, F.col("l") == F.col("lang"))
+        .select(
+            F.shiftright("number", 6).alias("word"),
+            F.explode(F.array(*slot_columns(F.col("gram")))).alias("slot"),
+            F.expr("shiftleft(1L, number % 64)").alias("bit"),
+        )
+        .groupBy("word", "slot")
+        .agg(F.bit_or("bit").alias("bits"))
         .toPandas()
     )
-    held = {lang: g["gram"].to_numpy(np.int64).view(np.uint64) for lang, g in kept.groupby("lang")}
-    languages = sorted(held)
-    return Filters.build(languages, [held[x] for x in languages])
+    return Filters.build(languages, *(filled[c].to_numpy() for c in ("word", "slot", "bits")))
 
 
 def predict(docs: DataFrame, filters: Filters) -> DataFrame:

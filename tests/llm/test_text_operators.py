@@ -4,6 +4,7 @@ import hashlib
 import random
 import re
 import zlib
+from collections import Counter
 
 import numpy as np
 import public_tokenizers
@@ -195,7 +196,7 @@ def test_abuse_between_quotations_is_not_quoted():
     lone = (("scoundrel", False),)
     model = toxicity.Model(lone, toxicity.Table.build(list(lone)), {(0, 0): 7.6})
     flagged = ['"so" he is a scoundrel, "yes"', "“so” a scoundrel «yes»", '"so"\na scoundrel "yes"', 'a 5" scoundrel', "»so« a scoundrel “yes”"]
-    passed = ['it reads "a scoundrel there" now', "“a scoundrel”", "„a scoundrel“", "«a scoundrel»", "»a scoundrel«", '"so" and "a scoundrel"']
+    passed = [f'"{"so it went on " * 30}a scoundrel {"and on and on " * 30}"', 'it reads "a scoundrel there" now', "“a scoundrel”", "„a scoundrel“", "«a scoundrel»", "»a scoundrel«", '"so" and "a scoundrel"']
     assert [s >= 0.5 for s in toxicity.score_texts(model, flagged)] == [True] * len(flagged)
     assert [s >= 0.5 for s in toxicity.score_texts(model, passed)] == [False] * len(passed)
 
@@ -480,6 +481,46 @@ def test_languages_are_told_apart(session):
     assert {r.lang_pred for r in language_id.predict(odd, empty).collect()} == {"und"}
 
 
+def test_filters_and_predictions_equal_plain_sets(session, monkeypatch):
+    monkeypatch.setattr(language_id, "LEAST_SHARE", 2e-3)
+    rng = random.Random(11)
+    letters = {"aa": "abcdefgh", "bb": "efghijkl", "cc": "öäüßefgh"}
+    word = lambda lang: "".join(rng.choice(letters[lang]) for _ in range(rng.randrange(2, 7)))
+    rows = [(i, " ".join(word(lang) for _ in range(60)), lang) for i, lang in enumerate(sorted(letters) * 25)]
+    filters = language_id.learn(session.createDataFrame(rows, "doc_id bigint, text string, lang string"))
+
+    def plain(text):
+        padded = " " + text + " "
+        for n in language_id.SIZES:
+            for k in range(len(padded) - n + 1):
+                gram = padded[k : k + n]
+                if " " not in (gram.strip() if n == 2 else gram[1:-1]) and gram.strip():
+                    yield gram
+
+    seen = {lang: Counter(g for _, t, x in rows if x == lang for g in plain(t)) for lang in letters}
+    kept = {x: {g for g, n in c.items() if n >= 2e-3 * sum(c.values())} for x, c in seen.items()}
+    assert all(0 < len(kept[x]) < len(seen[x]) for x in letters)
+    # Slots from Spark are those of the hashes in numpy.
+    hashed = {x: np.unique(np.concatenate([h for h, _ in language_id.grams([t for _, t, k in rows if k == x])]), return_counts=True) for x in letters}
+    for k, lang in enumerate(filters.languages):
+        h, n = hashed[lang]
+        assert sorted(n.tolist()) == sorted(seen[lang].values())
+        h = h[n >= 2e-3 * n.sum()]
+        assert len(h) == len(kept[lang])
+        want = np.zeros(1 << language_id.SLOT_BITS, bool)
+        for at in language_id.slots(h):
+            want[at] = True
+        assert np.array_equal((filters.masks[0] >> np.uint64(k)) & np.uint64(1) == 1, want)
+    texts = [" ".join(word(lang) for _ in range(12)) for lang in sorted(letters) * 40]
+    asked = session.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")
+    told = {r.doc_id: (r.lang_pred, r.score) for r in language_id.predict(asked, filters).collect()}
+    for i, text in enumerate(texts):
+        hits = {x: sum(g in kept[x] for g in plain(text)) for x in letters}
+        first, second = sorted(hits.values())[-1:-3:-1]
+        assert hits[told[i][0]] == first
+        assert abs(told[i][1] - (first - second) / first) < 0.02
+
+
 def test_a_language_of_one_short_text_is_learned(session):
     rows = [(i, "the quick brown fox jumps over the lazy dog", "en") for i in range(50)] + [(60, "žluťoučký kůň", "cs")]
     filters = language_id.learn(session.createDataFrame(rows, "doc_id bigint, text string, lang string"))
