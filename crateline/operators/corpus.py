@@ -24,7 +24,8 @@ class Catalogue:
     releases(id, title, year[, is_seed]), line(release_id, position, artist_id, name,
     join_phrase), credits(release_id, position, artist_id, name, role),
     label_refs(release_id, position, label_id, name, catno), styles(release_id, style),
-    genres(release_id, genre). ``nested`` holds the records they were exploded from, if any.
+    genres(release_id, genre). ``nested`` holds the records they were exploded from, if any;
+    ``people`` holds the rows of ``appearances``, where one table has both line and credits.
     """
 
     releases: DataFrame
@@ -34,6 +35,7 @@ class Catalogue:
     styles: DataFrame
     genres: DataFrame
     nested: DataFrame | None = None
+    people: DataFrame | None = None
 
     def within(self, releases: DataFrame) -> "Catalogue":
         """The rows of the given releases, which also replace the release table.
@@ -53,6 +55,7 @@ class Catalogue:
             label_refs=keep(self.label_refs),
             styles=keep(self.styles),
             genres=keep(self.genres),
+            people=None if self.people is None else keep(self.people),
         )
 
 
@@ -96,6 +99,8 @@ def from_records(nested: DataFrame, rule: SeedRule = SeedRule()) -> Catalogue:
 
 def appearances(cat: Catalogue) -> DataFrame:
     """(release_id, artist_id, name, role): the line with a null role, and every credit."""
+    if cat.people is not None:
+        return cat.people
     line = cat.line.select(
         "release_id", "artist_id", "name", F.lit(None).cast("string").alias("role")
     )
@@ -167,7 +172,10 @@ def label_artist_pairs(cat: Catalogue, dials: Dials) -> DataFrame:
 
 
 def seed_releases(cat: Catalogue, rule: SeedRule = SeedRule()) -> DataFrame:
-    """Releases the seed rule admits, decided from per-release tag facts, never a tag list."""
+    """Releases the seed rule admits, decided from per-release tag facts, never a tag list.
+
+    Facts of styles and of genres are joined, so tables dealt by release meet without a shuffle.
+    """
     if "is_seed" in cat.releases.columns:
         return cat.releases.filter("is_seed").drop("is_seed")
     wanted = {
@@ -178,32 +186,22 @@ def seed_releases(cat: Catalogue, rule: SeedRule = SeedRule()) -> DataFrame:
         "companion": rule.companions,
     }
     listed = sorted({style for styles in wanted.values() for style in styles})
-    style = F.col("tag")
-    tags = (
+    by_style = (
         cat.styles.filter(F.col("style").isin(listed))
-        .select("release_id", F.col("style").alias("tag"), F.lit(True).alias("is_style"))
-        .unionByName(
-            cat.genres.filter(F.col("genre").isin(list(rule.gate_genres))).select(
-                "release_id", F.col("genre").alias("tag"), F.lit(False).alias("is_style")
-            )
-        )
+        .groupBy("release_id")
+        .agg(*[F.bool_or(F.col("style").isin(list(styles))).alias(name) for name, styles in wanted.items()])
     )
-    facts = tags.groupBy("release_id").agg(
-        F.bool_or(~F.col("is_style")).alias("gated"),
-        *[
-            F.bool_or(F.col("is_style") & style.isin(list(styles))).alias(name)
-            for name, styles in wanted.items()
-        ],
+    by_genre = cat.genres.filter(F.col("genre").isin(list(rule.gate_genres))).groupBy("release_id").agg(
+        F.lit(True).alias("gated")
     )
-    c = F.col
+    facts = cat.releases
+    for found in (by_style, by_genre):
+        facts = facts.join(found.withColumnRenamed("release_id", "id"), "id", "left")
+    fact = lambda name: F.coalesce(name, F.lit(False))
     admitted = facts.filter(
-        P.seed_decision(
-            c("disqualified"), c("core"), c("gated"), c("broad"), c("needs"), c("companion")
-        )
-    )
-    return cat.releases.join(
-        admitted.select(F.col("release_id").alias("id")), "id", "left_semi"
+        P.seed_decision(*[fact(n) for n in ("disqualified", "core", "gated", "broad", "needs", "companion")])
     )
+    return admitted.select(*cat.releases.columns)
 
 
 def seed_appearances(cat: Catalogue, seeds: DataFrame) -> DataFrame:
@@ -324,14 +322,19 @@ def channel_flags(
 
 
 def kept_releases(releases: DataFrame, seeds: DataFrame, flags: DataFrame) -> DataFrame:
-    """Seed releases and kept releases; a seed release on neither channel stays, flags off."""
-    merged = R.merge_flags(
-        seeds.select("id"),
-        flags.withColumnRenamed("release_id", "id"),
-        "id",
-        ("channel_a", "channel_b"),
+    """Seed releases and kept releases; a seed release on neither channel stays, flags off.
+
+    ``R.merge_flags`` by joins, since tables dealt by release meet in them without a shuffle.
+    """
+    is_seed = F.coalesce("is_seed", F.lit(False))
+    names = ("channel_a", "channel_b")
+    seed = seeds.select("id").distinct().withColumn("is_seed", F.lit(True))
+    found = flags.groupBy(F.col("release_id").alias("id")).agg(F.lit(True).alias("on"), *[F.max(n).alias(n) for n in names])
+    both = releases.select("id", "title", "year").join(seed, "id", "left").join(found, "id", "left")
+    off = lambda name: F.when(is_seed, F.coalesce(name, F.lit(False))).otherwise(F.col(name))
+    return both.filter(is_seed | F.coalesce("on", F.lit(False))).select(
+        "id", "title", "year", is_seed.alias("is_seed"), *[off(n).alias(n) for n in names]
     )
-    return releases.select("id", "title", "year").join(merged, "id")
 
 
 def admissible_people(people: DataFrame, dials: Dials) -> DataFrame:

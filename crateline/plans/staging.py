@@ -42,6 +42,15 @@ def tune(spark: SparkSession, input_bytes: int | None = None) -> SparkSession:
     return spark
 
 
+# Input per bucket of tables that are dealt by a key: rows are wider in memory than in the columns they come from.
+INPUT_PER_BUCKET = 8 << 20
+
+
+def buckets_for(spark: SparkSession, input_bytes: int) -> int:
+    """How many buckets tables of so much input are dealt into: they grow with it, and every core has one."""
+    return max(spark.sparkContext.defaultParallelism, -(-input_bytes // INPUT_PER_BUCKET))
+
+
 def stored_bytes(spark: SparkSession, path: str) -> int:
     """Size of a file or folder, from the file system's listing alone."""
     held = spark._jvm.org.apache.hadoop.fs.Path(path)
@@ -86,8 +95,13 @@ class Stage:
     a lost executor made run twice; counts of written rows do not.
     """
 
-    def __init__(self, spark: SparkSession, folder: str | None = None):
+    def __init__(
+        self, spark: SparkSession, folder: str | None = None, keys: Mapping[str, str] | None = None, buckets: int = 0
+    ):
+        """Tables named in ``keys`` are written as ``buckets`` buckets by that column, so joins and groups by
+        it read them without another shuffle; their builds ``deal`` rows that do not come from such tables."""
         self.spark = spark
+        self.keys, self.buckets = dict(keys or {}) if buckets else {}, buckets
         self.folder = folder or f"{shared_folder(spark)}/stage-{uuid4().hex}"
         self.counts: dict[str, dict[str, int]] = {}
         self._held: dict[str, DataFrame] = {}
@@ -114,9 +128,23 @@ class Stage:
 
         return watching, counts
 
+    def deal(self, df: DataFrame, key: str) -> DataFrame:
+        """Rows on their way into a table of buckets; as they are where tables have none."""
+        return df.repartition(self.buckets, key) if self.buckets else df
+
     def _write(self, name: str, build: Callable[[], DataFrame]) -> DataFrame:
         df, counts = self.counted(name, build())
         path = f"{self.folder}/{name}"
+        if name in self.keys:
+            table = f"dealt_{uuid4().hex}_{name}"
+            columns = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema)
+            self.spark.sql(
+                f"CREATE TABLE {table} ({columns}) USING parquet CLUSTERED BY (`{self.keys[name]}`) "
+                f"INTO {self.buckets} BUCKETS LOCATION '{path}'"
+            )
+            df.write.insertInto(table)
+            counts()
+            return self.spark.read.table(table)
         df.write.mode("overwrite").parquet(path)
         counts()
         return self.spark.read.schema(df.schema).parquet(path)

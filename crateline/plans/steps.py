@@ -81,6 +81,18 @@ RECIPES: Mapping[str, Recipe] = {
 }
 
 
+# The tables that joins and groups by release read, and the column that names it.
+RELEASE_KEYS: Mapping[str, str] = {
+    "seed_releases": "id",
+    "releases": "id",
+    **{
+        name: "release_id"
+        for name in ("channel_flags", "release_artists", "release_credits", "release_labels", "release_styles",
+                     "release_genres", "release_people", "people_once")
+    },
+}
+
+
 def open_store(spark: SparkSession, folder: str, dials: Dials, **sources: str) -> Store:
     """A store of every step's tables. ``sources`` are digests of the catalogue and the entity
     dumps, as ``files.listing_digest`` gives them."""
@@ -173,7 +185,7 @@ def expand(cat: C.Catalogue, seed: Seed, dials: Dials, stage: Stage) -> dict[str
     def channels():
         bridging = C.bridges(seed.artists, seed.totals, dials.bridge_min_ratio)
         bridging = stage.watch("channel_flags", bridging, bridging_artists=F.count("*"))
-        found = C.channel_flags(people, cat.label_refs, bridging, seed.labels, dials)
+        found = stage.deal(C.channel_flags(people, cat.label_refs, bridging, seed.labels, dials), "release_id")
         kept = {"kept_a": a & ~b, "kept_b": b & ~a, "kept_both": a & b}
         return stage.watch("channel_flags", found, **{name: F.count_if(test) for name, test in kept.items()})
 
@@ -264,8 +276,9 @@ def derive(
     D.pairs_guard(corpus["release_labels"], corpus["label_artist_pairs"])
     people = stage.table(
         "release_people",
-        lambda: D.release_people(
-            corpus["release_artists"], corpus["release_credits"], corpus["corpus_artists"]
+        lambda: stage.deal(
+            D.release_people(corpus["release_artists"], corpus["release_credits"], corpus["corpus_artists"]),
+            "release_id",
         ),
     )
     once = stage.table("people_once", lambda: D.people_once(people))

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from crateline.config import Dials, Grades, SceneLists, SeedRule, Tradition
 from crateline.operators.corpus import Catalogue
-from crateline.plans.staging import Stage, stored_bytes, tune
+from crateline.plans.staging import Stage, buckets_for, stored_bytes, tune
 from crateline.plans import steps
 
 DIALS = Dials(
@@ -84,60 +84,61 @@ def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def spread(spark: SparkSession, sf_dir: str, name: str, key: str, *columns: str) -> DataFrame:
-    """The named columns dealt by their release, which the joins over them go by."""
-    return read(spark, sf_dir, name).select(key, *columns).repartition(key)
-
-
 def releases(spark: SparkSession, sf_dir: str) -> DataFrame:
     unsure = (F.col("o_orderpriority") == "5-LOW") & (F.col("o_orderstatus") == "P")
-    orders = spread(
-        spark, sf_dir, "orders", "o_orderkey", "o_orderpriority", "o_orderstatus", "o_orderdate"
-    )
-    return orders.select(
+    return read(spark, sf_dir, "orders").select(
         F.col("o_orderkey").alias("id"),
         F.concat(F.lit("Order "), F.col("o_orderkey")).alias("title"),
         F.when(~unsure, F.year("o_orderdate")).alias("year"),
     )
 
 
-def _people(spark: SparkSession, sf_dir: str) -> DataFrame:
-    names = read(spark, sf_dir, "part").select(F.col("p_partkey").alias("artist_id"), F.col("p_name").alias("name"))
-    items = spread(
-        spark, sf_dir, "lineitem", "l_orderkey", "l_linenumber", "l_partkey", "l_linestatus", "l_returnflag"
-    ).select(
+def people(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every line item beside its part, from which the line, the credits and the styles are read."""
+    parts = read(spark, sf_dir, "part").select(
+        F.col("p_partkey").alias("artist_id"), F.col("p_name").alias("name"), F.col("p_brand").alias("style")
+    )
+    items = read(spark, sf_dir, "lineitem").select(
         F.col("l_orderkey").alias("release_id"),
         (F.col("l_linenumber") - 1).alias("position"),
         F.col("l_partkey").alias("artist_id"),
         "l_linestatus",
         "l_returnflag",
     )
-    return items.join(names, "artist_id")
+    return items.join(parts, "artist_id")
 
 
-def line(spark: SparkSession, sf_dir: str) -> DataFrame:
+def line(people: DataFrame) -> DataFrame:
     phrase = F.when(F.col("l_returnflag") == "A", "&").when(F.col("l_returnflag") == "R", ",")
-    return _people(spark, sf_dir).filter("l_linestatus = 'F'").select(
+    return people.filter("l_linestatus = 'F'").select(
         "release_id", "position", "artist_id", "name", phrase.alias("join_phrase")
     )
 
 
-def credits(spark: SparkSession, sf_dir: str) -> DataFrame:
-    role = (
+def _role():
+    return (
         F.when(F.col("position") == 6, "Photography By, Design")
         .when(F.col("l_returnflag") == "A", "Producer [Produced By]")
         .when(F.col("l_returnflag") == "R", "Engineer [Sigma Sound, New York], Mixed By")
         .otherwise("Written-By")
     )
-    return _people(spark, sf_dir).filter("l_linestatus = 'O'").select(
-        "release_id", "position", "artist_id", "name", role.alias("role")
+
+
+def credits(people: DataFrame) -> DataFrame:
+    return people.filter("l_linestatus = 'O'").select(
+        "release_id", "position", "artist_id", "name", _role().alias("role")
     )
 
 
+def on_line_or_credited(people: DataFrame) -> DataFrame:
+    """The line, its role null, and the credits, read in one pass."""
+    role = F.when(F.col("l_linestatus") == "O", _role())
+    return people.filter("l_linestatus IN ('F', 'O')").select("release_id", "artist_id", "name", role.alias("role"))
+
+
 def label_refs(spark: SparkSession, sf_dir: str) -> DataFrame:
     names = read(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("l_suppkey"), "s_name")
-    columns = ("l_orderkey", "l_linenumber", "l_suppkey", "l_tax", "l_discount", "l_quantity")
-    items = spread(spark, sf_dir, "lineitem", *columns).join(names, "l_suppkey")
+    items = read(spark, sf_dir, "lineitem").join(names, "l_suppkey")
     return items.select(
         F.col("l_orderkey").alias("release_id"),
         (F.col("l_linenumber") - 1).alias("position"),
@@ -149,15 +150,8 @@ def label_refs(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def styles(spark: SparkSession, sf_dir: str) -> DataFrame:
-    brands = read(spark, sf_dir, "part").select(F.col("p_partkey").alias("l_partkey"), F.col("p_brand").alias("style"))
-    return (
-        read(spark, sf_dir, "lineitem")
-        .select(F.col("l_orderkey").alias("release_id"), "l_partkey")
-        .join(brands, "l_partkey")
-        .select("release_id", "style")
-        .distinct()
-    )
+def styles(people: DataFrame) -> DataFrame:
+    return people.select("release_id", "style").distinct()
 
 
 def genres(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -166,14 +160,25 @@ def genres(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def catalogue(spark: SparkSession, sf_dir: str) -> Catalogue:
+# The tables a catalogue is read from, and the column that names the release.
+CATALOGUE_KEYS = {"cat_releases": "id", "cat_people": "release_id", "cat_label_refs": "release_id", "cat_genres": "release_id"}
+
+
+def catalogue(spark: SparkSession, sf_dir: str, stage: Stage) -> Catalogue:
+    """The flat tables, written once and dealt by release: the joins that name people are not repeated."""
+    makes = {"cat_releases": releases, "cat_people": people, "cat_label_refs": label_refs, "cat_genres": genres}
+    held = stage.tables(
+        {name: lambda name=name: stage.deal(makes[name](spark, sf_dir), CATALOGUE_KEYS[name]) for name in makes}
+    )
+    named = held["cat_people"]
     return Catalogue(
-        releases=releases(spark, sf_dir),
-        line=line(spark, sf_dir),
-        credits=credits(spark, sf_dir),
-        label_refs=label_refs(spark, sf_dir),
-        styles=styles(spark, sf_dir),
-        genres=genres(spark, sf_dir),
+        releases=held["cat_releases"],
+        line=line(named),
+        credits=credits(named),
+        label_refs=held["cat_label_refs"],
+        styles=styles(named),
+        genres=held["cat_genres"],
+        people=on_line_or_credited(named),
     )
 
 
@@ -271,11 +276,16 @@ class Bound:
     """Every table of one scale folder, each step's output written once per session."""
 
     def __init__(self, spark: SparkSession, sf_dir: str, dials: Dials = DIALS):
-        self.spark = tune(spark, stored_bytes(spark, f"{sf_dir}/lineitem.parquet"))
-        self.sf_dir, self.dials = sf_dir, dials
-        self.stage = Stage(spark)
+        size = stored_bytes(spark, f"{sf_dir}/lineitem.parquet")
+        self.spark = tune(spark, size)
+        self.sf_dir, self.dials, self.buckets = sf_dir, dials, buckets_for(spark, size)
+        self.stage = self.new_stage()
         self._made: dict[str, object] = {}
 
+    def new_stage(self) -> Stage:
+        """A stage whose tables meet by release without a shuffle."""
+        return Stage(self.spark, keys={**CATALOGUE_KEYS, **steps.RELEASE_KEYS}, buckets=self.buckets)
+
     def _once(self, name, make):
         if name not in self._made:
             self._made[name] = make()
@@ -283,15 +293,7 @@ class Bound:
 
     @property
     def cat(self) -> Catalogue:
-        """The flat tables, written once: the joins that name people are not repeated."""
-
-        def make():
-            built = catalogue(self.spark, self.sf_dir)
-            parts = ("releases", "line", "credits", "label_refs", "styles", "genres")
-            held = self.stage.tables({f"cat_{p}": lambda p=p: getattr(built, p) for p in parts})
-            return Catalogue(**{p: held[f"cat_{p}"] for p in parts})
-
-        return self._once("cat", make)
+        return self._once("cat", lambda: catalogue(self.spark, self.sf_dir, self.stage))
 
     @property
     def seed(self) -> steps.Seed:

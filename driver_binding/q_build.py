@@ -170,7 +170,7 @@ def pass2_stats(b):
 @query("c18_select_corpus", CORPUS_ARTISTS)
 def select_corpus(b):
     """The whole selection again in a stage of its own."""
-    return steps.select_corpus(b.cat, b.dials, Stage(b.spark))["corpus_artists"]
+    return steps.select_corpus(b.cat, b.dials, b.new_stage())["corpus_artists"]
 
 
 # Every table of a selection: its subquery, and the columns that its digest takes in.

@@ -11,7 +11,9 @@ import __spark_entry__ as driver
 import check
 from crateline.config import Dials
 from crateline.operators import corpus as C
+from crateline.operators import derive as D
 from crateline.operators import relational as R
+from crateline.plans.staging import Stage
 
 SMALL = "/root/testdata/sf0.001"
 needs_tables = pytest.mark.skipif(not os.path.isdir(SMALL), reason="driver tables are not here")
@@ -148,3 +150,48 @@ def test_entry(spark):
     df = driver.entry(spark)
     assert df.columns == ["artist_id", "place", "collaborator_id", "name", "shared_releases", "roles"]
     assert df.count() > 0
+
+
+@needs_tables
+def test_catalogue_tables_meet_by_release_without_a_shuffle(spark):
+    """Rows are dealt by release as they are written, so joins and groups by it shuffle none of them again."""
+    from driver_binding.catalogue import bind
+
+    bound = bind(spark, SMALL)
+    cat, people = bound.cat, C.appearances(bound.cat)
+    with settings(spark, **{"spark.sql.autoBroadcastJoinThreshold": "-1"}):
+        kept = C.kept_releases(cat.releases, bound.seed.releases, bound.corpus["channel_flags"])
+        within = cat.within(kept)
+        once = bound.derived["people_once"]
+        meeting = {
+            "kept": kept,
+            "line": within.line,
+            "credits": within.credits,
+            "label_refs": within.label_refs,
+            "styles": within.styles,
+            "genres": within.genres,
+            "seed releases": C.seed_releases(cat, bound.dials.seed),
+            "seed people": C.seed_appearances(cat, bound.seed.releases),
+            "crowded": C.crowded(people, 4),
+            "once": D.people_once(bound.derived["release_people"]),
+            "groups": D.groups_of_people(once, 4),
+            "pairable": D.pairable(once, 4),
+            "facts": D.release_facts(bound.corpus["releases"], bound.corpus["release_credits"]),
+        }
+        assert [name for name, df in meeting.items() if "Exchange" in plan_of(df)] == []
+        # What groups by another key shuffles its own groups, once.
+        pairs = plan_of(C.label_artist_pairs(cat, bound.dials))
+        labels = plan_of(D.artist_labels(once, bound.corpus["release_labels"], bound.corpus["releases"]))
+        assert pairs.count("Exchange") == labels.count("Exchange") == 1
+
+
+def test_dealt_tables_count_what_they_write(spark):
+    """Buckets hold the same rows as files do, and are counted by the job that writes them."""
+    rows = spark.range(1000).select((F.col("id") % 97).alias("release_id"), F.when(F.col("id") % 3 > 0, F.col("id")).alias("n"))
+    stage = Stage(spark, keys={"dealt": "release_id"}, buckets=5)
+    held = stage.table("dealt", lambda: stage.watch("dealt", stage.deal(rows, "release_id"), some=F.count("n")))
+    assert stage.counts["dealt"] == {"rows": 1000, "some": 666}
+    assert values(held, "release_id", "n") == values(rows, "release_id", "n")
+    assert "Exchange" not in plan_of(held.groupBy("release_id").count())
+    plain = Stage(spark)
+    assert plain.deal(rows, "release_id") is rows
