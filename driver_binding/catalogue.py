@@ -164,12 +164,15 @@ def genres(spark: SparkSession, sf_dir: str) -> DataFrame:
 CATALOGUE_KEYS = {"cat_releases": "id", "cat_people": "release_id", "cat_label_refs": "release_id", "cat_genres": "release_id"}
 
 
-def catalogue(spark: SparkSession, sf_dir: str, stage: Stage) -> Catalogue:
-    """The flat tables, written once and dealt by release: the joins that name people are not repeated."""
+def catalogue_tables(spark: SparkSession, sf_dir: str, stage: Stage) -> dict[str, DataFrame]:
+    """Written once and dealt by release: the joins that name people are not repeated."""
     makes = {"cat_releases": releases, "cat_people": people, "cat_label_refs": label_refs, "cat_genres": genres}
-    held = stage.tables(
+    return stage.tables(
         {name: lambda name=name: stage.deal(makes[name](spark, sf_dir), CATALOGUE_KEYS[name]) for name in makes}
     )
+
+
+def catalogue(held: dict[str, DataFrame]) -> Catalogue:
     named = held["cat_people"]
     return Catalogue(
         releases=held["cat_releases"],
@@ -293,7 +296,11 @@ class Bound:
 
     @property
     def cat(self) -> Catalogue:
-        return self._once("cat", lambda: catalogue(self.spark, self.sf_dir, self.stage))
+        return self._once("cat", lambda: catalogue(self.cat_tables))
+
+    @property
+    def cat_tables(self) -> dict[str, DataFrame]:
+        return self._once("cat_tables", lambda: catalogue_tables(self.spark, self.sf_dir, self.stage))
 
     @property
     def seed(self) -> steps.Seed:

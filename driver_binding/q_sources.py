@@ -318,8 +318,7 @@ def rebuild_not_layer(b):
     rows = None
     for run, dials in (("given", b.dials), ("wider", B.WIDER), ("given", b.dials)):
         session = tune(b.spark.newSession())
-        parts = {p: getattr(b.cat, p) for p in ("releases", "line", "credits", "label_refs", "styles", "genres")}
-        cat = C.Catalogue(**{p: session.read.schema(df.schema).parquet(_folder(b, f"cat_{p}")) for p, df in parts.items()})
+        cat = B.catalogue({n: session.read.schema(df.schema).parquet(_folder(b, n)) for n, df in b.cat_tables.items()})
         store = steps.open_store(session, folder, dials, catalogue=source)
         seed = steps.load_seed(store)
         if rows is not None and run == "given":
