@@ -3,7 +3,8 @@
 from __future__ import annotations
 
 import os
-from collections.abc import Iterator
+from collections.abc import Iterator, Mapping
+from contextlib import contextmanager
 from uuid import uuid4
 
 import numpy as np
@@ -47,6 +48,19 @@ def staged(df: DataFrame, name: str, compression: str = "snappy") -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+@contextmanager
+def settings(spark: SparkSession, changes: Mapping[str, str]) -> Iterator[None]:
+    """Settings for the jobs started within, as they were after."""
+    held = {name: spark.conf.get(name, None) for name in changes}
+    for name, value in changes.items():
+        spark.conf.set(name, value)
+    try:
+        yield
+    finally:
+        for name, value in held.items():
+            spark.conf.unset(name) if value is None else spark.conf.set(name, value)
+
+
 def remainder(doc_id: Column | str, by: int) -> Column:
     """crc32 of the id as text, modulo ``by``; null for a null id."""
     return F.crc32(F.col(doc_id).cast("string") if isinstance(doc_id, str) else doc_id) % by

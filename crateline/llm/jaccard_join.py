@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from crateline.llm.common import slices, staged, to_batch
+from crateline.llm.common import settings, slices, staged, to_batch
 from crateline.llm.components import components
 from crateline.llm.shingles import shingle_sets
 
@@ -40,6 +40,13 @@ KEYS = 32
 # Classes of one block of a tile.
 BLOCK = 2048
 
+# Joins filter the scan of their large side by a Bloom filter whatever its size.
+FILTER_SCAN = {
+    "spark.sql.optimizer.runtime.bloomFilter.enabled": "true",
+    "spark.sql.optimizer.runtime.bloomFilter.applicationSideScanSizeThreshold": "0",
+    "spark.sql.optimizer.runtime.bloomFilter.creationSideThreshold": "1g",
+}
+
 SIGNED = pa.schema(
     [
         ("doc_id", pa.int64()),
@@ -261,6 +268,16 @@ def versions(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     )
 
 
+def texts_of(docs: DataFrame, firsts: DataFrame) -> DataFrame:
+    """(rep, text) of each class's first row.
+
+    The filter says no more than what holds for every class, but under ``FILTER_SCAN`` it lets Spark pass the
+    ids to the scan of the texts as a Bloom filter, so that few other texts are shuffled.
+    """
+    met = docs.join(firsts.where("rep >= 0"), ["doc_id", "version"])
+    return met.dropDuplicates(["doc_id", "version"]).select("rep", "text")
+
+
 def placed(docs: DataFrame, keys: int | None) -> DataFrame:
     """Per row of ``docs`` (doc_id, version, text): doc_id, version, n, digest, and the first row
     (doc_id, version) of its component; null for a row without shingles or without an id."""
@@ -277,7 +294,8 @@ def placed(docs: DataFrame, keys: int | None) -> DataFrame:
         .withColumn("rep", F.monotonically_increasing_id()),
         "classes",
     )
-    met = classes.select("rep", "n", F.explode("keys").alias("key"))
+    # Dealt by key once, for the heads and for the join with them.
+    met = classes.select("rep", "n", F.explode("keys").alias("key")).repartition("key")
     heads = met.groupBy("key").agg(F.min("rep").alias("head"), F.max("rep").alias("last")).where("head < last")
     met = staged(met.join(heads.drop("last"), "key"), "met")
 
@@ -297,13 +315,8 @@ def placed(docs: DataFrame, keys: int | None) -> DataFrame:
     # The sets of classes that were allowed a partner, worked out again from their first row's text.
     partnered = staged(tried.select(F.col("a").alias("rep")).union(tried.select("b")).distinct(), "partnered")
     firsts = staged(classes.select("rep", "first.*").join(partnered, "rep", "left_semi"), "firsts")
-    sets = staged(
-        docs.join(firsts, ["doc_id", "version"])
-        .dropDuplicates(["doc_id", "version"])
-        .select("rep", "text")
-        .mapInArrow(sets_of, "rep bigint, hashes array<bigint>"),
-        "sets",
-    )
+    with settings(docs.sparkSession, FILTER_SCAN):
+        sets = staged(texts_of(docs, firsts).mapInArrow(sets_of, "rep bigint, hashes array<bigint>"), "sets")
     links = staged(verified(tried, sets), "links")
     met = staged(met.join(partnered, "rep", "left_semi"), "met")
     for every in (False, True):

@@ -13,9 +13,9 @@ import sentencepiece
 from pyspark.sql import functions as F
 
 from crateline.llm import language_id, private_data, quality, toxicity
-from crateline.llm.common import prepare
+from crateline.llm.common import prepare, settings
 from crateline.llm.fingerprints import PrefixHashes, common_extension, fingerprint, fingerprint_documents, likeness, points
-from crateline.llm.jaccard_join import jaccard_join, one_of_each
+from crateline.llm.jaccard_join import FILTER_SCAN, jaccard_join, one_of_each, texts_of, versions
 from crateline.llm.neighbours import Tree, nearest_neighbours
 from crateline.llm.piece_bpe import Vocabulary, coder, encode_documents
 from crateline.llm.token_counts import allocate, count_tokens
@@ -123,6 +123,20 @@ def test_an_id_with_several_texts_loses_no_row(session):
     assert [i for i, t in left if t and t.startswith(four)] == [5]
 
 
+def test_texts_of_other_rows_are_not_shuffled(session):
+    """The texts of classes that need them are met behind a filter of the scan; settings are as before after it."""
+    rows = session.range(2000).select("id", F.concat(F.lit("text "), F.col("id")).alias("text"))
+    docs = versions(rows, "id", "text")
+    firsts = docs.where("doc_id % 100 = 0").select(F.col("doc_id").alias("rep"), "doc_id", "version").localCheckpoint()
+    name = "spark.sql.optimizer.runtime.bloomFilter.applicationSideScanSizeThreshold"
+    before = session.conf.get(name)
+    with settings(session, {**FILTER_SCAN, "spark.sql.autoBroadcastJoinThreshold": "-1", "spark.sql.adaptive.autoBroadcastJoinThreshold": "-1"}):
+        met = texts_of(docs, firsts)
+        assert "might_contain" in met._jdf.queryExecution().executedPlan().toString()
+        assert sorted(tuple(r) for r in met.collect()) == [(i, f"text {i}") for i in range(0, 2000, 100)]
+    assert session.conf.get(name) == before
+
+
 def test_whole_prefixes_equal_brute_force_on_long_sets(session):
     rng = random.Random(9)
     base, texts = [f"w{rng.randrange(10**6)}" for _ in range(1600)], []
