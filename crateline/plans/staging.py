@@ -21,6 +21,8 @@ SETTINGS = {
     "spark.sql.session.timeZone": "UTC",
     # Lists per group are cut on the map side whatever their length.
     "spark.sql.optimizer.windowGroupLimitThreshold": "1000000",
+    # Buckets are written in order, one file each; joins and groups by their key need no other sort.
+    "spark.sql.legacy.bucketedTableScan.outputOrdering": "true",
 }
 
 
@@ -87,6 +89,10 @@ def arrived(seen: Observation) -> dict | None:
     return seen.get if seen._jo.getRow().length() else None
 
 
+# Intermediates are written once and read a few times.
+COMPRESSION = "zstd"
+
+
 class Stage:
     """Tables written once and read back: lineage ends at the file, not at an executor.
 
@@ -98,8 +104,9 @@ class Stage:
     def __init__(
         self, spark: SparkSession, folder: str | None = None, keys: Mapping[str, str] | None = None, buckets: int = 0
     ):
-        """Tables named in ``keys`` are written as ``buckets`` buckets by that column, so joins and groups by
-        it read them without another shuffle; their builds ``deal`` rows that do not come from such tables."""
+        """Tables named in ``keys`` are written as ``buckets`` buckets by that column, each in its order, so joins and
+        groups by it read them without another shuffle or sort; their builds ``deal`` rows that do not come from such
+        tables."""
         self.spark = spark
         self.keys, self.buckets = dict(keys or {}) if buckets else {}, buckets
         self.folder = folder or f"{shared_folder(spark)}/stage-{uuid4().hex}"
@@ -139,13 +146,14 @@ class Stage:
             table = f"dealt_{uuid4().hex}_{name}"
             columns = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema)
             self.spark.sql(
-                f"CREATE TABLE {table} ({columns}) USING parquet CLUSTERED BY (`{self.keys[name]}`) "
+                f"CREATE TABLE {table} ({columns}) USING parquet OPTIONS (compression '{COMPRESSION}') "
+                f"CLUSTERED BY (`{self.keys[name]}`) SORTED BY (`{self.keys[name]}`) "
                 f"INTO {self.buckets} BUCKETS LOCATION '{path}'"
             )
             df.write.insertInto(table)
             counts()
             return self.spark.read.table(table)
-        df.write.mode("overwrite").parquet(path)
+        df.write.mode("overwrite").parquet(path, compression=COMPRESSION)
         counts()
         return self.spark.read.schema(df.schema).parquet(path)
 

@@ -195,3 +195,19 @@ def test_dealt_tables_count_what_they_write(spark):
     assert "Exchange" not in plan_of(held.groupBy("release_id").count())
     plain = Stage(spark)
     assert plain.deal(rows, "release_id") is rows
+
+
+def test_dealt_tables_are_stored_in_order(spark, tmp_path):
+    """Joins and groups by release sort no rows again, and every table is written with the stage's codec."""
+    rows = spark.range(3000).select((F.col("id") * 7 % 991).alias("release_id"), "id")
+    stage = Stage(spark, str(tmp_path / "stage"), keys={"left": "release_id", "right": "release_id"}, buckets=3)
+    left, right, plain = (stage.table(n, lambda: stage.deal(rows, "release_id")) for n in ("left", "right", "plain"))
+    with settings(spark, **{"spark.sql.autoBroadcastJoinThreshold": "-1"}):
+        met = left.join(right, "release_id")
+        assert "SortMergeJoin" in plan_of(met) and "Sort [" not in plan_of(met) and "Exchange" not in plan_of(met)
+        assert values(met.groupBy("release_id").count(), "release_id", "count") == values(
+            rows.join(rows, "release_id").groupBy("release_id").count(), "release_id", "count"
+        )
+    assert values(plain, "release_id", "id") == values(rows, "release_id", "id")
+    written = list((tmp_path / "stage").rglob("part-*.parquet"))
+    assert written and all(".zstd." in f.name for f in written)
