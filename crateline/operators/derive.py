@@ -72,13 +72,17 @@ def _pairs(groups: DataFrame) -> DataFrame:
 
 
 def _roles() -> Column:
-    """Sets of roles are gathered, not roles per release, so what a pair holds is bounded by its answer."""
-    return F.array_sort(F.array_distinct(F.flatten(F.collect_set("roles"))))
+    """Sets of roles are gathered, not roles per release, so what a pair holds is bounded by its answer.
 
+    A release where b held none adds nothing to gather and to send."""
+    held = F.when(F.size("roles") > 0, F.col("roles"))
+    return F.array_sort(F.array_distinct(F.flatten(F.collect_set(held))))
 
-def pair_roles(people: DataFrame, max_people: int) -> DataFrame:
+
+def pair_roles(people: DataFrame, max_people: int, once: DataFrame | None = None) -> DataFrame:
     """(aid, bid, roles): distinct raw roles b held, sorted. Pairs with none have no row."""
-    held = _pairs(groups_of_people(people_once(people), max_people)).filter(F.size("roles") > 0)
+    groups = groups_of_people(people_once(people) if once is None else once, max_people)
+    held = _pairs(groups).filter(F.size("roles") > 0)
     return held.groupBy("aid", "bid").agg(_roles().alias("roles"))
 
 

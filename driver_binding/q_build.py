@@ -346,12 +346,14 @@ def pair_counts(b):
 
 @query("d5_pair_roles", "SELECT aid, bid, roles FROM k_pair_roles")
 def pair_roles(b):
-    return D.pair_roles(b.derived["release_people"], b.dials.max_people_per_release)
+    d = b.derived
+    return D.pair_roles(d["release_people"], b.dials.max_people_per_release, d["people_once"])
 
 
 @query("d6_artist_collaborators", "SELECT artist_id, collaborator_id, shared_releases, roles FROM k_collab")
 def artist_collaborators(b):
-    return D.artist_collaborators(b.derived["release_people"], b.dials.max_people_per_release)
+    d = b.derived
+    return D.artist_collaborators(d["release_people"], b.dials.max_people_per_release, d["people_once"])
 
 
 @query("d7_artist_labels", "SELECT artist_id, label_id, release_count, first_year, last_year FROM k_alabels")

@@ -191,3 +191,20 @@ def test_roles_of_a_hot_release_are_cut_with_its_people(spark):
                     want[a, b] = n + 1, roles | members[b]
     got = {(r.artist_id, r.collaborator_id): (r.shared_releases, r.roles) for r in made.collect()}
     assert got == {k: (n, sorted(roles) or None) for k, (n, roles) in want.items()}
+
+
+def test_pair_roles_from_people_packed_before(spark):
+    """Roles packed per person are not packed again, and releases without a role send none."""
+    rows = [(1, 10, None), (1, 11, None), (1, 20, "Mixed By"), (2, 10, None), (2, 20, None), (3, 20, "Producer"), (3, 10, None)]
+    people = spark.createDataFrame(rows, "release_id bigint, artist_id bigint, role string")
+    once = D.people_once(people)
+    made = D.pair_roles(people, 4, once.localCheckpoint())
+    assert values(made, "aid", "bid", "roles") == [(10, 20, ["Mixed By", "Producer"]), (11, 20, ["Mixed By"])]
+    assert values(made, "aid", "bid", "roles") == values(D.pair_roles(people, 4), "aid", "bid", "roles")
+    assert "collect_set(role#" not in made._jdf.queryExecution().toString()
+    both = D.artist_collaborators(people, 4, once)
+    assert values(both.filter("artist_id = 10"), "collaborator_id", "shared_releases", "roles") == [
+        (11, 1, None), (20, 3, ["Mixed By", "Producer"])
+    ]
+    gathered = both._jdf.queryExecution().optimizedPlan().toString()
+    assert "collect_set(CASE WHEN" in gathered
