@@ -10,6 +10,7 @@ from uuid import uuid4
 
 from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 SETTINGS = {
     # Runtime join choice by measured size, and splitting of hot keys even where the split
@@ -23,6 +24,8 @@ SETTINGS = {
     "spark.sql.optimizer.windowGroupLimitThreshold": "1000000",
     # Buckets are written in order, one file each; joins and groups by their key need no other sort.
     "spark.sql.legacy.bucketedTableScan.outputOrdering": "true",
+    # Tables whose rows were counted are as large as these rows, not as their compressed files.
+    "spark.sql.cbo.planStats.enabled": "true",
 }
 
 
@@ -30,14 +33,20 @@ SETTINGS = {
 INPUT_PER_PARTITION = 1 << 30
 
 
+# Bytes of rows that a byte of a table file is taken for where its rows are not counted.
+BYTES_PER_FILE_BYTE = 8.0
+
+
 def tune(spark: SparkSession, input_bytes: int | None = None) -> SparkSession:
-    """Apply the settings; with the input's size given, start shuffles with enough partitions.
+    """Apply the settings; with the input's size given, start shuffles with enough partitions and
+    take its files for the rows they hold.
 
     The runtime merges partitions that turn out small, so a high start costs little.
     """
     for name, value in SETTINGS.items():
         spark.conf.set(name, value)
     if input_bytes is not None:
+        spark.conf.set("spark.sql.sources.fileCompressionFactor", str(BYTES_PER_FILE_BYTE))
         wanted = -(-input_bytes // INPUT_PER_PARTITION)
         if wanted > int(spark.conf.get("spark.sql.shuffle.partitions")):
             spark.conf.set("spark.sql.adaptive.coalescePartitions.initialPartitionNum", str(wanted))
@@ -92,6 +101,10 @@ def arrived(seen: Observation) -> dict | None:
 # Intermediates are written once and read a few times.
 COMPRESSION = "zstd"
 
+# The optimizer is told the rows of larger tables. Files hold them in a tenth of the memory or less, so by its files a
+# table of many rows looks small enough for a broadcast that the driver cannot hold.
+LEAST_COUNTED = 100_000
+
 
 class Stage:
     """Tables written once and read back: lineage ends at the file, not at an executor.
@@ -139,23 +152,32 @@ class Stage:
         """Rows on their way into a table of buckets; as they are where tables have none."""
         return df.repartition(self.buckets, key) if self.buckets else df
 
+    def _declare(self, name: str, schema: StructType, path: str, layout: str = "") -> str:
+        table = f"kept_{uuid4().hex}_{name}"
+        columns = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in schema)
+        self.spark.sql(
+            f"CREATE TABLE {table} ({columns}) USING parquet OPTIONS (compression '{COMPRESSION}') {layout} LOCATION '{path}'"
+        )
+        return table
+
+    def read_back(self, name: str, schema: StructType, path: str, table: str | None = None) -> DataFrame:
+        """A table that was written, its rows known to the optimizer where they are many."""
+        if self.counts[name]["rows"] >= LEAST_COUNTED:
+            table = table or self._declare(name, schema, path)
+            self.spark.sql(f"ANALYZE TABLE {table} COMPUTE STATISTICS")
+        return self.spark.read.table(table) if table else self.spark.read.schema(schema).parquet(path)
+
     def _write(self, name: str, build: Callable[[], DataFrame]) -> DataFrame:
         df, counts = self.counted(name, build())
-        path = f"{self.folder}/{name}"
+        path, table = f"{self.folder}/{name}", None
         if name in self.keys:
-            table = f"dealt_{uuid4().hex}_{name}"
-            columns = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema)
-            self.spark.sql(
-                f"CREATE TABLE {table} ({columns}) USING parquet OPTIONS (compression '{COMPRESSION}') "
-                f"CLUSTERED BY (`{self.keys[name]}`) SORTED BY (`{self.keys[name]}`) "
-                f"INTO {self.buckets} BUCKETS LOCATION '{path}'"
-            )
+            key = f"(`{self.keys[name]}`)"
+            table = self._declare(name, df.schema, path, f"CLUSTERED BY {key} SORTED BY {key} INTO {self.buckets} BUCKETS")
             df.write.insertInto(table)
-            counts()
-            return self.spark.read.table(table)
-        df.write.mode("overwrite").parquet(path, compression=COMPRESSION)
+        else:
+            df.write.mode("overwrite").parquet(path, compression=COMPRESSION)
         counts()
-        return self.spark.read.schema(df.schema).parquet(path)
+        return self.read_back(name, df.schema, path, table)
 
     def table(self, name: str, build: Callable[[], DataFrame]) -> DataFrame:
         if name not in self._held:

@@ -85,7 +85,7 @@ class Store(Stage):
             return None
         self.counts[name] = held["counts"]
         schema = StructType.fromJson(held["schema"])
-        return self.spark.read.schema(schema).parquet(f"{self._place(name)}/{held['data']}")
+        return self.read_back(name, schema, f"{self._place(name)}/{held['data']}")
 
     def need(self, *names: str) -> dict[str, DataFrame]:
         """Stored tables, read with no job; ``Incomplete`` names those that are not there."""
@@ -111,7 +111,7 @@ class Store(Stage):
         note = {"data": data, "schema": json.loads(df.schema.json()), "counts": counts()}
         files.replace_text(self.spark, f"{self._place(name)}/{_MARKER}", json.dumps(note))
         self.built.append(name)
-        return self.spark.read.schema(df.schema).parquet(f"{self._place(name)}/{data}")
+        return self.read_back(name, df.schema, f"{self._place(name)}/{data}")
 
     def clear(self, *names: str) -> None:
         """Forget the named tables for these dials, so that the next run builds them again."""

@@ -13,7 +13,7 @@ from crateline.config import Dials
 from crateline.operators import corpus as C
 from crateline.operators import derive as D
 from crateline.operators import relational as R
-from crateline.plans.staging import Stage
+from crateline.plans.staging import Stage, stored_bytes, tune
 
 SMALL = "/root/testdata/sf0.001"
 needs_tables = pytest.mark.skipif(not os.path.isdir(SMALL), reason="driver tables are not here")
@@ -211,3 +211,42 @@ def test_dealt_tables_are_stored_in_order(spark, tmp_path):
     assert values(plain, "release_id", "id") == values(rows, "release_id", "id")
     written = list((tmp_path / "stage").rglob("part-*.parquet"))
     assert written and all(".zstd." in f.name for f in written)
+
+
+def test_tables_of_many_rows_are_not_broadcast_by_their_small_files(spark, tmp_path):
+    """Files hold a tenth of what rows take on the driver, so rows are what the optimizer goes by."""
+    many = spark.range(300_000).select(
+        (F.col("id") * 2).alias("release_id"), F.when(F.col("id") % 5 > 0, F.lit(True)).alias("on"), F.lit("one text").alias("text")
+    )
+    few = spark.range(50).withColumnRenamed("id", "release_id")
+    stage = Stage(spark, str(tmp_path / "stage"), keys={"dealt": "release_id"}, buckets=3)
+    left = many.withColumn("release_id", F.col("release_id") * 2)
+    dealt = stage.table("dealt", lambda: stage.deal(many, "release_id"))
+    plain, small = stage.table("plain", lambda: many), stage.table("small", lambda: few)
+    files = [sum(f.stat().st_size for f in (tmp_path / "stage" / n).rglob("*.parquet")) for n in ("dealt", "plain")]
+    with settings(spark, **{"spark.sql.autoBroadcastJoinThreshold": "2m", "spark.sql.adaptive.enabled": "false"}):
+        assert max(files) < 2 << 20
+        for held in (dealt, plain):
+            assert held.dtypes == many.dtypes
+            assert values(held.groupBy("on", "text").count(), "on", "text", "count") == values(
+                many.groupBy("on", "text").count(), "on", "text", "count"
+            )
+            assert "BroadcastHashJoin" not in plan_of(left.join(held, "release_id"))
+            # What is small is met on the spot as before.
+            assert "BroadcastHashJoin" in plan_of(held.join(small, "release_id"))
+
+
+def test_files_that_were_not_counted_are_taken_for_their_rows(spark, tmp_path):
+    """A table file of a quarter of the limit may hold far more than the limit."""
+    path = str(tmp_path / "part.parquet")
+    names = F.concat(F.lit("name "), F.col("id") % 50)
+    spark.range(0, 200_000, 1, 1).select("id", names.alias("name"), names.alias("kind")).write.parquet(path)
+    other = spark.range(1_000_000).filter("id % 3 = 0")
+    changes = {"spark.sql.autoBroadcastJoinThreshold": "2m", "spark.sql.adaptive.enabled": "false"}
+    with settings(spark, **changes, **{"spark.sql.sources.fileCompressionFactor": "1.0"}):
+        # As the session was: its files are smaller than the limit.
+        assert "BroadcastHashJoin" in plan_of(other.join(spark.read.parquet(path), "id"))
+        tune(spark, stored_bytes(spark, path))
+        assert "BroadcastHashJoin" not in plan_of(other.join(spark.read.parquet(path), "id"))
+        spark.range(9).write.parquet(str(tmp_path / "few"))
+        assert "BroadcastHashJoin" in plan_of(other.join(spark.read.parquet(str(tmp_path / "few")), "id"))

@@ -155,3 +155,18 @@ def test_small_files_are_replaced_whole(spark, folder):
     assert digest == files.listing_digest(spark, path)
     files.replace_text(spark, path, "third, longer")
     assert digest != files.listing_digest(spark, path)
+
+
+def test_stored_tables_of_many_rows_are_not_broadcast_by_their_small_files(spark, tmp_path):
+    """Read again from the store, the optimizer knows their rows too."""
+    from test_plans import plan_of, settings
+
+    rows = spark.range(300_000).select((F.col("id") * 2).alias("artist_id"), F.lit("one text").alias("text"))
+    opened = lambda: steps.open_store(spark, str(tmp_path / "kept"), DIALS, catalogue="a", artists="b", labels="c")
+    made = opened().table("appearance_counts", lambda: rows)
+    again = opened().need("appearance_counts")["appearance_counts"]
+    assert sum(f.stat().st_size for f in (tmp_path / "kept").rglob("*.parquet")) < 2 << 20
+    with settings(spark, **{"spark.sql.autoBroadcastJoinThreshold": "2m", "spark.sql.adaptive.enabled": "false"}):
+        for held in (made, again):
+            assert held.count() == 300_000 and held.dtypes == rows.dtypes
+            assert "BroadcastHashJoin" not in plan_of(rows.join(held, "artist_id"))
