@@ -14,17 +14,16 @@ from __future__ import annotations
 from array import array
 from collections import Counter
 from collections.abc import Iterator
-from contextlib import contextmanager
 from itertools import permutations
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark import TaskContext
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from crateline.llm.common import TEXT_BYTES, slices, staged
+from crateline.llm.common import TEXT_BYTES, settings, slices, staged
 
 FILTERS = "ABCDE"
 LEAST_WORDS = 200
@@ -56,7 +55,8 @@ class Shard:
             self.indices.extend([local.setdefault(word, len(local)) for word in held])
             self.data.extend(held.values())
             self.edges.append(len(self.indices))
-        self.docs.append(batch.select(kept))
+        # Copied, as columns of a batch that came to a worker hold on to all of it, its texts included.
+        self.docs.append(batch.select(kept).take(pa.array(range(batch.num_rows))))
         self.bytes += pc.sum(pc.binary_length(batch.column("text"))).as_py() or 0
 
     def row(self, number: int) -> pa.RecordBatch:
@@ -172,16 +172,12 @@ def row_counts(shards: DataFrame) -> DataFrame:
     return met.mapInArrow(run, f"{kept}, n_words bigint, n_distinct bigint")
 
 
-@contextmanager
-def one_shard_at_a_time(spark: SparkSession) -> Iterator[None]:
-    """Workers get a shard per batch, as a shard is as long as a batch of texts may be."""
-    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    before = spark.conf.get(name)
-    spark.conf.set(name, "1")
-    try:
-        yield
-    finally:
-        spark.conf.set(name, before)
+# Workers get a shard per batch, as a shard is as long as a batch of texts may be, and tasks as few shards as may be:
+# a task that merges several shuffle partitions would hold the lists of all of their shards.
+ONE_SHARD_AT_A_TIME = {
+    "spark.sql.execution.arrow.maxRecordsPerBatch": "1",
+    "spark.sql.adaptive.advisoryPartitionSizeInBytes": "8m",
+}
 
 
 def with_earlier(rows: DataFrame, most: int = COMMON_TEXTS) -> DataFrame:
@@ -219,8 +215,8 @@ def failed_filters(
         F.unhex(F.sha2(text.cast("binary"), 256)).alias("digest"),
         text.alias("text"),
     )
-    shards = staged(csr_shards(kept), "shards", compression="zstd")
-    with one_shard_at_a_time(docs.sparkSession):
+    shards = staged(csr_shards(kept), "shards", compression="zstd", rows_per_file=1)
+    with settings(docs.sparkSession, ONE_SHARD_AT_A_TIME):
         counted = staged(row_counts(shards), "counted")
     rows = with_earlier(counted)
     fails = (
