@@ -40,12 +40,13 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def staged(df: DataFrame, name: str, compression: str = "snappy", rows_per_file: int = 0) -> DataFrame:
+def staged(df: DataFrame, name: str, compression: str = "snappy", rows_per_file: int | None = None) -> DataFrame:
     """The rows written once to the folder the cluster shares: lineage ends at the files. Readers and writers hold a
-    batch of a file's rows at once, so very large rows need files of few rows (0: no limit)."""
+    batch of a file's rows at once, so very large rows need files of few rows."""
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/{name}-{uuid4().hex}"
-    df.write.option("maxRecordsPerFile", rows_per_file).parquet(path, compression=compression)
+    options = {} if rows_per_file is None else {"maxRecordsPerFile": rows_per_file}
+    df.write.options(**options).parquet(path, compression=compression)
     return spark.read.schema(df.schema).parquet(path)
 
 

@@ -32,6 +32,8 @@ MOST_CAPITALS = 2
 MARKS = "[#$%&*|]"
 # Bytes of text in a shard. A larger one repeats fewer words, and takes a worker more memory.
 SHARD_BYTES = 24 << 20
+# Bytes of text in a row of a shard, which a batch or a record of a join holds whole, however large the shard.
+PART_BYTES = 6 << 20
 # Hash buckets that words are ranked in: the most tasks that can share the work.
 BUCKETS = 1 << 12
 # The texts with most copies, which are met without a shuffle.
@@ -43,9 +45,13 @@ class Shard:
 
     def __init__(self):
         self.local: dict[bytes, int] = {}
+        self.bytes = 0
+        self._next_part()
+
+    def _next_part(self) -> None:
         self.edges, self.indices, self.data = [0], array("i"), array("i")
         self.docs: list[pa.RecordBatch] = []
-        self.bytes = 0
+        self.part = 0
 
     def add(self, batch: pa.RecordBatch, kept: list[str]) -> None:
         local = self.local
@@ -57,13 +63,15 @@ class Shard:
             self.edges.append(len(self.indices))
         # Copied, as columns of a batch that came to a worker hold on to all of it, its texts included.
         self.docs.append(batch.select(kept).take(pa.array(range(batch.num_rows))))
-        self.bytes += pc.sum(pc.binary_length(batch.column("text"))).as_py() or 0
+        size = pc.sum(pc.binary_length(batch.column("text"))).as_py() or 0
+        self.bytes, self.part = self.bytes + size, self.part + size
 
-    def row(self, number: int) -> pa.RecordBatch:
+    def row(self, number: int, last: bool) -> pa.RecordBatch:
+        """The documents since the row before; the last row of a shard has its words."""
         docs = pa.Table.from_batches(self.docs).combine_chunks().to_batches()[0].to_struct_array()
         whole = lambda values: pa.array([np.asarray(values, np.int32)], pa.list_(pa.int32()))
-        words = pa.array(list(self.local), pa.binary()).cast(pa.string())
-        return pa.RecordBatch.from_arrays(
+        words = pa.array(list(self.local) if last else [], pa.binary()).cast(pa.string())
+        made = pa.RecordBatch.from_arrays(
             [
                 pa.array([number], pa.int64()),
                 pa.ListArray.from_arrays(pa.array([0, len(words)], pa.int32()), words),
@@ -74,23 +82,28 @@ class Shard:
             ],
             names=["shard", "words", "indptr", "indices", "data", "docs"],
         )
+        self._next_part()
+        return made
 
 
-def csr_shards(rows: DataFrame, limit: int = SHARD_BYTES) -> DataFrame:
+def csr_shards(rows: DataFrame, limit: int = SHARD_BYTES, part: int = PART_BYTES) -> DataFrame:
     """(shard, words, indptr, indices, data, docs): each shard's own words, its rows as CSR over
-    them, and the other columns of its documents. A shard ends with the text that fills it."""
+    them, and the other columns of its documents. A shard ends with the text that fills it, and
+    comes in rows of about ``part`` bytes of text; only its last has words."""
     kept = [f for f in rows.schema.fieldNames() if f != "text"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         # Files are cut and read alike in every attempt of a task, so a shard keeps its number.
         number, shard = TaskContext.get().partitionId() << 32, Shard()
-        for batch in slices(batches, limit=min(limit, TEXT_BYTES)):
+        for batch in slices(batches, limit=min(limit, part, TEXT_BYTES)):
+            if shard.part >= part:
+                yield shard.row(number, last=False)
             shard.add(batch, kept)
             if shard.bytes >= limit:
-                yield shard.row(number)
+                yield shard.row(number, last=True)
                 number, shard = number + 1, Shard()
         if shard.docs:
-            yield shard.row(number)
+            yield shard.row(number, last=True)
 
     docs = ", ".join(f"{f.name}: {f.dataType.simpleString()}" for f in rows.schema.fields if f.name != "text")
     return rows.mapInArrow(
@@ -113,7 +126,7 @@ def dictionary(shards: DataFrame, buckets: int = BUCKETS) -> DataFrame:
 
 
 def located(shards: DataFrame) -> DataFrame:
-    """Shards beside the places of their words and the words' numbers in the corpus, in step."""
+    """Rows of shards beside the places of the shard's words and the words' numbers in the corpus, in step."""
     # Both lists take up the same rows in the same order.
     listed = dictionary(shards).groupBy("shard").agg(F.collect_list("place").alias("places"), F.collect_list("id").alias("ids"))
     # A shard without any word meets no id, and has no entry that needs one.

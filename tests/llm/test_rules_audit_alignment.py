@@ -348,11 +348,15 @@ def test_a_reader_or_task_holds_few_shards_at_once(spark, monkeypatch):
         return held[name]
 
     monkeypatch.setattr(filter_audit, "staged", staged)
-    monkeypatch.setattr(filter_audit, "csr_shards", lambda rows: shards(rows, limit=20_000))
+    monkeypatch.setattr(filter_audit, "csr_shards", lambda rows: shards(rows, limit=20_000, part=3_000))
     before = spark.conf.get("spark.sql.adaptive.advisoryPartitionSizeInBytes")
     assert sorted(map(tuple, filter_audit.failed_filters(docs).collect())) == plain
     counts = [r["count"] for r in held["shards"].groupBy(F.input_file_name()).count().collect()]
-    assert len(counts) > 5 and set(counts) == {1}
+    assert len(counts) > 15 and set(counts) == {1}
+    rows = held["shards"].select("shard", F.size("words").alias("words"), F.size("docs").alias("docs")).collect()
+    parts, worded = Counter(r.shard for r in rows), Counter(r.shard for r in rows if r.words)
+    assert len(parts) > 5 and max(parts.values()) >= 3
+    assert set(worded) == set(parts) and set(worded.values()) == {1} and min(r.docs for r in rows) > 0
     assert (held["merged up to"], held["rows a batch"]) == ("8m", "1")
     assert spark.conf.get("spark.sql.adaptive.advisoryPartitionSizeInBytes") == before
 
